@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.policies import Policy
 from . import vocab as V
-from .text import any_of, contains_any, matches_any, text, tokens_word, word_pattern, words
+from .text import any_of, contains_any, let, matches_any, text, tokens_word, word_pattern, words
 
 
 def rule_hits(col: Column, rules: list[tuple[str, list[str]]] = V.DOMAIN_RULES) -> list[tuple[str, Column]]:
@@ -84,16 +84,19 @@ def single_item(hits: Column) -> Column:
 def identity(query: Column, doc: Column, policy: Policy) -> Column:
     """struct of query_item, doc_items, same_item (null: the document names no item), domain_match (the same
     as same_domain), domain_match_doc, domain_match_query, query_domain, doc_domain, their hits, same_domain."""
-    q_item, d_items = single_item(items(query, policy)), items(doc, policy)
-    q_hits, d_hits = domain_hits(query), domain_hits(doc)
-    q_domain, d_domain = choose_domain(q_hits), choose_domain(d_hits)
-    same_item = F.when(F.size(d_items) > 0, F.coalesce(F.array_contains(d_items, q_item), F.lit(False)))
-    same_domain = F.coalesce(q_domain == d_domain, F.lit(False))
-    return F.struct(
-        q_item.alias("query_item"), d_items.alias("doc_items"), same_item.alias("same_item"), same_domain.alias("domain_match"),
-        (F.size(d_hits) > 0).alias("domain_match_doc"), (F.size(q_hits) > 0).alias("domain_match_query"), q_domain.alias("query_domain"),
-        d_domain.alias("doc_domain"), q_hits.alias("query_domain_hits"), d_hits.alias("doc_domain_hits"), same_domain.alias("same_domain"),
-    )
+    raw = F.struct(items(query, policy).alias("qi"), items(doc, policy).alias("di"), domain_hits(query).alias("qh"), domain_hits(doc).alias("dh"))
+    named = lambda r: F.struct(r["qi"].alias("qi"), r["di"].alias("di"), r["qh"].alias("qh"), r["dh"].alias("dh"), single_item(r["qi"]).alias("q"), choose_domain(r["qh"]).alias("qd"), choose_domain(r["dh"]).alias("dd"))
+
+    def facts(r: Column) -> Column:
+        same_item = F.when(F.size(r["di"]) > 0, F.coalesce(F.array_contains(r["di"], r["q"]), F.lit(False)))
+        same_domain = F.coalesce(r["qd"] == r["dd"], F.lit(False))
+        return F.struct(
+            r["q"].alias("query_item"), r["di"].alias("doc_items"), same_item.alias("same_item"), same_domain.alias("domain_match"), (F.size(r["dh"]) > 0).alias("domain_match_doc"),
+            (F.size(r["qh"]) > 0).alias("domain_match_query"), r["qd"].alias("query_domain"), r["dd"].alias("doc_domain"), r["qh"].alias("query_domain_hits"), r["dh"].alias("doc_domain_hits"),
+            same_domain.alias("same_domain"),
+        )
+
+    return let(let(raw, named), facts)
 
 
 def ambiguous_client(query: Column) -> tuple[Column, Column]:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip, text
+from .text import let, strip, text
 
 
 def _unquoted(raw: Column) -> Column:
     """Back-ticks off both ends, then one pair of matching quotes."""
     bare = strip(F.regexp_replace(strip(raw), r"^`+|`+$", ""))
-    return F.when(bare.rlike(r"(?s)^([\"']).*\1$") & (F.length(bare) >= 2), strip(F.substring(bare, 2, F.length(bare) - 2))).otherwise(bare)
+    return strip(F.regexp_replace(bare, r"(?s)^([\"'])(.*)\1$", "$2"))
 
 
 def _json(t: Column) -> Column:
@@ -47,13 +47,19 @@ def few_shot_bucket(score: Column) -> Column:
 def parse_bucket(raw: Column) -> Column:
     """0 to 3 or null. A JSON score counts as a bucket (7 and 10 as steps, others to the nearest step);
     otherwise the rightmost integer that the old scale knows."""
-    t = _unquoted(raw)
-    n = _number(_json(t), ["score", "SCORE", "Score"])
-    whole = F.when(n < 0, F.ceil(n)).otherwise(F.floor(n))
-    of_json = F.when(whole.between(0, 3), whole).when(whole == 7, 2).when(whole == 10, 3).otherwise(nearest_bucket(whole)).cast("int")
-    numbers = F.reverse(F.regexp_extract_all(t, F.lit(r"\d+"), F.lit(0)))
-    mapped = F.filter(F.transform(numbers, lambda d: legacy_bucket(d.try_cast("bigint"))), lambda b: b.isNotNull())
-    return F.when(text(raw) == "", F.lit(None).cast("int")).otherwise(F.coalesce(F.when(n.isNotNull(), of_json), F.try_element_at(mapped, F.lit(1)).cast("int")))
+
+    def of_json(n: Column) -> Column:
+        return let(F.when(n < 0, F.ceil(n)).otherwise(F.floor(n)), lambda x: F.when(x.between(0, 3), x).when(x == 7, 2).when(x == 10, 3).otherwise(nearest_bucket(x)).cast("int"))
+
+    def scan(t: Column) -> Column:
+        numbers = F.reverse(F.regexp_extract_all(t, F.lit(r"\d+"), F.lit(0)))
+        mapped = F.filter(F.transform(numbers, lambda d: let(d.try_cast("bigint"), legacy_bucket)), lambda b: b.isNotNull())
+        return F.try_element_at(mapped, F.lit(1)).cast("int")
+
+    def both(t: Column) -> Column:
+        return let(let(_json(t), lambda d: _number(d, ["score", "SCORE", "Score"])), lambda n: F.when(n.isNotNull(), of_json(n)).otherwise(scan(t)))
+
+    return F.when(text(raw) != "", let(_unquoted(raw), both))
 
 
 def percent(x: Column) -> Column:
@@ -64,22 +70,30 @@ def percent(x: Column) -> Column:
 def parse_fine(raw: Column) -> Column:
     """struct(score int, error string): JSON, a labelled number, a percentage, or the rightmost number, in
     this order; numbers up to 1 without a percent sign are shares."""
-    t = strip(raw)
     share = lambda x: percent(F.when(x <= 1, x * 100).otherwise(x))
-    braced, doc = F.regexp_extract(t, r"(?s)\{.*\}", 0) != "", _json(t)
-    n = _number(doc, ["fine_score", "score", "tie"])
     label = r"(?i)(?:fine[_ ]?score|score|tie)\s*\"?\s*[:=]\s*(-?\d+(?:\.\d+)?)(%?)"
-    labelled, sign = F.regexp_extract(t, label, 1), F.regexp_extract(t, label, 2)
-    pct = F.regexp_extract(t, r"(-?\d+(?:\.\d+)?)\s*%", 1)
-    last = F.try_element_at(F.regexp_extract_all(t, F.lit(r"-?\d+(?:\.\d+)?"), F.lit(0)), F.lit(-1)).cast("double")
-    score = (
-        F.when(labelled != "", F.when(sign == "%", percent(labelled.try_cast("double"))).otherwise(share(labelled.try_cast("double"))))
-        .when(pct != "", percent(pct.try_cast("double"))).when(last.isNotNull(), share(last))
-    )
-    bad = braced & doc.isNull()
-    score = F.when(t == "", F.lit(None)).when(bad, F.lit(None)).when(n.isNotNull(), share(n)).otherwise(score).cast("int")
-    error = F.when(t == "", "empty_output").when(bad, "json_parse_failed").when(score.isNull(), "parse_failed")
-    return F.struct(score.alias("score"), error.alias("error"))
+
+    def found(t: Column) -> Column:
+        return F.struct(
+            t.alias("t"), (F.regexp_extract(t, r"(?s)\{.*\}", 0) != "").alias("braced"), _json(t).isNotNull().alias("valid"),
+            let(_json(t), lambda d: _number(d, ["fine_score", "score", "tie"])).alias("n"),
+            F.regexp_extract(t, label, 1).try_cast("double").alias("labelled"), F.regexp_extract(t, label, 2).alias("sign"),
+            F.regexp_extract(t, r"(-?\d+(?:\.\d+)?)\s*%", 1).try_cast("double").alias("pct"),
+            F.try_element_at(F.regexp_extract_all(t, F.lit(r"-?\d+(?:\.\d+)?"), F.lit(0)), F.lit(-1)).try_cast("double").alias("last"),
+        )
+
+    def scored(v: Column) -> Column:
+        return (
+            F.when((v["t"] == "") | (v["braced"] & ~v["valid"]), F.lit(None).cast("int")).when(v["n"].isNotNull(), share(v["n"]))
+            .when(v["labelled"].isNotNull(), F.when(v["sign"] == "%", percent(v["labelled"])).otherwise(share(v["labelled"])))
+            .when(v["pct"].isNotNull(), percent(v["pct"])).when(v["last"].isNotNull(), share(v["last"]))
+        )
+
+    def ended(v: Column) -> Column:
+        error = lambda x: F.when(v["t"] == "", "empty_output").when(v["braced"] & ~v["valid"], "json_parse_failed").when(x.isNull(), "parse_failed")
+        return let(scored(v), lambda x: F.struct(x.alias("score"), error(x).alias("error")))
+
+    return let(let(strip(raw), found), ended)
 
 
 def fallback_fine(fit: Column, similarity: Column) -> Column:

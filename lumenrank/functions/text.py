@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab as V
@@ -15,6 +15,18 @@ def words(values: Iterable[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with value evaluated once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are evaluated once per row: a one-row generator keeps the optimizer from
+    copying their expressions into every later use."""
+    kept = df.drop(*columns)
+    return kept.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def text(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 

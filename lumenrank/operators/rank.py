@@ -48,17 +48,15 @@ def gated(scored: DataFrame, policy: Policy, id_col: str = "query_id") -> DataFr
     q, d, f = F.col("query"), F.col("text"), F.col("facts")
     one = Window.partitionBy(id_col)
     ambiguous = A.ambiguous_gated(q, policy)
-    rows = scored.withColumn("mode", F.when(ambiguous, "AMBIGUOUS").otherwise("SPECIFIC")).withColumn("tier", F.when(F.col("mode") == "AMBIGUOUS", F.col("bucket")).otherwise(clamp(F.col("bucket"), f)).cast("int"))
-    last = F.greatest(F.lit(1), F.count("*").over(one) - 1)
-    rows = rows.withColumns({
-        "_q": S.gated_quality(d), "query_intent": S.query_intent(q), "_overlap": T.overlap_count(q, d),
-        "_sim": F.coalesce("similarity", 1.0 - F.col("request_index") / last),
-    })
-    rows = rows.withColumn("doc_kind", S.kind_gated(d, F.col("_q"))).withColumn("intent_fit", S.fit_gated(F.col("query_intent"), F.col("doc_kind")))
-    rows = rows.withColumn("final_rank", F.when(F.col("tier") > 0, S.action_score(d, F.col("_q")) * F.col("intent_fit")).otherwise(0.0))
+    rows = T.computed(scored, mode=F.when(ambiguous, "AMBIGUOUS").otherwise("SPECIFIC")).withColumn("tier", F.when(F.col("mode") == "AMBIGUOUS", F.col("bucket")).otherwise(clamp(F.col("bucket"), f)).cast("int"))
+    rows = rows.withColumn("_last", F.greatest(F.lit(1), F.count("*").over(one) - 1))
+    rows = T.computed(rows, _q=S.gated_quality(d), query_intent=S.query_intent(q), _overlap=T.overlap_count(q, d), _sim=F.coalesce("similarity", 1.0 - F.col("request_index") / F.col("_last")), _short=F.size(T.tokens_word(q)) <= 1)
+    rows = T.computed(rows, doc_kind=S.kind_gated(d, F.col("_q")), _action=S.action_score(d, F.col("_q")))
+    rows = T.computed(rows, intent_fit=S.fit_gated(F.col("query_intent"), F.col("doc_kind")))
+    rows = rows.withColumn("final_rank", F.when(F.col("tier") > 0, F.col("_action") * F.col("intent_fit")).otherwise(0.0))
     flat = (F.max("tier").over(one) == F.min("tier").over(one)) | (F.size(F.collect_set("tier").over(one)) <= 2)
-    blend = (ambiguous | (F.size(T.tokens_word(q)) <= 1)) & flat
-    rows = rows.withColumn("_final", F.when(blend, F.col("_sim") * 0.85 + F.col("_overlap") * 0.15).otherwise(F.col("tier").cast("double"))).withColumn("_blend", blend)
+    blend = ((F.col("mode") == "AMBIGUOUS") | F.col("_short")) & flat
+    rows = rows.withColumn("_blend", blend).withColumn("_final", F.when(F.col("_blend"), F.col("_sim") * 0.85 + F.col("_overlap") * 0.15).otherwise(F.col("tier").cast("double")))
     rows = rows.withColumn("final_rank", F.when(F.col("_final") > 0, F.col("final_rank")).otherwise(0.0))
     specific, zero = F.col("mode") == "SPECIFIC", F.col("_final") == 0
     none = F.size(f["doc_items"]) == 0
@@ -87,7 +85,7 @@ def gated(scored: DataFrame, policy: Policy, id_col: str = "query_id") -> DataFr
         F.when(positive, 0).otherwise(1), on(F.col("tier")).desc_nulls_last(), on(F.col("rank_score")).desc_nulls_last(), on(F.col("intent_fit")).desc_nulls_last(), on(F.col("doc_kind")).desc_nulls_last(),
         F.when(positive, 0).otherwise(zero_tier(F.col("zero_reason"), f["same_domain"], f["same_item"])), sim.desc(), on(F.col("original_index")).desc_nulls_last(), "original_index", "request_index",
     )
-    return rows.withColumn("policy_rank", F.row_number().over(order)).withColumn("policy_id", F.lit(policy.name)).drop("_q", "_overlap", "_sim", "_final", "_blend")
+    return rows.withColumn("policy_rank", F.row_number().over(order)).withColumn("policy_id", F.lit(policy.name)).drop("_q", "_overlap", "_sim", "_final", "_blend", "_last", "_short", "_action")
 
 
 def generic(scored: DataFrame, id_col: str = "query_id", diversify: bool = False) -> DataFrame:
@@ -95,8 +93,9 @@ def generic(scored: DataFrame, id_col: str = "query_id", diversify: bool = False
     low-signal rows of ambiguous queries kept. ``diversify`` really puts each domain's best accepted row of
     an ambiguous query first."""
     q, d = F.col("query"), F.col("text")
-    rows = scored.withColumns({"query_intent": S.query_intent(q), "query_domain": A.generic_domain(q), "doc_domain": A.generic_domain(d), "_s": S.quality_signals(d), "mode": F.when(A.ambiguous_generic(q), "AMBIGUOUS").otherwise("SPECIFIC")})
-    rows = rows.withColumn("doc_kind", S.kind_generic(d, F.col("_s"))).withColumn("intent_fit", S.fit_generic(F.col("query_intent"), F.col("doc_kind")))
+    rows = T.computed(scored, query_intent=S.query_intent(q), query_domain=A.generic_domain(q), doc_domain=A.generic_domain(d), _s=S.quality_signals(d), mode=F.when(A.ambiguous_generic(q), "AMBIGUOUS").otherwise("SPECIFIC"))
+    rows = T.computed(rows, doc_kind=S.kind_generic(d, F.col("_s")))
+    rows = T.computed(rows, intent_fit=S.fit_generic(F.col("query_intent"), F.col("doc_kind")))
     other = ~F.col("query_domain").isin("unknown", "ambiguous") & ~F.col("doc_domain").isin("unknown", "ambiguous") & (F.col("query_domain") != F.col("doc_domain"))
     base = T.clamp01(F.col("_s.action_verbs") / 4.0 * F.col("intent_fit"))
     tier, specific = F.col("bucket").cast("int"), F.col("mode") == "SPECIFIC"

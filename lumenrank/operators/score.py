@@ -22,8 +22,8 @@ ALWAYS = 5
 def overlap_tier(query: Column, doc: Column, policy: Policy) -> Column:
     """2 without query keywords or with a shared tier-A one, 1 with another shared one, else 0."""
     q, d = T.keyword_set(query, policy.synonym_map), T.keyword_set(doc, policy.synonym_map)
-    shared = F.array_intersect(q, d)
-    return F.when(F.size(q) == 0, 2).when(F.size(shared) == 0, 0).when(T.any_of(shared, policy.tier_a), 2).otherwise(1)
+    both = F.struct(q.alias("q"), F.array_intersect(q, d).alias("s"))
+    return T.let(both, lambda k: F.when(F.size(k["q"]) == 0, 2).when(F.size(k["s"]) == 0, 0).when(T.any_of(k["s"], policy.tier_a), 2).otherwise(1))
 
 
 def domain_gate(query: Column, doc: Column, policy: Policy) -> Column:
@@ -40,8 +40,8 @@ def has_intent(query: Column, policy: Policy) -> Column:
 
 def procedure_cap(query: Column, doc: Column, bucket: Column, policy: Policy) -> Column:
     """For a query with intent, 3 needs two procedure signals and 2 needs one."""
-    n = S.procedure_signal(doc)
-    return F.when(has_intent(query, policy) & (bucket == 3) & (n < 2), 2).when(has_intent(query, policy) & (bucket == 2) & (n < 1), 1).otherwise(bucket)
+    known = F.struct(bucket.alias("b"), has_intent(query, policy).alias("i"), S.procedure_signal(doc).alias("n"))
+    return T.let(known, lambda k: F.when(k["i"] & (k["b"] == 3) & (k["n"] < 2), 2).when(k["i"] & (k["b"] == 2) & (k["n"] < 1), 1).otherwise(k["b"]))
 
 
 def rule_bucket(doc: Column, facts: Column) -> Column:
@@ -56,11 +56,11 @@ def rule_bucket(doc: Column, facts: Column) -> Column:
 def prepare(rows: DataFrame, policy: Policy, with_facts: bool = True) -> DataFrame:
     """Request rows with facts, tier, tie_breaker and gate (null: goes to the scorer; else why not)."""
     q, d = F.col("query"), F.col("text")
-    out = rows.withColumn("facts", A.identity(q, d, policy if with_facts else Policy()))
-    out = out.withColumns({"overlap_tier": overlap_tier(q, d, policy), "_allowed": domain_gate(q, d, policy)})
+    facts = A.identity(q, d, policy if with_facts else Policy())
+    out = T.computed(rows, facts=facts, overlap_tier=overlap_tier(q, d, policy), _allowed=domain_gate(q, d, policy), _signal=S.procedure_signal(d))
     late = F.col("request_index") >= ALWAYS
     gate = F.when(late & (F.col("overlap_tier") == 0), "tier_0").when(late & ~F.col("_allowed"), "domain")
-    return out.withColumns({"tie_breaker": F.col("overlap_tier") * 100 + S.procedure_signal(d), "gate": gate}).drop("_allowed")
+    return out.withColumns({"tie_breaker": F.col("overlap_tier") * 100 + F.col("_signal"), "gate": gate}).drop("_allowed", "_signal")
 
 
 def gate_stats(prepared: DataFrame, id_col: str = "query_id") -> DataFrame:
@@ -117,15 +117,16 @@ def score(prepared: DataFrame, policy: Policy, make: Callable[[], Generate] | No
     gated = prepared.where("gate is not null").withColumns({"bucket": F.lit(0), "warning": F.lit(None).cast("string")})
     live = prepared.where("gate is null")
     if make is None:
-        live = live.withColumns({"bucket": rule_bucket(F.col("text"), F.col("facts")), "warning": F.lit(None).cast("string")})
+        live = T.computed(live, bucket=rule_bucket(F.col("text"), F.col("facts"))).withColumn("warning", F.lit(None).cast("string"))
     else:
         asked = live.withColumns({"_prompt": prompt, "_retry": retry_prompt if retry_prompt is not None else prompt})
         got = generate(asked, "_prompt", make, "_raw", "_retry", again=lambda a: not any(c.isdigit() for c in a))
-        parsed = parse_bucket(F.col("_raw"))
-        live = got.withColumn("bucket", F.coalesce(parsed, F.lit(0))).withColumn("warning", F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("bucket").isNull() | parsed.isNull(), "parse_failed"))
-        live = live.drop("_prompt", "_retry", "_raw", "latency_ms", "attempts", "error")
-    live = live.withColumn("bucket", procedure_cap(F.col("query"), T.trim_middle(F.col("text")), F.col("bucket"), policy).cast("int"))
-    return live.unionByName(gated)
+        live = T.computed(got, _b=parse_bucket(F.col("_raw")))
+        live = live.withColumns({"bucket": F.coalesce("_b", F.lit(0)), "warning": F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("_b").isNull(), "parse_failed")})
+        live = live.drop("_b", "_prompt", "_retry", "_raw", "latency_ms", "attempts", "error")
+    live = live.withColumn("_raw_bucket", F.col("bucket")).drop("bucket")
+    capped = T.computed(live, bucket=procedure_cap(F.col("query"), T.trim_middle(F.col("text")), F.col("_raw_bucket"), policy).cast("int")).drop("_raw_bucket")
+    return capped.unionByName(gated)
 
 
 def fine_candidates(ranked: DataFrame, k: int = 10, id_col: str = "query_id") -> DataFrame:
@@ -138,8 +139,8 @@ def merge_fine(ranked: DataFrame, outputs: DataFrame, id_col: str = "query_id",
     """Ranked rows with fine_score, fine_score_norm, tie_breaker_used and tie_breaker_error. ``outputs``:
     query_id, original_index, raw, error (why there is no output, as ``circuit_open``). What can't be parsed
     falls back to fit and similarity, and its error says so."""
-    parsed = parse_fine(F.col("raw"))
-    o = outputs.select(id_col, "original_index", F.lit(True).alias("_asked"), F.when(F.col("error").isNull(), parsed["score"]).alias("_score"), F.coalesce("error", parsed["error"]).alias("_error"))
+    o = T.computed(outputs, _p=parse_fine(F.col("raw")))
+    o = o.select(id_col, "original_index", F.lit(True).alias("_asked"), F.when(F.col("error").isNull(), F.col("_p.score")).alias("_score"), F.coalesce("error", "_p.error").alias("_error"))
     out = ranked.join(o, [id_col, "original_index"], "left")
     failed = F.col("_asked") & F.col("_score").isNull()
     score_ = F.coalesce("_score", F.when(failed, fallback_fine(F.col(fit), F.col("similarity"))))

@@ -37,8 +37,8 @@ def scored(rows: DataFrame, policy: Policy, kind: str, options: Options, make: C
     """Request rows with facts (of the whole texts) and bucket (of the truncated ones)."""
     q, d = T.truncate(F.col("query"), options.query_chars), T.truncate(F.col("text"), options.document_chars)
     rows = rows.withColumns({"_query": F.col("query"), "_text": F.col("text")})
-    cut = score.prepare(rows.withColumns({"query": q, "text": d}), policy if kind == "gated" else Policy(name="generic"))
-    cut = cut.withColumn("facts", A.identity(F.col("_query"), F.col("_text"), policy)) if kind == "gated" else cut
+    cut = score.prepare(rows.withColumns({"query": q, "text": d}), policy if kind == "gated" else Policy(name="generic"), with_facts=False)
+    cut = T.computed(cut, facts=A.identity(F.col("_query"), F.col("_text"), policy)) if kind == "gated" else cut
     asked: dict[str, Column] = {}
     if make is not None:
         asked = {"prompt": prompts.bucket_prompt(F.col("query"), T.trim_middle(F.col("text")), F.col("facts"), policy), "retry_prompt": prompts.retry_prompt(F.col("facts"))}
@@ -62,7 +62,7 @@ def rerank(rows: DataFrame, options: Options = Options(), store: PolicyStore | N
         routed = [(store.select(options.policy_id), rows)]
     else:
         domains = [n[len("howto_") : -len("_v1")] for n in store.policies if n.startswith("howto_")]
-        marked = rows.withColumn("_domain", F.coalesce(A.infer_domain(F.col("query")), F.lit("")))
+        marked = T.computed(rows, _domain=F.coalesce(A.infer_domain(F.col("query")), F.lit("")))
         known = F.col("_domain").isin(domains)
         routed = [(store.select(None, d), marked.where(F.col("_domain") == d).drop("_domain")) for d in sorted(domains)] + [(store.select(), marked.where(~known).drop("_domain"))]
     parts = []

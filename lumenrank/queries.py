@@ -206,7 +206,8 @@ def gated_rank(spark: SparkSession, d: str) -> DataFrame:
 
 def _generic(spark: SparkSession) -> DataFrame:
     none = Policy(name="generic")
-    return rank.generic(score.score(score.prepare(howto(spark), none, with_facts=False).withColumn("facts", A.identity(F.col("query"), F.col("text"), plumbing())), none))
+    facts = A.identity(F.col("query"), F.col("text"), plumbing())
+    return rank.generic(score.score(T.computed(score.prepare(howto(spark), none, with_facts=False), facts=facts), none))
 
 
 def generic_rank(spark: SparkSession, d: str) -> DataFrame:
