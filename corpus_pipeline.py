@@ -48,7 +48,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the calibrated mix samples."""
     ship(spark)
-    return mixing.mix(docs, **MIX).where("kept").select(*docs.columns)
+    return mixing.mix(mixing.features(docs), **MIX).where("kept").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

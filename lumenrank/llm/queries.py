@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chat, jaccard, langid, license, mixing, packing, pii, tokenio, topk
+from .common import stored
 from .sql import ORACLES
 
 #: Production parameters of the mix: sources and languages move towards equal shares, topics half-way.
@@ -24,7 +25,8 @@ def held_out(doc_id) -> object:
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
-    return mixing.mix(docs, **MIX).select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "kept")
+    marked = stored(mixing.features(docs).drop("text"), "features")
+    return mixing.mix(marked, **MIX).select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "kept")
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
