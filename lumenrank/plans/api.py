@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import facts as A
@@ -32,6 +32,20 @@ class Options:
     max_documents: int = 1024
     return_documents: bool = False
 
+    @classmethod
+    def from_conf(cls, spark: SparkSession, **given) -> Options:
+        """Options from the session's ``lumenrank.<name>`` settings; what is given (and not None) goes first."""
+        out = {k: v for k, v in given.items() if v is not None}
+        for f in fields(cls):
+            said = spark.conf.get(f"lumenrank.{f.name}", None)
+            if said is not None and f.name not in out:
+                out[f.name] = truthy(said) if isinstance(f.default, bool) else int(said) if "int" in str(f.type) else said
+        return cls(**out)
+
+
+def truthy(said: str) -> bool:
+    return said.strip().lower() in ("1", "true", "yes")
+
 
 def scored(rows: DataFrame, policy: Policy, kind: str, options: Options, make: Callable[[], score.Generate] | None = None) -> DataFrame:
     """Request rows with facts (of the whole texts) and bucket (of the truncated ones)."""

@@ -195,3 +195,21 @@ def test_memo_and_validate(spark):
     v = retrieve.validate(spark.createDataFrame([(1, "a"), (1, "b"), (2, None)], "query_id int, text string"), most=1).collect()
     assert {r["query_id"]: r["status"] for r in v} == {1: 413, 2: 422}
     assert T.word_pattern(["a b"]).endswith(r"(?:a b)(?![\p{L}\p{N}_])") and Policy().tier_a == []
+
+
+def test_options_from_the_session(spark):
+    spark.conf.set("lumenrank.skip_ambiguous", "no")
+    spark.conf.set("lumenrank.fine_top_k", "3")
+    try:
+        got = Options.from_conf(spark, top_n=2, policy_id=None)
+        assert (got.skip_ambiguous, got.fine_top_k, got.top_n, got.policy_id) == (False, 3, 2, None)
+    finally:
+        spark.conf.unset("lumenrank.skip_ambiguous")
+        spark.conf.unset("lumenrank.fine_top_k")
+
+
+def test_command_line(spark, capsys):
+    from lumenrank.__main__ import main
+
+    main(["demo", "--policy", "howto_plumbing_v1", "--top-n", "1", "--report"])
+    assert "item=shower+" in capsys.readouterr().out
