@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cells, stored, usual_length, vectors
+from .common import cells, ragged, stored, usual_length, vectors
 from .topk import _rows, packed, query_blocks
 
 #: Vectors that the codebooks are fitted on at most (chosen by a hash of the id); rows and queries of a
-#: block; candidates that each block of rows hands to the exact reranking, per query.
+#: block; candidates that each block of rows hands to the exact reranking at least, per query.
 FIT_ROWS, ROWS, QUERIES, RERANK = 16_384, 8192, 1024, 200
 #: Share of the norm from which scores matter; it sets the weight of the parallel residual.
 THRESHOLD = 0.2
@@ -83,34 +83,49 @@ def fit(x: np.ndarray, w: float, rounds: int = 6) -> np.ndarray:
     return books
 
 
-def search(q: np.ndarray, qids: np.ndarray, x: np.ndarray, ids: np.ndarray, codes: np.ndarray, books: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def slack(x: np.ndarray, books: np.ndarray, w: float, share: float = 0.95) -> float:
+    """The error of scanned scores, per unit of the query's norm, that ``share`` of pairs stay below."""
+    r = x - books[np.arange(len(books)), assign(x, books, w)].reshape(x.shape)
+    q = x[:: max(1, len(x) // 200)]
+    return float(np.quantile(np.abs(q @ r.T) / np.linalg.norm(q, axis=1)[:, None], share))
+
+
+def search(q: np.ndarray, qids: np.ndarray, x: np.ndarray, ids: np.ndarray, codes: np.ndarray, books: np.ndarray, k: int, rerank: int, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query ids, row ids, exact scores) of each query's k best of one block; ids ascend in the block.
 
-    ``codes`` holds two codes a byte. Rows as good as the last that the scan keeps are kept by id.
+    ``codes`` holds two codes a byte. Equal vectors are scanned and reranked once, so a vector that many rows
+    share takes one candidate's place; its rows come in by id. Reranked are the ``rerank`` best of the scan and
+    all that come within ``margin`` (times the query's norm) of its k-th score: of a tight cluster, whose
+    members the codes can't tell apart, all.
     """
-    n, half = len(ids), codes.shape[1]
+    key = np.ascontiguousarray(x).view(np.dtype((np.void, 8 * x.shape[1]))).ravel()
+    _, first, group, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    members, begin = np.argsort(group, kind="stable"), np.cumsum(count) - count
+    x, codes = x[first], codes[first]
+    n, half = len(first), codes.shape[1]
     wide = padded(q).reshape(len(q), half, 2, 2)
     pairs = books.reshape(half, 2, 16, 2)
     tables = np.einsum("qhsd,hscd->qhsc", wide, pairs)
     tables = (tables[:, :, 1, :, None] + tables[:, :, 0, None, :]).reshape(len(q), half, 256).astype(np.float32)
     columns = [np.ascontiguousarray(codes[:, h]) for h in range(half)]
-    lo, hi = np.searchsorted(ids, qids, "left"), np.searchsorted(ids, qids, "right")
     out: list[list[np.ndarray]] = [[], [], []]
     for i in range(len(q)):
         score = tables[i, 0][columns[0]]
         for h in range(1, half):
             score += tables[i, h][columns[h]]
-        score[lo[i] : hi[i]] = -np.inf  # the query's own row
-        own = int(hi[i] - lo[i])
-        if n - own > rerank:
-            edge = np.partition(score, n - rerank)[n - rerank]
-            above = np.flatnonzero(score > edge)
-            at = np.concatenate((above, np.flatnonzero(score == edge)[: rerank - len(above)]))
-        else:
-            at = np.flatnonzero(score > -np.inf)
+        at = np.arange(n)
+        if n > rerank:
+            top = np.partition(score, (n - rerank, n - min(k, rerank)))
+            edge = min(top[n - rerank], top[n - min(k, rerank)] - margin * np.linalg.norm(q[i]))
+            at = np.flatnonzero(score >= edge)
         exact = (x[at] * q[i]).sum(axis=1)
-        best = np.lexsort((ids[at], -exact))[:k]
-        for o, v in zip(out, (np.full(len(best), qids[i]), ids[at][best], exact[best]), strict=True):
+        least = np.sort(exact)[-min(len(exact), k + 1)]  # one more than k: a query's own row is no candidate
+        at, exact = at[exact >= least], exact[exact >= least]
+        few = np.minimum(count[at], k + 1)
+        found, exact = ids[members[ragged(begin[at], few)]], np.repeat(exact, few)
+        found, exact = found[found != qids[i]], exact[found != qids[i]]
+        best = np.lexsort((found, -exact))[:k]
+        for o, v in zip(out, (np.full(len(best), qids[i]), found[best], exact[best]), strict=True):
             o.append(v)
     return tuple(np.concatenate(o) if o else np.empty(0) for o in out)
 
@@ -144,7 +159,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     if not len(x):
         return spark.createDataFrame([], empty)
     w = weight(dim)
-    books = fit(x[np.lexsort(x.T[::-1])], w)
+    x = np.unique(x, axis=0)  # a vector that many rows share mustn't take the centroids
+    books = fit(x, w)
+    margin = slack(x, books, w)
 
     def encode(batches):
         for b in batches:
@@ -160,7 +177,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
                 ids, qids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["qids"], np.int64)
                 v, q = np.frombuffer(r["vecs"]).reshape(len(ids), dim), np.frombuffer(r["qvecs"]).reshape(len(qids), dim)
                 codes = np.frombuffer(r["codes"], np.uint8).reshape(len(ids), -1)
-                a, i, s = search(q, qids, v, ids, codes, books, k, rerank)
+                a, i, s = search(q, qids, v, ids, codes, books, k, rerank, margin)
                 yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(i.astype(np.int64)), pa.array(s.astype(np.float64))], names=["query_id", "vec_id", "score"])
 
     index = stored(packed(rows, id_col, vec_col, dim, ROWS).mapInArrow(encode, "rb string, ids binary, vecs binary, codes binary"), "index")
