@@ -362,6 +362,31 @@ def test_ann_recall_with_few_candidates(spark):
     assert len(got) == 300 and hits >= 270
 
 
+def test_ann_recall_inside_a_tight_cluster(spark):
+    """A third of the rows nearly alike, and as many that are equal: codes can't order them."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 16))
+    x[:1000] = x[0] + rng.normal(size=(1000, 16)) * 0.03
+    x[1000:2000] = x[1000]
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got: dict = {}
+    for r in ann.nearest(df, df.where("vec_id % 60 = 0"), 20, rerank=40).collect():
+        got.setdefault(r["query_id"], []).append(r)
+    v, ids, hits = x.astype(float), np.arange(3000), 0
+    for q, mine in got.items():
+        kth = exact(v, ids, q, 20)[-1][1]
+        hits += sum(r["score"] >= kth - 1e-9 for r in mine)
+    assert len(got) == 50 and hits >= 0.95 * 1000
+
+
+def test_repeated_turns_are_turns_each(spark, tmp_path):
+    made = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", None), (2, 0, "user", "b")]
+    spark.createDataFrame(made, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: r for r in queries.op5_chat(spark, str(tmp_path)).collect()}
+    assert got[1]["n_turns"] == 3 and got[1]["turns_sha256"] == hashlib.sha256(b"user\na\nuser\na\nassistant\n\n").hexdigest() and got[1]["loss_chars"] == 0
+
+
 def test_vector_edges(spark):
     nan = float("nan")
     made = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [0.0, 0.0]), (6, [1.0]), (None, [1.0, 1.0]), (7, [None, 1.0]), (8, [-1.0, 0.5])]
