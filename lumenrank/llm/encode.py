@@ -30,7 +30,7 @@ SPLITS = {
     "word": f"[{_LETTER}]+|[{_NUMBER}]|{_SHORT}|[^\\s{_LETTER}{_NUMBER}]+",
 }
 #: Distinct pre-tokens that a worker remembers before it starts afresh; bounds its memory, not its results.
-MEMO = 1_000_000
+MEMO = 250_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -47,7 +47,7 @@ class Encoder:
     ``kind`` is ``byte`` (byte-level BPE) or ``word`` (lower-cased words).
     """
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, most: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -56,7 +56,7 @@ class Encoder:
             raise ValueError("ids beyond 16 bits")
         self.kind, self.find, self.bpe = kind, re.compile(SPLITS[kind]).findall, self.tok.model.tokenize
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.letters = _byte_letters()
+        self.most, self.letters = most, _byte_letters()
         self.memo: dict[str, bytes] = {}
 
     def shown(self, part: str) -> str:
@@ -76,7 +76,7 @@ class Encoder:
             return b"".join(map(memo.__getitem__, parts))
         except KeyError:
             new = [p for p in dict.fromkeys(parts) if p not in memo]
-            if len(memo) + len(new) > MEMO:
+            if len(memo) + len(new) > self.most:
                 memo.clear()
                 new = list(dict.fromkeys(parts))
             for p in new:
@@ -87,8 +87,8 @@ class Encoder:
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder(path: str, kind: str) -> Encoder:
+def encoder(path: str, kind: str, most: int = MEMO) -> Encoder:
     """The worker's encoder of a vocabulary file, loaded once per Python worker."""
     if (path, kind) not in _ENCODERS:
-        _ENCODERS[path, kind] = Encoder(path, kind)
+        _ENCODERS[path, kind] = Encoder(path, kind, most)
     return _ENCODERS[path, kind]

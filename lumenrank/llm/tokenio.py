@@ -28,6 +28,15 @@ from .packing import run_of, runs
 MAGIC, HEAD = b"RPB1", struct.Struct("<4sIIIIQ")
 #: Ids of a block; rounds of replacement at most; times that a pair must occur to be replaced.
 BLOCK, ROUNDS, LEAST = 2_000_000, 6, 16
+#: Pre-tokens that an encoding worker remembers.
+MEMO = 1_000_000
+
+
+_TABLE = 22
+
+
+def _place(pairs: np.ndarray) -> np.ndarray:
+    return (pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE)
 
 
 def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -38,8 +47,7 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS, l
             break
         top = base + len(rules)
         key = sym[:-1].astype(np.uint64) << np.uint64(24) | sym[1:]
-        ok = np.flatnonzero(~last[:-1])
-        order = np.sort(key[ok])
+        order = np.sort(key[~last[:-1]])
         cut = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1]))) if len(order) else np.empty(0, np.int64)
         count = np.diff(np.concatenate((cut, [len(order)])))
         often = count >= least
@@ -49,12 +57,15 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS, l
         # rank of each place's pair: 0 is the most frequent (ties: the smaller pair); none: a large number
         rank_of = np.empty(len(pair), np.int64)
         rank_of[np.lexsort((pair, -count))] = np.arange(len(pair))
-        at = np.searchsorted(pair, key[ok])
-        at[at == len(pair)] = 0
-        hit = pair[at] == key[ok]
+        # pairs are looked up in a table by hash; of two pairs in one place the later stays, the other waits a round
+        table = np.full(1 << _TABLE, -1, np.int32)
+        table[_place(pair)] = np.arange(len(pair), dtype=np.int32)
+        at = table[_place(key)]
+        hit = np.flatnonzero((at >= 0) & ~last[:-1])
+        hit = hit[pair[at[hit]] == key[hit]]
         none = np.int64(1) << 40
         rank = np.full(len(sym) + 1, none)
-        rank[ok[hit] + 1] = rank_of[at[hit]]  # rank[i + 1] is the pair at i; sentinels at both ends
+        rank[hit + 1] = rank_of[at[hit]]  # rank[i + 1] is the pair at i; sentinels at both ends
         take = (rank[1:-1] < none) & (rank[1:-1] < rank[:-2]) & (rank[1:-1] <= rank[2:])
         where = np.flatnonzero(take)
         # of equal neighbours (a run of one symbol) the comparison takes the first; the next round sees the rest
@@ -175,7 +186,7 @@ def write(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 0,
     cuts = runs(docs)
 
     def encode(batches):
-        enc = encoder(tokenizer, kind)
+        enc = encoder(tokenizer, kind, MEMO)
         for b in pieces(batches):
             ids = [enc.encode(t) + end for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([run_of(b.column("doc_id"), cuts), b.column("doc_id"), pa.array(ids, pa.binary())], names=["run", "doc_id", "ids"])
