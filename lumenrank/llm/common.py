@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -48,7 +49,7 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.n
     return data, off - off[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds about ``most`` bytes of text (one longer text stands alone)."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -60,6 +61,14 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             at = end
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: Python workers live on after their task."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices starts[0], starts[0] + 1, ... (lengths[0] of them), then those of starts[1], and so on."""
     total = int(lengths.sum())

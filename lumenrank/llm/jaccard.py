@@ -12,7 +12,7 @@
 4. Documents of equal sets stand for each other. Candidates are counted twice: first each prefix bucket's
    members against its cleanest member only, which settles groups of near copies with a number of pairs that
    grows with their members; then, between documents that are not yet in one component, all pairs that
-   prefix, length and position leave. Nothing is capped: each link lies inside a component in the end.
+   prefix, length, position and a sketch of the sets' parities (a lower bound of their difference) leave. Nothing is capped: each link lies inside a component in the end.
 5. A pair's overlap is counted per fragment group of the core and summed up per pair.
 """
 
@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, ragged, stored, texts
+from .common import pieces, ragged, stored, texts, trim
 from .components import components
 
-N, THRESHOLD, GROUPS = 4, 85, 4
+N, THRESHOLD, GROUPS, SKETCH = 4, 85, 4, 1024
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -48,7 +48,7 @@ _LETTER[65:91] = _LETTER[97:123]  # A-Z count as a-z
 _PLACE = _mix(np.arange(1001, 1001 + 64, dtype=np.uint64)) | np.uint64(1)
 
 
-@lru_cache(4)
+@lru_cache(2)
 def _powers(n: int, base: int) -> np.ndarray:
     out, k = np.ones(n, np.uint64), 1
     while k < n:
@@ -104,7 +104,7 @@ def ngrams(data: np.ndarray, off: np.ndarray, n: int = N) -> tuple[np.ndarray, n
 
 def _slices(fragments: int, n: int):
     def run(batches):
-        for b in pieces(batches, most=8 << 20, rows=1 << 15):
+        for b in pieces(batches, most=1 << 20, rows=1 << 15):
             doc, h = ngrams(*texts(b), n)
             ids = b.column("doc_id").to_numpy(zero_copy_only=False).tobytes()
             part = ((h >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
@@ -120,6 +120,8 @@ def _slices(fragments: int, n: int):
                 ],
                 names=["frag", "ids", "docs", "grams"],
             )
+        _powers.cache_clear()
+        trim()
 
     return run
 
@@ -186,10 +188,19 @@ def _count_fragment(buckets: int):
                     c.append(v)
             kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
+        trim()
 
     return run
 
 
+def odd_sketch(doc: np.ndarray, gram: np.ndarray, docs: int) -> np.ndarray:
+    """Per document SKETCH bits (as signed 64-bit words), each the parity of the n-grams that hash to it. The
+    sketches of two documents differ in at most as many bits as their sets differ in n-grams."""
+    bit = (_mix(gram.astype(np.uint64)) % np.uint64(SKETCH)).astype(np.int64)
+    odd = np.bincount(doc.astype(np.int64) * SKETCH + bit, minlength=docs * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(docs, SKETCH), axis=1).view(np.int64)
+
+
 def _sets(threshold: int):
     def run(batches):
         for _, rows in _grouped(batches, "bucket"):
@@ -210,20 +221,24 @@ def _sets(threshold: int):
             cut = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(ids))))).astype(np.int32)
             for a in range(0, len(ids), 4096):
                 b = min(a + 4096, len(ids))
+                sketch = odd_sketch(doc[cut[a] : cut[b]] - a, gram[cut[a] : cut[b]], b - a)
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * (SKETCH // 64)), pa.array(sketch.ravel()), mask=pa.array(~able[a:b]))
                 core = pa.ListArray.from_arrays(pa.array(cut[a : b + 1] - cut[a]), pa.array(gram[cut[a] : cut[b]]), mask=pa.array(~able[a:b]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(size[a:b]), pa.array(lone[a:b]), core], names=["doc", "n", "lone", "core"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(size[a:b]), pa.array(lone[a:b]), core, sketch], names=["doc", "n", "lone", "core", "sketch"])
+        trim()
 
     return run
 
 
 def shingle_sets(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataFrame:
-    """(doc, n, lone, core) of every document with a word: its set's size, how many of its n-grams no other
-    document has, and the others in global order, rarest first (null: the document can't link)."""
+    """(doc, n, lone, core, sketch) of every document with a word: its set's size, how many of its n-grams no
+    other document has, the others in global order, rarest first, and their parities (both null: the
+    document can't link)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     cut = rows.mapInArrow(_slices(parts, n), "frag int, ids binary, docs binary, grams binary")
     counted = cut.repartition(parts, "frag").sortWithinPartitions("frag").mapInArrow(_count_fragment(parts), "bucket int, frag int, ids binary, lone binary, shared binary, rank binary, grade binary")
-    return counted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sets(threshold), "doc long, n long, lone long, core array<long>")
+    return counted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sets(threshold), "doc long, n long, lone long, core array<long>, sketch array<long>")
 
 
 def _fits(n: Column, m: Column, threshold: int) -> Column:
@@ -282,9 +297,14 @@ def near_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) ->
     second = lowest.join(best, "gram").where(F.col("component") != F.col("best.component")).groupBy("gram", "best").agg(F.min("pos").alias("second"))
     other = F.when(F.col("component") == F.col("best.component"), F.col("second")).otherwise(F.col("best.pos"))
     left = rows.join(second, "gram").where((F.col("pos") + other) * threshold <= F.col("n") * (100 - threshold)).select("gram", "doc", "n", "pos", "component")
-    right = left.select("gram", *[F.col(c).alias(f"{c}2") for c in ("doc", "n", "pos", "component")])
+    left = stored(left.join(single.select("doc", "lone", "sketch"), "doc"), "cross")
+    right = left.select("gram", *[F.col(c).alias(f"{c}2") for c in ("doc", "n", "pos", "component", "lone", "sketch")])
+    apart = F.col("lone") + F.col("lone2")  # at least so many n-grams differ
+    for k in range(SKETCH // 64):
+        apart = apart + F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("sketch2")[k]))
     rest = left.join(right, "gram").where((F.col("doc") < F.col("doc2")) & (F.col("component") != F.col("component2")))
     rest = rest.where(_fits(F.col("n"), F.col("n2"), threshold) & _near(F.col("pos"), F.col("pos2"), F.col("n"), F.col("n2"), threshold))
+    rest = rest.where(_near(apart, F.lit(0), F.col("n"), F.col("n2"), threshold))
     rest = stored(rest.select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "rest")
     more = stored(overlaps(rest, single, threshold).select("a", "b"), "more-links")
     if not more.isEmpty():
