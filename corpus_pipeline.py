@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenrank.llm import jaccard, langid, mixing, packing, pii
-from lumenrank.llm.common import stored
+from lumenrank.llm.common import small, stored
 from lumenrank.llm.queries import MIX, PII_KEY
 from lumenrank.session import ship
 
@@ -32,10 +32,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group of near duplicates, once."""
+    """The document of least doc_id of each group of near duplicates. The ids that go are few beside the
+    documents, so they are what is joined. Rows without a doc_id belong to no group and stay."""
     ship(spark)
     groups = jaccard.near_components(docs.select("doc_id", "text"))
-    return docs.join(groups.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    gone = stored(groups.where("doc_id != component_id").select("doc_id"), "near-duplicates")
+    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, trim
 
 #: Buckets of the hashed n-grams, their orders, and the most labelled documents that a fit reads.
 BITS, ORDERS, FIT_DOCS, MOST_LANGS = 16, (1, 2, 3), 20_000, 256
@@ -139,5 +139,6 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
             names = [langs[i] if k else "und" for i, k in zip(best, known)]
             arrays = [b.column(c) for c in keep] + [pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "lang_pred", "score"])
+        trim()
 
     return docs.select(*keep, "text").mapInArrow(run, out)

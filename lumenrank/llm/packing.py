@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, small, stored
+from .common import pieces, small, stored, trim
 from .encode import encoder
 
 LONGEST = 4096
@@ -62,6 +62,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 2, l
                     c.append(v)
             arrays = [pa.array(v, t) for v, t in zip(cols.values(), kinds.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([*arrays, run_of(b.column("doc_id"), cuts)], names=[*kinds, "run"])
+        trim()
 
     got = docs.mapInArrow(run, "doc_id long, tokens long, digest long, starts array<long>, lengths array<long>, crcs array<long>, ids array<binary>, run int")
     return _numbered(got, with_ids)
