@@ -16,12 +16,26 @@ def metrics(ranked: DataFrame, relevant: DataFrame, k: int = 3, id_col: str = "q
     hit = ranked.select(id_col, doc_col, "rank").join(r, [id_col, doc_col], "left_semi")
     best = hit.groupBy(id_col).agg(F.min("rank").alias("first"), F.count_distinct(F.when(F.col("rank") <= k, F.col(doc_col))).alias("hits"))
     out = size.join(best, id_col, "left")
+    return _figures(out, k, id_col)
+
+
+def _figures(out: DataFrame, k: int, id_col: str) -> DataFrame:
     return out.select(
         id_col, F.when(F.col("first") == 1, 1.0).otherwise(0.0).alias("acc1"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"),
         F.when(F.col("first") <= k, 1.0).otherwise(0.0).alias("recall_any"), (F.coalesce("hits", F.lit(0)) / F.col("n")).alias("recall_all"),
     )
 
 
+def label_metrics(ranked: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "query_id") -> DataFrame:
+    """``metrics`` where a query's relevant rows are the other rows of its label: ``queries`` (id_col, own) are
+    all rows with their label, ``ranked`` has the column label. Queries alone with their label give no row."""
+    size = queries.where("own is not null").groupBy("own").agg((F.count("*") - 1).alias("n"))
+    size = queries.join(size.where("n > 0"), "own")
+    hit = ranked.join(queries, id_col).where(F.col("label") == F.col("own"))
+    best = hit.groupBy(id_col).agg(F.min("rank").alias("first"), F.count_if(F.col("rank") <= k).alias("hits"))
+    return _figures(size.join(best, id_col, "left"), k, id_col)
+
+
 def average(per_query: DataFrame) -> DataFrame:
     names = ("acc1", "mrr", "recall_any", "recall_all")
     return per_query.agg(F.count("*").alias("queries"), *[F.avg(c).alias(c) for c in names])

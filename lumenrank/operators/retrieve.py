@@ -13,6 +13,10 @@ from ..functions.text import truncate
 
 #: Bytes of query vectors that may be broadcast; a larger set is searched in rounds of about this size.
 QUERY_BYTES = 64 << 20
+#: Queries that a task holds against a batch of corpus rows at once.
+QUERY_ROWS = 256
+#: Stands for the cosine of vectors that have none; below every cosine.
+NO_COSINE = -2.0
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -59,30 +63,34 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_
 
 def _search(shared, k: int, keep: list[str], exclude_same_id: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size in {len(v) for _, v in shared.value}:
-            ids = np.array([i for i, v in shared.value if len(v) == size])
-            by_size[size] = ids, np.array([[np.nan if x is None else x for x in v] for _, v in shared.value if len(v) == size]).reshape(len(ids), size)
+        blocks: list[tuple[np.ndarray, np.ndarray]] = []
+        for size in sorted({len(v) for _, v in shared.value}):
+            mine = [(i, v) for i, v in shared.value if len(v) == size]
+            for at in range(0, len(mine), QUERY_ROWS):
+                part = mine[at : at + QUERY_ROWS]
+                blocks.append((np.array([i for i, _ in part]), np.array([[np.nan if x is None else x for x in v] for _, v in part]).reshape(len(part), size)))
         best: dict[int, pd.DataFrame] = {}
         for frame in frames:
-            sizes = frame["v"].map(len).to_numpy()
-            for qsize, (ids, vectors) in by_size.items():
-                near = np.full((len(ids), len(frame)), np.nan)
-                at = np.flatnonzero(sizes == qsize)
+            sizes, docs = frame["v"].map(len).to_numpy(), frame["doc_id"].to_numpy()
+            by_size = {s: (at := np.flatnonzero(sizes == s), np.array(frame["v"].iloc[at].tolist(), float).reshape(len(at), s)) for s in {v.shape[1] for _, v in blocks}}
+            for b, (ids, vectors) in enumerate(blocks):
+                near = np.full((len(ids), len(frame)), NO_COSINE)
+                at, m = by_size[vectors.shape[1]]
                 if len(at):
-                    m = np.array(frame["v"].iloc[at].tolist(), float).reshape(len(at), qsize)
                     with np.errstate(divide="ignore", invalid="ignore"):
-                        near[:, at] = (vectors @ m.T) / (np.linalg.norm(vectors, axis=1)[:, None] * np.linalg.norm(m, axis=1)[None])
-                docs = frame["doc_id"].to_numpy()
-                for i, q in enumerate(ids):
-                    order = np.lexsort((docs, -np.where(np.isfinite(near[i]), near[i], -np.inf)))
-                    order = order[docs[order] != q][:k] if exclude_same_id else order[:k]
-                    new = frame.iloc[order][["doc_id", *keep]].assign(query_id=q, sim=np.where(np.isfinite(near[i][order]), near[i][order], np.nan))
-                    have = pd.concat([best[q], new]) if q in best else new
-                    best[q] = have.sort_values(["sim", "doc_id"], ascending=[False, True], na_position="last", kind="stable").head(k)
+                        found = (vectors @ m.T) / (np.linalg.norm(vectors, axis=1)[:, None] * np.linalg.norm(m, axis=1)[None])
+                    near[:, at] = np.where(np.isfinite(found), found, NO_COSINE)
+                if exclude_same_id:
+                    near[docs[None] == ids[:, None]] = -np.inf
+                last = len(frame) - k
+                least = np.partition(near, last, axis=1)[:, [last]] if last > 0 else -np.inf
+                q, row = np.nonzero((near >= least) & (near > -np.inf))
+                new = frame.iloc[row][["doc_id", *keep]].assign(query_id=ids[q], sim=near[q, row])
+                have = pd.concat([best[b], new]) if b in best else new
+                best[b] = have.sort_values(["query_id", "sim", "doc_id"], ascending=[True, False, True], kind="stable").groupby("query_id").head(k)
         for have in best.values():
             have = have[["query_id", "doc_id", "sim", *keep]]
-            yield have.assign(sim=have["sim"].astype(object).where(have["sim"].notna(), None))
+            yield have.assign(sim=have["sim"].astype(object).where(have["sim"] > NO_COSINE, None))
 
     return run
 

@@ -49,14 +49,23 @@ def plumbing() -> Policy:
     return PolicyStore().select("howto_plumbing_v1")
 
 
-def _retrieved(spark: SparkSession, d: str) -> DataFrame:
+def _retrieved(spark: SparkSession, d: str, asked: str = "vec_id < 5") -> DataFrame:
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding")
+    q = e.where(asked).select(F.col("vec_id").alias("query_id"), "embedding")
     return retrieve.top_k(q, e, 10, doc_id="vec_id", keep=["label"], exclude_same_id=True)
 
 
+def _neighbours(rows: DataFrame) -> DataFrame:
+    return rows.select("query_id", F.col("doc_id").alias("vec_id"), r6("sim").alias("sim"), "rank", "label")
+
+
 def topk_cosine(spark: SparkSession, d: str) -> DataFrame:
-    return _retrieved(spark, d).select("query_id", F.col("doc_id").alias("vec_id"), r6("sim").alias("sim"), "rank", "label")
+    return _neighbours(_retrieved(spark, d))
+
+
+def topk_cosine_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector is a query, here and in the other queries named _all."""
+    return _neighbours(_retrieved(spark, d, "true"))
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
@@ -65,21 +74,43 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
     return e.join(F.broadcast(q), "label").where("vec_id != query_id").select("query_id", F.col("vec_id").alias("doc_id"))
 
 
+def _metrics_all(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of every query from counts per label: pairs of equal label would be a square of the rows."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
+    return evaluate.label_metrics(_retrieved(spark, d, "true"), e)
+
+
 def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     per = evaluate.metrics(_retrieved(spark, d), _judged(spark, d))
     return per.select("query_id", *[r6(c).alias(c) for c in ("acc1", "mrr", "recall_any", "recall_all")])
 
 
+def retrieval_metrics_all(spark: SparkSession, d: str) -> DataFrame:
+    return _metrics_all(spark, d).select("query_id", *[r6(c).alias(c) for c in ("acc1", "mrr", "recall_any", "recall_all")])
+
+
 def retrieval_average(spark: SparkSession, d: str) -> DataFrame:
     avg = evaluate.average(evaluate.metrics(_retrieved(spark, d), _judged(spark, d)))
     return avg.select("queries", *[r6(c).alias(c) for c in ("acc1", "mrr", "recall_any", "recall_all")])
 
 
-def diversified_topk(spark: SparkSession, d: str) -> DataFrame:
-    rows = _retrieved(spark, d).withColumn("sim", r6("sim")).withColumnRenamed("rank", "retrieval_rank")
+def retrieval_average_all(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.average(_metrics_all(spark, d)).select("queries", *[r6(c).alias(c) for c in ("acc1", "mrr", "recall_any", "recall_all")])
+
+
+def _diverse(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("sim", r6("sim")).withColumnRenamed("rank", "retrieval_rank")
     return fallback.diversified(rows, "sim", "label", ["retrieval_rank"]).select("query_id", F.col("doc_id").alias("vec_id"), "label", "is_head", "rank")
 
 
+def diversified_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _diverse(_retrieved(spark, d))
+
+
+def diversified_topk_all(spark: SparkSession, d: str) -> DataFrame:
+    return _diverse(_retrieved(spark, d, "true"))
+
+
 def _requests(spark: SparkSession, d: str) -> DataFrame:
     """Documents as requests, one per source."""
     from pyspark.sql import Window
@@ -349,7 +380,7 @@ def prompt_hash(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        topk_cosine, retrieval_metrics, retrieval_average, diversified_topk, missing_sim_default, truncate_usage, request_status, last_wins, text_forms, loose_numbers, keyword_sets, quality_signals, gated_quality, doc_kinds,
+        topk_cosine, retrieval_metrics, retrieval_average, diversified_topk, topk_cosine_all, retrieval_metrics_all, retrieval_average_all, diversified_topk_all, missing_sim_default, truncate_usage, request_status, last_wins, text_forms, loose_numbers, keyword_sets, quality_signals, gated_quality, doc_kinds,
         query_intents, procedure_signals, keyword_tiers, domain_detect, identity_facts, gated_bucket, gate_stats, gated_rank, generic_rank, final_order, decision_breakdown, reject_groups, plain_response, response_json, reports,
         routed_rerank, ambiguous_fallback, parse_buckets, parse_fines, parse_event_scores, fallback_fines, response_texts, flatlines, score_gap, latency_stats, tie_summaries, missing_docs, circuit_breaker, user_breaker,
         ttl_cache, latency_budget, prompt_hash,

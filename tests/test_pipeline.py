@@ -1,5 +1,6 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,38 @@ def test_top_k_edges(spark):
     assert {r["doc_id"]: r["c"] for r in both} == {1: 1.0, 2: 1.0, 3: None, 4: None, 5: None}
 
 
+def test_every_vector_is_a_query(spark, sf_dir, monkeypatch):
+    rows = sorted(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label").collect())
+    ids, label = np.array([r["vec_id"] for r in rows]), np.array([r["label"] for r in rows])
+    m = np.array([r["embedding"] for r in rows], float)
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    sims = m @ m.T
+    np.fill_diagonal(sims, -np.inf)
+    want = {int(q): [int(x) for x in ids[np.lexsort((ids, -sims[i]))[:10]]] for i, q in enumerate(ids)}
+    monkeypatch.setattr(retrieve, "QUERY_BYTES", 64 * 8 * 150)  # several rounds
+    got = {}
+    for r in Q.QUERIES["topk_cosine_all"](spark, sf_dir).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == want
+    of, n = dict(zip(ids.tolist(), label.tolist(), strict=True)), {x: int((label == x).sum()) - 1 for x in set(label.tolist())}
+    per = {}
+    for q, near in want.items():
+        hits = [i for i, x in enumerate(near, 1) if of[x] == of[q]]
+        if n[of[q]]:
+            per[q] = (float(hits[:1] == [1]), 1 / hits[0] if hits else 0.0, float(bool(hits) and hits[0] <= 3), sum(i <= 3 for i in hits) / n[of[q]])
+    figures = {r["query_id"]: tuple(r)[1:] for r in Q.QUERIES["retrieval_metrics_all"](spark, sf_dir).collect()}
+    assert figures.keys() == per.keys() and all(figures[q] == pytest.approx(per[q], abs=1e-6) for q in per)
+    avg = Q.QUERIES["retrieval_average_all"](spark, sf_dir).first()
+    assert avg["queries"] == len(per) and tuple(avg)[1:] == pytest.approx(np.mean(list(per.values()), axis=0), abs=1e-6)
+    diverse = {}
+    for r in Q.QUERIES["diversified_topk_all"](spark, sf_dir).orderBy("query_id", "rank").collect():
+        diverse.setdefault(r["query_id"], []).append(r["vec_id"])
+    for q, near in want.items():
+        heads = list({of[x]: x for x in reversed(near)}.values())
+        heads = sorted(heads, key=near.index)[:3]
+        assert diverse[q] == heads + [x for x in near if x not in heads]
+
+
 def test_requests_and_responses(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"model": "m", "query": "q", "documents": ["a", "b"], "top_n": 1}')
     rows = retrieve.requests(corpora.read_string_requests(spark, str(tmp_path / "r.json"))).collect()
