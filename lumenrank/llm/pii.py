@@ -19,21 +19,24 @@ from .common import stored
 TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Г-н"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа"], "n": ["Dr", "Prof"]}
 _TITLE = "(?:" + "|".join(sorted((t for ts in TITLES.values() for t in ts), key=lambda t: (-len(t), t))) + r")\.?"
 _WORD = r"\p{Lu}[\p{L}’'-]+"
+#: Words that name a secret, in any case; a prefix may end in _ or -.
+_SECRET = r"(?i:token|password|passwd|secret|api[_-]{0,1}key)[\"']{0,1} {0,1}[=:]"
+_NATIONAL = r"(?:(?:1[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\(0\d{1,4}\) ?\d{3,8}|0\d{2,4}[ /-]\d{5,8}|0\d(?:[ .-]\d{2}){4})"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
-    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)",
+    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)" rf"|(?<![\p{{L}}\d])(?<!\d[.-]){_NATIONAL}(?![\p{{L}}\d_]|-[\p{{L}}\d]|\.\d)",
     "key": r"\bAKIA[A-Z0-9]{16}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)",
     "name": rf"(?<!\p{{L}}){_TITLE} {_WORD}(?: {_WORD})?",
-    "secret": r"(?<=\b(?:token|password|passwd|secret|api_key) {0,1}[=:] {0,1}[\"']{0,1})[A-Za-z0-9+/_-]{8,}",
+    "secret": rf"(?<=[=: \"'])(?<=(?<![\p{{L}}\d]){_SECRET} {{0,1}}[\"']{{0,1}})[A-Za-z0-9+/_-]{{8,}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text must show to hold a mention at all; cheaper than the pattern.
-HINT = rf"[0-9@]|(?<!\p{{L}}){_TITLE} \p{{Lu}}|(?:token|password|passwd|secret|api_key) ?[=:]"
+HINT = rf"[0-9@]|(?<!\p{{L}}){_TITLE} \p{{Lu}}|{_SECRET}"
 _SYLLABLES = {"latin": ["ba", "de", "fi", "go", "lu", "ma", "ne", "ri", "so", "tu", "va", "ke", "li", "mo", "ra", "si"], "cyrillic": ["ба", "де", "фи", "го", "лу", "ма", "не", "ри", "со", "ту", "ва", "ке", "ли", "мо", "ра", "си"]}
 _ENDS = {("latin", "m"): "rn", ("latin", "f"): "na", ("latin", "n"): "s", ("cyrillic", "m"): "нов", ("cyrillic", "f"): "нова", ("cyrillic", "n"): "ко"}
 

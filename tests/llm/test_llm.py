@@ -300,6 +300,26 @@ def test_private_data_of_the_corpus_goes(docs):
     assert hits > 3
 
 
+FORMS = (
+    'TOKEN = "9233A8ECB7DB7AA4"', "Password: 531ccd051a92ebcb", "API_KEY=Zx81kQ0pLm22", "access_token=aa55bb66cc77dd", "client_secret='9f8e7d6c5b4a'", "DB-PASSWD = q1w2e3r4t5", '"api-key": "77aa88bb99cc"',
+    "(555) 123-4567", "555-987-6543", "1-555-222-3333", "555.444.1212", "(030) 1234567", "0171 7654321", "01 23 45 67 89",
+)
+
+
+def test_every_form_of_secret_and_phone_goes_in_the_corpus(spark, docs):
+    forms = [*FORMS, *[f.upper() for f in FORMS]]
+    plain = docs.where("text is not null").select("doc_id", "text").orderBy("doc_id").limit(len(forms)).collect()
+    planted = [(-1 - i, f"{r['text']}\nSee {form}. {r['text']}") for i, (r, form) in enumerate(zip(plain, forms, strict=True))]
+    clean = [(-100, "Total 1234-5678, 2024-01-01, 01-02-2024, 3.555.123.4567, 12-555-123-4567, a secretary: generously, tokenised: everything, v0123-45678x")]
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(spark.createDataFrame(planted + clean, DOCS), "k").collect()}
+    for i, form in enumerate(forms):
+        value = re.split(r"[=:] ?", form)[-1].strip("'\"")
+        out = re.search(r"\nSee (.*?)\. ", got[-1 - i], re.S)[1]
+        assert value not in got[-1 - i] and re.sub(r"\w", "x", out) == re.sub(r"\w", "x", form), (form, out)
+        assert out.startswith(form[: len(form) - len(value) - form.endswith(("'", '"'))]), (form, out)
+    assert got[-100] == clean[0][1]
+
+
 # ---- vectors
 
 
