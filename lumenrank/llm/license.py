@@ -1,15 +1,18 @@
 """License scans by conditional compression.
 
-Candidate blocks are the lines (with their neighbours in the same paragraph) that use licensing words. Every
-block is compressed once alone and once with each template as a zstandard raw dictionary; the template that
-saves most explains the block best. The winner is confirmed by the exact differences in wording.
+Candidate blocks are the lines that use licensing words; where a paragraph's lines are wrapped, a notice goes
+on in lines without such a word, so each template is also looked for in the whole paragraph. Every block is
+compressed once alone and once with each template as a zstandard raw dictionary; the template that saves most
+explains the block best. Matches are confirmed by the exact differences in wording, every one in a block.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
+from bisect import bisect_right
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -33,10 +36,10 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "rights-reserved": "All rights reserved.",
 }
-CUE = r"(?i)licen[cs]|copyright|©|all rights reserved|redistribut|permission is hereby|public domain|free software|spdx"
+CUE = r"(?i)licen[cs]|copyright|©|all\W+rights\W+reserved|redistribut|permission\W+is\W+hereby|public\W+domain|free\W+software|spdx"
 _CUE = re.compile(CUE)
 _WORD = re.compile(r"[\w.+-]*\w", re.UNICODE)
-#: Share of a template's words that may differ in a confirmed match; characters on each side of a block that are looked at.
+#: Share of a template's words that may differ in a confirmed match; compression level.
 DIFFER, LEVEL = 0.2, 3
 
 
@@ -44,20 +47,26 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the candidate blocks: lines with a cue, neighbouring ones as one block."""
-    out: list[tuple[int, int]] = []
-    at = 0
+def lines(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the lines of a text."""
+    out, at = [], 0
     for line in text.split("\n"):
-        if line.strip() and _CUE.search(line):
-            if out and text[out[-1][1] : at].strip("\r\n") == "" and text.count("\n", out[-1][1], at) == 1:
-                out[-1] = (out[-1][0], at + len(line))
-            else:
-                out.append((at, at + len(line)))
+        out.append((at, at + len(line)))
         at += len(line) + 1
     return out
 
 
+def paragraphs(text: str) -> list[list[tuple[int, int]]]:
+    """The lines of each run of lines that aren't blank."""
+    out: list[list[tuple[int, int]]] = [[]]
+    for start, end in lines(text):
+        if text[start:end].strip():
+            out[-1].append((start, end))
+        elif out[-1]:
+            out.append([])
+    return [p for p in out if p]
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
@@ -69,6 +78,9 @@ class Scanner:
             d.precompute_compress(level=LEVEL)
             self.given[n] = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False)
 
+    def sizes(self, block: str, name: str) -> tuple[int, int]:
+        return len(self.alone.compress(block.encode())), len(self.given[name].compress(block.encode()))
+
     def scan(self, block: str) -> tuple[str, int, int, int, int, list[str], list[str]]:
         """(winner, size alone, size given the winner, missing, added, and those words): of the template that
         saves most (ties: fewer differences, then the name). Differences are those of the best stretch of
@@ -86,18 +98,91 @@ class Scanner:
         return best[2], alone, best[1], len(best[3]), len(best[4]), best[3], best[4]
 
 
+    def matches(self, have: list[str], differ: float) -> list[tuple[int, int, str, list[str], list[str]]]:
+        """(first, last, template, missing, added) of every stretch of the words ``have`` that a template is
+        confirmed by; of stretches that overlap the one with most words explained (ties: the name)."""
+        there, found = Counter(have), []
+        for n in self.names:
+            template = self.words[n]
+            lacking = sum((Counter(template) - there).values())
+            todo = [(0, len(have))] if lacking <= differ * len(template) else []
+            while todo:
+                lo, hi = todo.pop()
+                first, last, missing, added = stretch(template, have[lo:hi])
+                if first < last and len(missing) + len(added) <= differ * len(template):
+                    found.append((len(missing) + len(added) - len(template), n, lo + first, lo + last, missing, added))
+                    todo += [(lo, lo + first), (lo + last, hi)]
+        kept: list[tuple[int, int, str, list[str], list[str]]] = []
+        for _, n, first, last, missing, added in sorted(found):
+            if all(last <= x[0] or x[1] <= first for x in kept):
+                kept.append((first, last, n, missing, added))
+        return sorted(kept)
+
+    def rows(self, text: str, differ: float) -> list[tuple[int, int, str, int, int, list[str], list[str], bool]]:
+        """(start, end, template, size alone, size given it, missing, added, confirmed): the lines of every
+        confirmed stretch, and the runs of other lines with a cue, by their best template."""
+        out = []
+        reach = max(len(w) for w in self.words.values()) * 2
+        for par in paragraphs(text):
+            start, end = par[0][0], par[-1][1]
+            cues = [(m.start(), m.end()) for m in _CUE.finditer(text, start, end)]
+            if not cues:
+                continue
+            spans = [m.span() for m in _WORD.finditer(text, start, end)]
+            begins, line_at = [x for x, _ in spans], [x for x, _ in par]
+            near: list[list[int]] = []
+            for a, b in cues:
+                lo, hi = max(0, bisect_right(begins, a) - reach), min(len(spans), bisect_right(begins, b) + reach)
+                if near and lo <= near[-1][1]:
+                    near[-1][1] = hi
+                else:
+                    near.append([lo, hi])
+            covered: set[int] = set()
+            for lo, hi in near:
+                for first, last, name, missing, added in self.matches([text[x:y].lower() for x, y in spans[lo:hi]], differ):
+                    i, j = bisect_right(line_at, spans[lo + first][0]) - 1, bisect_right(line_at, spans[lo + last - 1][0]) - 1
+                    covered |= set(range(i, j + 1))
+                    out.append((par[i][0], par[j][1], name, *self.sizes(text[par[i][0] : par[j][1]], name), missing, added, True))
+            cued = {k for a, b in cues for k in range(bisect_right(line_at, a) - 1, bisect_right(line_at, b - 1))} - covered
+            for i in sorted(k for k in cued if k - 1 not in cued):
+                j = next(k for k in range(i, len(par)) if k + 1 not in cued)
+                name, alone, given, _, _, missing, added = self.scan(text[par[i][0] : par[j][1]])
+                out.append((par[i][0], par[j][1], name, alone, given, missing, added, len(missing) + len(added) <= differ * len(self.words[name])))
+        return sorted(out)
+
+
 def differences(template: list[str], have: list[str]) -> tuple[list[str], list[str]]:
-    """(words of the template that the text lacks, words that the text has between the template's)."""
-    ops = [o for o in difflib.SequenceMatcher(None, template, have, autojunk=False).get_opcodes()]
-    inner = [k for k, o in enumerate(ops) if o[0] == "equal"]
-    missing = [w for tag, a, b, _, _ in ops if tag in ("delete", "replace") for w in template[a:b]]
-    added = [w for k, (tag, _, _, c, d) in enumerate(ops) if tag in ("insert", "replace") and inner and inner[0] < k < inner[-1] for w in have[c:d]]
-    return missing, added
+    """(words of the template that the text lacks, words that the text has between the template's), in the
+    stretch of the text that has fewest of both."""
+    return stretch(template, have)[2:]
+
+
+def stretch(template: list[str], have: list[str]) -> tuple[int, int, list[str], list[str]]:
+    """(first, last, missing, added) of the stretch have[first:last] closest to the template."""
+    code = {w: k for k, w in enumerate(template)}
+    text, place = np.array([code.get(w, -1) for w in have], int), np.arange(len(have) + 1)
+    cost = [np.zeros(len(have) + 1, int)]
+    for w in template:
+        row = cost[-1] + 1
+        row[1:] = np.where(text == code[w], np.minimum(row[1:], cost[-1][:-1]), row[1:])
+        cost.append(np.minimum.accumulate(row - place) + place)
+    i, j = len(template), int(cost[-1].argmin())
+    last, missing, added = j, [], []
+    while i:
+        if j and template[i - 1] == have[j - 1] and cost[i][j] == cost[i - 1][j - 1]:
+            i, j = i - 1, j - 1
+        elif cost[i][j] == cost[i - 1][j] + 1:
+            missing.append(template[i - 1])
+            i -= 1
+        else:
+            added.append(have[j - 1])
+            j -= 1
+    return j, last, missing[::-1], added[::-1]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, differ: float = DIFFER) -> DataFrame:
-    """One row per candidate block of the documents (doc_id, text): doc_id, start and end in code points,
-    block, template (the one that saves most), size_alone, size_given, saving (share of the size alone), missing and
+    """One row per candidate block of the documents (doc_id, text) and template confirmed in it: doc_id, start
+    and end in code points, block, template (the one that saves most where none is confirmed), size_alone, size_given, saving (share of the size alone), missing and
     added (words), confirmed (those differences are at most ``differ`` of the template's words).
 
     Null, empty and cue-less texts give no row; repeated rows give theirs each; other columns are ignored.
@@ -105,19 +190,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, differ: float
     wordings = templates or TEMPLATES
 
     def run(batches):
-        scanner, seen = Scanner(wordings), {}
+        scanner = Scanner(wordings)
         for b in pieces(batches):
             out: dict[str, list] = {c: [] for c in ("doc_id", "start", "end", "block", "template", "size_alone", "size_given", "saving", "missing", "added", "confirmed")}
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                for start, end in blocks(text):
-                    block = text[start:end]
-                    if block not in seen:
-                        if len(seen) > 10_000:
-                            seen.clear()
-                        seen[block] = scanner.scan(block)
-                    name, alone, given, _, _, missing, added = seen[block]
-                    ok = len(missing) + len(added) <= differ * len(scanner.words[name])
-                    for c, v in zip(out.values(), (doc, start, end, block, name, alone, given, 1 - given / alone, missing, added, ok), strict=True):
+                for start, end, name, alone, given, missing, added, ok in scanner.rows(text, differ):
+                    for c, v in zip(out.values(), (doc, start, end, text[start:end], name, alone, given, 1 - given / alone, missing, added, ok), strict=True):
                         c.append(v)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))

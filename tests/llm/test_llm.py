@@ -438,6 +438,22 @@ def test_license_lines_of_the_corpus(docs, rows):
     assert got >= {r["doc_id"] for r in rows if re.search(r"(?m)^(Licensed under the Apache License, Version 2.0|Released under the MIT License|Licensed under CC BY-NC 4.0)\.$", r["text"])}
 
 
+def test_license_notices_over_lines_and_side_by_side(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:"
+    both = "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."
+    texts = [
+        f"Prose of the day\n{mit}\n\nmore", bsd, both, both.replace("\n", " and words between "), f"{'word the of ' * 3000}{both} {'word the of ' * 3000}", "This work is dedicated to the public\ndomain under CC0 1.0.",
+        license.TEMPLATES["Apache-2.0-header"].replace("; you", ";\nyou"), "Released under the MIT License.\nSome prose\nReleased under the MIT License.", "Released under the MIT License.\n\nA licence of another kind", f"{mit[:76]}\n\n{mit[77:]}",
+    ]
+    got = {}
+    for r in license.scan(spark.createDataFrame(list(enumerate(texts)), DOCS)).orderBy("doc_id", "start", F.desc("template")).collect():
+        assert texts[r["doc_id"]][r["start"] : r["end"]] == r["block"] and r["size_alone"] > 0
+        got.setdefault(r["doc_id"], []).append((r["template"], len(r["missing"]) + len(r["added"])) if r["confirmed"] else None)
+    assert got[0] == [("MIT-permission", 0)] and got[1] == [("BSD-redistribution", 0)] and got[5] == [("CC0-1.0", 0)] and got[6] == [("Apache-2.0-header", 0)]
+    assert all(got[k] == [("MIT", 0), ("Apache-2.0", 0)] for k in (2, 3, 4)) and got[7] == [("MIT", 0)] * 2 and got[8] == [("MIT", 0), None] and got[9] == [None]
+
+
 # ---- pipeline
 
 
