@@ -5,7 +5,9 @@ address: the address and its domain; a name: its words; a number: its digits), a
 the corpus gets a surrogate from a keyed digest: same type, same script and gender for name words, same
 character classes, same issuer digit and valid check digit for cards. Surrogates that meet each other, or a
 value that really occurs, are drawn again until none do, so distinct parts stay distinct; equal parts share
-their surrogate wherever they stand, however the mention is punctuated.
+their surrogate wherever they stand, however the mention is punctuated. Names that a document gives a title
+are found in it without one, too; there, and after a title without gender, they are of the gender that the
+document's other titles give the same name (neutral where those differ).
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}}){_TITLE} {_WORD}(?: {_WORD})?",
     "secret": rf"(?<=[=: \"'])(?<=(?<![\p{{L}}\d]){_SECRET} {{0,1}}[\"']{{0,1}})[A-Za-z0-9+/_-]{{8,}}",
 }
+#: What may end a name word without being part of it.
+_TAIL = r"(?:['’]s|['’-]+)$"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text must show to hold a mention at all; cheaper than the pattern.
 HINT = rf"[0-9@]|(?<!\p{{L}}){_TITLE} \p{{Lu}}|{_SECRET}"
@@ -55,13 +59,49 @@ def _gender(mention: Column) -> Column:
     return out
 
 
-def _parts(mention: Column, kind: Column) -> Column:
+def _words(mention: Column) -> Column:
+    """The words of a name as written, without title."""
+    return F.split(F.regexp_replace(mention, rf"^{_TITLE} ", ""), " ")
+
+
+def _bare(word: Column) -> Column:
+    return F.regexp_replace(word, _TAIL, "")
+
+
+def _value(word: Column) -> Column:
+    return F.initcap(F.lower(_bare(word)))
+
+
+def _known(mentions: Column) -> Column:
+    """array<struct<value, word, gender>>: the name words that have a title among the mentions."""
+    titled = F.filter(mentions, lambda m: m.rlike(f"^(?:{PATTERNS['name']})$"))
+    return F.flatten(F.transform(titled, lambda m: F.transform(_words(m), lambda w: F.struct(_value(w).alias("value"), _bare(w).alias("word"), _gender(m).alias("gender")))))
+
+
+def _untitled(known: Column) -> Column:
+    """Pattern of runs of these words, as written or in the usual cases; the longer words first."""
+    forms = F.array_distinct(F.flatten(F.transform(known, lambda k: F.array(k["word"], k["value"], F.upper(k["value"])))))
+    longest = F.transform(F.array_sort(F.transform(forms, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
+    word = F.concat(F.lit("(?:"), F.array_join(longest, "|"), F.lit(")"))
+    return F.concat(F.lit(r"(?<![\p{L}\d_])"), word, F.lit("(?: "), word, F.lit(r")*(?![\p{L}\d_])"))
+
+
+def _settled(mention: Column, known: Column) -> Column:
+    """Gender of a mention that is a name, else ''. Without a title of its own that tells, it is that of the
+    first of its words that the known names give one gender only."""
+    sure = lambda w: F.array_distinct(F.transform(F.filter(known, lambda k: (k["value"] == _value(w)) & (k["gender"] != "n")), lambda k: k["gender"]))
+    only = F.filter(F.transform(_words(mention), sure), lambda g: F.size(g) == 1)
+    name = F.forall(_words(mention), lambda w: F.exists(known, lambda k: k["value"] == _value(w)))
+    own = _gender(mention)
+    return F.when(~name, "").when(own != "n", own).otherwise(F.coalesce(F.get(F.get(only, F.lit(0)), F.lit(0)), F.lit("n")))
+
+
+def _parts(mention: Column, kind: Column, gender: Column) -> Column:
     """array<struct<kind, value>>: what of the mention gets a surrogate; value in its canonical form."""
     part = lambda k, v: F.array(F.struct(k.alias("kind"), v.alias("value")))
     low = F.lower(mention)
-    words = F.split(F.regexp_replace(mention, rf"^{_TITLE} ", ""), " ")
     script = lambda w: F.when(w.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    named = F.transform(words, lambda w: F.struct(F.concat_ws(":", F.lit("name"), script(w), _gender(mention)).alias("kind"), F.initcap(F.lower(w)).alias("value")))
+    named = F.transform(_words(mention), lambda w: F.struct(F.concat_ws(":", F.lit("name"), script(w), gender).alias("kind"), _value(w).alias("value")))
     return (
         F.when(kind == "email", F.concat(part(F.lit("email"), low), part(F.lit("domain"), F.substring_index(low, "@", -1))))
         .when(kind == "name", named)
@@ -148,7 +188,7 @@ def _written(mention: Column, kind: Column, s: Column) -> Column:
     return (
         F.when((kind == "email") & shout, F.upper(email))
         .when(kind == "email", email)
-        .when(kind == "name", F.concat(F.regexp_extract(mention, rf"^{_TITLE} ", 0), F.array_join(s, " ")))
+        .when(kind == "name", F.concat(F.regexp_extract(mention, rf"^{_TITLE} ", 0), F.array_join(F.zip_with(s, _words(mention), lambda x, w: F.concat(x, F.regexp_extract(w, _TAIL, 0))), " ")))
         .when(kind.isin("phone", "card", "ssn"), ended(fill("[0-9]")))
         .when(kind == "iban", ended(fill("[A-Z0-9]")))
         .otherwise(F.element_at(s, 1))
@@ -164,15 +204,18 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     text = F.col("text")
     mentions = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     marked = docs.withColumn("_mentions", mentions).withColumn("_mark", F.when(F.size("_mentions") > 0, F.concat(F.md5("text"), F.length("text").cast("string"))))
-    found = marked.where("_mark is not null").select("_mark", F.explode(F.array_distinct("_mentions")).alias("mention")).distinct()
+    marked = marked.withColumn("_known", _known(F.col("_mentions")))
+    marked = marked.withColumn("_any", F.when(F.size("_known") > 0, F.concat(F.lit(f"{ANY}|"), _untitled(F.col("_known")))))
+    marked = marked.withColumn("_mentions", F.when(F.col("_any").isNotNull(), F.regexp_extract_all(text, F.col("_any"), F.lit(0))).otherwise(F.col("_mentions")))
+    found = marked.where("_mark is not null").select("_mark", F.explode(F.transform(F.array_distinct("_mentions"), lambda m: F.struct(m.alias("mention"), _settled(m, F.col("_known")).alias("gender")))).alias("m")).select("_mark", "m.*").distinct()
     found = stored(found, "mentions")
-    kinds = found.select("mention").distinct().withColumn("kind", _kind(F.col("mention")))
-    pieces = stored(kinds.select("mention", F.col("kind").alias("form"), F.posexplode(_parts(F.col("mention"), F.col("kind"))).alias("k", "part")).select("mention", "form", "k", "part.*"), "parts")
+    kinds = found.select("mention", "gender").distinct().withColumn("kind", F.when(F.col("gender") != "", "name").otherwise(_kind(F.col("mention"))))
+    pieces = stored(kinds.select("mention", "gender", F.col("kind").alias("form"), F.posexplode(_parts(F.col("mention"), F.col("kind"), F.col("gender"))).alias("k", "part")).select("mention", "gender", "form", "k", "part.*"), "parts")
     chosen = surrogates(pieces.select("kind", "value").distinct(), key)
-    written = pieces.join(chosen, ["kind", "value"]).groupBy("mention", "form").agg(F.array_sort(F.collect_list(F.struct("k", "surrogate"))).alias("s"))
-    written = written.select("mention", _written(F.col("mention"), F.col("form"), F.transform("s", lambda x: x["surrogate"])).alias("to"))
-    maps = stored(found.join(written, "mention").groupBy("_mark").agg(F.map_from_entries(F.collect_list(F.struct("mention", "to"))).alias("_map")), "maps")
-    gaps = F.split("text", ANY, -1)
+    written = pieces.join(chosen, ["kind", "value"]).groupBy("mention", "gender", "form").agg(F.array_sort(F.collect_list(F.struct("k", "surrogate"))).alias("s"))
+    written = written.select("mention", "gender", _written(F.col("mention"), F.col("form"), F.transform("s", lambda x: x["surrogate"])).alias("to"))
+    maps = stored(found.join(written, ["mention", "gender"]).groupBy("_mark").agg(F.map_from_entries(F.collect_list(F.struct("mention", "to"))).alias("_map")), "maps")
+    gaps = F.when(F.col("_any").isNull(), F.split("text", ANY, -1)).otherwise(F.split(text, F.col("_any"), -1))
     new = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.try_element_at(F.col("_map"), F.get("_mentions", i)), F.lit("")))), "")
     names = docs.columns
     hit = marked.where("_mark is not null").join(maps, "_mark").withColumn("text", new).withColumn("n_replaced", F.size("_mentions").cast("long"))
