@@ -84,12 +84,23 @@ def _total(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"lang": pa.array([key[0].as_py()], pa.int32()), "chunk": pa.array([key[1].as_py()], pa.int32()), "docs": pa.array([pc.sum(table.column("docs")).as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
+def share(sizes: list[int], total: int) -> float:
+    """The most that each of the sizes may give so that together they give ``total``; smaller ones give all."""
+    for k, size in enumerate(sorted(sizes)):
+        most = total / (len(sizes) - k)
+        if size >= most:
+            return most
+        total -= size
+    return max(sizes)
+
+
 def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
     """(languages, float32 matrix languages x buckets of log probabilities; its last column is 0).
 
     ``labelled`` has doc_id, text and lang; rows with a null in any of them teach nothing. At most about
-    ``fit_docs`` rows teach, chosen by a hash of doc_id (documented bound; all rows if there are fewer).
-    Priors are equal. More than 256 languages: ValueError, since the matrix is broadcast.
+    ``fit_docs`` rows teach (documented bound; all rows if there are fewer): all of the rarer languages, and
+    of the others equally many each, chosen by a hash of doc_id. Languages whose texts hold no letter are left
+    out. Priors are equal. More than 256 languages: ValueError, since the matrix is broadcast.
     """
     rows = labelled.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGS + 1).collect()}
@@ -99,12 +110,16 @@ def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, smoothing: float = 0.5) -
     if not langs:
         return [], np.zeros((0, (1 << BITS) + 1), np.float32)
     if n > fit_docs:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < math.ceil(1_000_000 * fit_docs / n))
+        most = share(list(sizes.values()), fit_docs)
+        rates = F.create_map(*[F.lit(x) for lang in langs for x in (lang, math.ceil(1_000_000 * min(1.0, most / sizes[lang])))])
+        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rates[F.col("lang")])
     schema = "lang int, chunk int, docs long, counts binary"
     parts = rows.select("text", "lang").mapInArrow(_count(langs), schema).groupBy("lang", "chunk").applyInArrow(_total, schema)
     counts = np.zeros((len(langs), (1 << BITS) + 1))
     for r in parts.collect():  # languages x 16 rows of 32 KB
         counts[r["lang"], r["chunk"] : r["chunk"] + _CHUNK] = np.frombuffer(r["counts"], np.int64)
+    learned = np.flatnonzero(counts[:, :-1].any(axis=1))
+    langs, counts = [langs[i] for i in learned], counts[learned]
     logs = np.log(counts + smoothing)
     logs -= np.log((counts[:, :-1] + smoothing).sum(axis=1, keepdims=True))
     logs[:, -1] = 0

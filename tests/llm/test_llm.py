@@ -159,6 +159,18 @@ def test_language_id_edges(spark, docs):
     assert small[0] == model[0]
 
 
+def test_rare_languages_are_learned(spark):
+    assert langid.share([2, 1000, 3000], 42) == 20 and langid.share([2, 10, 3000], 42) == 30 and langid.share([1, 2], 3) == 2
+    often = [(i, f"the cat and the dog of house {'abc'[i % 3]}", "en") for i in range(3000)]
+    rare = [(10_000 + i, "žluťoučký kůň úpěl ďábelské ódy", "cs") for i in range(2)]
+    rows = spark.createDataFrame([*often, *rare, (20_000, "123 !", "no letter")], "doc_id long, text string, lang string")
+    langs, logs = langid.fit(rows, fit_docs=40)
+    whole = langid.fit(rows)
+    assert langs == whole[0] == ["cs", "en"] and np.array_equal(logs[0], whole[1][0]) and not np.array_equal(logs[1], whole[1][1])
+    got = langid.predict(spark.createDataFrame([(1, "kůň a ódy"), (2, "the dog")], DOCS), (langs, logs)).collect()
+    assert [r["lang_pred"] for r in got] == ["cs", "en"]
+
+
 # ---- encoding, token-id files, packing
 
 
