@@ -5,16 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import truncate
+from . import tiles
 
-#: Bytes of query vectors that may be broadcast; a larger set is searched in rounds of about this size.
-QUERY_BYTES = 64 << 20
-#: Queries that a task holds against a batch of corpus rows at once.
-QUERY_ROWS = 256
 #: Stands for the cosine of vectors that have none; below every cosine.
 NO_COSINE = -2.0
 
@@ -37,60 +34,51 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_
     """Each query's ``k`` documents of highest cosine, ties to the smaller id: query_id, doc_id, sim, rank,
     and the corpus columns ``keep``. Vectors that have no cosine with the query rank last.
 
-    Every task searches its own corpus rows against a broadcast block of query vectors and passes on its k
-    best per query, so the shuffle carries k rows per query and task; blocks are bounded by QUERY_BYTES.
+    Rows stay in blocks and queries are sent to them (see ``tiles``); each slot passes on its k best per query.
+    Of queries that share an id the smallest vector counts.
     """
-    spark, keep = queries.sparkSession, keep or []
-    q = queries.select(F.col(query_id).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")).where("id is not null and v is not null")
-    sizes = q.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    rounds = max(1, -(-(sizes["n"] * 8 * (sizes["d"] or 1)) // QUERY_BYTES))
-    schema = f"query_id long, doc_id long, sim double{''.join(f', {c} {corpus.schema[c].dataType.simpleString()}' for c in keep)}"
-    rows = corpus.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(vec).cast("array<double>").alias("v"), *keep).where("doc_id is not null and v is not null")
-    parts = []
-    for r in range(rounds):
-        mine = q if rounds == 1 else q.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r)
-        block = sorted((x["id"], x["v"]) for x in mine.collect())  # at most about QUERY_BYTES
-        if block:
-            parts.append(rows.mapInPandas(_search(spark.sparkContext.broadcast(block), k, keep, exclude_same_id), schema))
-    if not parts:
-        return spark.createDataFrame([], schema.replace("query_id long, doc_id long, sim double", "query_id long, doc_id long, sim double, rank int"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    keep = keep or []
+    fields = [corpus.schema[c] for c in keep]
+    schema = f"query_id long, doc_id long, sim double{''.join(f', {f.name} {f.dataType.simpleString()}' for f in fields)}"
+    blocks = tiles.packed(corpus, doc_id, vec, finite=False, keep=keep)
+    asked = tiles.query_blocks(queries.where(F.col(vec).isNotNull()), query_id, vec, finite=False).drop("extra")
+    found = tiles.search(blocks, asked, tiles.slots_of(corpus, vec), _held, _answer(k, keep, exclude_same_id), schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("sim"), "doc_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "doc_id", "sim", "rank", *keep)
 
 
-def _search(shared, k: int, keep: list[str], exclude_same_id: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        blocks: list[tuple[np.ndarray, np.ndarray]] = []
-        for size in sorted({len(v) for _, v in shared.value}):
-            mine = [(i, v) for i, v in shared.value if len(v) == size]
-            for at in range(0, len(mine), QUERY_ROWS):
-                part = mine[at : at + QUERY_ROWS]
-                blocks.append((np.array([i for i, _ in part]), np.array([[np.nan if x is None else x for x in v] for _, v in part]).reshape(len(part), size)))
-        best: dict[int, pd.DataFrame] = {}
-        for frame in frames:
-            sizes, docs = frame["v"].map(len).to_numpy(), frame["doc_id"].to_numpy()
-            by_size = {s: (at := np.flatnonzero(sizes == s), np.array(frame["v"].iloc[at].tolist(), float).reshape(len(at), s)) for s in {v.shape[1] for _, v in blocks}}
-            for b, (ids, vectors) in enumerate(blocks):
-                near = np.full((len(ids), len(frame)), NO_COSINE)
-                at, m = by_size[vectors.shape[1]]
-                if len(at):
+def _held(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table | None]:
+    ids, m = tiles.matrix(row)
+    return ids, m, np.linalg.norm(m, axis=1), None if row["extra"] is None or not row["extra"].size else pa.ipc.open_stream(row["extra"]).read_all()
+
+
+def _answer(k: int, keep: list[str], exclude_same_id: bool) -> Callable[[list, dict], Iterator[pa.RecordBatch]]:
+    def run(held: list, query: dict) -> Iterator[pa.RecordBatch]:
+        all_ids, all_q = tiles.matrix(query)
+        step = max(1, tiles.AREA // max(len(h[0]) for h in held))
+        for at in range(0, len(all_ids), step):
+            qids, q = all_ids[at : at + step], all_q[at : at + step]
+            size, parts = np.linalg.norm(q, axis=1)[:, None], []
+            for n, (ids, m, norms, _) in enumerate(held):
+                near = np.full((len(qids), len(ids)), NO_COSINE)
+                if m.shape[1] == q.shape[1]:
                     with np.errstate(divide="ignore", invalid="ignore"):
-                        found = (vectors @ m.T) / (np.linalg.norm(vectors, axis=1)[:, None] * np.linalg.norm(m, axis=1)[None])
-                    near[:, at] = np.where(np.isfinite(found), found, NO_COSINE)
+                        cos = (q @ m.T) / (size * norms[None])
+                    near = np.where(np.isfinite(cos), cos, NO_COSINE)
                 if exclude_same_id:
-                    near[docs[None] == ids[:, None]] = -np.inf
-                last = len(frame) - k
-                least = np.partition(near, last, axis=1)[:, [last]] if last > 0 else -np.inf
-                q, row = np.nonzero((near >= least) & (near > -np.inf))
-                new = frame.iloc[row][["doc_id", *keep]].assign(query_id=ids[q], sim=near[q, row])
-                have = pd.concat([best[b], new]) if b in best else new
-                best[b] = have.sort_values(["query_id", "sim", "doc_id"], ascending=[True, False, True], kind="stable").groupby("query_id").head(k)
-        for have in best.values():
-            have = have[["query_id", "doc_id", "sim", *keep]]
-            yield have.assign(sim=have["sim"].astype(object).where(have["sim"] > NO_COSINE, None))
+                    tiles.mask_own(near, qids, ids)
+                i, j = tiles.best(near, k)
+                parts.append((i, near[i, j], ids[j], np.full(len(i), n), j))
+            i, sim, ids, block, row = (np.concatenate(x) for x in zip(*parts, strict=True))
+            top = tiles.merged(i, sim, ids, k)
+            i, sim, ids, block, row = i[top], sim[top], ids[top], block[top], row[top]
+            cols = [pa.array(qids[i]), pa.array(ids), pa.array(sim, mask=sim <= NO_COSINE)]
+            if keep:  # the rows' own columns, block by block, then in the order of the result
+                order = np.argsort(block, kind="stable")
+                got = pa.concat_tables([held[n][3].take(pa.array(row[order][block[order] == n])) for n in np.unique(block)]) if len(top) else held[0][3].slice(0, 0)
+                got = got.take(pa.array(np.argsort(order)))
+                cols += [got.column(c).combine_chunks() for c in keep]
+            yield pa.RecordBatch.from_arrays(cols, names=["query_id", "doc_id", "sim", *keep])
 
     return run
 

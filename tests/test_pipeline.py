@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lumenrank import fixtures as X
 from lumenrank import queries as Q
 from lumenrank.functions import text as T
-from lumenrank.operators import evaluate, fallback, rank, retrieve, score, stateful
+from lumenrank.operators import evaluate, fallback, rank, retrieve, score, stateful, tiles
 from lumenrank.plans.api import Options, build_index, fine_pass, rerank, search
 from lumenrank.sources import corpora
 from lumenrank.sources.policies import Policy
@@ -108,7 +108,8 @@ def test_every_vector_is_a_query(spark, sf_dir, monkeypatch):
     sims = m @ m.T
     np.fill_diagonal(sims, -np.inf)
     want = {int(q): [int(x) for x in ids[np.lexsort((ids, -sims[i]))[:10]]] for i, q in enumerate(ids)}
-    monkeypatch.setattr(retrieve, "QUERY_BYTES", 64 * 8 * 150)  # several rounds
+    monkeypatch.setattr(tiles, "ROWS", 64)  # several blocks and slots
+    monkeypatch.setattr(tiles, "QUERIES", 100)
     got = {}
     for r in Q.QUERIES["topk_cosine_all"](spark, sf_dir).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["vec_id"])
