@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cells, ragged, stored, usual_length, vectors
-from .topk import _rows, packed, query_blocks
+from ..operators import tiles
+from .common import ragged, stored
 
-#: Vectors that the codebooks are fitted on at most (chosen by a hash of the id); rows and queries of a
-#: block; candidates that each block of rows hands to the exact reranking at least, per query.
-FIT_ROWS, ROWS, QUERIES, RERANK = 16_384, 8192, 1024, 200
+#: Vectors that the codebooks are fitted on at most (chosen by a hash of the id), of each length; candidates
+#: that each block of rows hands to the exact reranking at least, per query.
+FIT_ROWS, RERANK = 16_384, 200
 #: Share of the norm from which scores matter; it sets the weight of the parallel residual.
 THRESHOLD = 0.2
 
@@ -90,39 +90,45 @@ def slack(x: np.ndarray, books: np.ndarray, w: float, share: float = 0.95) -> fl
     return float(np.quantile(np.abs(q @ r.T) / np.linalg.norm(q, axis=1)[:, None], share))
 
 
-def search(q: np.ndarray, qids: np.ndarray, x: np.ndarray, ids: np.ndarray, codes: np.ndarray, books: np.ndarray, k: int, rerank: int, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first place, count, places sorted by group, where each group begins) of a block's equal vectors."""
+    key = np.ascontiguousarray(x).view(np.dtype((np.void, 8 * x.shape[1]))).ravel()
+    _, first, group, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    return first, count, np.argsort(group, kind="stable"), np.cumsum(count) - count
+
+
+def search(q: np.ndarray, qids: np.ndarray, block: dict, books: np.ndarray, k: int, rerank: int, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query ids, row ids, exact scores) of each query's k best of one block; ids ascend in the block.
 
-    ``codes`` holds two codes a byte. Equal vectors are scanned and reranked once, so a vector that many rows
-    share takes one candidate's place; its rows come in by id. Reranked are the ``rerank`` best of the scan and
-    all that come within ``margin`` (times the query's norm) of its k-th score: of a tight cluster, whose
-    members the codes can't tell apart, all.
+    ``block`` holds the distinct vectors x, their codes (two a byte, one array per byte), and per vector the
+    rows that share it (ids, count, members, begin). Equal vectors are scanned and reranked once, so a vector
+    that many rows share takes one candidate's place; its rows come in by id. Reranked are the ``rerank`` best
+    of the scan and all that come within ``margin`` (times the query's norm) of its k-th score: of a tight
+    cluster, whose members the codes can't tell apart, all.
     """
-    key = np.ascontiguousarray(x).view(np.dtype((np.void, 8 * x.shape[1]))).ravel()
-    _, first, group, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    members, begin = np.argsort(group, kind="stable"), np.cumsum(count) - count
-    x, codes = x[first], codes[first]
-    n, half = len(first), codes.shape[1]
+    x, columns, count = block["x"], block["columns"], block["count"]
+    n, half = len(x), len(columns)
     wide = padded(q).reshape(len(q), half, 2, 2)
     pairs = books.reshape(half, 2, 16, 2)
     tables = np.einsum("qhsd,hscd->qhsc", wide, pairs)
     tables = (tables[:, :, 1, :, None] + tables[:, :, 0, None, :]).reshape(len(q), half, 256).astype(np.float32)
-    columns = [np.ascontiguousarray(codes[:, h]) for h in range(half)]
+    norms, place = np.linalg.norm(q, axis=1), np.empty(n, np.float32)
     out: list[list[np.ndarray]] = [[], [], []]
     for i in range(len(q)):
-        score = tables[i, 0][columns[0]]
+        score = tables[i, 0].take(columns[0])
         for h in range(1, half):
-            score += tables[i, h][columns[h]]
+            tables[i, h].take(columns[h], out=place, mode="clip")
+            score += place
         at = np.arange(n)
         if n > rerank:
             top = np.partition(score, (n - rerank, n - min(k, rerank)))
-            edge = min(top[n - rerank], top[n - min(k, rerank)] - margin * np.linalg.norm(q[i]))
+            edge = min(top[n - rerank], top[n - min(k, rerank)] - margin * norms[i])
             at = np.flatnonzero(score >= edge)
         exact = (x[at] * q[i]).sum(axis=1)
-        least = np.sort(exact)[-min(len(exact), k + 1)]  # one more than k: a query's own row is no candidate
+        least = np.partition(exact, len(exact) - min(len(exact), k + 1))[len(exact) - min(len(exact), k + 1)]  # one more than k: a query's own row is no candidate
         at, exact = at[exact >= least], exact[exact >= least]
         few = np.minimum(count[at], k + 1)
-        found, exact = ids[members[ragged(begin[at], few)]], np.repeat(exact, few)
+        found, exact = block["ids"][block["members"][ragged(block["begin"][at], few)]], np.repeat(exact, few)
         found, exact = found[found != qids[i]], exact[found != qids[i]]
         best = np.lexsort((found, -exact))[:k]
         for o, v in zip(out, (np.full(len(best), qids[i]), found[best], exact[best]), strict=True):
@@ -130,58 +136,70 @@ def search(q: np.ndarray, qids: np.ndarray, x: np.ndarray, ids: np.ndarray, code
     return tuple(np.concatenate(o) if o else np.empty(0) for o in out)
 
 
+def sample(rows: DataFrame, id_col: str, vec_col: str, most: int) -> DataFrame:
+    """About ``most`` of the rows, at most, by a hash of the id (all, if they are fewer)."""
+    n = rows.count()
+    return rows if n <= most else rows.where(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 62)) < max(1, (1 << 62) * most // n))
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int = RERANK, fit_rows: int = FIT_ROWS) -> DataFrame:
     """Each query's k nearest found rows by inner product (all rows, if fewer), ties to the smaller id:
     query_id, rank from 1, vec_id, score. Every row is indexed and scanned; a query's own id is no candidate.
 
-    Null ids, null and zero vectors, vectors with a null or non-finite component or of another than the
-    usual length, and empty tables take no part. Rows that share an id are candidates each; of queries that
-    share one, the smallest vector counts. Other columns are ignored.
+    Null ids, null, empty and zero vectors, vectors with a null or non-finite component, and empty tables take
+    no part; vectors are searched among those of their own length, each length with codebooks of its own. Rows
+    that share an id are candidates each; of queries that share one, the smallest vector counts. Other columns
+    are ignored.
     """
     spark, empty = rows.sparkSession, "query_id long, rank int, vec_id long, score double"
-    dim = usual_length(rows, vec_col)
-    if not dim:
-        return spark.createDataFrame([], empty)
-    zero = F.forall(F.col(vec_col), lambda x: x == 0)
-    rows, queries = (d.where(F.col(vec_col).isNotNull() & ~F.coalesce(zero, F.lit(False))) for d in (rows, queries))
-    good = rows.where((F.size(vec_col) == dim) & F.col(id_col).isNotNull())
-    n = good.count()
-    if n > fit_rows:
-        good = good.where(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1_000_000)) < int(1_000_000 * fit_rows / n))
-
-    def raw(batches):
-        for b in batches:
-            i, m = vectors(b, dim)
-            yield pa.RecordBatch.from_pydict({"m": pa.array([m.astype(np.float32).tobytes()], pa.binary())})
-
-    sample = [np.frombuffer(r["m"], np.float32).reshape(-1, dim) for r in good.select(F.col(id_col).cast("long"), vec_col).mapInArrow(raw, "m binary").collect()]
-    x = padded(np.concatenate([s for s in sample if len(s)] or [np.zeros((0, dim), np.float32)]).astype(np.float64))
-    if not len(x):
+    able = F.size(vec_col) > 0
+    fine = able & ~F.exists(F.col(vec_col), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(F.col(vec_col), lambda x: x != 0)
+    rows, queries = (d.where(fine & F.col(id_col).isNotNull()) for d in (rows, queries))
+    models = {}
+    for r in rows.groupBy(F.size(vec_col).alias("dim")).count().collect():  # the lengths that occur
+        mine = sample(rows.where(F.size(vec_col) == r["dim"]), id_col, vec_col, fit_rows)
+        got = [np.frombuffer(b["vecs"]).reshape(-1, r["dim"]) for b in tiles.packed(mine, id_col, vec_col).select("vecs").collect()]
+        if not got:
+            raise ValueError("the sample of a table with vectors is empty")
+        x = np.unique(padded(np.concatenate(got).astype(np.float32).astype(np.float64)), axis=0)  # a vector that many rows share mustn't take the centroids
+        books = fit(x, weight(r["dim"]))
+        models[r["dim"]] = books, weight(r["dim"]), slack(x, books, weight(r["dim"]))
+    if not models:
         return spark.createDataFrame([], empty)
-    w = weight(dim)
-    x = np.unique(x, axis=0)  # a vector that many rows share mustn't take the centroids
-    books = fit(x, w)
-    margin = slack(x, books, w)
+    shared = spark.sparkContext.broadcast(models)  # a few KB for each length
 
     def encode(batches):
         for b in batches:
-            for r in _rows(b):
-                m = np.frombuffer(r["vecs"]).reshape(-1, dim)
-                codes = assign(padded(m), books, w)
+            for r in tiles.rows_of(b):
+                ids, m = tiles.matrix(r)
+                books, w, _ = shared.value[r["dim"]]
+                first, count, members, begin = distinct(m)
+                codes = assign(padded(m[first]), books, w)
                 both = codes[:, 0::2] | codes[:, 1::2] << 4
-                yield pa.RecordBatch.from_pydict({"rb": pa.array([r["rb"]]), "ids": pa.array([bytes(r["ids"])], pa.binary()), "vecs": pa.array([bytes(r["vecs"])], pa.binary()), "codes": pa.array([both.tobytes()], pa.binary())})
-
-    def scan(batches):
-        for b in batches:
-            for r in _rows(b):
-                ids, qids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["qids"], np.int64)
-                v, q = np.frombuffer(r["vecs"]).reshape(len(ids), dim), np.frombuffer(r["qvecs"]).reshape(len(qids), dim)
-                codes = np.frombuffer(r["codes"], np.uint8).reshape(len(ids), -1)
-                a, i, s = search(q, qids, v, ids, codes, books, k, rerank, margin)
-                yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(i.astype(np.int64)), pa.array(s.astype(np.float64))], names=["query_id", "vec_id", "score"])
-
-    index = stored(packed(rows, id_col, vec_col, dim, ROWS).mapInArrow(encode, "rb string, ids binary, vecs binary, codes binary"), "index")
-    asked = query_blocks(queries, id_col, vec_col, dim, QUERIES)
-    found = cells(index, asked.drop("qnorm"), int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(scan, "query_id long, vec_id long, score double")
+                held = {"block": pa.array([r["block"]]), "dim": pa.array([r["dim"]], pa.int32())}
+                for c, v in {"ids": ids, "vecs": m[first], "codes": np.ascontiguousarray(both.T), "count": count.astype(np.int64), "members": members.astype(np.int64), "begin": begin.astype(np.int64)}.items():
+                    held[c] = pa.array([v.tobytes()], pa.binary())
+                yield pa.RecordBatch.from_pydict(held)
+
+    def prepare(r: dict) -> dict:
+        count = np.frombuffer(r["count"], np.int64)
+        own = {c: np.frombuffer(r[c], np.int64) for c in ("ids", "members", "begin")}
+        return own | {"dim": r["dim"], "count": count, "x": np.frombuffer(r["vecs"]).reshape(len(count), -1), "columns": np.frombuffer(r["codes"], np.uint8).reshape(-1, len(count))}
+
+    def scan(held, r):
+        qids, q = tiles.matrix(r)
+        parts = []
+        for block in held:
+            if block["dim"] == r["dim"]:
+                books, _, margin = shared.value[r["dim"]]
+                parts.append(search(q, qids, block, books, k, rerank, margin))
+        if parts:
+            a, i, s = (np.concatenate(x) for x in zip(*parts, strict=True))
+            top = tiles.merged(a, s, i, k)  # of this slot
+            yield pa.RecordBatch.from_arrays([pa.array(a[top].astype(np.int64)), pa.array(i[top].astype(np.int64)), pa.array(s[top].astype(np.float64))], names=["query_id", "vec_id", "score"])
+
+    index = stored(tiles.packed(rows, id_col, vec_col).mapInArrow(encode, "block string, dim int, ids binary, vecs binary, codes binary, count binary, members binary, begin binary"), "index")
+    asked = stored(tiles.query_blocks(queries, id_col, vec_col).drop("norm", "extra"), "queries")
+    found = tiles.search(index, asked, tiles.slots_of(rows, vec_col), prepare, scan, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a fresh local one only where
-    that setting is missing (a single-machine session, as in tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that setting is missing, a
+    single-machine session (as in tests) gets a fresh local folder, and a cluster an error."""
     here = spark.conf.get("spark.checkpoint.dir", None)
     if not here:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         here = "file://" + tempfile.mkdtemp(prefix="lumenrank-")
         spark.conf.set("spark.checkpoint.dir", here)
     return here
@@ -30,7 +32,30 @@ def stored(df: DataFrame, name: str, **options) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that ``stored`` wrote, once nothing that is still to run reads them; others are left alone."""
+    for df in tables:
+        path = getattr(df, "stored_at", None)
+        if path:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores put before them until no column of ``df`` has them (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def small(df: DataFrame, most: int = 200_000) -> DataFrame:
@@ -76,34 +101,3 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
-
-
-def usual_length(df: DataFrame, vec_col: str) -> int:
-    """The commonest length of the vectors (ties: the smaller); 0 if there is none. Others take no part."""
-    size = F.size(vec_col)
-    row = df.where(F.col(vec_col).isNotNull() & (size > 0)).groupBy(size.alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return row["n"] if row else 0
-
-
-def vectors(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, matrix in double precision) of the rows (id, vector) that hold dim finite components."""
-    ids, col = batch.column(0), batch.column(1)
-    ok = pc.and_(pc.fill_null(pc.equal(pc.list_value_length(col), dim), False), ids.is_valid())
-    ids, col = ids.filter(ok), col.filter(ok)
-    flat = col.flatten().cast(pa.float64())
-    mat = flat.to_numpy(zero_copy_only=False).reshape(-1, dim)
-    fine = np.isfinite(mat).all(axis=1)
-    return ids.to_numpy(zero_copy_only=False)[fine].astype(np.int64), mat[fine]
-
-
-def cells(blocks: DataFrame, queries: DataFrame, slots: int) -> DataFrame:
-    """Every block of rows beside every block of queries, as an equi-join: the blocks of rows are dealt to
-    ``slots`` places, each block of queries goes to every place, and a block of rows to every block of
-    queries. Rows are whole packed blocks, so their number is the product of two block counts."""
-    n = queries.agg(F.max("qb").alias("top"))
-    numbers = n.where("top is not null").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"))).alias("qb"))
-    per_slot = queries.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    names = numbers.agg(F.collect_list("qb").alias("all"))
-    dealt = blocks.withColumn("slot", F.pmod(F.xxhash64("rb"), F.lit(slots)).cast("int")).withColumn("one", F.lit(1))
-    dealt = dealt.join(F.broadcast(names.withColumn("one", F.lit(1))), "one").withColumn("qb", F.explode("all")).drop("one", "all")
-    return dealt.join(per_slot, ["qb", "slot"])

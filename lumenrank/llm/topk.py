@@ -3,7 +3,8 @@
 Components become integers floor(256 x). Every round scores all rows for all queries, block by block, and
 adds up per query a histogram of the scores inside the range that still holds the k-th value; the range
 shrinks to one of its bins each time until it is a single score. A last pass keeps the rows above that
-score, and of those equal to it the smallest ids.
+score, and of those equal to it the smallest ids. Rows stay in their slots of bounded size, queries are sent
+to them; a slot gives one histogram per block of queries.
 """
 
 from __future__ import annotations
@@ -15,106 +16,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cells, stored, usual_length, vectors
-
-ROWS, QUERIES, BINS = 8192, 1024, 512
-
-
-def _pack(dim: int, rows: int, scale: int, salt: str):
-    def run(batches):
-        from pyspark import TaskContext
-
-        part, n = TaskContext.get().partitionId(), 0
-        ids, mats, held = [], [], 0
-
-        def block():
-            nonlocal ids, mats, held, n
-            i, m = np.concatenate(ids), np.concatenate(mats)
-            order = np.lexsort((*m.T[::-1], i))
-            i, m = i[order], m[order]
-            ids, mats, held, n = [i[rows:]], [m[rows:]], max(0, len(i) - rows), n + 1
-            i, m = i[:rows], m[:rows]
-            top = float(np.sqrt((m * m).sum(axis=1).max()))
-            return pa.RecordBatch.from_pydict({"rb": pa.array([f"{salt}{part}-{n}"]), "ids": pa.array([i.tobytes()], pa.binary()), "vecs": pa.array([m.tobytes()], pa.binary()), "norm": pa.array([top])})
-
-        for b in batches:
-            i, m = vectors(b, dim)
-            if scale:
-                m = np.floor(m * scale)
-            if len(i):
-                ids.append(i)
-                mats.append(m)
-                held += len(i)
-            while held >= rows:
-                yield block()
-        if held:
-            yield block()
-
-    return run
-
-
-def packed(df: DataFrame, id_col: str, vec_col: str, dim: int, rows: int, scale: int = 0, salt: str = "") -> DataFrame:
-    """Blocks of up to ``rows`` vectors: rb (name), ids (int64), vecs (float64, floor(scale x) if scale),
-    norm (largest). Within a block ids ascend; inside one task rows come as they are read."""
-    return df.select(F.col(id_col).cast("long"), vec_col).mapInArrow(_pack(dim, rows, scale, salt), "rb string, ids binary, vecs binary, norm double")
-
-
-def query_blocks(df: DataFrame, id_col: str, vec_col: str, dim: int, rows: int, scale: int = 0) -> DataFrame:
-    """The queries (of rows that share an id, the smallest vector) in numbered blocks: qb, qids, qvecs, qnorm."""
-    one = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).groupBy("id").agg(F.min("vec").alias("vec"))
-    blocks = packed(one.repartition(max(1, -(-one.count() // (4 * rows))), "id"), "id", "vec", dim, rows, scale)
-    name = blocks.select("rb", "ids", "vecs", "norm")
-    return stored(name, "queries").select((F.row_number().over(Window.orderBy("rb")) - 1).cast("long").alias("qb"), F.col("ids").alias("qids"), F.col("vecs").alias("qvecs"), F.col("norm").alias("qnorm"))
-
-
-def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(query ids, row ids, scores queries x rows with a query's own rows masked, the mask's value)."""
-    qids, ids = np.frombuffer(row["qids"], np.int64), np.frombuffer(row["ids"], np.int64)
-    q, v = np.frombuffer(row["qvecs"]).reshape(len(qids), -1), np.frombuffer(row["vecs"]).reshape(len(ids), -1)
-    if np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * q.shape[1] >= 2.0**53:
-        raise ValueError("components too large for exact integer scores")
-    s = (q @ v.T).astype(np.int64)
-    none = np.iinfo(np.int64).min
-    lo, hi = np.searchsorted(ids, qids, "left"), np.searchsorted(ids, qids, "right")
-    for i in np.flatnonzero(hi > lo):
-        s[i, lo[i] : hi[i]] = none
-    return qids, ids, s, none
-
-
-def _rows(batch: pa.RecordBatch):
-    for i in range(batch.num_rows):
-        yield {c: batch.column(c)[i].as_buffer() if pa.types.is_binary(batch.schema.field(c).type) else batch.column(c)[i].as_py() for c in batch.schema.names}
-
-
-def _histograms(batches):
-    sums: dict[int, tuple[np.ndarray, dict]] = {}
-
-    def flush():
-        for qb, (h, r) in sums.items():
-            yield pa.RecordBatch.from_pydict({"qb": pa.array([qb], pa.int64()), "hist": pa.array([h.tobytes()], pa.binary()), **{c: pa.array([r[c]], pa.binary()) for c in ("lo", "need")}, "width": pa.array([r["width"]], pa.int64()), "span": pa.array([r["span"]], pa.int64())})
-        sums.clear()
-
-    for b in batches:
-        for r in _rows(b):
-            qids, _, s, none = _scores(r)
-            lo, width = np.frombuffer(r["lo"], np.int64), r["width"]
-            if r["qb"] not in sums:
-                if len(sums) == 16:  # of this task's blocks of queries
-                    yield from flush()
-                sums[r["qb"]] = np.zeros((len(qids), BINS), np.int64), {"lo": bytes(r["lo"]), "need": bytes(r["need"]), "width": width, "span": r["span"]}
-            h = sums[r["qb"]][0]
-            for i in range(len(qids)):
-                at = s[i] - lo[i]
-                at = at[(s[i] != none) & (at >= 0) & (at < r["span"])]
-                h[i] += np.bincount(at // width, minlength=BINS)
-    yield from flush()
+from ..operators import tiles
+from .common import discard, stored
+
+BINS = 512
+
+
+def _scores(q: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Integer inner products: in double precision where all sums stay below 2^53, else in 64-bit integers."""
+    far = np.abs(q).max(initial=0) * np.abs(m).max(initial=0) * max(1, q.shape[1])
+    if far < 2.0**53:
+        return (q @ m.T).astype(np.int64)
+    if far >= 2.0**63:
+        raise OverflowError("scores don't fit a long")
+    return q.astype(np.int64) @ m.T.astype(np.int64)
+
+
+def _tiles(held: list, row: dict):
+    """(from, to, scores queries x rows, ids, which are candidates) of tiles of bounded area."""
+    qids, q = tiles.matrix(row)
+    for ids, m in held:
+        if m.shape[1] != q.shape[1]:
+            continue
+        step = max(1, tiles.AREA // len(ids))
+        for at in range(0, len(qids), step):
+            s = _scores(q[at : at + step], m)
+            other = np.ones(s.shape, bool)
+            lo, hi = np.searchsorted(ids, qids[at : at + step], "left"), np.searchsorted(ids, qids[at : at + step], "right")
+            for i in np.flatnonzero(hi > lo):
+                other[i, lo[i] : hi[i]] = False
+            yield at, min(at + step, len(qids)), s, ids, other
+
+
+def _histogram(held: list, row: dict) -> Iterator[pa.RecordBatch]:
+    lo, width, span = np.frombuffer(row["lo"], np.int64), row["width"], row["span"]
+    h = np.zeros((len(lo), BINS), np.int64)
+    for a, b, s, _, other in _tiles(held, row):
+        at = s - lo[a:b, None]
+        fits = other & (at >= 0) & (at < span)
+        bins = np.arange(b - a)[:, None] * BINS + at // width
+        h[a:b] += np.bincount(bins[fits], minlength=(b - a) * BINS).reshape(b - a, BINS)
+    yield pa.RecordBatch.from_pydict({"block": pa.array([row["block"]]), "hist": pa.array([h.tobytes()], pa.binary()), **{c: pa.array([bytes(row[c])], pa.binary()) for c in ("lo", "need")}, "width": pa.array([width], pa.int64()), "span": pa.array([span], pa.int64())})
 
 
 def _narrow(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bin of each query that holds the value still needed, from the sum of its histograms."""
     h = None
     for b in batches:
-        for r in _rows(b):
+        for r in tiles.rows_of(b):
             one = np.frombuffer(r["hist"], np.int64).reshape(-1, BINS)
             h = one.copy() if h is None else h + one
             state = r
@@ -124,38 +73,37 @@ def _narrow(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> It
     at = np.where(found.any(axis=1), BINS - 1 - found[:, ::-1].argmax(axis=1), 0)  # too few rows: the lowest bin
     higher = above[np.arange(len(at)), at] - h[np.arange(len(at)), at]
     finer = -(-width // BINS)
-    yield pa.RecordBatch.from_pydict({"qb": pa.array([key[0].as_py()], pa.int64()), "lo": pa.array([(lo + at * width).tobytes()], pa.binary()), "need": pa.array([(need - higher).tobytes()], pa.binary()), "width": pa.array([finer], pa.int64()), "span": pa.array([width], pa.int64())})
+    yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()]), "lo": pa.array([(lo + at * width).tobytes()], pa.binary()), "need": pa.array([(need - higher).tobytes()], pa.binary()), "width": pa.array([finer], pa.int64()), "span": pa.array([width], pa.int64())})
 
 
-def _keep(batches):
-    for b in batches:
-        for r in _rows(b):
-            qids, ids, s, none = _scores(r)
-            kth, need = np.frombuffer(r["lo"], np.int64), np.frombuffer(r["need"], np.int64)
-            out: list[list[np.ndarray]] = [[], [], []]
-            for i, q in enumerate(qids):
-                at = np.flatnonzero((s[i] > kth[i]) & (s[i] != none))
-                at = np.concatenate((at, np.flatnonzero((s[i] == kth[i]) & (s[i] != none))[: need[i]]))  # ids ascend
-                for o, x in zip(out, (np.full(len(at), q), ids[at], s[i, at]), strict=True):
-                    o.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(np.int64)) for o in out], names=["query_id", "vec_id", "score"])
+def _keep(held: list, row: dict) -> Iterator[pa.RecordBatch]:
+    """Rows above the k-th score, and of those equal to it the first that are needed (ids ascend)."""
+    qids, _ = tiles.matrix(row)
+    kth, need = np.frombuffer(row["lo"], np.int64), np.frombuffer(row["need"], np.int64)
+    for a, b, s, ids, other in _tiles(held, row):
+        i, j = np.nonzero((s > kth[a:b, None]) & other)
+        x, y = np.nonzero((s == kth[a:b, None]) & other)
+        first = np.searchsorted(x, x, "left")
+        few = np.arange(len(x)) - first < need[a + x]
+        i, j = np.concatenate((i, x[few])), np.concatenate((j, y[few]))
+        yield pa.RecordBatch.from_arrays([pa.array(qids[a + i]), pa.array(ids[j]), pa.array(s[i, j])], names=["query_id", "vec_id", "score"])
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256) -> DataFrame:
     """Each query's k rows of highest integer inner product (all, if fewer), ties to the smaller id:
     query_id, rank from 1, vec_id, score. A query's own id is no candidate.
 
-    Null ids, null vectors, vectors with a null or non-finite component or of another than the usual length
-    (see ``usual_length``), and empty tables take no part. Rows that share an id are candidates each; of
-    queries that share one, the smallest vector counts. Other columns are ignored. Scores must fit 2^53.
+    Null ids, null and empty vectors, vectors with a null or non-finite component, and empty tables take no
+    part; vectors are searched among those of their own length. Rows that share an id are candidates each; of
+    queries that share one, the smallest vector counts. Other columns are ignored. Scores that don't fit a
+    long raise.
     """
     spark, empty = rows.sparkSession, "query_id long, rank int, vec_id long, score long"
-    dim = usual_length(rows, vec_col)
-    if not dim:
-        return spark.createDataFrame([], empty)
-    blocks = stored(packed(rows, id_col, vec_col, dim, ROWS, scale), "vectors")
-    asked = query_blocks(queries, id_col, vec_col, dim, QUERIES, scale)
-    reach = blocks.agg(F.max("norm")).first()[0], asked.agg(F.max("qnorm")).first()[0]
+    rows, queries = (d.where(F.size(vec_col) > 0) for d in (rows, queries))
+    slots = tiles.slots_of(rows, vec_col)
+    blocks = stored(tiles.packed(rows, id_col, vec_col, scale=scale).drop("extra"), "vectors")
+    asked = stored(tiles.query_blocks(queries, id_col, vec_col, scale=scale).drop("extra"), "queries")
+    reach = blocks.agg(F.max("norm")).first()[0], asked.agg(F.max("norm")).first()[0]
     if None in reach:
         return spark.createDataFrame([], empty)
     far = int(reach[0] * reach[1]) + 1  # no score is further from 0
@@ -163,20 +111,19 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", v
 
     def start(batches):
         for b in batches:
-            for r in _rows(b):
-                n = len(r["qids"]) // 8
-                yield pa.RecordBatch.from_pydict({"qb": pa.array([r["qb"]], pa.int64()), "lo": pa.array([np.full(n, -far, np.int64).tobytes()], pa.binary()), "need": pa.array([np.full(n, k, np.int64).tobytes()], pa.binary()), "width": pa.array([width], pa.int64()), "span": pa.array([2 * far + 1], pa.int64())})
+            for r in tiles.rows_of(b):
+                n = len(r["ids"]) // 8
+                yield pa.RecordBatch.from_pydict({"block": pa.array([r["block"]]), "lo": pa.array([np.full(n, -far, np.int64).tobytes()], pa.binary()), "need": pa.array([np.full(n, k, np.int64).tobytes()], pa.binary()), "width": pa.array([width], pa.int64()), "span": pa.array([2 * far + 1], pa.int64())})
 
-    form = "qb long, lo binary, need binary, width long, span long"
-    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    state = asked.select("qb", "qids").mapInArrow(start, form)
+    form = "block string, lo binary, need binary, width long, span long"
+    state, blocks, asked = asked.select("block", "ids").mapInArrow(start, form), blocks.drop("norm"), asked.drop("norm")
     while True:
-        pairs = cells(blocks.drop("norm"), asked.join(state, "qb").drop("qnorm"), slots)
-        sums = pairs.mapInArrow(_histograms, "qb long, hist binary, lo binary, need binary, width long, span long")
-        state = stored(sums.groupBy("qb").applyInArrow(_narrow, form), "ranges")
+        sums = tiles.search(blocks, asked.join(state, "block"), slots, tiles.matrix, _histogram, "block string, hist binary, lo binary, need binary, width long, span long")
+        before, state = state, stored(sums.groupBy("block").applyInArrow(_narrow, form), "ranges")
+        discard(before)
         if width == 1:
             break
         width = -(-width // BINS)
-    found = cells(blocks.drop("norm"), asked.join(state, "qb").drop("qnorm"), slots).mapInArrow(_keep, "query_id long, vec_id long, score long")
+    found = tiles.search(blocks, asked.join(state, "block"), slots, tiles.matrix, _keep, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
