@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -101,3 +101,11 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(``df`` with columns of these names, in any case, out of the way; what brings back its own columns)."""
+    low = {n.lower() for n in names}
+    clash = [c for c in df.columns if c.lower() in low]
+    moved = dict(zip(clash, unused(df, *[f"{c}_own" for c in clash]), strict=True))
+    return df.withColumnsRenamed(moved), lambda out: out.select(*[F.col(moved.get(c, c)).alias(c) for c in df.columns])

@@ -58,9 +58,8 @@ def _powers(n: int, base: int) -> np.ndarray:
     return out
 
 
-def ngrams(data: np.ndarray, off: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
-    """(document number, n-gram hash) of the distinct n-grams of texts, sorted by hash. A text of fewer than
-    n words has one, its whole sequence; a text without words none."""
+def hashed_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document number, hash) of every word of the texts, in order; A-Z count as a-z."""
     size = len(data)
     if not size:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -77,7 +76,15 @@ def ngrams(data: np.ndarray, off: np.ndarray, n: int = N) -> tuple[np.ndarray, n
     np.cumsum(_LETTER[data] * _powers(span, _BASE)[:size], out=sums[1:])
     back = _powers(span, pow(_BASE, -1, 1 << 64))
     words = _mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
-    doc = np.searchsorted(off, start, "right") - 1
+    return np.searchsorted(off, start, "right") - 1, words
+
+
+def ngrams(data: np.ndarray, off: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
+    """(document number, n-gram hash) of the distinct n-grams of texts, sorted by hash. A text of fewer than
+    n words has one, its whole sequence; a text without words none."""
+    doc, words = hashed_words(data, off)
+    if not len(words):
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
     count = np.bincount(doc, minlength=len(off) - 1)
     begin = np.cumsum(count) - count
     full = count >= n

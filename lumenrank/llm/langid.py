@@ -16,10 +16,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, trim
+from .common import pieces, trim, unused
 
-#: Buckets of the hashed n-grams, their orders, and the most labelled documents that a fit reads.
-BITS, ORDERS, FIT_DOCS, MOST_LANGS = 16, (1, 2, 3), 20_000, 256
+#: Buckets of the hashed n-grams, their orders, the most labelled documents that a fit reads, the tasks that
+#: count them, and the languages whose matrix is broadcast at once.
+BITS, ORDERS, FIT_DOCS, FIT_TASKS, BLOCK = 16, (1, 2, 3), 20_000, 16, 256
 _CHUNK = 4096
 _MULT = {1: (0x9E3779B97F4A7C15,), 2: (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), 3: (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)}
 
@@ -59,22 +60,30 @@ def _buckets(flat: np.ndarray, order: int) -> np.ndarray:
 
 
 def _count(langs: list[str]):
+    """Counts of a task's texts, as sparse sums, in rows of (language, chunk of buckets)."""
+
     def run(batches):
-        counts = np.zeros((len(langs), (1 << BITS) + 1), np.int64)
-        seen = np.zeros(len(langs), np.int64)
+        width, seen = (1 << BITS) + 1, np.zeros(len(langs), np.int64)
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        number = {x: i for i, x in enumerate(langs)}
         for b in pieces(batches):
             flat, start, _ = _points(b)
-            which = np.array([langs.index(x) for x in b.column("lang").to_pylist()])
+            which = np.array([number[x] for x in b.column("lang").to_pylist()], np.int64)
             seen += np.bincount(which, minlength=len(langs))
-            size = np.diff(np.concatenate((start, [len(flat) - 2])))
-            owner = np.repeat(which, size)
+            owner = np.repeat(which, np.diff(np.concatenate((start, [len(flat) - 2]))))
+            found = [keys]
             for order in ORDERS:
                 h = _buckets(flat, order)[: len(owner)]
-                key = owner[: len(h)].astype(np.int64) * ((1 << BITS) + 1) + h
-                counts += np.bincount(key, minlength=counts.size).reshape(counts.shape)
+                found.append(owner[: len(h)] * width + h)
+            ones = [counts, *[np.ones(len(x), np.int64) for x in found[1:]]]
+            keys, back = np.unique(np.concatenate(found), return_inverse=True)
+            counts = np.bincount(back, np.concatenate(ones), len(keys)).astype(np.int64)
         for i in np.flatnonzero(seen):
             for c in range(0, 1 << BITS, _CHUNK):
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([int(i)], pa.int32()), "chunk": pa.array([c], pa.int32()), "docs": pa.array([int(seen[i])], pa.int64()), "counts": pa.array([counts[i, c : c + _CHUNK].tobytes()], pa.binary())})
+                lo, hi = np.searchsorted(keys, (i * width + c, i * width + c + _CHUNK))
+                dense = np.zeros(_CHUNK, np.int64)
+                dense[keys[lo:hi] - i * width - c] = counts[lo:hi]
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([int(i)], pa.int32()), "chunk": pa.array([c], pa.int32()), "docs": pa.array([int(seen[i])], pa.int64()), "counts": pa.array([dense.tobytes()], pa.binary())})
 
     return run
 
@@ -100,13 +109,11 @@ def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, smoothing: float = 0.5) -
     ``labelled`` has doc_id, text and lang; rows with a null in any of them teach nothing. At most about
     ``fit_docs`` rows teach (documented bound; all rows if there are fewer): all of the rarer languages, and
     of the others equally many each, chosen by a hash of doc_id. Languages whose texts hold no letter are left
-    out. Priors are equal. More than 256 languages: ValueError, since the matrix is broadcast.
+    out. Priors are equal.
     """
     rows = labelled.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGS + 1).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # the languages
     langs, n = sorted(sizes), sum(sizes.values())
-    if len(langs) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
     if not langs:
         return [], np.zeros((0, (1 << BITS) + 1), np.float32)
     if n > fit_docs:
@@ -114,7 +121,7 @@ def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, smoothing: float = 0.5) -
         rates = F.create_map(*[F.lit(x) for lang in langs for x in (lang, math.ceil(1_000_000 * min(1.0, most / sizes[lang])))])
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rates[F.col("lang")])
     schema = "lang int, chunk int, docs long, counts binary"
-    parts = rows.select("text", "lang").mapInArrow(_count(langs), schema).groupBy("lang", "chunk").applyInArrow(_total, schema)
+    parts = rows.select("text", "lang").repartition(FIT_TASKS).mapInArrow(_count(langs), schema).groupBy("lang", "chunk").applyInArrow(_total, schema)
     counts = np.zeros((len(langs), (1 << BITS) + 1))
     for r in parts.collect():  # languages x 16 rows of 32 KB
         counts[r["lang"], r["chunk"] : r["chunk"] + _CHUNK] = np.frombuffer(r["counts"], np.int64)
@@ -126,14 +133,32 @@ def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, smoothing: float = 0.5) -
     return langs, logs.astype(np.float32)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """``docs`` with lang_pred and score in place of text: the likeliest language and its posterior
-    probability under equal priors (ties: the alphabetically first). A null text, a text without a letter
-    and a model without languages give ``und`` and 0. Texts are scored whole; other columns stay."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep_text: bool = False) -> DataFrame:
+    """``docs`` with lang_pred and score, in place of text unless it is kept: the likeliest language and its
+    posterior probability under equal priors (ties: the alphabetically first). A null text, a text without a
+    letter and a model without languages give ``und`` and 0. Texts are scored whole; repeated rows alike; an
+    empty table stays empty. Columns named lang_pred or score are replaced, other columns stay.
+
+    The matrix is broadcast in blocks of 256 languages; more languages take one pass of the texts per block,
+    which carries the best language so far and the sum of the posterior.
+    """
     langs, logs = model
+    keep = [c for c in docs.columns if c.lower() not in ("text", "lang_pred", "score")]
+    best, top, mass = unused(docs, "best_lang", "best_log", "mass")
+    blocks = range(0, max(1, len(langs)), BLOCK)
+    for at in blocks:
+        first, last = at == 0, at == blocks[-1]
+        carried = [] if first else [best, top, mass]
+        took = docs.select(*keep, "text", *carried)
+        made = took.select(*keep, *(["text"] if keep_text or not last else []))
+        none = [F.lit("").alias(best), F.lit(0.0).alias(top), F.lit(0.0).alias(mass)]
+        out = made.select("*", *([F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")] if last else none)).schema
+        docs = took.mapInArrow(_score(docs, langs[at : at + BLOCK], logs[at : at + BLOCK], made.columns, carried, ["lang_pred", "score"] if last else [best, top, mass]), out)
+    return docs
+
+
+def _score(docs: DataFrame, langs: list[str], logs: np.ndarray, keep: list[str], carried: list[str], gives: list[str]):
     shared = docs.sparkSession.sparkContext.broadcast(logs)
-    keep = [c for c in docs.columns if c != "text"]
-    out = docs.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def run(batches):
         table = shared.value
@@ -146,14 +171,22 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                 for i in range(len(langs)):
                     scores[i] += np.add.reduceat(table[i][h], start, dtype=np.float64)
             if langs:
-                scores -= scores.max(axis=0)
-                best, score = scores.argmax(axis=0), 1 / np.exp(scores).sum(axis=0)
+                top = scores.max(axis=0)
+                names, mass = np.array(langs, object)[scores.argmax(axis=0)], np.exp(scores - top).sum(axis=0)
             else:
-                best, score = np.zeros(b.num_rows, int), np.zeros(b.num_rows)
-            known = (letters > 0) & bool(langs)
-            names = [langs[i] if k else "und" for i, k in zip(best, known)]
-            arrays = [b.column(c) for c in keep] + [pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "lang_pred", "score"])
+                names, top, mass = np.full(b.num_rows, "und", object), np.zeros(b.num_rows), np.full(b.num_rows, np.inf)
+            if carried:  # the languages of the blocks before come first
+                was, high, sum_ = (b.column(c) for c in carried)
+                high, sum_ = high.to_numpy(zero_copy_only=False), sum_.to_numpy(zero_copy_only=False)
+                more = np.maximum(top, high)
+                names = np.where(top > high, names, np.array(was.to_pylist(), object))
+                top, mass = more, mass * np.exp(top - more) + sum_ * np.exp(high - more)
+            if len(gives) == 2:
+                known = letters > 0
+                end = [pa.array(np.where(known, names, "und").tolist(), pa.string()), pa.array(np.where(known, 1 / mass, 0.0))]
+            else:
+                end = [pa.array(names.tolist(), pa.string()), pa.array(top), pa.array(mass)]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *end], names=[*keep, *gives])
         trim()
 
-    return docs.select(*keep, "text").mapInArrow(run, out)
+    return run

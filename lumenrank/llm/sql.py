@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from .mixing import DIMS, ROUNDS, TOPICS
-
 OP2 = r"""
 with recursive words as (
   select doc_id, [w for w in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if w != ''] as w from documents),
@@ -44,37 +42,4 @@ select * from r where rank <= 5
 """
 
 
-def op1(powers: dict[str, float], share: float, seed: str) -> str:
-    """Raking and calibration unrolled: one materialised step per round and dimension."""
-    steps = [
-        r"""words as (select doc_id, text, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as tokens,
-  [(ascii(w) + length(w)) % """ + str(TOPICS) + r""" for w in regexp_extract_all(lower(coalesce(text, '')), '\p{L}{8,}')] as c from documents)""",
-        f"""marked as (select doc_id, source, lang, tokens, case when len(c) > 0 then 't' || (list_sort([[-len([x for x in c if x = k]), k] for k in range({TOPICS})])[1][2])::varchar end as topic from words)""",
-        "cells as materialized (select coalesce(source, '(none)') as source, coalesce(lang, '(none)') as lang, coalesce(topic, '(none)') as topic, sum(tokens)::double as tokens from marked group by all)",
-    ]
-    for d in DIMS:
-        steps.append(f"t_{d} as materialized (select {d}, pow(n, {powers[d]}) / sum(pow(n, {powers[d]})) over () * sum(n) over () as t from (select {d}, sum(tokens) as n from cells group by {d} having sum(tokens) > 0))")
-    last = "w0"
-    steps.append("w0 as materialized (select *, tokens as w from cells)")
-    for i in range(ROUNDS * len(DIMS)):
-        d = DIMS[i % len(DIMS)]
-        steps.append(f"w{i + 1} as materialized (select c.source, c.lang, c.topic, c.tokens, coalesce(c.w * t.t / s.s, 0) as w from {last} c left join t_{d} t using ({d}) left join (select {d}, sum(w) as s from {last} group by {d}) s using ({d}))")
-        last = f"w{i + 1}"
-    steps += [
-        f"ratio as materialized (select *, case when tokens > 0 then w / tokens else 0 end as r from {last})",
-        "ordered as materialized (select *, sum(tokens) over o - tokens as done, sum(r * tokens) over (order by r, source desc, lang desc, topic desc rows unbounded preceding) as rest from ratio window o as (order by r desc, source, lang, topic rows unbounded preceding))",
-        f"factors as (select r, greatest({share} * (select sum(tokens) from cells) - done, 0) / nullif(rest, 0) as f from ordered)",
-        "factor as (select max(r) as top from factors where f * r <= 1)",
-        "chosen as (select max(f) as f from factors, factor where r = top and f * r <= 1)",
-        "p as materialized (select source, lang, topic, case when tokens > 0 then least(1.0, r * coalesce((select f from chosen), 1e300)) else 1.0 end as p from ratio)",
-    ]
-    return (
-        "with " + ",\n".join(steps) + f"""
-select m.doc_id, m.source, m.lang, m.topic, m.tokens, round(p.p, 6) as probability,
-  ('0x' || substr(md5('{seed}' || coalesce(m.doc_id::varchar, '')), 1, 13))::bigint / 4503599627370496.0 < p.p as kept
-from marked m join p on p.source = coalesce(m.source, '(none)') and p.lang = coalesce(m.lang, '(none)') and p.topic = coalesce(m.topic, '(none)')
-"""
-    )
-
-
-ORACLES = {"op2_ngram_jaccard": OP2, "op5_chat": OP5, "op9_exact_topk": OP9, "op1_mixing": op1({"source": 0.5, "lang": 0.7, "topic": 0.5}, 0.8, "mix-1:")}
+ORACLES = {"op2_ngram_jaccard": OP2, "op5_chat": OP5, "op9_exact_topk": OP9}

@@ -37,36 +37,114 @@ def odd(spark):
 # ---- mixing
 
 
-def test_rake_meets_marginals():
+def marginals(tokens, p, codes):
+    return [np.bincount(c, tokens * p) for c in codes]
+
+
+def test_rake_meets_marginals_within_what_cells_hold():
+    """Bounded raking against its definition: the targets are met, no cell gives more than it has, and the
+    probabilities below 1 are products of one factor per value (the fit of least divergence)."""
     rng = np.random.default_rng(1)
     codes = [rng.integers(0, k, 200) for k in (4, 3, 2)]
-    w = rng.random(200) + 0.1
-    targets = [np.full(k, w.sum() / k) for k in (4, 3, 2)]
-    got = mixing.rake(w, codes, targets, 60)
-    for c, t in zip(codes, targets, strict=True):
-        assert np.bincount(c, got, len(t)) == pytest.approx(t, rel=1e-6)
+    tokens = rng.integers(1, 1000, 200).astype(float)
+    held = [np.bincount(c, tokens) for c in codes]
+    for share in (0.3, 0.6, 0.8):
+        targets = [mixing.wanted(h, 0.3, np.full(len(h), np.nan), share * tokens.sum()) for h in held]
+        p, error = mixing.rake(tokens, codes, targets)
+        assert error < 1e-9 and 0 < p.min() and p.max() <= 1
+        for got, want, h in zip(marginals(tokens, p, codes), targets, held, strict=True):
+            assert got == pytest.approx(want, rel=1e-8) and want.sum() == pytest.approx(share * tokens.sum()) and (want <= h * (1 + 1e-12)).all()
+        open_ = p < 1
+        design = np.hstack([np.eye(k)[c] for c, k in zip(codes, (4, 3, 2), strict=True)])[open_]
+        fit = design @ np.linalg.lstsq(design, np.log(p[open_]), rcond=None)[0]
+        assert fit == pytest.approx(np.log(p[open_]), abs=1e-5)
+
+
+def test_levels_solve_for_the_target():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        code, tokens, scale = rng.integers(0, 5, 60), rng.random(60) + 0.01, 10 ** rng.uniform(-6, 6, 60)
+        target = np.bincount(code, tokens, 5) * rng.random(5) * 0.99
+        f = mixing.levels(tokens, scale, code, target)
+        assert np.bincount(code, tokens * np.minimum(1, scale * f[code]), 5) == pytest.approx(target, rel=1e-9)
+
+
+def test_mix_meets_its_targets_in_the_corpus(spark, sf_dir, docs):
+    got = queries.op1_mixing(spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+    words = {r["doc_id"]: len(re.findall("[^\x20\x09-\x0d]+", r["text"] or "")) for r in docs.collect()}
+    total, budget = sum(words.values()), 0.8 * sum(words.values())
+    for d in mixing.DIMS:
+        held, gave = Counter(), Counter()
+        for r in got:
+            assert r["tokens"] == words[r["doc_id"]]
+            held[r[d]] += r["tokens"]
+            gave[r[d]] += r["tokens"] * r["probability"]
+        # targets by plain bisection: the held tokens to a power, none more than is held
+        power, low, high = queries.MIX["powers"][d], 0.0, 1e12
+        want = lambda f: {v: min(n, f * n**power) for v, n in held.items() if n}
+        for _ in range(200):
+            low, high = ((low + high) / 2, high) if sum(want((low + high) / 2).values()) < budget else (low, (low + high) / 2)
+        assert {v: gave[v] / total for v in want(high)} == pytest.approx({v: n / total for v, n in want(high).items()}, abs=2e-6)
+    for r in got:
+        draw = int(hashlib.md5(f"{queries.MIX['seed']}{r['doc_id']}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        assert r["kept"] == (draw < r["probability"]) or abs(draw - r["probability"]) < 1e-6
 
 
-def test_calibration_spends_the_budget():
-    tokens, raked = np.array([100, 200, 300, 0]), np.array([250.0, 200.0, 150.0, 0.0])
-    for share in (0.1, 0.5, 0.9):
-        p = mixing.calibrate(tokens, raked, share * 600)
-        assert (p * tokens).sum() == pytest.approx(share * 600) and p.max() <= 1
-    assert mixing.calibrate(tokens, raked, 600.0).tolist() == [1, 1, 1, 1]
+def test_topics_by_a_plain_mixture(docs):
+    """The fitted models applied to every document, against a sum over its words in plain Python."""
+    from lumenrank.llm import jaccard as j
 
+    models = mixing.fit_topics(docs)
+    got = {r["doc_id"]: r["topic"] for r in mixing.features(docs).collect()}
+    for r in docs.collect():
+        logs, words = models[r["lang"] or "(none)"], re.findall("[^\x20\x09-\x0d]+", r["text"] or "")
+        place = [int(j.hashed_words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[1][0]) >> 54 for w in words]
+        like = [float(row[-1]) + sum(float(row[k]) for k in place) for row in logs]
+        assert got[r["doc_id"]] == (f"t{int(np.argmax(like))}" if words else None)
 
-def test_mix_in_spark_equals_driver(docs):
-    marked = mixing.features(docs).drop("text")
-    a = {r["doc_id"]: (round(r["probability"], 6), r["kept"]) for r in mixing.mix(marked, **queries.MIX).collect()}
-    b = {r["doc_id"]: (round(r["probability"], 6), r["kept"]) for r in mixing.mix(marked, **queries.MIX, driver_cells=-1).collect()}
-    assert len(a) == docs.count() and sum(abs(a[k][0] - b[k][0]) > 1e-4 for k in a) == 0
+
+def test_mixture_tells_topics_apart():
+    rng = np.random.default_rng(3)
+    share = np.repeat([0.02, 0.0], [50, mixing.BUCKETS - 50])
+    bags = np.vstack([rng.multinomial(80, np.roll(share, 50 * k), 60 - 20 * k) for k in range(3)]).astype(float)
+    logs = mixing.mixture(bags, 3)
+    best = (bags @ logs[:, :-1].T + logs[:, -1]).argmax(axis=1)
+    assert best.tolist() == [0] * 60 + [1] * 40 + [2] * 20
+
+
+def test_shares_asked_for_are_met_or_raise(spark, docs):
+    marked = mixing.features(docs, topic=F.concat(F.lit("t"), F.col("doc_id") % 3)).cache()
+    even = {"source": 1.0, "lang": 1.0, "topic": 1.0}
+    got = mixing.fit(marked, even, 0.8, {"lang": {"de": 0.3}, "topic": {"t0": 0.5, "t1": 0.25}})
+    by = {(r["dimension"], r["value"]): r for r in got.marginals.collect()}
+    assert by["lang", "de"]["achieved"] == pytest.approx(0.3, abs=1e-6) and [by["topic", t]["achieved"] for t in ("t0", "t1", "t2")] == pytest.approx([0.5, 0.25, 0.25], abs=1e-6)
+    assert got.error < 1e-6 and all(abs(r["residual"]) < 1e-6 for r in by.values())
+    for bad in ({"lang": {"xx": 0.5}}, {"lang": {"de": 0.7, "en": 0.7}}, {"topic": {"t0": 0.2, "t1": 0.2, "t2": 0.2}}):
+        with pytest.raises(ValueError):
+            mixing.fit(marked, even, 0.8, bad)
+    made = spark.createDataFrame([("a", "x", "t", 10), ("b", "y", "t", 10)], "source string, lang string, topic string, tokens long")
+    tied = {"source": {"a": 0.5}, "lang": {"x": 0.2}}
+    assert mixing.fit(made, even, 0.8, tied).error > 0.1
+    with pytest.raises(ValueError):
+        mixing.fit(made, even, 0.8, tied, strict=True)
+
+
+def test_mix_in_spark_equals_driver(spark):
+    rng = np.random.default_rng(7)
+    made = [(i, f"s{rng.integers(3)}", "xyz"[rng.integers(3)], f"t{rng.integers(2)}", int(rng.integers(1, 90))) for i in range(300)]
+    marked = spark.createDataFrame(made, "doc_id long, source string, lang string, topic string, tokens long")
+    a, b = (mixing.fit(marked, queries.MIX["powers"], 0.8, {"topic": {"t1": 0.4}}, driver_cells=n) for n in (1000, -1))
+    mine, other = ({tuple(r)[:3]: r[3] for r in x.cells.collect()} for x in (a, b))
+    assert mine.keys() == other.keys() and [mine[k] for k in mine] == pytest.approx([other[k] for k in mine], abs=1e-7)
+    assert a.budget == pytest.approx(b.budget) and b.error < 1e-6 and max(abs(r["residual"]) for r in b.marginals.collect()) < 1e-6
 
 
 def test_mix_edges(spark):
-    marked = mixing.features(odd(spark).withColumns({"source": F.lit(None).cast("string"), "lang": F.lit("x")}))
+    marked = mixing.features(odd(spark).withColumns({"source": F.lit(None).cast("string"), "lang": F.lit("x"), "lang_of": F.lit(3)}))
     got = mixing.mix(marked, **queries.MIX).collect()
-    assert len(got) == len(ODD) and all(0 <= r["probability"] <= 1 for r in got) and all(r["kept"] for r in got if r["tokens"] == 0)
-    assert mixing.mix(marked.limit(0), **queries.MIX).count() == 0
+    assert len(got) == len(ODD) and all(0 <= r["probability"] <= 1 and r["lang_of"] == 3 for r in got) and all(r["kept"] and r["topic"] is None for r in got if r["tokens"] == 0)
+    assert mixing.mix(marked.limit(0), **queries.MIX).count() == 0 and mixing.features(odd(spark).withColumn("lang", F.lit("x")).limit(0)).count() == 0
 
 
 # ---- n-gram Jaccard
@@ -147,6 +225,50 @@ def test_language_id_on_held_out_documents(spark, sf_dir, docs):
     assert sum(r["lang"] == r["lang_pred"] for r in held) / len(held) > 0.97
 
 
+def test_language_id_against_a_plain_naive_bayes(spark, docs):
+    """Counts, log probabilities, winner and score from n-grams in plain Python."""
+    width, mask = 1 << langid.BITS, (1 << 64) - 1
+
+    def grams(text):
+        low = "\n\n" + "".join(c if c.isalpha() else "\n" for c in text.lower()) + "\n\n"
+        for order in langid.ORDERS:
+            for i in range(len(low) - order + 1):
+                part = low[i : i + order]
+                if i >= len(low) - 2 or not part.strip("\n"):
+                    continue
+                h = (order + sum((0 if c == "\n" else ord(c)) * m for c, m in zip(part, langid._MULT[order], strict=True))) & mask
+                yield (((h ^ h >> 29) * 0xBF58476D1CE4E5B9) & mask) >> 64 - langid.BITS
+
+    rows = [r for r in docs.collect() if r["text"] is not None]
+    taught = [r for r in rows if r["lang"] and r["doc_id"] % 2]
+    model = langid.fit(spark.createDataFrame([(r["doc_id"], r["text"], r["lang"]) for r in taught], "doc_id long, text string, lang string"))
+    counts = {}
+    for r in taught:
+        counts.setdefault(r["lang"], Counter()).update(grams(r["text"]))
+    assert model[0] == sorted(counts)
+    total = {x: sum(c.values()) + 0.5 * width for x, c in counts.items()}
+    for x, row in zip(model[0], model[1], strict=True):
+        assert [float(row[k]) for k in counts[x]] == pytest.approx([np.log((n + 0.5) / total[x]) for n in counts[x].values()], abs=1e-5)
+    got = {r["doc_id"]: r for r in langid.predict(docs.select("doc_id", "text"), model).collect()}
+    for r in rows[::7]:
+        found = Counter(grams(r["text"]))
+        logs = {x: sum(n * np.log((counts[x][k] + 0.5) / total[x]) for k, n in found.items()) for x in counts}
+        best = max(sorted(logs), key=lambda x: logs[x])
+        if any(c.isalpha() for c in r["text"]):
+            assert got[r["doc_id"]]["lang_pred"] == best and got[r["doc_id"]]["score"] == pytest.approx(1 / sum(np.exp(v - logs[best]) for v in logs.values()), abs=1e-3)
+
+
+def test_language_id_in_blocks_of_languages(spark, docs, monkeypatch):
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
+    rows = odd(spark).withColumns({"lang_pred": F.lit(7), "best_lang": F.lit(8)}).unionByName(docs.select("doc_id", "text"), allowMissingColumns=True)
+    whole = {(r["doc_id"], r["text"]): (r["lang_pred"], round(r["score"], 9)) for r in langid.predict(rows, model, keep_text=True).collect()}
+    monkeypatch.setattr(langid, "BLOCK", 3)
+    parts = langid.predict(rows, model, keep_text=True)
+    assert parts.columns == [*[c for c in rows.columns if c not in ("text", "lang_pred", "score")], "text", "lang_pred", "score"]
+    assert {(r["doc_id"], r["text"]): (r["lang_pred"], round(r["score"], 9)) for r in parts.collect()} == whole
+    assert whole[5, "x " * 20_000][0] != "und" and langid.predict(rows.limit(0), model).count() == 0
+
+
 def test_language_id_edges(spark, docs):
     model = langid.fit(docs.select("doc_id", "text", "lang"))
     got = langid.predict(spark.createDataFrame([(1, None), (2, ""), (3, "12 !?"), (4, "Die Straße und der Ärger")], DOCS), model).collect()
