@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenrank.llm import jaccard, langid, mixing, packing, pii
-from lumenrank.llm.common import small, stored
+from lumenrank.llm.common import aside, discard, small, stored
 from lumenrank.llm.queries import MIX, PII_KEY
 from lumenrank.session import ship
 
@@ -23,17 +23,21 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in a language that the labelled documents teach."""
+    """Documents whose text is in a language that the labelled documents teach.
+
+    Null and empty texts, texts without a letter, and all texts where no document has a language, are rejected;
+    whole texts count, repeated rows go or stay alike, other columns are left as they are.
+    """
     ship(spark)
     model = langid.fit(docs.select("doc_id", "text", "lang"))
-    names = docs.columns
-    marked = langid.predict(docs.withColumn("_text", F.col("text")), model)
-    return marked.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).withColumnRenamed("_text", "text").select(*names)
+    rows, back = aside(docs, "lang_pred", "score")
+    return back(langid.predict(rows, model, keep_text=True).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id of each group of near duplicates. The ids that go are few beside the
-    documents, so they are what is joined. Rows without a doc_id belong to no group and stay."""
+    documents, so they are what is joined. Rows without a doc_id belong to no group and stay, as do null and
+    empty texts and repeated rows of the doc_id that stays; other columns are left as they are."""
     ship(spark)
     groups = jaccard.near_components(docs.select("doc_id", "text"))
     gone = stored(groups.where("doc_id != component_id").select("doc_id"), "near-duplicates")
@@ -41,20 +45,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its personal data replaced by surrogates."""
+    """Every document, its personal data replaced by surrogates, and n_chars those of the new text. Null and empty
+    texts stay; repeated rows are treated alike; other columns are left as they are."""
     ship(spark)
-    out = pii.pseudonymise(docs, PII_KEY)
-    return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))).select(*docs.columns)
+    rows, back = aside(docs, "n_replaced")
+    out = back(pii.pseudonymise(rows, PII_KEY))
+    return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))) if "n_chars" in docs.columns else out
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the calibrated mix samples."""
+    """The documents that the calibrated mix samples. Null and empty texts carry no weight and stay; repeated rows go
+    or stay together; other columns are left as they are."""
     ship(spark)
-    return mixing.mix(mixing.features(docs), **MIX).where("kept").select(*docs.columns)
+    rows, back = aside(docs, "topic", "tokens", "probability", "kept")
+    marked = stored(mixing.features(rows, keep_text=True), "features")
+    return back(mixing.mix(marked, **MIX).where("kept"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents' token sequences."""
+    """The pieces of the documents' token sequences. A null or empty text is one end id; repeated rows are documents of
+    their own; other columns are ignored."""
     ship(spark)
     return packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -66,5 +76,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name)
+        discard(before)  # what the stage before wrote
     return STAGES[-1][1](spark, docs, sf_dir)
