@@ -26,12 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
     return here
 
 
-def stored(df: DataFrame, name: str, **options) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder and read back: lineage ends here, and a lost
-    executor costs no more than the task that was running on it."""
+def stored(df: DataFrame, name: str, by: str | None = None, **options) -> DataFrame:
+    """``df`` written as a Parquet table in the shared folder (one folder for each value of the column ``by``) and
+    read back: lineage ends here, and a lost executor costs no more than the task that was running on it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    df.write.options(**options).parquet(path, partitionBy=by)
     back = spark.read.schema(df.schema).parquet(path)
     back.stored_at = path
     return back
@@ -109,3 +109,12 @@ def aside(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame],
     clash = [c for c in df.columns if c.lower() in low]
     moved = dict(zip(clash, unused(df, *[f"{c}_own" for c in clash]), strict=True))
     return df.withColumnsRenamed(moved), lambda out: out.select(*[F.col(moved.get(c, c)).alias(c) for c in df.columns])
+
+
+def salted_join(many: DataFrame, once: DataFrame, on: list[str], salts: int = 16) -> DataFrame:
+    """Inner join of rows that may share a key in any number with rows that have it once: the rows of a key are
+    dealt over ``salts`` tasks by all their columns, and the other side is sent to each."""
+    salt, = unused(many, "salt")
+    dealt = many.withColumn(salt, F.pmod(F.xxhash64(*[c for c in many.columns if not many.schema[c].dataType.simpleString().startswith("map")]), F.lit(salts)).cast("int"))
+    sent = once.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(sent, [*on, salt]).drop(salt)

@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from ..functions.text import computed
+from .common import discard, salted_join, stored, unused
 
 #: Titles that introduce a name, by gender.
 TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Г-н"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа"], "n": ["Dr", "Prof"]}
@@ -25,30 +26,40 @@ _WORD = r"\p{Lu}[\p{L}’'-]+"
 _SECRET = r"(?i:token|password|passwd|secret|api[_-]{0,1}key)[\"']{0,1} {0,1}[=:]"
 _NATIONAL = r"(?:(?:1[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\(0\d{1,4}\) ?\d{3,8}|0\d{2,4}[ /-]\d{5,8}|0\d(?:[ .-]\d{2}){4})"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_DATE = r"\d{1,4}[./-]\d{1,2}[./-]\d{1,4}(?!\d)"
+_BORN = r"(?i:born|dob|date of birth|birth date|birthday|geboren|née{0,1})(?:[: ]| on | am |: )"
+_ACCOUNT = r"(?i:account|acct|konto)(?: (?i:no|number|nr)){0,1}[.]{0,1}[:#]{0,1} {0,1}"
+#: Each begins with what is cheap to refuse: most places of a text hold none of them.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
-    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)" rf"|(?<![\p{{L}}\d])(?<!\d[.-]){_NATIONAL}(?![\p{{L}}\d_]|-[\p{{L}}\d]|\.\d)",
-    "key": r"\bAKIA[A-Z0-9]{16}\b",
-    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<!\d)\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)",
-    "name": rf"(?<!\p{{L}}){_TITLE} {_WORD}(?: {_WORD})?",
-    "secret": rf"(?<=[=: \"'])(?<=(?<![\p{{L}}\d]){_SECRET} {{0,1}}[\"']{{0,1}})[A-Za-z0-9+/_-]{{8,}}",
+    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "birth": rf"(?=\d)(?<=[ :])(?<=(?<!\p{{L}}){_BORN}){_DATE}",
+    "account": rf"(?=\d)(?<=[ .:#])(?<=(?<!\p{{L}}){_ACCOUNT})\d{{6,17}}(?!\d)",
+    "ip": rf"(?=\d)(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
+    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)" rf"|(?=[(\d])(?<![\p{{L}}\d])(?<!\d[.-]){_NATIONAL}(?![\p{{L}}\d_]|-[\p{{L}}\d]|\.\d)",
+    "key": r"(?=A)\bAKIA[A-Z0-9]{16}\b",
+    "iban": r"(?=[A-Z]{2}\d)\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "ssn": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "card": r"(?=\d)(?<!\d)\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)",
+    "address": r"(?=\d)(?<![\d.])\d{1,5}[a-z]? (?:\p{Lu}[\p{L}’'-]+ ){1,3}(?:Street|St\b|Avenue|Ave\b|Road|Rd\b|Lane|Drive|Boulevard|Blvd\b)",
+    "name": rf"(?=[MHSFDPГ])(?<!\p{{L}}){_TITLE} {_WORD}(?: {_WORD})?",
+    "secret": rf"(?<=[=: \"'])(?<=[=:] {{0,1}}[\"']{{0,1}})(?<=(?<![\p{{L}}\d]){_SECRET} {{0,1}}[\"']{{0,1}})[A-Za-z0-9+/_-]{{8,}}",
 }
+#: What a mention by itself is told by, where its pattern looks at what stands before.
+_ALONE = PATTERNS | {"birth": _DATE, "account": r"\d{6,17}"}
+_ORDER = ["email", "ip", "ssn", "phone", "key", "iban", "card", "birth", "account", "address", "name"]
 #: What may end a name word without being part of it.
 _TAIL = r"(?:['’]s|['’-]+)$"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text must show to hold a mention at all; cheaper than the pattern.
-HINT = rf"[0-9@]|(?<!\p{{L}}){_TITLE} \p{{Lu}}|{_SECRET}"
+HINT = rf"(?=[0-9@=:MHSFDPГ])(?:[0-9@]|[=:](?<={_SECRET})|(?<!\p{{L}}){_TITLE} \p{{Lu}})"
 _SYLLABLES = {"latin": ["ba", "de", "fi", "go", "lu", "ma", "ne", "ri", "so", "tu", "va", "ke", "li", "mo", "ra", "si"], "cyrillic": ["ба", "де", "фи", "го", "лу", "ма", "не", "ри", "со", "ту", "ва", "ке", "ли", "мо", "ра", "си"]}
 _ENDS = {("latin", "m"): "rn", ("latin", "f"): "na", ("latin", "n"): "s", ("cyrillic", "m"): "нов", ("cyrillic", "f"): "нова", ("cyrillic", "n"): "ко"}
 
 
 def _kind(mention: Column) -> Column:
     kind = F.lit("secret")
-    for name in reversed([n for n in PATTERNS if n != "secret"]):
-        kind = F.when(mention.rlike(f"^(?:{PATTERNS[name]})$"), name).otherwise(kind)
+    for name in reversed(_ORDER):
+        kind = F.when(mention.rlike(f"^(?:{_ALONE[name]})$"), name).otherwise(kind)
     return kind
 
 
@@ -105,7 +116,7 @@ def _parts(mention: Column, kind: Column, gender: Column) -> Column:
     return (
         F.when(kind == "email", F.concat(part(F.lit("email"), low), part(F.lit("domain"), F.substring_index(low, "@", -1))))
         .when(kind == "name", named)
-        .when(kind.isin("phone", "card", "ssn"), part(kind, F.regexp_replace(mention, r"\D", "")))
+        .when(kind.isin("phone", "card", "ssn", "account"), part(kind, F.regexp_replace(mention, r"\D", "")))
         .when(kind == "iban", part(kind, F.regexp_replace(mention, " ", "")))
         .otherwise(part(kind, mention))
     )
@@ -118,25 +129,32 @@ def _luhn(digits: Column) -> Column:
 
 
 def _surrogate(key: str) -> Column:
-    """Surrogate of (kind, value) at draw number ``draw``; from the fifth draw on it grows, so that short
-    values can't run out of others."""
+    """Surrogate of (kind, value) at draw number ``draw``. From the fifth draw on more characters are drawn and from
+    more classes, at the same length; only from the tenth on does it grow, since short values can run out."""
     digest = F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), "kind", "value", "draw", F.lit(str(k))), 256) for k in range(3)])
     byte = lambda i: F.conv(F.substr(digest, (i % 96) * 2 + 1, F.lit(2)), 16, 10).cast("int")
     pick = lambda letters, i: F.substr(F.lit(letters), byte(i) % len(letters) + 1, F.lit(1))
     lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
+    wide = F.col("draw") > 4
+
     def like(text: Column, hexa: bool = False) -> Column:
-        of = lambda c, i: F.when(c.rlike("[0-9]"), pick(digit, i)).when(c.rlike("[a-z]"), pick("abcdef" if hexa else lower, i)).when(c.rlike("[A-Z]"), pick(upper, i)).otherwise(c)
+        some = lambda few, more, i: F.when(wide, pick(more, i)).otherwise(pick(few, i))
+        of = lambda c, i: F.when(c.rlike("[0-9]"), pick(digit, i)).when(c.rlike("[a-z]"), pick("abcdef", i) if hexa else some(lower, lower + digit, i)).when(c.rlike("[A-Z]"), some(upper, upper + digit, i)).otherwise(c)
         return F.array_join(F.transform(F.split(text, ""), of), "")
 
     v = F.col("value")
-    grow = F.greatest(F.col("draw") - 4, F.lit(0))
+    grow = F.greatest(F.col("draw") - 9, F.lit(0))
     more = F.when(grow > 0, F.substr(F.regexp_replace(digest, "[^0-9]", ""), F.lit(1), grow)).otherwise("")
-    head = F.substring(v, 1, 1)
+    head = F.when(wide, pick("123456789", F.lit(95))).otherwise(F.substring(v, 1, 1))
     drawn = F.concat(head, like(F.expr("substring(value, 2)")), more)
     body = F.expr("substring(value, 2, length(value) - 2)")
     stem = F.concat(head, like(body), more, F.lit("0"))
     valid = F.concat(F.regexp_replace(stem, "0$", ""), ((10 - _luhn(stem) % 10) % 10).cast("string"))
+    # each part of a date is valid as a day and as a month, or a year
+    part = lambda p, i: F.when(F.length(p) > 2, (byte(i) % 80 + 1930).cast("string")).when(F.length(p) == 2, F.lpad((byte(i) % 12 + 1).cast("string"), 2, "0")).otherwise((byte(i) % 9 + 1).cast("string"))
+    date = F.array_join(F.transform(F.split(v, "(?<=[./-])"), lambda p, i: F.concat(part(F.regexp_replace(p, "[./-]", ""), i), F.regexp_extract(p, "[./-]", 0))), "")
+    street = F.concat(like(F.regexp_replace(v, r" \S+$", "")), more, F.regexp_extract(v, r" \S+$", 0))
     local = F.concat(like(F.substring_index(v, "@", 1)), more)
     domain = F.regexp_extract(v, r"^(.*)(\.[^.]+)$", 1)
     name = F.lit(None).cast("string")
@@ -151,6 +169,8 @@ def _surrogate(key: str) -> Column:
         .when(F.col("kind") == "ip", octets)
         .when((F.col("kind") == "card") & (_luhn(v) % 10 == 0), valid)
         .when(F.col("kind").isin("card", "phone"), drawn)
+        .when(F.col("kind") == "birth", F.concat(date, more))
+        .when(F.col("kind") == "address", street)
         .when(F.col("kind") == "key", F.concat(F.lit("AKIA"), like(F.expr("substring(value, 5)")), more))
         .when(F.col("kind") == "iban", F.concat(F.substring(v, 1, 2), like(F.expr("substring(value, 3)")), more))
         .when(F.col("kind").startswith("name"), name)
@@ -160,7 +180,7 @@ def _surrogate(key: str) -> Column:
 
 
 def surrogates(parts: DataFrame, key: str) -> DataFrame:
-    """(kind, value, surrogate) of distinct parts (kind, value): no two of a kind share a surrogate, and no
+    """(kind, value, surrogate, draw) of distinct parts (kind, value): no two of a kind share a surrogate, and no
     surrogate is a value that occurs. Drawn again where that fails, each round a written table."""
     now = stored(parts.withColumn("draw", F.lit(0)).withColumn("surrogate", _surrogate(key)), "surrogates")
     while True:
@@ -168,9 +188,10 @@ def surrogates(parts: DataFrame, key: str) -> DataFrame:
         real = parts.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("real"))
         met = now.join(first.where("n > 1").drop("n"), ["kind", "surrogate"], "left").join(real, ["kind", "surrogate"], "left")
         met = met.select("kind", "value", "draw", "surrogate", (F.coalesce(F.col("holder") != F.col("value"), F.lit(False)) | F.coalesce("real", F.lit(False))).alias("again"))
-        met = stored(met, "met")
+        before, met = now, stored(met, "met")
+        discard(before)
         if met.where("again").isEmpty():
-            return met.select("kind", "value", "surrogate")
+            return met
         now = stored(met.withColumn("draw", F.col("draw") + F.col("again").cast("int")).select("kind", "value", "draw", F.when(F.col("again"), _surrogate(key)).otherwise(F.col("surrogate")).alias("surrogate")), "surrogates")
 
 
@@ -189,7 +210,7 @@ def _written(mention: Column, kind: Column, s: Column) -> Column:
         F.when((kind == "email") & shout, F.upper(email))
         .when(kind == "email", email)
         .when(kind == "name", F.concat(F.regexp_extract(mention, rf"^{_TITLE} ", 0), F.array_join(F.zip_with(s, _words(mention), lambda x, w: F.concat(x, F.regexp_extract(w, _TAIL, 0))), " ")))
-        .when(kind.isin("phone", "card", "ssn"), ended(fill("[0-9]")))
+        .when(kind.isin("phone", "card", "ssn", "account"), ended(fill("[0-9]")))
         .when(kind == "iban", ended(fill("[A-Z0-9]")))
         .otherwise(F.element_at(s, 1))
     )
@@ -198,26 +219,35 @@ def _written(mention: Column, kind: Column, s: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with every mention of personal data in ``text`` replaced, and n_replaced (mentions).
 
-    Null and empty texts stay as they are; rows keep their other columns, repeated rows are treated alike;
-    an empty table stays empty. Surrogates depend on the key and the set of values that occur.
+    Mentions are extracted once, with the rows stored beside them; texts without any pass by as they are. Null
+    and empty texts stay; texts are read whole; repeated rows are treated alike, and rows that share a text in
+    any number are dealt over several tasks; a column named n_replaced is replaced, other columns stay; an empty
+    table stays empty. Surrogates depend on the key and the set of values that occur.
     """
-    text = F.col("text")
+    names = [c for c in docs.columns if c.lower() != "n_replaced"]
+    hit, mark, said, known, every = unused(docs, "hit", "mark", "said", "known", "every")
+    text, col = F.col("text"), F.col
     mentions = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    marked = docs.withColumn("_mentions", mentions).withColumn("_mark", F.when(F.size("_mentions") > 0, F.concat(F.md5("text"), F.length("text").cast("string"))))
-    marked = marked.withColumn("_known", _known(F.col("_mentions")))
-    marked = marked.withColumn("_any", F.when(F.size("_known") > 0, F.concat(F.lit(f"{ANY}|"), _untitled(F.col("_known")))))
-    marked = marked.withColumn("_mentions", F.when(F.col("_any").isNotNull(), F.regexp_extract_all(text, F.col("_any"), F.lit(0))).otherwise(F.col("_mentions")))
-    found = marked.where("_mark is not null").select("_mark", F.explode(F.transform(F.array_distinct("_mentions"), lambda m: F.struct(m.alias("mention"), _settled(m, F.col("_known")).alias("gender")))).alias("m")).select("_mark", "m.*").distinct()
-    found = stored(found, "mentions")
+    marked = computed(docs.select(*names), **{said: mentions})
+    some = F.size(col(said)) > 0
+    marked = computed(marked, **{known: F.when(some, _known(col(said)))})
+    marked = marked.withColumn(every, F.when(F.size(known) > 0, F.concat(F.lit(f"{ANY}|"), _untitled(col(known)))))
+    marked = marked.withColumn(said, F.when(col(every).isNotNull(), F.regexp_extract_all(text, col(every), F.lit(0))).otherwise(col(said)))
+    marked = marked.withColumns({hit: some, mark: F.when(some, F.concat(F.md5("text"), F.length("text").cast("string")))})
+    marked = stored(marked, "marked", by=hit)
+    miss, hits = marked.where(~col(hit)), marked.where(col(hit))
+    exploded = F.explode(F.transform(F.array_distinct(said), lambda m: F.struct(m.alias("mention"), _settled(m, col(known)).alias("gender")))).alias("m")
+    found = stored(hits.select(mark, exploded).select(col(mark).alias("mark"), "m.*").distinct(), "mentions")
     kinds = found.select("mention", "gender").distinct().withColumn("kind", F.when(F.col("gender") != "", "name").otherwise(_kind(F.col("mention"))))
-    pieces = stored(kinds.select("mention", "gender", F.col("kind").alias("form"), F.posexplode(_parts(F.col("mention"), F.col("kind"), F.col("gender"))).alias("k", "part")).select("mention", "gender", "form", "k", "part.*"), "parts")
-    chosen = surrogates(pieces.select("kind", "value").distinct(), key)
-    written = pieces.join(chosen, ["kind", "value"]).groupBy("mention", "gender", "form").agg(F.array_sort(F.collect_list(F.struct("k", "surrogate"))).alias("s"))
+    parts = stored(kinds.select("mention", "gender", F.col("kind").alias("form"), F.posexplode(_parts(F.col("mention"), F.col("kind"), F.col("gender"))).alias("k", "part")).select("mention", "gender", "form", "k", "part.*"), "parts")
+    chosen = surrogates(parts.select("kind", "value").distinct(), key)
+    written = salted_join(parts, chosen, ["kind", "value"]).groupBy("mention", "gender", "form").agg(F.array_sort(F.collect_list(F.struct("k", "surrogate"))).alias("s"))
     written = written.select("mention", "gender", _written(F.col("mention"), F.col("form"), F.transform("s", lambda x: x["surrogate"])).alias("to"))
-    maps = stored(found.join(written, ["mention", "gender"]).groupBy("_mark").agg(F.map_from_entries(F.collect_list(F.struct("mention", "to"))).alias("_map")), "maps")
-    gaps = F.when(F.col("_any").isNull(), F.split("text", ANY, -1)).otherwise(F.split(text, F.col("_any"), -1))
-    new = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.try_element_at(F.col("_map"), F.get("_mentions", i)), F.lit("")))), "")
-    names = docs.columns
-    hit = marked.where("_mark is not null").join(maps, "_mark").withColumn("text", new).withColumn("n_replaced", F.size("_mentions").cast("long"))
-    miss = marked.where("_mark is null").withColumn("n_replaced", F.lit(0).cast("long"))
-    return miss.select(*names, "n_replaced").unionByName(hit.select(*names, "n_replaced"))
+    maps = salted_join(found, written, ["mention", "gender"]).groupBy("mark").agg(F.map_from_entries(F.collect_list(F.struct("mention", "to"))).alias("map"))
+    table, = unused(marked, "map")
+    maps = stored(maps.select(F.col("mark").alias(mark), F.col("map").alias(table)), "maps")
+    discard(found, parts, chosen)
+    gaps = F.when(col(every).isNull(), F.split("text", ANY, -1)).otherwise(F.split(text, col(every), -1))
+    new = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.try_element_at(col(table), F.get(said, i)), F.lit("")))), "")
+    done = salted_join(hits, maps, [mark]).withColumn("text", new).withColumn("n_replaced", F.size(said).cast("long"))
+    return miss.withColumn("n_replaced", F.lit(0).cast("long")).select(*names, "n_replaced").unionByName(done.select(*names, "n_replaced"))
