@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _star(links: DataFrame, both: bool) -> DataFrame:
@@ -34,5 +34,6 @@ def components(links: DataFrame) -> DataFrame:
         if found[0] == 0 or tuple(found) == mark:
             break
         mark = tuple(found)
-        now = stored(_star(_star(now, True), False), "links")
+        before, now = now, stored(_star(_star(now, True), False), "links")
+        discard(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

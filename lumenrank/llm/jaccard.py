@@ -1,19 +1,22 @@
 """N-gram Jaccard self-join by vertical partitioning, and the components of its links.
 
-1. A document's set of word n-grams is hashed to 64 bits. The hash range is cut into fragments, and the sets
-   are shipped as packed vertical slices: each task gets one fragment of *all* documents.
-2. Inside a fragment every n-gram's document frequency is exact. N-grams of one document can't overlap with
-   anything, so the fragment returns their number per document, and the shared n-grams with the rank of
-   their frequency. Summed up over the fragments this gives each document's size, its count of lone n-grams
-   and its core of shared ones; documents with too many lone n-grams can't reach the threshold and are done.
-3. Under the global order (lone n-grams, then by frequency, then by fragment and rank) two documents that
-   link share an n-gram of their prefixes, and at the first one that they share their positions can't add up
-   to more than the symmetric difference that the threshold allows.
+1. A document's set of word n-grams is hashed to 64 bits, and the sets are shipped as packed vertical slices of
+   the hash range, as many as their measured bytes ask for, each with only the documents it holds n-grams of.
+2. Inside a slice every n-gram's document frequency is exact, so there the n-grams get their places in the
+   global order: frequency octave, then slice, then rank. N-grams of one document can't overlap with anything:
+   the slice returns their number per document, and the shared ones by their place in the order, whose leading
+   bits are the octave. Added up over the slices this gives each document's size, its count of lone n-grams and
+   its core of shared ones; documents with too many lone n-grams can't reach the threshold and are done.
+3. Under the global order (lone n-grams first) two documents that link share an n-gram of their prefixes, and
+   at the first one that they share their positions can't add up to more than the symmetric difference that the
+   threshold allows.
 4. Documents of equal sets stand for each other. Candidates are counted twice: first each prefix bucket's
    members against its cleanest member only, which settles groups of near copies with a number of pairs that
-   grows with their members; then, between documents that are not yet in one component, all pairs that
-   prefix, length, position and a sketch of the sets' parities (a lower bound of their difference) leave. Nothing is capped: each link lies inside a component in the end.
-5. A pair's overlap is counted per fragment group of the core and summed up per pair.
+   grows with their members; then, between documents that are not yet in one component, all pairs that prefix,
+   length, position and a sketch of the sets' parities (a lower bound of their difference) leave. Nothing is
+   capped: each link lies inside a component in the end.
+5. The global order is cut into contiguous fragments of frequency octaves. A pair's partial overlaps are counted
+   in each fragment of the two cores by itself, and summed up per pair.
 """
 
 from __future__ import annotations
@@ -25,10 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, ragged, stored, texts, trim
+from .common import discard, pieces, ragged, salted_join, stored, texts, trim
 from .components import components
 
-N, THRESHOLD, GROUPS, SKETCH = 4, 85, 4, 1024
+N, THRESHOLD, SKETCH = 4, 85, 1024
+#: First octaves of the fragments that the global order is cut into; bytes of a slice or a bucket that one task
+#: works on at once; bytes of n-grams, and of shared n-grams, for each byte of text (measured); most tasks of a stage.
+CUTS, TASK_BYTES, GRAM_BYTES, CORE_BYTES, MOST_TASKS = (1, 2, 4, 8), 32 << 20, 2.6, 0.6, 1 << 15
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -113,15 +119,17 @@ def _slices(fragments: int, n: int):
     def run(batches):
         for b in pieces(batches, most=1 << 20, rows=1 << 15):
             doc, h = ngrams(*texts(b), n)
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False).tobytes()
-            part = ((h >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            part = (((h >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)).astype(np.int64)
             cut = np.searchsorted(part, np.arange(fragments + 1))
-            doc = doc.astype(np.uint16)
+            own, doc = np.unique(part * len(ids) + doc, return_inverse=True)  # a slice names its own documents
+            begin = np.searchsorted(own, np.arange(fragments + 1) * len(ids))
+            names, doc = ids[own % max(1, len(ids))], (doc - begin[part]).astype(np.uint16)
             full = np.flatnonzero(np.diff(cut))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(full.astype(np.int32)),
-                    pa.array([ids] * len(full), pa.binary()),
+                    pa.array([names[begin[f] : begin[f + 1]].tobytes() for f in full], pa.binary()),
                     pa.array([doc[cut[f] : cut[f + 1]].tobytes() for f in full], pa.binary()),
                     pa.array([h[cut[f] : cut[f + 1]].tobytes() for f in full], pa.binary()),
                 ],
@@ -218,12 +226,12 @@ def _sets(threshold: int):
             lone = np.bincount(number, np.concatenate(part("lone", np.uint32)), len(ids)).astype(np.int64)
             size = lone + np.bincount(number, shared, len(ids)).astype(np.int64)
             frag = np.repeat([r["frag"] for r in rows], [len(r["rank"]) // 4 for r in rows])
-            gram = frag.astype(np.int64) << 32 | np.concatenate(part("rank", np.uint32)).astype(np.int64)
-            grade, doc = np.concatenate(part("grade", np.uint8)), np.repeat(number, shared)
+            gram = np.concatenate(part("grade", np.uint8)).astype(np.int64) << 56 | frag.astype(np.int64) << 32 | np.concatenate(part("rank", np.uint32)).astype(np.int64)
+            doc = np.repeat(number, shared)
             able = 100 * (size - lone) >= threshold * size
             keep = able[doc]
-            doc, gram, grade = doc[keep], gram[keep], grade[keep]
-            order = np.lexsort((gram, grade, doc))
+            doc, gram = doc[keep], gram[keep]
+            order = np.lexsort((gram, doc))
             doc, gram = doc[order], gram[order]
             cut = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(ids))))).astype(np.int32)
             for a in range(0, len(ids), 4096):
@@ -241,11 +249,14 @@ def shingle_sets(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> Dat
     """(doc, n, lone, core, sketch) of every document with a word: its set's size, how many of its n-grams no
     other document has, the others in global order, rarest first, and their parities (both null: the
     document can't link)."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at_once = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    cut = rows.mapInArrow(_slices(parts, n), "frag int, ids binary, docs binary, grams binary")
-    counted = cut.repartition(parts, "frag").sortWithinPartitions("frag").mapInArrow(_count_fragment(parts), "bucket int, frag int, ids binary, lone binary, shared binary, rank binary, grade binary")
-    return counted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sets(threshold), "doc long, n long, lone long, core array<long>, sketch array<long>")
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    slices, buckets = (max(at_once, int(size * much / TASK_BYTES) + 1) for much in (GRAM_BYTES, CORE_BYTES))
+    place = lambda df, key, n: df.repartitionById(min(n, MOST_TASKS), F.col(key) % min(n, MOST_TASKS)).sortWithinPartitions(key)
+    cut = rows.mapInArrow(_slices(slices, n), "frag int, ids binary, docs binary, grams binary")
+    counted = place(cut, "frag", slices).mapInArrow(_count_fragment(buckets), "bucket int, frag int, ids binary, lone binary, shared binary, rank binary, grade binary")
+    return place(counted, "bucket", buckets).mapInArrow(_sets(threshold), "doc long, n long, lone long, core array<long>, sketch array<long>")
 
 
 def _fits(n: Column, m: Column, threshold: int) -> Column:
@@ -258,9 +269,11 @@ def _near(i: Column, j: Column, n: Column, m: Column, threshold: int) -> Column:
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) that link: overlaps are counted per fragment group of the cores, and summed."""
-    group = lambda g: F.filter("core", lambda t: F.pmod(F.shiftright(t, 32), F.lit(GROUPS)) == g)
-    cut = sets.select("doc", "n", F.posexplode(F.array(*[group(F.lit(g)) for g in range(GROUPS)])).alias("g", "seg"))
+    """The pairs (a, b) that link: overlaps are counted per fragment of the global order, and summed."""
+    octave = lambda t: F.shiftright(t, 56)
+    ends = [*CUTS[1:], 128]
+    fragment = lambda lo, hi: F.filter("core", lambda t: (octave(t) >= lo) & (octave(t) < hi))
+    cut = sets.select("doc", "n", F.posexplode(F.array(*[fragment(lo, hi) for lo, hi in zip(CUTS, ends, strict=True)])).alias("g", "seg")).where(F.size("seg") > 0)
     a = cut.select(F.col("doc").alias("a"), F.col("n").alias("na"), "g", F.col("seg").alias("sa"))
     b = cut.select(F.col("doc").alias("b"), F.col("n").alias("nb"), "g", F.col("seg").alias("sb"))
     partial = pairs.join(a, "a").join(b, ["b", "g"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("k"))
@@ -285,20 +298,22 @@ def near_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) ->
     mark = F.struct("n", F.xxhash64("core").alias("x"), F.xxhash64(F.lit(7), "core").alias("y"))
     equal = able.where("lone = 0").select("doc", mark.alias("mark"))
     reps = equal.groupBy("mark").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
-    copies = stored(equal.join(reps, "mark").select("doc", "rep").where("doc > rep"), "copies")
+    copies = stored(salted_join(equal, reps, ["mark"]).select("doc", "rep").where("doc > rep"), "copies")
     single = stored(able.join(copies, "doc", "left_anti"), "singles")
     length = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
     prefix = F.slice("core", F.lit(1), F.greatest(length - F.col("lone"), F.lit(0)).cast("int"))
     rows = single.select("doc", "n", "lone", F.posexplode(prefix).alias("k", "gram")).select("doc", "n", (F.col("lone") + F.col("k")).alias("pos"), "gram")
     centre = rows.groupBy("gram").agg(F.count("*").alias("members"), F.min(F.struct("pos", "n", "doc")).alias("c")).where("members > 1").drop("members")
-    rows = stored(rows.join(centre, "gram"), "prefixes")
+    rows = prefixes = stored(rows.join(centre, "gram"), "prefixes")
     star = rows.where(F.col("doc") != F.col("c.doc")).where(_fits(F.col("n"), F.col("c.n"), threshold) & _near(F.col("pos"), F.col("c.pos"), F.col("n"), F.col("c.n"), threshold))
     star = stored(star.select(F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b")).distinct(), "pairs")
     links = stored(overlaps(star, single, threshold), "overlaps")
     found = components(links)
+    discard(links)
     # between different components: whatever prefix, length and position leave
     rows = rows.select("gram", "doc", "n", "pos").join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    rows = stored(rows, "open")
+    before, rows = prefixes, stored(rows, "open")
+    discard(before)
     lowest = rows.groupBy("gram", "component").agg(F.min("pos").alias("pos"))
     best = lowest.groupBy("gram").agg(F.min(F.struct("pos", "component")).alias("best"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     second = lowest.join(best, "gram").where(F.col("component") != F.col("best.component")).groupBy("gram", "best").agg(F.min("pos").alias("second"))
@@ -313,10 +328,12 @@ def near_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) ->
     rest = rest.where(_fits(F.col("n"), F.col("n2"), threshold) & _near(F.col("pos"), F.col("pos2"), F.col("n"), F.col("n2"), threshold))
     rest = rest.where(_near(apart, F.lit(0), F.col("n"), F.col("n2"), threshold))
     rest = stored(rest.select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "rest")
+    discard(rows, left, star)
     more = stored(overlaps(rest, single, threshold).select("a", "b"), "more-links")
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     label = stored(found, "labels")
+    discard(rest, more, single)
     member = copies.join(label, copies["rep"] == label["node"], "left").select("doc", F.coalesce("component", "rep").alias("component_id"))
     member = member.unionByName(label.select(F.col("node").alias("doc"), F.col("component").alias("component_id")))
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
