@@ -1,16 +1,17 @@
 """License scans by conditional compression.
 
-Candidate blocks are the lines that use licensing words; where a paragraph's lines are wrapped, a notice goes
-on in lines without such a word, so each template is also looked for in the whole paragraph. Every block is
-compressed once alone and once with each template as a zstandard raw dictionary; the template that saves most
-explains the block best. Matches are confirmed by the exact differences in wording, every one in a block.
+Candidate blocks are the stretches of text around licensing words, wide enough for every template. Each block
+is compressed alone and with each template as a zstandard raw dictionary, and the templates are ranked by what
+they save. Winners are confirmed by the exact differences in wording, with what the block's sentence goes on
+to say; a confirmed stretch is cut out and the rest of the block is ranked again, so every licence is found.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,145 +21,140 @@ from pyspark.sql import functions as F
 
 from .common import pieces
 
-#: Wordings of well-known licences and notices, {} for what varies.
-TEMPLATES = {
+#: Short notices of well-known licences. The folder ``licenses`` holds whole licences and the
+#: standard headers of the long ones; {} is what varies.
+NOTICES = {
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
-    "BSD-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BSD": "Released under the BSD License.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC0-1.0": "This work is dedicated to the public domain under CC0 1.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "MIT": "Released under the MIT License.",
-    "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "MIT-notice": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "rights-reserved": "All rights reserved.",
 }
-CUE = r"(?i)licen[cs]|copyright|©|all\W+rights\W+reserved|redistribut|permission\W+is\W+hereby|public\W+domain|free\W+software|spdx"
-_CUE = re.compile(CUE)
-_WORD = re.compile(r"[\w.+-]*\w", re.UNICODE)
-#: Share of a template's words that may differ in a confirmed match; compression level.
-DIFFER, LEVEL = 0.2, 3
+#: Licensing words; the same pattern chooses texts in the JVM and places in Python.
+CUE = r"(?i)licen[cs]|copyright|©|all\W+rights\W+reserved|redistribut|permission\W+(?:is|to)\W|public\W+domain|free\W+software|provided\W+.?as.is|spdx"
+_CUE = re.compile(CUE, re.ASCII)
+_WORD = re.compile(r"[\w.+-]*\w|\{\}", re.UNICODE)
+_SPELL = {"licence": "license", "licences": "licenses", "licenced": "licensed"}
+#: A sentence goes on over a line's end if a comma stands there or a small letter follows.
+_END = re.compile(r"[.!?;:](?=[\s\"')]|$)|(?<!,)\n(?!\s*[a-z])|\n\s*\n|$")
+_NOT = {"not", "never", "no", "neither", "nor", "without", "formerly"}
+#: Share of a template's words that may differ in a confirmed match (none with a digit); words that a {} may
+#: stand for; best templates that wording decides between, since offsets alone make a few bytes of
+#: difference; compression level.
+DIFFER, GAP, BEST, LEVEL = 0.1, 12, 3, 3
 
 
-def words(text: str) -> list[str]:
-    return [w.lower() for w in _WORD.findall(text)]
-
-
-def lines(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the lines of a text."""
-    out, at = [], 0
-    for line in text.split("\n"):
-        out.append((at, at + len(line)))
-        at += len(line) + 1
-    return out
+def templates() -> dict[str, str]:
+    files = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+    return NOTICES | files
 
 
-def paragraphs(text: str) -> list[list[tuple[int, int]]]:
-    """The lines of each run of lines that aren't blank."""
-    out: list[list[tuple[int, int]]] = [[]]
-    for start, end in lines(text):
-        if text[start:end].strip():
-            out[-1].append((start, end))
-        elif out[-1]:
-            out.append([])
-    return [p for p in out if p]
+def words(text: str) -> list[str]:
+    return [_SPELL.get(w.lower(), w.lower()) for w in _WORD.findall(text)]
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str]):
-        self.names = sorted(templates)
-        self.words = {n: words(templates[n]) for n in self.names}
+    def __init__(self, given: dict[str, str]):
+        self.names = sorted(given)
+        self.words, self.gaps, self.bag = {}, {}, {}
+        for n in self.names:
+            w = words(given[n])
+            at = [i for i, x in enumerate(w) if x == "{}"]
+            self.gaps[n] = {i - k for k, i in enumerate(at)}
+            self.words[n] = [x for x in w if x != "{}"]
+            self.bag[n] = Counter(self.words[n])
+        self.reach = 2 * max(map(len, self.words.values()))
         self.alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
         self.given = {}
         for n in self.names:
-            d = zstandard.ZstdCompressionDict(templates[n].encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d = zstandard.ZstdCompressionDict(given[n].replace("{}", "").encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
             self.given[n] = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False)
 
-    def sizes(self, block: str, name: str) -> tuple[int, int]:
-        return len(self.alone.compress(block.encode())), len(self.given[name].compress(block.encode()))
-
-    def scan(self, block: str) -> tuple[str, int, int, int, int, list[str], list[str]]:
-        """(winner, size alone, size given the winner, missing, added, and those words): of the template that
-        saves most (ties: fewer differences, then the name). Differences are those of the best stretch of
-        the block; words before and after it are not counted."""
+    def sizes(self, block: str) -> tuple[int, dict[str, int]]:
+        """(compressed alone, compressed given each template)."""
         raw = block.encode()
-        alone = len(self.alone.compress(raw))
-        sizes = {n: len(self.given[n].compress(raw)) for n in self.names}
-        least = min(sizes.values())
-        have = words(block)
-        best = None
-        for n in self.names:
-            if sizes[n] <= least + 2:  # a few bytes tell nothing: wording decides among near equals
-                missing, added = differences(self.words[n], have)
-                best = min(best or (1e9,), (len(missing) + len(added), sizes[n], n, missing, added))
-        return best[2], alone, best[1], len(best[3]), len(best[4]), best[3], best[4]
-
-
-    def matches(self, have: list[str], differ: float) -> list[tuple[int, int, str, list[str], list[str]]]:
-        """(first, last, template, missing, added) of every stretch of the words ``have`` that a template is
-        confirmed by; of stretches that overlap the one with most words explained (ties: the name)."""
-        there, found = Counter(have), []
-        for n in self.names:
-            template = self.words[n]
-            lacking = sum((Counter(template) - there).values())
-            todo = [(0, len(have))] if lacking <= differ * len(template) else []
-            while todo:
-                lo, hi = todo.pop()
-                first, last, missing, added = stretch(template, have[lo:hi])
-                if first < last and len(missing) + len(added) <= differ * len(template):
-                    found.append((len(missing) + len(added) - len(template), n, lo + first, lo + last, missing, added))
-                    todo += [(lo, lo + first), (lo + last, hi)]
-        kept: list[tuple[int, int, str, list[str], list[str]]] = []
-        for _, n, first, last, missing, added in sorted(found):
-            if all(last <= x[0] or x[1] <= first for x in kept):
-                kept.append((first, last, n, missing, added))
-        return sorted(kept)
-
-    def rows(self, text: str, differ: float) -> list[tuple[int, int, str, int, int, list[str], list[str], bool]]:
-        """(start, end, template, size alone, size given it, missing, added, confirmed): the lines of every
-        confirmed stretch, and the runs of other lines with a cue, by their best template."""
-        out = []
-        reach = max(len(w) for w in self.words.values()) * 2
-        for par in paragraphs(text):
-            start, end = par[0][0], par[-1][1]
-            cues = [(m.start(), m.end()) for m in _CUE.finditer(text, start, end)]
-            if not cues:
+        return len(self.alone.compress(raw)), {n: len(c.compress(raw)) for n, c in self.given.items()}
+
+    def compare(self, name: str, have: list[str]) -> tuple[int, int, list[str], list[str]]:
+        """(first, last, missing, added) of the stretch closest to the template, what a {} stands for not counted."""
+        first, last, missing, added = stretch(self.words[name], have)
+        extra = []
+        for place in sorted({i for i, _ in added}):
+            more = [w for i, w in added if i == place]
+            extra += more[GAP:] if place in self.gaps[name] else more
+        return first, last, missing, extra
+
+    def confirm(self, name: str, text: str, spans: list[tuple[int, int]], have: list[str], lo: int, hi: int, differ: float):
+        """(first, last, missing, added, after) if the words lo to hi hold the template, else None."""
+        most = differ * len(self.words[name])
+        if sum((self.bag[name] - Counter(have[lo:hi])).values()) > most:
+            return None
+        first, last, missing, added = self.compare(name, have[lo:hi])
+        if first == last:
+            return None
+        first, last = lo + first, lo + last
+        after = [] if _END.match(text, spans[last - 1][1]) else words(text[spans[last - 1][1] : _END.search(text, spans[last - 1][1]).start()])
+        begin = max([m.end() for m in _END.finditer(text, max(0, spans[first][0] - 400), spans[first][0]) if m.start() < m.end() <= spans[first][0]], default=max(0, spans[first][0] - 400))
+        if len(missing) + len(added) + len(after) > most or any(c.isdigit() for w in missing + added for c in w) or _NOT & set(words(text[begin : spans[first][0]])):
+            return None
+        return first, last, missing, added, after
+
+    def rows(self, text: str, differ: float) -> list[tuple[int, int, str, int, int, list[str], list[str], list[str], bool]]:
+        """(start, end, template, size alone, size given it, missing, added, after, confirmed): every confirmed
+        stretch, and the lines of the other cues by their best template."""
+        cues = [m.start() for m in _CUE.finditer(text)]
+        if not cues:
+            return []
+        spans = [m.span() for m in _WORD.finditer(text)]
+        begins = [a for a, _ in spans]
+        have = [_SPELL.get(text[a:b].lower(), text[a:b].lower()) for a, b in spans]
+        todo: list[tuple[int, int]] = []
+        for a in cues:
+            at = bisect_right(begins, a)
+            lo, hi = max(0, at - self.reach), min(len(spans), at + self.reach)
+            if todo and lo <= todo[-1][1]:
+                todo[-1] = todo[-1][0], hi
+            else:
+                todo.append((lo, hi))
+        out, covered = [], []
+        while todo:
+            lo, hi = todo.pop()
+            if lo >= hi or bisect_left(cues, spans[lo][0]) >= bisect_right(cues, spans[hi - 1][1] - 1):
                 continue
-            spans = [m.span() for m in _WORD.finditer(text, start, end)]
-            begins, line_at = [x for x, _ in spans], [x for x, _ in par]
-            near: list[list[int]] = []
-            for a, b in cues:
-                lo, hi = max(0, bisect_right(begins, a) - reach), min(len(spans), bisect_right(begins, b) + reach)
-                if near and lo <= near[-1][1]:
-                    near[-1][1] = hi
-                else:
-                    near.append([lo, hi])
-            covered: set[int] = set()
-            for lo, hi in near:
-                for first, last, name, missing, added in self.matches([text[x:y].lower() for x, y in spans[lo:hi]], differ):
-                    i, j = bisect_right(line_at, spans[lo + first][0]) - 1, bisect_right(line_at, spans[lo + last - 1][0]) - 1
-                    covered |= set(range(i, j + 1))
-                    out.append((par[i][0], par[j][1], name, *self.sizes(text[par[i][0] : par[j][1]], name), missing, added, True))
-            cued = {k for a, b in cues for k in range(bisect_right(line_at, a) - 1, bisect_right(line_at, b - 1))} - covered
-            for i in sorted(k for k in cued if k - 1 not in cued):
-                j = next(k for k in range(i, len(par)) if k + 1 not in cued)
-                name, alone, given, _, _, missing, added = self.scan(text[par[i][0] : par[j][1]])
-                out.append((par[i][0], par[j][1], name, alone, given, missing, added, len(missing) + len(added) <= differ * len(self.words[name])))
+            alone, sizes = self.sizes(text[spans[lo][0] : spans[hi - 1][1]])
+            ranked = sorted(self.names, key=lambda n: (sizes[n], n))
+            found = None
+            for k in range(0, len(ranked), BEST):
+                good = [(len(g[2]) + len(g[3]) + len(g[4]), sizes[n], n, g) for n in ranked[k : k + BEST] if (g := self.confirm(n, text, spans, have, lo, hi, differ))]
+                if good:
+                    found = min(good)
+                    break
+            if found:
+                _, _, name, (first, last, missing, added, after) = found
+                start, end = spans[first][0], spans[last - 1][1]
+                alone, sizes = self.sizes(text[start:end])
+                out.append((start, end, name, alone, sizes[name], missing, added, after, True))
+                covered.append((start, end))
+                todo += [(lo, first), (last, hi)]
+        lines = sorted({(text.rfind("\n", 0, a) + 1, (text.find("\n", a) + 1 or len(text) + 1) - 1) for a in cues if not any(s <= a < e for s, e in covered)})
+        for start, end in [x for x in lines if not any(s < x[1] and x[0] < e for s, e in covered)]:
+            alone, sizes = self.sizes(text[start:end])
+            name = min(self.names, key=lambda n: (sizes[n], n))
+            _, _, missing, added = self.compare(name, words(text[start:end]))
+            out.append((start, end, name, alone, sizes[name], missing, added, [], False))
         return sorted(out)
 
 
-def differences(template: list[str], have: list[str]) -> tuple[list[str], list[str]]:
-    """(words of the template that the text lacks, words that the text has between the template's), in the
-    stretch of the text that has fewest of both."""
-    return stretch(template, have)[2:]
-
-
-def stretch(template: list[str], have: list[str]) -> tuple[int, int, list[str], list[str]]:
-    """(first, last, missing, added) of the stretch have[first:last] closest to the template."""
+def stretch(template: list[str], have: list[str]) -> tuple[int, int, list[str], list[tuple[int, str]]]:
+    """(first, last, missing, added) of the stretch have[first:last] closest to the template: its words that the
+    stretch lacks, and the stretch's other words with their places in the template."""
     code = {w: k for k, w in enumerate(template)}
     text, place = np.array([code.get(w, -1) for w in have], int), np.arange(len(have) + 1)
     cost = [np.zeros(len(have) + 1, int)]
@@ -175,30 +171,34 @@ def stretch(template: list[str], have: list[str]) -> tuple[int, int, list[str],
             missing.append(template[i - 1])
             i -= 1
         else:
-            added.append(have[j - 1])
+            added.append((i, have[j - 1]))
             j -= 1
     return j, last, missing[::-1], added[::-1]
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, differ: float = DIFFER) -> DataFrame:
-    """One row per candidate block of the documents (doc_id, text) and template confirmed in it: doc_id, start
-    and end in code points, block, template (the one that saves most where none is confirmed), size_alone, size_given, saving (share of the size alone), missing and
-    added (words), confirmed (those differences are at most ``differ`` of the template's words).
+def scan(docs: DataFrame, given: dict[str, str] | None = None, differ: float = DIFFER) -> DataFrame:
+    """One row per licence confirmed in the documents (doc_id, text), and per line of other licensing words: doc_id,
+    start and end in code points, block, template (the one that saves most where none is confirmed),
+    size_alone, size_given, saving (share of the size alone), missing and added (words), after (words with
+    which the sentence goes on), confirmed (those differences are at most ``differ`` of the template's words,
+    none has a digit, and nothing before it in its sentence says not).
 
-    Null, empty and cue-less texts give no row; repeated rows give theirs each; other columns are ignored.
+    Null, empty and cue-less texts give no row; texts are read whole, however long; repeated rows give theirs
+    each; other columns are ignored.
     """
-    wordings = templates or TEMPLATES
+    wordings = given or templates()
 
     def run(batches):
         scanner = Scanner(wordings)
         for b in pieces(batches):
-            out: dict[str, list] = {c: [] for c in ("doc_id", "start", "end", "block", "template", "size_alone", "size_given", "saving", "missing", "added", "confirmed")}
+            out: dict[str, list] = {c: [] for c in ("doc_id", "start", "end", "block", "template", "size_alone", "size_given", "saving", "missing", "added", "after", "confirmed")}
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                for start, end, name, alone, given, missing, added, ok in scanner.rows(text, differ):
-                    for c, v in zip(out.values(), (doc, start, end, text[start:end], name, alone, given, 1 - given / alone, missing, added, ok), strict=True):
+                for start, end, name, alone, size, missing, added, after, ok in scanner.rows(text, differ):
+                    for c, v in zip(out.values(), (doc, start, end, text[start:end], name, alone, size, 1 - size / alone, missing, added, after, ok), strict=True):
                         c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.bool_()]
+            several = pa.list_(pa.string())
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), several, several, several, pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    schema = "doc_id long, start long, end long, block string, template string, size_alone long, size_given long, saving double, missing array<string>, added array<string>, confirmed boolean"
+    schema = "doc_id long, start long, end long, block string, template string, size_alone long, size_given long, saving double, missing array<string>, added array<string>, after array<string>, confirmed boolean"
     return docs.select(F.col("doc_id").cast("long"), "text").where(F.col("text").rlike(CUE)).mapInArrow(run, schema)
