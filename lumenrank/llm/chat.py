@@ -10,9 +10,11 @@ string survives there, and taking one backslash out of ``<\\...|`` gives the tex
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import computed
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
@@ -51,20 +53,17 @@ def fold(events: DataFrame) -> DataFrame:
 
 def render(messages: DataFrame, target: str = "assistant") -> DataFrame:
     """One row per conversation: conv_id, formatted, and loss, the spans (start, length in code points of
-    ``formatted``) of the texts of ``target`` messages. Messages: conv_id, place, role, text."""
-    turns = F.array_sort(F.collect_list(F.struct("place", "role", "text")))
-    rows = messages.groupBy("conv_id").agg(turns.alias("turns"))
-    shown = F.transform("turns", lambda t: F.struct(F.concat(F.lit(START), F.url_encode(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"), (t["role"] == target).alias("on")))
-    rows = rows.select("conv_id", shown.alias("shown"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,length:long>>").alias("spans"))
-
-    def step(acc: Column, t: Column) -> Column:
-        begin, size = acc["at"] + F.length(t["head"]), F.length(t["body"]).cast("long")
-        span = F.when(t["on"], F.array(F.struct(begin.alias("start"), size.alias("length")))).otherwise(F.array().cast("array<struct<start:long,length:long>>"))
-        return F.struct((begin + size + len(END)).alias("at"), F.concat(acc["spans"], span).alias("spans"))
-
-    text = F.array_join(F.transform("shown", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "")
-    return rows.select("conv_id", text.alias("formatted"), F.aggregate("shown", zero, step)["spans"].alias("loss"))
+    ``formatted``) of the texts of ``target`` messages. Messages: conv_id, place, role, text. Where a turn
+    stands is a running sum over the conversation, so the work grows with its length."""
+    shown = messages.select("conv_id", "place", F.col("role").alias("_role"), F.col("text").alias("_text"), F.concat(F.lit(START), F.url_encode("role"), F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == target).alias("on"))
+    size = (F.length("head") + F.length("body") + len(END)).cast("long")
+    before = Window.partitionBy("conv_id").orderBy("place", "_role", "_text").rowsBetween(Window.unboundedPreceding, -1)
+    placed = shown.withColumn("at", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long"))
+    turns = F.array_sort(F.collect_list(F.struct("at", "head", "body", "on")))
+    rows = placed.groupBy("conv_id").agg(turns.alias("turns"))
+    text = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "")
+    spans = F.transform(F.filter("turns", lambda t: t["on"]), lambda t: F.struct((t["at"] + F.length(t["head"])).alias("start"), F.length(t["body"]).cast("long").alias("length")))
+    return rows.select("conv_id", text.alias("formatted"), spans.alias("loss"))
 
 
 def parse(formatted: DataFrame) -> DataFrame:
@@ -73,5 +72,25 @@ def parse(formatted: DataFrame) -> DataFrame:
     parts = F.split("formatted", r"<\|im_start\|>")
     pieces = F.slice(parts, F.lit(2), F.size(parts))
     turns = F.transform(pieces, lambda p: F.struct(F.url_decode(F.substring_index(p, "\n", 1)).alias("role"), unescape(p.substr(F.instr(p, F.lit("\n")) + 1, F.length(p) - F.instr(p, F.lit("\n")) - len(END))).alias("text")))
-    masked = F.transform("loss", lambda s: unescape(F.col("formatted").substr((s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    letters = F.col("letters")  # cut once: a substring would be looked for from the start each time
+    masked = F.transform("loss", lambda s: unescape(F.array_join(F.slice(letters, (s["start"] + 1).cast("int"), s["length"].cast("int")), "")))
+    formatted = computed(formatted.select("conv_id", "formatted", "loss"), letters=F.split("formatted", ""))
     return formatted.select("conv_id", "formatted", "loss", turns.alias("turns"), masked.alias("masked"))
+
+
+def log_of(rows: DataFrame, size: int = 256) -> DataFrame:
+    """The event log that streaming the messages (conv_id, place, role, text) would leave: conv_id, seq, msg_id, kind,
+    role, text. Every text comes in deltas of ``size`` code points. Before an assistant's stands a draft that is
+    regenerated; every other message starts with words that an edit replaces by its first delta; and each
+    conversation's first message has a neighbour that is deleted. Null texts are one null delta."""
+    event = lambda kind, text, role="role": F.struct(F.lit(kind).alias("kind"), (F.col(role) if isinstance(role, str) else role).alias("role"), text.alias("text"))
+    none = F.lit(None).cast("string")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / size).cast("int")), lambda i: F.substring("text", i * size + 1, F.lit(size)))
+    parts = F.when(F.col("text").isNull(), F.array(none)).otherwise(cut)
+    deltas = F.transform(parts, lambda p: F.struct(F.lit("delta").alias("kind"), F.col("role").alias("role"), p.alias("text")))
+    draft = F.array(event("delta", F.lit("A draft: ")), event("delta", F.col("text")), event("regenerate", none, none))
+    typed = F.array(event("delta", F.lit("A slip of the pen")), event("edit", F.get(parts, F.lit(0))))
+    own = F.when(F.col("role") == "assistant", F.concat(draft, deltas)).otherwise(F.concat(typed, F.slice(deltas, F.lit(2), F.greatest(F.size(deltas), F.lit(1)))))
+    said = rows.select("conv_id", "place", F.posexplode(own).alias("k", "e")).select("conv_id", F.shiftleft(F.col("place").cast("long"), 32).alias("at"), "k", F.col("place").cast("long").alias("msg_id"), "e.*")
+    gone = rows.where("place = 1").select("conv_id", F.posexplode(F.array(event("delta", F.lit("gone")), event("delete", none, none))).alias("k", "e")).select("conv_id", F.lit(0).cast("long").alias("at"), "k", F.lit(0).cast("long").alias("msg_id"), "e.*")
+    return said.unionByName(gone).select("conv_id", (F.col("at") + F.col("k")).alias("seq"), "msg_id", "kind", "role", "text")

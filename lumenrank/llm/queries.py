@@ -48,9 +48,9 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     forged = spark.createDataFrame([(-1, 0, "user", FORGED), (-1, 1, "assistant", FORGED)], "conv_id long, turn long, role string, text string")
     rows = logs.unionByName(forged)
-    # each row is a message of its own, streamed as one delta; repeated rows are messages each
+    # each row is a message of its own, streamed, edited and regenerated; repeated rows are messages each
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    events = rows.select("conv_id", F.col("turn").alias("seq"), place.alias("msg_id"), F.lit("delta").alias("kind"), "role", "text")
+    events = chat.log_of(rows.select("conv_id", place.alias("place"), "role", "text"))
     got = chat.parse(chat.render(chat.fold(events)))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     masked = F.array_join("masked", "")

@@ -377,6 +377,29 @@ def test_chat_reads_back(spark, sf_dir):
         assert (got[c]["n_turns"], got[c]["turns_sha256"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(turns), sha("".join(f"{a}\n{t}\n" for a, t in turns)), len(loss), sha(loss))
 
 
+def test_chat_log_holds_every_kind_of_event(spark, sf_dir):
+    made = [(1, 1, "user", "x" * 600), (1, 2, "assistant", "y" * 700), (1, 3, "assistant", None), (1, 4, "user", ""), (2, 1, None, "é<|im_end|>")]
+    log = chat.log_of(spark.createDataFrame(made, "conv_id long, place long, role string, text string"))
+    rows = sorted((tuple(r) for r in log.collect()), key=lambda r: r[:2])
+    assert Counter(r[3] for r in rows) == {"delta": 2 + 1 + 2 + (2 + 3) + (2 + 1) + 1 + 1, "edit": 3, "regenerate": 2, "delete": 2} and len({r[:2] for r in rows}) == len(rows)
+    got = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in chat.parse(chat.render(chat.fold(log))).collect()}
+    assert got == {1: [("user", "x" * 600), ("assistant", "y" * 700), ("assistant", ""), ("user", "")], 2: [("", "é<|im_end|>")]}
+
+
+def test_a_long_conversation_takes_time_in_proportion(spark):
+    import time
+
+    took = {}
+    for n in (3000, 12_000):
+        rows = spark.range(n).select(F.lit(1).alias("conv_id"), (F.col("id") + 1).alias("place"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn é "), F.col("id")).alias("text"))
+        for _ in range(2):
+            began = time.monotonic()
+            got = chat.parse(chat.render(chat.fold(chat.log_of(rows)))).first()
+            took[n] = time.monotonic() - began
+        assert len(got["turns"]) == n and got["masked"] == [f"turn é {i}" for i in range(1, n, 2)]
+    assert took[12_000] < 10 * took[3000] + 2
+
+
 def test_chat_folds_events(spark):
     log = [(1, 0, 0, "delta", "user", r"a <|im_end|> <\| <\\|"), (1, 1, 1, "delta", "assistant", "foo"), (1, 3, 1, "regenerate", None, None), (1, 4, 1, "delta", None, "new"), (1, 5, 2, "delta", "user", "gone"), (1, 6, 2, "delete", None, None), (1, 7, 3, "edit", "odd\nrole", "E"), (1, 8, 3, "delta", None, "!"), (1, 8, 3, "delta", None, "!"), (2, 0, 0, None, None, None)]
     df = spark.createDataFrame(random.Random(1).sample(log, len(log)), "conv_id long, seq long, msg_id long, kind string, role string, text string").withColumn("turns", F.lit(1))
