@@ -10,9 +10,14 @@ from . import vocab as V
 from .text import any_of, contains_any, let, matches_any, text, tokens_word, word_pattern, words
 
 
-def rule_hits(col: Column, rules: list[tuple[str, list[str]]] = V.DOMAIN_RULES) -> list[tuple[str, Column]]:
-    """Per rule, how many of its words occur (as whole words; a term of several words as a whole phrase)."""
-    have = F.regexp_extract_all(F.lower(text(col)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+def whole_words(col: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text(col)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+
+def rule_hits(col: Column, rules: list[tuple[str, list[str]]] = V.DOMAIN_RULES, have: Column | None = None) -> list[tuple[str, Column]]:
+    """Per rule, how many of its words occur (as whole words; a term of several words as a whole phrase). ``have``:
+    ``whole_words`` of the text, where they are a column already."""
+    have = whole_words(col) if have is None else have
     out = []
     for name, terms in rules:
         n = F.size(F.array_intersect(have, words([t for t in terms if t.isalnum()])))
@@ -22,15 +27,20 @@ def rule_hits(col: Column, rules: list[tuple[str, list[str]]] = V.DOMAIN_RULES)
     return out
 
 
-def domain_hits(col: Column, rules: list[tuple[str, list[str]]] = V.DOMAIN_RULES) -> Column:
+def domain_hits(col: Column, rules: list[tuple[str, list[str]]] = V.DOMAIN_RULES, have: Column | None = None) -> Column:
     """map<domain, hits> of the domains with hits, rules of one name added up."""
     total: dict[str, Column] = {}
-    for name, n in rule_hits(col, rules):
+    for name, n in rule_hits(col, rules, have):
         total[name] = total[name] + n if name in total else n
     table = F.create_map(*[x for name, n in total.items() for x in (F.lit(name), n)])
     return F.map_filter(table, lambda _, n: n > 0)
 
 
+def domain_soft_match(col: Column, policy: Policy) -> Column:
+    """Whether any of the policy's domain keywords occurs as a whole word; true for a policy without any."""
+    return matches_any(col, policy.domain_keywords) if policy.domain_keywords else F.lit(True)
+
+
 def _first_best(hits: list[tuple[str, Column]]) -> Column:
     """The name of the most hits, the earlier on ties; null without hits."""
     top = F.greatest(*[n for _, n in hits]) if len(hits) > 1 else hits[0][1]
@@ -46,20 +56,24 @@ def choose_domain(hits: Column, rules: list[tuple[str, list[str]]] = V.DOMAIN_RU
     return _first_best([(n, F.coalesce(F.try_element_at(hits, F.lit(n)), F.lit(0))) for n in names])
 
 
-def infer_domain(col: Column, rules: list[tuple[str, list[str]]] = V.DOMAIN_RULES, negative: dict[str, list[str]] | None = None) -> Column:
+def infer_domain(col: Column, rules: list[tuple[str, list[str]]] = V.DOMAIN_RULES, negative: dict[str, list[str]] | None = None, have: Column | None = None) -> Column:
     """The domain of the single rule with most hits (rules of one name aren't added up); rules whose
     ``negative`` words occur are out."""
-    hits = [(name, F.when(matches_any(col, (negative or {}).get(name, [])), 0).otherwise(n)) for name, n in rule_hits(col, rules)]
-    return _first_best(hits)
+    hits = [(name, F.when(matches_any(col, (negative or {}).get(name, [])), 0).otherwise(n)) for name, n in rule_hits(col, rules, have)]
+    # the hits as one array: every mention of them below is a look-up
+    return let(F.array(*[n for _, n in hits]), lambda a: _first_best([(name, a[i]) for i, (name, _) in enumerate(hits)]))
 
 
 def generic_domain(col: Column, domains: list[tuple[str, list[str]]] = V.GENERIC_DOMAINS) -> Column:
     """By token sets: the domain with most distinct tokens, ``ambiguous`` on a tie, ``unknown`` without any."""
     tokens = F.array_distinct(tokens_word(F.lower(text(col))))
-    hits = [(name, F.size(F.array_intersect(tokens, words(terms)))) for name, terms in domains]
-    top = F.greatest(*[n for _, n in hits]) if len(hits) > 1 else hits[0][1]
-    winners = sum((n == top).cast("int") for _, n in hits)
-    return F.when(top == 0, "unknown").when(winners > 1, "ambiguous").otherwise(_first_best(hits))
+
+    def named(a: Column) -> Column:
+        top = F.array_max(a)
+        first = F.element_at(words([name for name, _ in domains]), F.array_position(a, top).cast("int"))
+        return F.when(top == 0, "unknown").when(F.size(F.filter(a, lambda n: n == top)) > 1, "ambiguous").otherwise(first)
+
+    return let(tokens, lambda t: let(F.array(*[F.size(F.array_intersect(t, words(terms))) for _, terms in domains]), named))
 
 
 def client_domain(col: Column, domains: list[tuple[str, list[str]]] = V.CLIENT_DOMAINS) -> Column:

@@ -20,13 +20,15 @@ def _json(t: Column) -> Column:
 
 
 def _number(doc: Column, keys: list[str]) -> Column:
-    """The first key's value that is a number or a boolean."""
-    out = []
-    for k in keys:
-        kind = F.schema_of_variant(F.try_variant_get(doc, f"$.{k}", "variant"))
+    """The value of the first key that is there, if it is a number or a boolean."""
+    out = F.lit(None).cast("double")
+    for k in reversed(keys):
+        value = F.try_variant_get(doc, f"$.{k}", "variant")
+        kind = F.schema_of_variant(value)
         flag = F.try_variant_get(doc, f"$.{k}", "boolean").cast("double")
-        out.append(F.when(kind == "BOOLEAN", flag).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(doc, f"$.{k}", "double")))
-    return F.coalesce(*out)
+        number = F.when(kind == "BOOLEAN", flag).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(doc, f"$.{k}", "double"))
+        out = F.when(value.isNotNull(), number).otherwise(out)
+    return out
 
 
 def nearest_bucket(x: Column) -> Column:

@@ -1,5 +1,5 @@
 """Prompts for model-backed scorers, as expressions. The wording is this package's own; the facts travel as compact JSON
-that keeps nulls, examples come from the policy, and the cache key is a digest of model, prompt, document and query."""
+that keeps nulls, examples come from the policy, and the cache key is of model, prompt, clipped document and query."""
 
 from __future__ import annotations
 
@@ -42,6 +42,10 @@ def fine_prompt(query: Column, doc: Column, most: int = 1600) -> Column:
     return F.concat(F.lit(f"{FINE}\nQUERY: "), text(query), F.lit("\nDOCUMENT: "), F.substring(text(doc), 1, most))
 
 
-def cache_key(model: str, prompt_id: str, doc: Column, query: Column) -> Column:
-    """SHA-1 of document and query between model and prompt id."""
-    return F.concat_ws(":", F.lit(model), F.lit(prompt_id), F.sha1(text(doc)), F.sha1(text(query)))
+#: Asks for a number alone, without query or document.
+FINE_RETRY = "Answer with one whole number from 0 to 100 and a percent sign, on one line, and nothing else."
+
+
+def cache_key(model: str, doc: Column, query: Column, most: int = 1600) -> Column:
+    """Model, and SHA-1 of the whole fine prompt, of the document as it is clipped for it, and of the query."""
+    return F.concat_ws(":", F.lit(model), F.sha1(fine_prompt(query, doc, most)), F.sha1(F.substring(text(doc), 1, most)), F.sha1(text(query)))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab as V
-from .text import any_of, clamp01, contained, contains_any, strip, text, tokens_letters, tokens_word
+from .text import any_of, clamp01, computed, contained, contains_any, strip, text, tokens_letters, tokens_word
 
 
 def count_in(tokens: Column, values: list[str]) -> Column:
@@ -46,26 +46,28 @@ def step_summary(col: Column) -> Column:
     )
 
 
-def quality_signals(col: Column) -> Column:
+def quality_signals(col: Column, tokens: Column | None = None) -> Column:
     """struct: action_verbs, has_step_markers, length_chars, length_tokens, punct_signals, explanatory_hints."""
     raw, low = text(col), F.lower(strip(col))
-    tokens = tokens_word(low)
+    tokens = tokens_word(low) if tokens is None else tokens
     return F.struct(
         count_in(tokens, V.ACTION_VERBS).alias("action_verbs"), step_marker(low).alias("has_step_markers"), F.length(raw).alias("length_chars"),
         F.size(tokens).alias("length_tokens"), F.regexp_count(raw, F.lit("[,;]")).alias("punct_signals"), contained(low, V.EXPLANATORY_HINTS).alias("explanatory_hints"),
     )
 
 
-def part_terms(col: Column) -> Column:
+def part_terms(col: Column, tokens: Column | None = None) -> Column:
     """Tokens that are part words, or are after one s is taken off."""
+    tokens = tokens_word(F.lower(strip(col))) if tokens is None else tokens
     single = lambda t: F.when(t.endswith("s"), F.substring(t, 1, F.length(t) - 1))
-    return F.size(F.filter(tokens_word(F.lower(strip(col))), lambda t: t.isin(V.PART_WORDS) | F.coalesce(single(t).isin(V.PART_WORDS), F.lit(False))))
+    return F.size(F.filter(tokens, lambda t: t.isin(V.PART_WORDS) | F.coalesce(single(t).isin(V.PART_WORDS), F.lit(False))))
 
 
-def gated_quality(col: Column, signals: Column | None = None) -> Column:
-    """``quality_signals`` with part_terms, procedural and quality_score."""
+def gated_quality(col: Column, signals: Column | None = None, parts: Column | None = None) -> Column:
+    """``quality_signals`` with part_terms, procedural and quality_score. Signals and parts that are columns already
+    are not computed again; see ``with_quality``."""
     s = quality_signals(col) if signals is None else signals
-    parts = part_terms(col)
+    parts = part_terms(col) if parts is None else parts
     part = lambda x, most: F.least(x, F.lit(most)) / float(most)
     score = (
         part(s["action_verbs"], 4) * 0.25 + part(parts, 4) * 0.25 + F.when(s["has_step_markers"], 0.20).otherwise(0.0)
@@ -76,6 +78,15 @@ def gated_quality(col: Column, signals: Column | None = None) -> Column:
     return F.struct(*kept, parts.alias("part_terms"), procedural.alias("procedural"), clamp01(score).alias("quality_score"))
 
 
+def with_quality(rows: DataFrame, doc: str = "text", name: str = "q") -> DataFrame:
+    """``rows`` with ``gated_quality`` of the column ``doc`` and its lower-case tokens (_words), each pass over the text
+    made once per row."""
+    d = F.col(doc)
+    rows = computed(rows, _words=tokens_word(F.lower(strip(d))))
+    rows = computed(rows, _s=quality_signals(d, F.col("_words")), _parts=part_terms(d, F.col("_words")))
+    return computed(rows, **{name: gated_quality(d, F.col("_s"), F.col("_parts"))}).drop("_s", "_parts")
+
+
 def action_score(col: Column, quality: Column) -> Column:
     """0.5, more for procedural hits, schedule words and parts, less for a year."""
     hits = quality["action_verbs"] + F.when(quality["has_step_markers"], 2).otherwise(0) + F.least(quality["punct_signals"], F.lit(3))
@@ -98,9 +109,9 @@ def is_howto(col: Column) -> Column:
     return any_of(tokens_word(F.lower(text(col))), V.INTENT_HOWTO)
 
 
-def kind_gated(col: Column, quality: Column) -> Column:
+def kind_gated(col: Column, quality: Column, tokens: Column | None = None) -> Column:
     low = F.lower(text(col))
-    t = tokens_word(low)
+    t = tokens_word(low) if tokens is None else tokens
     maintained = any_of(t, V.KIND_MAINTENANCE_TOKENS) | contains_any(low, V.KIND_OIL_PHRASES)
     return (
         F.when(contains_any(low, V.KIND_HOWTO_PHRASES) | (any_of(t, V.KIND_REPAIR_TOKENS) & (quality["action_verbs"] >= 1)), "PROCEDURAL")
@@ -110,16 +121,17 @@ def kind_gated(col: Column, quality: Column) -> Column:
     )
 
 
-def kind_generic(col: Column, signals: Column) -> Column:
+def kind_generic(col: Column, signals: Column, tokens: Column | None = None) -> Column:
     low = F.lower(text(col))
+    tokens = tokens_word(low) if tokens is None else tokens
     return (
         F.when(contains_any(low, V.KIND_INFO_PHRASES), "INFORMATIONAL").when(contains_any(low, ["symptoms", "signs of"]), "DIAGNOSTIC")
-        .when((signals["action_verbs"] >= 2) | signals["has_step_markers"], "PROCEDURAL").when(any_of(tokens_word(low), V.INTENT_OVERVIEW), "OVERVIEW").otherwise("UNKNOWN")
+        .when((signals["action_verbs"] >= 2) | signals["has_step_markers"], "PROCEDURAL").when(any_of(tokens, V.INTENT_OVERVIEW), "OVERVIEW").otherwise("UNKNOWN")
     )
 
 
-def kind_client(col: Column) -> Column:
-    low, t = F.lower(text(col)), tokens_letters(col)
+def kind_client(col: Column, letters: Column | None = None) -> Column:
+    low, t = F.lower(text(col)), tokens_letters(col) if letters is None else letters
     return (
         F.when(low.startswith("how to") | F.contains(low, F.lit("steps to")) | (count_in(t, V.CLIENT_VERBS) >= 2), "PROCEDURAL")
         .when(any_of(t, V.CLIENT_MAINTENANCE), "OVERVIEW").when(contains_any(low, V.KIND_INFO_PHRASES), "INFORMATIONAL")
@@ -152,6 +164,6 @@ def client_intent(query: Column) -> Column:
     return F.when(any_of(tokens_letters(query), V.CLIENT_MAINTENANCE), "OVERVIEW").otherwise("UNKNOWN")
 
 
-def lexical_bonus(col: Column) -> Column:
-    t = tokens_letters(col)
+def lexical_bonus(col: Column, letters: Column | None = None) -> Column:
+    t = tokens_letters(col) if letters is None else letters
     return F.least(F.lit(0.3), F.when(any_of(t, V.CLIENT_MAINTENANCE), 0.2).otherwise(0.0) + F.when(any_of(t, ["how", "steps"]), 0.1).otherwise(0.0))

@@ -72,12 +72,8 @@ def gated(scored: DataFrame, policy: Policy, id_col: str = "query_id") -> DataFr
         "pre_rank_score": F.col("final_rank"), "rank_score": F.when(F.col("decision") == "ACCEPT", F.col("final_rank")).otherwise(0.0),
         "rank_score_reason": F.when(F.col("decision") == "ACCEPT", "accepted").otherwise("rejected"), "softened_zero_reason": F.when(softened, F.col("zero_reason")),
     })
-    first = Window.partitionBy(id_col).orderBy(
-        F.when(F.col("_blend"), 0).otherwise(F.when(F.col("_final") > 0, 0).otherwise(1)), F.desc("_final"), F.when(~F.col("_blend") & (F.col("_final") > 0), F.col("final_rank")).desc_nulls_last(),
-        F.when(~F.col("_blend"), F.col("tie_breaker")).desc_nulls_last(), F.desc("_overlap"), F.col("_q.quality_score").desc(), F.when(~F.col("_blend"), F.col("_sim")).desc_nulls_last(),
-        F.desc("tier"), F.desc("tie_breaker"), "request_index",
-    )
-    rows = rows.withColumn("index", F.row_number().over(first) - 1)
+    before = Window.partitionBy(id_col).orderBy(F.desc("tier"), F.desc("tie_breaker"), "request_index")
+    rows = rows.withColumn("index", F.row_number().over(before) - 1)  # the place before the postprocess
     sim = F.greatest(F.coalesce("similarity", F.lit(0.0)), F.lit(0.0))
     positive = (F.col("decision") == "ACCEPT") & (F.col("rank_score") > 0)
     on = lambda c: F.when(positive, c)

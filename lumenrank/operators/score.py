@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,19 +20,21 @@ from ..sources.policies import Policy
 ALWAYS = 5
 
 
-def overlap_tier(query: Column, doc: Column, policy: Policy) -> Column:
+def keyword_sets(rows: DataFrame, policy: Policy, query: str = "query", doc: str = "text") -> DataFrame:
+    """``rows`` with the keyword sets of query and document, each made once: query_keys, doc_keys."""
+    return T.computed(rows, query_keys=T.keyword_set(F.col(query), policy.synonym_map), doc_keys=T.keyword_set(F.col(doc), policy.synonym_map))
+
+
+def overlap_tier(query_keys: Column, doc_keys: Column, policy: Policy) -> Column:
     """2 without query keywords or with a shared tier-A one, 1 with another shared one, else 0."""
-    q, d = T.keyword_set(query, policy.synonym_map), T.keyword_set(doc, policy.synonym_map)
-    both = F.struct(q.alias("q"), F.array_intersect(q, d).alias("s"))
-    return T.let(both, lambda k: F.when(F.size(k["q"]) == 0, 2).when(F.size(k["s"]) == 0, 0).when(T.any_of(k["s"], policy.tier_a), 2).otherwise(1))
+    return T.let(F.array_intersect(query_keys, doc_keys), lambda s: F.when(F.size(query_keys) == 0, 2).when(F.size(s) == 0, 0).when(T.any_of(s, policy.tier_a), 2).otherwise(1))
 
 
-def domain_gate(query: Column, doc: Column, policy: Policy) -> Column:
+def domain_gate(query_keys: Column, doc_keys: Column, policy: Policy) -> Column:
     """A query with a domain keyword wants documents with one."""
     if not policy.domain_keywords:
         return F.lit(True)
-    q, d = (T.any_of(T.keyword_set(c, policy.synonym_map), policy.domain_keywords) for c in (query, doc))
-    return ~q | d
+    return ~T.any_of(query_keys, policy.domain_keywords) | T.any_of(doc_keys, policy.domain_keywords)
 
 
 def has_intent(query: Column, policy: Policy) -> Column:
@@ -57,7 +60,9 @@ def prepare(rows: DataFrame, policy: Policy, with_facts: bool = True) -> DataFra
     """Request rows with facts, tier, tie_breaker and gate (null: goes to the scorer; else why not)."""
     q, d = F.col("query"), F.col("text")
     facts = A.identity(q, d, policy if with_facts else Policy())
-    out = T.computed(rows, facts=facts, overlap_tier=overlap_tier(q, d, policy), _allowed=domain_gate(q, d, policy), _signal=S.procedure_signal(d))
+    sets = keyword_sets(rows, policy)
+    qk, dk = F.col("query_keys"), F.col("doc_keys")
+    out = T.computed(sets, facts=facts, overlap_tier=overlap_tier(qk, dk, policy), _allowed=domain_gate(qk, dk, policy), _signal=S.procedure_signal(d)).drop("query_keys", "doc_keys")
     late = F.col("request_index") >= ALWAYS
     gate = F.when(late & (F.col("overlap_tier") == 0), "tier_0").when(late & ~F.col("_allowed"), "domain")
     return out.withColumns({"tie_breaker": F.col("overlap_tier") * 100 + F.col("_signal"), "gate": gate}).drop("_allowed", "_signal")
@@ -72,61 +77,79 @@ def gate_stats(prepared: DataFrame, id_col: str = "query_id") -> DataFrame:
 
 
 Generate = Callable[[list[str]], list[str]]
+#: Errors after which a scorer is asked once more.
+RETRIABLE = ("TimeoutError", "ReadTimeout", "ConnectError", "ConnectionError", "ConnectionRefusedError", "ConnectionResetError", "ValueError")
 
 
-def generate(rows: DataFrame, prompt: str, make: Callable[[], Generate], to: str = "raw", retry: str | None = None, again: Callable[[str], bool] | None = None) -> DataFrame:
-    """``rows`` with the model's answer to the column ``prompt`` in ``to``, its latency in latency_ms and the
-    attempts taken. ``make`` builds a client once per task; a batch of prompts is one call; rows for which
-    ``again`` holds (or whose call failed) are asked once more with the column ``retry``. Failures give
-    null and an error."""
-    schema = rows.withColumns({to: F.lit(None).cast("string"), "latency_ms": F.lit(None).cast("long"), "attempts": F.lit(None).cast("int"), "error": F.lit(None).cast("string")}).schema
+def generate(rows: DataFrame, prompt: str, make: Callable[[], Generate], to: str = "raw", timeout: float = 45.0, concurrency: int = 4, budget: tuple[str, float] | None = None) -> DataFrame:
+    """``rows`` with the model's answer to the column ``prompt`` in ``to``, and its latency_ms, attempts and error.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = make()
-
-        def ask(prompts: list[str]) -> list[tuple[str | None, str | None]]:
-            try:
-                return [(a, None) for a in client(prompts)]
-            except Exception:
-                out = []
-                for p in prompts:  # one bad prompt must not cost the batch
-                    try:
-                        out.append((client([p])[0], None))
-                    except Exception as e:
-                        out.append((None, type(e).__name__))
-                return out
+    ``make`` builds a client once per task. Each prompt is one call of at most ``timeout`` seconds, and a task makes
+    ``concurrency`` calls at once, so a job makes no more than that times its tasks. A null prompt isn't asked and
+    counts no attempt; a failed call gives null and the error's name. With a ``budget`` (id column, seconds) the rows
+    of an id, in one task in their order, are asked one after the other until their calls took that long
+    (``skipped_total_budget`` from there on).
+    """
+    more = {to: "string", "latency_ms": "long", "attempts": "int", "error": "string"}
+    schema = rows.withColumns({c: F.lit(None).cast(t) for c, t in more.items()}).schema
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client, spent = make(), {}
         for frame in frames:
-            began = time.monotonic()
-            got = ask(frame[prompt].tolist())
-            tries = [1] * len(got)
-            bad = [i for i, (a, _) in enumerate(got) if a is None or (again is not None and again(a))]
-            if retry and bad:
-                for i, answer in zip(bad, ask(frame[retry].iloc[bad].tolist()), strict=True):
-                    got[i], tries[i] = answer, 2
-            each = int((time.monotonic() - began) * 1000 / max(1, len(got)))
-            yield frame.assign(**{to: [a for a, _ in got], "latency_ms": each, "attempts": tries, "error": [e for _, e in got]})
+            got: list[tuple] = [(None, 0, 0, None)] * len(frame)
+            prompts = frame[prompt].tolist()
+            groups: dict = {}
+            for i, p in enumerate(prompts):
+                if p is not None:
+                    groups.setdefault(frame[budget[0]].iloc[i] if budget else i, []).append(i)
+
+            calls, turns = ThreadPoolExecutor(2 * concurrency), ThreadPoolExecutor(concurrency)
+
+            def ask(i: int, prompts=prompts, calls=calls) -> tuple:
+                began = time.monotonic()
+                try:
+                    answer, error = calls.submit(client, [prompts[i]]).result(timeout)[0], None
+                except Exception as e:
+                    answer, error = None, type(e).__name__
+                return answer, int((time.monotonic() - began) * 1000), 1, error
+
+            def group(key, got=got, ask=ask, groups=groups) -> None:
+                for i in groups[key]:
+                    if budget and spent.get(key, 0) > budget[1] * 1000:
+                        got[i] = None, 0, 0, "skipped_total_budget"
+                    else:
+                        got[i] = ask(i)
+                        spent[key] = spent.get(key, 0) + got[i][1] if budget else 0
+
+            list(turns.map(group, list(groups)))
+            calls.shutdown(wait=False, cancel_futures=True)  # a call that hangs can't be ended
+            turns.shutdown(wait=False)
+            yield frame.assign(**{c: pd.Series([g[k] for g in got], index=frame.index, dtype=object if c in (to, "error") else None) for k, c in enumerate(more)})
 
     return rows.mapInPandas(run, schema)
 
 
-def score(prepared: DataFrame, policy: Policy, make: Callable[[], Generate] | None = None, prompt: Column | None = None, retry_prompt: Column | None = None) -> DataFrame:
-    """Prepared rows with bucket and warning. Gated rows get 0 without meeting the scorer: they are a branch
-    of their own, since no conditional keeps a Python function from running. Without ``make`` the rule
-    scorer scores."""
-    gated = prepared.where("gate is not null").withColumns({"bucket": F.lit(0), "warning": F.lit(None).cast("string")})
-    live = prepared.where("gate is null")
+def score(prepared: DataFrame, policy: Policy, make: Callable[[], Generate] | None = None, prompt: Column | None = None, retry_prompt: Column | None = None, timeout: float = 45.0, concurrency: int = 4) -> DataFrame:
+    """Prepared rows with bucket and warning (struct: error, raw). Gated rows get 0 without meeting the scorer: they
+    have no prompt. Without ``make`` the rule scorer scores. A model is asked once more where the parser finds no
+    bucket in its answer or the call timed out or didn't connect; other errors warn at once.
+    """
+    live, none = F.col("gate").isNull(), "struct<error:string,raw:string>"
     if make is None:
-        live = T.computed(live, bucket=rule_bucket(F.col("text"), F.col("facts"))).withColumn("warning", F.lit(None).cast("string"))
+        rows = T.computed(prepared, _raw_bucket=F.when(live, rule_bucket(F.col("text"), F.col("facts"))).otherwise(0)).withColumn("warning", F.lit(None).cast(none))
     else:
-        asked = live.withColumns({"_prompt": prompt, "_retry": retry_prompt if retry_prompt is not None else prompt})
-        got = generate(asked, "_prompt", make, "_raw", "_retry", again=lambda a: not any(c.isdigit() for c in a))
-        live = T.computed(got, _b=parse_bucket(F.col("_raw")))
-        live = live.withColumns({"bucket": F.coalesce("_b", F.lit(0)), "warning": F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("_b").isNull(), "parse_failed")})
-        live = live.drop("_b", "_prompt", "_retry", "_raw", "latency_ms", "attempts", "error")
-    live = live.withColumn("_raw_bucket", F.col("bucket")).drop("bucket")
-    capped = T.computed(live, bucket=procedure_cap(F.col("query"), T.trim_middle(F.col("text")), F.col("_raw_bucket"), policy).cast("int")).drop("_raw_bucket")
-    return capped.unionByName(gated)
+        spare = ["latency_ms", "attempts", "error"]
+        first = generate(prepared.withColumn("_prompt", F.when(live, prompt)), "_prompt", make, "_raw1", timeout, concurrency)
+        first = T.computed(first, _b1=parse_bucket(F.col("_raw1"))).withColumn("_error1", F.col("error")).drop(*spare)
+        again = live & F.col("_b1").isNull() & F.coalesce(F.col("_error1").isin(*RETRIABLE), F.lit(True))
+        second = generate(first.withColumn("_prompt", F.when(again, retry_prompt if retry_prompt is not None else prompt)), "_prompt", make, "_raw2", timeout, concurrency)
+        rows = T.computed(second.withColumn("_asked", F.col("attempts") > 0), _b2=parse_bucket(F.col("_raw2"))).withColumn("_raw_bucket", F.coalesce("_b1", "_b2", F.lit(0)))
+        error = F.when(F.col("_asked"), F.coalesce(F.col("error"), F.lit("score parse failed"))).otherwise(F.col("_error1"))
+        failed = live & F.col("_b1").isNull() & F.col("_b2").isNull()
+        rows = rows.withColumn("warning", F.when(failed, F.struct(error.alias("error"), F.coalesce("_raw2", "_raw1").alias("raw"))).cast(none))
+        rows = rows.drop("_prompt", "_raw1", "_raw2", "_b1", "_b2", "_error1", "_asked", *spare)
+    capped = F.when(live, procedure_cap(F.col("query"), T.trim_middle(F.col("text")), F.col("_raw_bucket"), policy)).otherwise(0).cast("int")
+    return T.computed(rows, bucket=capped).drop("_raw_bucket")
 
 
 def fine_candidates(ranked: DataFrame, k: int = 10, id_col: str = "query_id") -> DataFrame:
@@ -152,10 +175,11 @@ def merge_fine(ranked: DataFrame, outputs: DataFrame, id_col: str = "query_id",
 
 
 def fine_metrics(outputs: DataFrame) -> DataFrame:
-    """Counters of a fine pass from rows (error, attempts, cached)."""
-    e = F.col("error")
+    """Counters of a fine pass from its rows (error, attempts, cached)."""
+    e, fresh = F.coalesce("error", F.lit("")), ~F.col("cached")
     return outputs.agg(
-        F.count("*").alias("requests"), F.count_if(e.isNull()).alias("ok"), F.count_if(F.contains(e, F.lit("parse"))).alias("parse_errors"), F.count_if(e == "empty_output").alias("empty"),
-        F.count_if(e == "timeout").alias("timeouts"), F.count_if(e == "skipped_total_budget").alias("skipped_budget"), F.count_if(e == "circuit_open").alias("circuit_open"),
-        F.count_if(F.col("attempts") > 1).alias("retries"), F.count_if("cached").alias("cache_hits"),
+        F.count("*").alias("requested"), F.count_if("cached").alias("cache_hits"), F.count_if(fresh & ((F.col("attempts") > 1) | e.startswith("percent_parse"))).alias("parse_errors"),
+        F.count_if(fresh & (F.col("attempts") > 1)).alias("retries"), F.count_if(fresh & e.startswith("percent_retry_parse")).alias("retry_errors"),
+        F.count_if(fresh & e.isin("fine_score_timeout", "percent_retry_timeout")).alias("timeouts"), F.count_if(e == "skipped_total_budget").alias("skipped_budget"),
+        F.count_if(e == "circuit_open").alias("circuit_open"), F.count_if(e == "empty_output").alias("empty"),
     )

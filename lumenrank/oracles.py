@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import fixtures as X
+from .functions import prompts
 from .functions import vocab as V
 from .queries import BREAKER, CORPUS_DOMAINS, CORPUS_POLICY, TTL, plumbing
 from .sources.policies import Policy
@@ -253,7 +254,13 @@ def domain_sql() -> str:
 FLAGS = "case when doc_id % 3 = 0 then '?' when doc_id % 3 = 1 then '+' else 'x' end"
 PERCENT = lambda x: f"greatest(0, least(100, round_even({x}, 0)::int))"
 G = gated_pipeline()
+PROMPTS = f"""said as (select d.doc_id, d.doc_id % (select max(item_id) + 1 from benchmark) as item_id, substr(coalesce(d.text, ''), 1, 1600) as doc from documents d),
+asked as (select s.*, coalesce(b.text, '') as query, {s(prompts.FINE)} || chr(10) || 'QUERY: ' || coalesce(b.text, '') || chr(10) || 'DOCUMENT: ' || s.doc as prompt from said s join benchmark b using (item_id))"""
 ORACLES: dict[str, str] = {
+    "prompt_hash": f"with {PROMPTS} select doc_id, sha1(prompt) as prompt_sha1, 'm:' || sha1(prompt) || ':' || sha1(doc) || ':' || sha1(query) as cache_key from asked",
+    "fine_outputs": f"""with {PROMPTS}, h as (select *, ('0x' || substr(md5(prompt), 1, 6))::int as h from asked)
+select item_id as query_id, doc_id as original_index, case h % 8 when 0 then 50 when 1 then null when 2 then null else h % 101 end as fine,
+  case h % 8 when 1 then 'empty_output' when 2 then 'fine_score_timeout' else '-' end as error, case when h % 8 = 0 then 2 else 1 end as attempts from h""",
     "topk_cosine": f"with {cosine_rows()} select query_id, vec_id, round(sim, 6) as sim, rank, label from top",
     "retrieval_metrics": f"with {cosine_rows()}, {JUDGED}, {METRICS} select query_id, round(acc1, 6) as acc1, round(mrr, 6) as mrr, round(recall_any, 6) as recall_any, round(recall_all, 6) as recall_all from per",
     "retrieval_average": f"with {cosine_rows()}, {JUDGED}, {METRICS} select count(*) as queries, round(avg(acc1), 6) as acc1, round(avg(mrr), 6) as mrr, round(avg(recall_any), 6) as recall_any, round(avg(recall_all), 6) as recall_all from per",

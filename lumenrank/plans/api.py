@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import facts as A
 from ..functions import prompts
 from ..functions import text as T
+from ..functions.parsers import parse_fine
 from ..operators import fallback as B
 from ..operators import rank as R
 from ..operators import retrieve, score
@@ -94,18 +95,65 @@ def rerank(rows: DataFrame, options: Options = Options(), store: PolicyStore | N
     return R.final_order(ranked, options.top_n)
 
 
-def fine_pass(make: Callable[[], score.Generate]) -> Callable[[DataFrame], DataFrame]:
-    """A ``fine`` for ``rerank``: one prompt per candidate, equal pairs of query and document asked once."""
+@dataclass(frozen=True)
+class FineLimits:
+    """What a fine pass may take: seconds of a call and of a query's calls, an answer's life in the cache, and the
+    failures within a window that open the circuit."""
+
+    timeout: float = 30.0
+    total: float = 60.0
+    ttl: float = 900.0
+    window: float = 60.0
+    threshold: int = 5
+    concurrency: int = 4
+    document_chars: int = 1600
+
+
+def fine_pass(make: Callable[[], score.Generate], model: str = "", limits: FineLimits = FineLimits(), cache: DataFrame | None = None, failures: DataFrame | None = None, now: Column | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A ``fine`` for ``rerank``: candidates (query_id, original_index, query, text, policy_rank) with key, raw, error,
+    attempts, cached and latency_ms.
+
+    ``failures`` (at) are those of earlier passes: ``threshold`` within the window leave every row ``circuit_open``.
+    ``cache`` (key, expires_at, raw, error), see ``cache_rows``, answers for what it holds, errors too. Otherwise each
+    distinct pair of query and document is asked once, a query's one after the other within its budget; where the
+    parser finds no number in an answer, a prompt without query and document asks once more for half the time.
+    """
+    now = F.current_timestamp() if now is None else now
 
     def run(candidates: DataFrame) -> DataFrame:
-        keyed = candidates.withColumn("key", prompts.cache_key("", "percent_line", F.col("text"), F.col("query")))
-        once = keyed.dropDuplicates(["key"]).select("key", prompts.fine_prompt(F.col("query"), F.col("text")).alias("prompt"))
-        answers = score.generate(once, "prompt", make).select("key", "raw", "error")
-        return keyed.select("query_id", "original_index", "key").join(answers, "key").select("query_id", "original_index", "raw", "error")
+        rows = T.computed(candidates, key=prompts.cache_key(model, F.col("text"), F.col("query"), limits.document_chars))
+        plain = rows.select("query_id", "original_index", "key")
+        if failures is not None and failures.where((F.col("at") > now - F.make_dt_interval(secs=F.lit(limits.window))) & (F.col("at") <= now)).limit(limits.threshold).count() >= limits.threshold:
+            none = {"raw": F.lit(None).cast("string"), "error": F.lit("circuit_open"), "attempts": F.lit(0), "cached": F.lit(False), "latency_ms": F.lit(0).cast("long")}
+            return plain.withColumns(none)
+        first = Window.partitionBy("key").orderBy("query_id", "policy_rank")
+        once = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("query_id", "policy_rank", "key", prompts.fine_prompt(F.col("query"), F.col("text"), limits.document_chars).alias("prompt"))
+        known = (cache if cache is not None else once.select("key").withColumns({"expires_at": F.lit(None).cast("timestamp"), "raw": F.lit(None).cast("string"), "error": F.lit(None).cast("string")}).where(F.lit(False))).where(F.col("expires_at") > now)
+        known = known.select("key", F.col("raw").alias("raw"), F.col("error").alias("error")).dropDuplicates(["key"])
+        todo = once.join(known, "key", "left_anti").repartition("query_id").sortWithinPartitions("query_id", "policy_rank")
+        asked = score.generate(todo, "prompt", make, "raw1", limits.timeout, limits.concurrency, ("query_id", limits.total))
+        asked = T.computed(asked, _p1=parse_fine(F.col("raw1")), _e1=F.col("error"), _ms=F.col("latency_ms")).drop("error", "latency_ms", "attempts", "prompt")
+        empty = T.strip(F.col("raw1")) == ""
+        again = F.col("_e1").isNull() & ~empty & F.col("_p1.score").isNull()
+        asked = score.generate(asked.withColumn("prompt", F.when(again, prompts.FINE_RETRY)), "prompt", make, "raw2", limits.timeout / 2, limits.concurrency)
+        asked = T.computed(asked, _p2=parse_fine(F.col("raw2")), _again=F.col("attempts") > 0)
+        late = lambda e, what: F.when(e == "skipped_total_budget", e).when(e.isin("TimeoutError", "ReadTimeout"), F.lit(f"{what}_timeout")).when(e.isNotNull(), F.concat(F.lit(f"{what}_exc:"), e))
+        error = F.when(F.col("_again"), F.coalesce(late(F.col("error"), "percent_retry"), F.when(F.col("_p2.score").isNull(), F.concat(F.lit("percent_retry_parse:"), "_p2.error")))).otherwise(F.coalesce(late(F.col("_e1"), "fine_score"), F.when(empty, "empty_output")))
+        attempts = F.when(F.col("_e1") == "skipped_total_budget", 0).otherwise(1) + F.col("_again").cast("int")
+        answers = asked.select("key", F.coalesce(F.nullif("raw2", F.lit("")), F.col("raw1")).alias("raw"), error.alias("error"), attempts.alias("attempts"), F.lit(False).alias("cached"), (F.col("_ms") + F.col("latency_ms")).alias("latency_ms"))
+        held = known.select("key", "raw", "error", F.lit(0).alias("attempts"), F.lit(True).alias("cached"), F.lit(0).cast("long").alias("latency_ms"))
+        return plain.join(answers.unionByName(held), "key").select("query_id", "original_index", "key", "raw", "error", "attempts", "cached", "latency_ms")
 
     return run
 
 
+def cache_rows(outputs: DataFrame, limits: FineLimits = FineLimits(), now: Column | None = None) -> DataFrame:
+    """What a fine pass adds to its cache: (key, expires_at, raw, error) of the answers that were asked for."""
+    now = F.current_timestamp() if now is None else now
+    fresh = outputs.where(~F.col("cached") & (F.col("attempts") > 0)).dropDuplicates(["key"])
+    return fresh.select("key", (now + F.make_dt_interval(secs=F.lit(limits.ttl))).alias("expires_at"), "raw", "error")
+
+
 def search(queries: DataFrame, index: DataFrame, corpus: DataFrame, options: Options = Options(), **kw) -> tuple[DataFrame, DataFrame]:
     """(reranked rows, fallback rows) of queries (query_id, query, embedding) over an index (doc_id,
     embedding) and its corpus (doc_id, text). Ambiguous queries skip the reranker where the options say so."""

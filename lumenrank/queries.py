@@ -14,7 +14,7 @@ from .functions import prompts
 from .functions import signals as S
 from .functions import text as T
 from .operators import evaluate, fallback, rank, retrieve, score, stateful
-from .plans.api import Options, rerank
+from .plans.api import Options, fine_pass, rerank
 from .sources.corpora import relevance_rows, responses
 from .sources.policies import Policy, PolicyStore
 
@@ -158,14 +158,14 @@ def _with_howto(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gated_quality(spark: SparkSession, d: str) -> DataFrame:
-    rows = _with_howto(spark, d).withColumn("q", S.gated_quality(F.col("text")))
+    rows = S.with_quality(_with_howto(spark, d))
     return rows.select("doc_id", "q.part_terms", "q.procedural", r6("q.quality_score").alias("quality_score"), r6(S.action_score(F.col("text"), F.col("q"))).alias("action_score"))
 
 
 def doc_kinds(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
-    rows = _with_howto(spark, d).withColumn("q", S.gated_quality(t))
-    return rows.select("doc_id", S.kind_gated(t, F.col("q")).alias("gated"), S.kind_generic(t, F.col("q")).alias("generic"), S.kind_client(t).alias("client"), r6(S.lexical_bonus(t)).alias("bonus"))
+    t, q, w, n = F.col("text"), F.col("q"), F.col("_words"), F.col("letters")
+    rows = T.computed(S.with_quality(_with_howto(spark, d)), letters=T.tokens_letters(t))
+    return rows.select("doc_id", S.kind_gated(t, q, w).alias("gated"), S.kind_generic(t, q, w).alias("generic"), S.kind_client(t, n).alias("client"), r6(S.lexical_bonus(t, n)).alias("bonus"))
 
 
 def query_intents(spark: SparkSession, d: str) -> DataFrame:
@@ -188,16 +188,18 @@ def keyword_tiers(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "benchmark")
     n = b.agg(F.max("item_id")).first()[0] + 1
     rows = table(spark, d, "documents").withColumn("item_id", F.col("doc_id") % n).join(b.select("item_id", F.col("text").alias("query")), "item_id")
-    q, t = F.col("query"), F.col("text")
-    return rows.select("doc_id", score.overlap_tier(q, t, CORPUS_POLICY).alias("tier"), score.domain_gate(q, t, CORPUS_POLICY).alias("allowed"), T.overlap_count(q, t).alias("overlap"))
+    q, t = F.col("query_keys"), F.col("doc_keys")
+    rows = score.keyword_sets(rows, CORPUS_POLICY)
+    return rows.select("doc_id", score.overlap_tier(q, t, CORPUS_POLICY).alias("tier"), score.domain_gate(q, t, CORPUS_POLICY).alias("allowed"), T.overlap_count(F.col("query"), F.col("text")).alias("overlap"))
 
 
 def domain_detect(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
-    hits = A.domain_hits(t, CORPUS_DOMAINS)
-    return table(spark, d, "documents").select(
-        "doc_id", A.generic_domain(t, CORPUS_DOMAINS).alias("generic"), A.client_domain(t, CORPUS_DOMAINS).alias("client"), F.coalesce(A.choose_domain(hits, CORPUS_DOMAINS), F.lit("-")).alias("chosen"),
-        F.coalesce(A.infer_domain(t, CORPUS_DOMAINS), F.lit("-")).alias("inferred"), F.array_join(A.items(t, CORPUS_POLICY), ",").alias("items"),
+    t, have = F.col("text"), F.col("have")
+    rows = T.computed(table(spark, d, "documents"), have=A.whole_words(t))
+    rows = T.computed(rows, hits=A.domain_hits(t, CORPUS_DOMAINS, have), inferred=A.infer_domain(t, CORPUS_DOMAINS, have=have), generic=A.generic_domain(t, CORPUS_DOMAINS))
+    return rows.select(
+        "doc_id", "generic", A.client_domain(t, CORPUS_DOMAINS).alias("client"), F.coalesce(A.choose_domain(F.col("hits"), CORPUS_DOMAINS), F.lit("-")).alias("chosen"),
+        F.coalesce("inferred", F.lit("-")).alias("inferred"), F.array_join(A.items(t, CORPUS_POLICY), ",").alias("items"),
     )
 
 
@@ -369,7 +371,33 @@ def prompt_hash(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "benchmark")
     n = b.agg(F.max("item_id")).first()[0] + 1
     rows = table(spark, d, "documents").withColumn("item_id", F.col("doc_id") % n).join(b.select("item_id", F.col("text").alias("query")), "item_id")
-    return rows.select("doc_id", F.sha1(prompts.fine_prompt(F.col("query"), F.col("text"))).alias("prompt_sha1"), prompts.cache_key("m", "p", F.col("text"), F.col("query")).alias("cache_key"))
+    return rows.select("doc_id", F.sha1(prompts.fine_prompt(F.col("query"), F.col("text"))).alias("prompt_sha1"), prompts.cache_key("m", F.col("text"), F.col("query")).alias("cache_key"))
+
+
+def recorded_model() -> Callable[[list[str]], list[str]]:
+    """A model whose answers depend on a digest of the prompt alone: no number, nothing, too late, or a percentage."""
+    import hashlib
+
+    def answer(prompt: str) -> str:
+        h = int(hashlib.md5(prompt.encode()).hexdigest()[:6], 16)
+        if prompt == prompts.FINE_RETRY:
+            return "50%"
+        if h % 8 == 2:
+            raise TimeoutError
+        return ("no number", "")[h % 8] if h % 8 < 2 else f"{h % 101}%"
+
+    return lambda asked: [answer(p) for p in asked]
+
+
+def fine_outputs(spark: SparkSession, d: str) -> DataFrame:
+    """A fine pass over every document as a candidate of one benchmark item."""
+    b = table(spark, d, "benchmark")
+    n = b.agg(F.max("item_id")).first()[0] + 1
+    rows = table(spark, d, "documents").select((F.col("doc_id") % n).alias("query_id"), F.col("doc_id").alias("original_index"), F.col("doc_id").alias("policy_rank"), "text")
+    rows = rows.join(b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
+    got = fine_pass(recorded_model, "m")(rows)
+    got = T.computed(got, p=P.parse_fine(F.col("raw")))
+    return got.select("query_id", "original_index", F.when(F.col("error").isNull(), F.col("p.score")).alias("fine"), F.coalesce("error", F.lit("-")).alias("error"), "attempts")
 
 
 QUERIES: dict[str, Query] = {
@@ -378,6 +406,6 @@ QUERIES: dict[str, Query] = {
         topk_cosine, retrieval_metrics, retrieval_average, diversified_topk, topk_cosine_all, retrieval_metrics_all, retrieval_average_all, diversified_topk_all, missing_sim_default, truncate_usage, request_status, last_wins, text_forms, loose_numbers, keyword_sets, quality_signals, gated_quality, doc_kinds,
         query_intents, procedure_signals, keyword_tiers, domain_detect, identity_facts, gated_bucket, gate_stats, gated_rank, generic_rank, final_order, decision_breakdown, reject_groups, plain_response, response_json, reports,
         routed_rerank, ambiguous_fallback, parse_buckets, parse_fines, parse_event_scores, fallback_fines, response_texts, flatlines, score_gap, latency_stats, tie_summaries, missing_docs, circuit_breaker, user_breaker,
-        ttl_cache, latency_budget, prompt_hash,
+        ttl_cache, latency_budget, prompt_hash, fine_outputs,
     )
 }

@@ -8,7 +8,7 @@ from lumenrank import fixtures as X
 from lumenrank import queries as Q
 from lumenrank.functions import text as T
 from lumenrank.operators import evaluate, fallback, rank, retrieve, score, stateful, tiles
-from lumenrank.plans.api import Options, build_index, fine_pass, rerank, search
+from lumenrank.plans.api import Options, build_index, cache_rows, fine_pass, rerank, search
 from lumenrank.sources import corpora
 from lumenrank.sources.policies import Policy
 from lumenrank.streaming import stateful as live
@@ -51,19 +51,71 @@ def test_scorer_never_sees_gated_rows(spark):
     assert len(got) == 10 and all(r["bucket"] == 0 and r["warning"] is None for r in got if r["gate"]) and {r["bucket"] for r in got if not r["gate"]} <= {1, 2}
 
 
-def test_generate_retries_and_reports(spark):
-    rows = spark.createDataFrame([(1, "good", "r"), (2, "odd", "fine 7"), (3, "boom", "boom")], "id int, p string, r string")
-
+def _client(answers):
     def make():
+        import time
+
         def ask(prompts):
-            if "boom" in prompts:
-                raise TimeoutError
-            return [p if p != "good" else "1" for p in prompts]
+            said = answers[prompts[0]]
+            if said == "slow":
+                time.sleep(0.6)
+                return ["1"]
+            if said in ("TimeoutError", "ConnectionError", "KeyError"):
+                raise {"TimeoutError": TimeoutError, "ConnectionError": ConnectionError, "KeyError": KeyError}[said]
+            return [said]
 
         return ask
 
-    got = {r["id"]: r for r in score.generate(rows.coalesce(1), "p", make, retry="r", again=lambda a: not any(c.isdigit() for c in a)).collect()}
-    assert (got[1]["raw"], got[1]["attempts"]) == ("1", 1) and (got[2]["raw"], got[2]["attempts"]) == ("fine 7", 2) and got[3]["raw"] is None and got[3]["error"] == "TimeoutError"
+    return make
+
+
+def test_generate_bounds_calls(spark):
+    rows = spark.createDataFrame([(1, 0, "good"), (1, 1, "slow"), (1, 2, "good"), (2, 0, None), (2, 1, "bad")], "q int, i int, p string").coalesce(1)
+    make = _client({"good": "1", "slow": "slow", "bad": "KeyError"})
+    got = {(r["q"], r["i"]): r for r in score.generate(rows, "p", make, timeout=0.3).collect()}
+    assert [(got[k]["raw"], got[k]["attempts"], got[k]["error"]) for k in sorted(got)] == [("1", 1, None), (None, 1, "TimeoutError"), ("1", 1, None), (None, 0, None), (None, 1, "KeyError")]
+    got = {(r["q"], r["i"]): r["error"] for r in score.generate(rows, "p", make, budget=("q", 0.5)).collect()}
+    assert got[1, 1] is None and got[1, 2] == "skipped_total_budget" and got[2, 1] == "KeyError"
+
+
+def test_scorer_is_asked_again_by_the_parsers_verdict(spark):
+    """Retried: no bucket in the answer (even if it has digits), timeouts, lost connections. Other errors warn at once."""
+    made = [(i, p, f"{p} again", "tier_0" if p == "gated" else None) for i, p in enumerate(["2", "score 85", "TimeoutError", "ConnectionError", "KeyError", "never", "gated"])]
+    rows = spark.createDataFrame(made, "request_index int, p string, r string, gate string").withColumns({"query": F.lit("q"), "text": F.lit("t"), "facts": F.lit(None)})
+    answers = {p: p for _, p, _, _ in made} | {f"{p} again": '{"score": 3}' for _, p, _, _ in made} | {"never": "none", "never again": "none at all"}
+    got = {r["p"]: (r["bucket"], r["warning"] and tuple(r["warning"])) for r in score.score(rows, Policy(), _client(answers), F.col("p"), F.col("r")).collect()}
+    assert got == {"2": (2, None), "score 85": (3, None), "TimeoutError": (3, None), "ConnectionError": (3, None), "KeyError": (0, ("KeyError", None)), "never": (0, ("score parse failed", "none at all")), "gated": (0, None)}
+
+
+def test_fine_pass_statuses(spark):
+    def text_of(answers):
+        plain = _client(answers)
+
+        def make():
+            inner = plain()
+            return lambda ps: inner([next((a for a in answers if f"DOCUMENT: {a}" in ps[0]), "retry")])
+
+        return make
+
+    said = {"good": "60%", "bad": "none", "empty": " ", "slow": "TimeoutError", "boom": "KeyError", "retry": "33%"}
+    texts = ["good", "bad", "empty", "slow", "boom", "good"]
+    rows = spark.createDataFrame([(1, i, "q", t, i) for i, t in enumerate(texts)], "query_id int, original_index int, query string, text string, policy_rank int")
+    now = F.lit(dt.datetime(2024, 1, 1, 12)).cast("timestamp")
+    out = fine_pass(text_of(said), "m", now=now)(rows).cache()
+    got = {r["original_index"]: (r["raw"], r["error"], r["attempts"], r["cached"]) for r in out.collect()}
+    assert got == {0: ("60%", None, 1, False), 1: ("33%", None, 2, False), 2: (" ", "empty_output", 1, False), 3: (None, "fine_score_timeout", 1, False), 4: (None, "fine_score_exc:KeyError", 1, False), 5: ("60%", None, 1, False)}
+    assert score.fine_metrics(out).first().asDict() == {"requested": 6, "cache_hits": 0, "parse_errors": 1, "retries": 1, "retry_errors": 0, "timeouts": 1, "skipped_budget": 0, "circuit_open": 0, "empty": 1}
+    kept = cache_rows(out, now=now).cache()
+    assert kept.count() == 5
+    again = {r["original_index"]: (r["raw"], r["error"], r["cached"]) for r in fine_pass(text_of({**said, "good": "1%"}), "m", cache=kept, now=now)(rows).collect()}
+    assert again == {i: (v[0], v[1], True) for i, v in got.items()}  # errors are remembered, too
+    late = now + F.expr("interval 1 hour")
+    assert {r["cached"] for r in fine_pass(text_of(said), "m", cache=kept, now=late)(rows).collect()} == {False}
+    worse = fine_pass(text_of({**said, "retry": "none"}), "m", now=now)(rows).where("original_index = 1").first()
+    assert worse["error"].startswith("percent_retry_parse:") and worse["attempts"] == 2
+    fails = spark.createDataFrame([(dt.datetime(2024, 1, 1, 11, 59, 30 + i),) for i in range(5)], "at timestamp")
+    assert {r["error"] for r in fine_pass(text_of(said), "m", failures=fails, now=now)(rows).collect()} == {"circuit_open"}
+    assert "circuit_open" not in {r["error"] for r in fine_pass(text_of(said), "m", failures=fails, now=late)(rows).collect()}
 
 
 def test_fine_scores_merge(spark):

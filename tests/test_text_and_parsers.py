@@ -132,5 +132,5 @@ def test_plugins():
 def test_prompts_keep_nulls(spark):
     p = Policy(few_shot=[{"query": "q", "doc": "d", "score": 10}])
     facts = A.identity(F.lit("q"), F.lit("d"), p)
-    got = one(spark, b=prompts.bucket_prompt(F.lit("q?"), F.lit("doc"), facts, p), r=prompts.retry_prompt(facts), k=prompts.cache_key("m", "p", F.lit("d"), F.lit("q")))
-    assert '"query_item":null' in got["b"] and '"score": 3' in got["b"] and "doc" not in got["r"].split("FACTS")[0] and got["k"].startswith("m:p:") and len(got["k"]) == 4 + 81
+    got = one(spark, b=prompts.bucket_prompt(F.lit("q?"), F.lit("doc"), facts, p), r=prompts.retry_prompt(facts), k=prompts.cache_key("m", F.lit("d"), F.lit("q")))
+    assert '"query_item":null' in got["b"] and '"score": 3' in got["b"] and "doc" not in got["r"].split("FACTS")[0] and got["k"].startswith("m:") and len(got["k"]) == 2 + 40 * 3 + 2
