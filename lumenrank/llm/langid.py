@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import pieces, trim, unused
 
 #: Buckets of the hashed n-grams, their orders, the most labelled documents that a fit reads, the tasks that
-#: count them, and the languages whose matrix is broadcast at once.
-BITS, ORDERS, FIT_DOCS, FIT_TASKS, BLOCK = 16, (1, 2, 3), 20_000, 16, 256
+#: count them, the languages whose matrix is broadcast at once, and those that a counting task holds.
+BITS, ORDERS, FIT_DOCS, FIT_TASKS, BLOCK, HELD = 16, (1, 2, 3), 20_000, 16, 256, 64
 _CHUNK = 4096
 _MULT = {1: (0x9E3779B97F4A7C15,), 2: (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), 3: (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)}
 
@@ -60,30 +60,29 @@ def _buckets(flat: np.ndarray, order: int) -> np.ndarray:
 
 
 def _count(langs: list[str]):
-    """Counts of a task's texts, as sparse sums, in rows of (language, chunk of buckets)."""
+    """Counts of a task's texts in rows of (language, chunk of buckets), text by language; a vector for each of
+    the languages that came, of ``HELD`` at most before they are passed on."""
+
+    def rows(seen: dict[int, int], counts: dict[int, np.ndarray]):
+        for i, vector in counts.items():
+            for c in range(0, 1 << BITS, _CHUNK):
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([i], pa.int32()), "chunk": pa.array([c], pa.int32()), "docs": pa.array([seen[i]], pa.int64()), "counts": pa.array([vector[c : c + _CHUNK].tobytes()], pa.binary())})
 
     def run(batches):
-        width, seen = (1 << BITS) + 1, np.zeros(len(langs), np.int64)
-        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        number = {x: i for i, x in enumerate(langs)}
+        number, seen, counts = {x: i for i, x in enumerate(langs)}, {}, {}
         for b in pieces(batches):
-            flat, start, _ = _points(b)
-            which = np.array([number[x] for x in b.column("lang").to_pylist()], np.int64)
-            seen += np.bincount(which, minlength=len(langs))
-            owner = np.repeat(which, np.diff(np.concatenate((start, [len(flat) - 2]))))
-            found = [keys]
-            for order in ORDERS:
-                h = _buckets(flat, order)[: len(owner)]
-                found.append(owner[: len(h)] * width + h)
-            ones = [counts, *[np.ones(len(x), np.int64) for x in found[1:]]]
-            keys, back = np.unique(np.concatenate(found), return_inverse=True)
-            counts = np.bincount(back, np.concatenate(ones), len(keys)).astype(np.int64)
-        for i in np.flatnonzero(seen):
-            for c in range(0, 1 << BITS, _CHUNK):
-                lo, hi = np.searchsorted(keys, (i * width + c, i * width + c + _CHUNK))
-                dense = np.zeros(_CHUNK, np.int64)
-                dense[keys[lo:hi] - i * width - c] = counts[lo:hi]
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([int(i)], pa.int32()), "chunk": pa.array([c], pa.int32()), "docs": pa.array([int(seen[i])], pa.int64()), "counts": pa.array([dense.tobytes()], pa.binary())})
+            for lang in pc.unique(b.column("lang")).to_pylist():
+                i, mine = number[lang], b.filter(pc.equal(b.column("lang"), lang))
+                flat, _, _ = _points(mine)
+                if i not in counts and len(counts) == HELD:
+                    yield from rows(seen, counts)
+                    seen, counts = {}, {}
+                seen[i] = seen.get(i, 0) + mine.num_rows
+                counts.setdefault(i, np.zeros((1 << BITS) + 1, np.int64))
+                for order in ORDERS:
+                    counts[i] += np.bincount(_buckets(flat, order), minlength=(1 << BITS) + 1)
+        yield from rows(seen, counts)
+        trim()
 
     return run
 
