@@ -558,6 +558,20 @@ def test_ann_recall_with_few_candidates(spark):
     assert len(got) == 300 and hits >= 270
 
 
+def test_ann_recall_over_several_blocks(spark):
+    """20,480 rows of two lengths, in several blocks and slots."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20_000, 16)).astype(np.float32)
+    made = [(i, v.tolist()) for i, v in enumerate(x)] + [(20_000 + i, rng.normal(size=5).tolist()) for i in range(480)]
+    df = spark.createDataFrame(made, "vec_id long, embedding array<float>").repartition(6)
+    got: dict = {}
+    for r in ann.nearest(df, df.where("vec_id % 400 = 0"), 20).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    v, ids = x.astype(float), np.arange(20_000)
+    hits = sum(len(got[q] & {i for i, _ in exact(v, ids, q, 20)}) for q in range(0, 20_000, 400))
+    assert hits >= 0.9 * 20 * 50 and all(len(m) == 20 for m in got.values()) and min(got[20_000]) >= 20_000
+
+
 def test_ann_recall_inside_a_tight_cluster(spark):
     """A third of the rows nearly alike, and as many that are equal: codes can't order them."""
     rng = np.random.default_rng(6)
@@ -679,6 +693,10 @@ def test_pipeline_against_its_parts(spark, sf_dir, docs):
             assert {r["doc_id"] for r in kept.collect()} == {d for d, (_, c) in want.items() if d == c}
         if name == "personal_data":
             assert {r["doc_id"] for r in kept.collect()} == before
+        if name == "mixture":
+            words = sum(len((r["text"] or "").split()) for r in kept.collect())
+            assert 0.6 < words / said < 0.95  # of a budget of 0.8, in a small sample
+        said = sum(len((r["text"] or "").split()) for r in kept.collect())
     got = p.run(spark, sf_dir).collect()
     path, texts = public_tokenizers.path("word_bpe_49k.json"), {r["doc_id"]: r["text"] for r in kept.collect()}
     count = Counter(r["doc_id"] for r in got)
@@ -686,3 +704,24 @@ def test_pipeline_against_its_parts(spark, sf_dir, docs):
     for d in list(texts)[:40]:
         ids = ids_of(path, texts[d], 2)
         assert count[d] == len(packing.decompose(len(ids)))
+
+
+def test_stages_take_odd_tables(spark, docs, sf_dir):
+    """Nulls in every column, empty and long texts, repeated rows, other columns of an operator's names: every
+    stage returns the columns it got, with what it doesn't own unchanged; an empty table stays empty."""
+    import corpus_pipeline as p
+
+    clash = {c: F.lit(f"{c}!") for c in ("lang_pred", "score", "n_replaced", "topic", "tokens", "probability", "kept", "run", "mark")}
+    nothing = docs.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema])
+    long = docs.limit(1).withColumns({"doc_id": F.lit(-1).cast("long"), "text": F.repeat(F.lit("the and of to Mr Smith "), 20_000)})
+    table = docs.limit(40).unionByName(docs.limit(5)).unionByName(nothing).unionByName(long).withColumns(clash).cache()
+    for name, stage in p.STAGES[:-1]:
+        got = stage(spark, table, sf_dir)
+        assert got.columns == table.columns, name
+        rows = got.collect()
+        assert len(rows) <= table.count() and all(r[c] == f"{c}!" for r in rows for c in clash), name
+        assert stage(spark, table.limit(0), sf_dir).count() == 0, name
+        if name == "personal_data":
+            assert len(rows) == table.count() and not any("Smith" in (r["text"] or "") for r in rows if r["doc_id"] == -1)
+    pieces = p.STAGES[-1][1](spark, table, sf_dir)
+    assert pieces.where("doc_id is null").count() == 1 and p.STAGES[-1][1](spark, table.limit(0), sf_dir).count() == 0
