@@ -65,6 +65,12 @@ def rejects_by_reason(rows: DataFrame, id_col: str = "query_id", doc_col: str =
     return out.groupBy(id_col, F.coalesce("zero_reason", F.lit("unknown")).alias("reason")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(doc_col)).alias("docs"))
 
 
+def reject_counts(rows: DataFrame, id_col: str = "query_id") -> DataFrame:
+    """Per query and reason the number of rows that aren't accepted or kept."""
+    out = rows.where(~F.col("decision").isin("ACCEPT", "KEEP_LOW_SIGNAL"))
+    return out.groupBy(id_col, F.coalesce("zero_reason", F.lit("unknown")).alias("reason")).agg(F.count("*").alias("n"))
+
+
 def tie_summary(rows: DataFrame, id_col: str = "query_id") -> DataFrame:
     """Per query: fine scores used, parse failures, mean latency cut to whole milliseconds."""
     failed = F.contains(F.lower(F.coalesce("tie_breaker_error", F.lit(""))), F.lit("parse"))

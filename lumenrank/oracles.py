@@ -5,7 +5,7 @@ from __future__ import annotations
 from . import fixtures as X
 from .functions import prompts
 from .functions import vocab as V
-from .queries import BREAKER, CORPUS_DOMAINS, CORPUS_POLICY, TTL, plumbing
+from .queries import ASKED, BREAKER, CORPUS_DOMAINS, CORPUS_POLICY, TTL, corpus_mixed, plumbing
 from .sources.policies import Policy
 
 
@@ -169,65 +169,87 @@ BULLETS = r"len(regexp_extract_all(coalesce(text, ''), '(?m)^\s*(?:\d+[)\.:]|[-*
 SEPARATORS = r"len(regexp_extract_all(coalesce(text, ''), '[.;:]\s+|,\s+'))"
 
 
-def gated_pipeline() -> str:
-    """CTEs of the how-to pipeline under the plumbing policy: facts, score, gated, final."""
-    p = plumbing()
-    rows = [(q, t, i, o, d, m) for q, t in X.QUERIES for i, (o, m, d) in enumerate(X.CORPUS)]
+HOWTO_ROWS = values([(q, t, i, o, d, m) for q, t in X.QUERIES for i, (o, m, d) in enumerate(X.CORPUS)], "query_id, query, request_index, original_index, text, similarity")
+CORPUS_ROWS = f"""(select b.item_id as query_id, case when b.item_id % 4 = 0 then regexp_extract(b.text, '[a-zA-Z]+') else b.text end as query, row_number() over (partition by b.item_id order by d.doc_id) - 1 as request_index, d.doc_id as original_index, d.text,
+  case when d.doc_id % 3 != 0 then (d.doc_id % 97) / 97.0::double end as similarity from documents d join benchmark b on b.item_id = d.doc_id % (select max(item_id) + 1 from benchmark)
+  union all select * from {values([(-q, t, i, -1 - o, d, m if i % 3 else None) for q, t in [*X.QUERIES, *ASKED] for i, (o, m, d) in enumerate(X.CORPUS)], "query_id, query, request_index, original_index, text, similarity")})"""
+
+
+def gated_pipeline(source: str = HOWTO_ROWS, p: Policy | None = None) -> str:
+    """CTEs of request rows under a policy (the plumbing policy): facts, score, gated, final."""
+    p = p or plumbing()
     counts = {c: rule_counts(c, V.DOMAIN_RULES) for c in ("query", "text")}
     n_cols = ", ".join(f"{n} as {pre}_{d}" for c, pre in (("query", "q"), ("text", "d")) for d, n in counts[c].items())
     names = list(counts["query"])
     items = {c: "list_filter([" + ", ".join(f"case when {whole(c, a)} then {s(i)} end" for i, a in p.item_aliases.items()) + "], lambda x: x is not null)" for c in ("query", "text")}
     trimmed = "case when length(text) > 800 then left(text, 600) || ' [...] ' || right(text, 200) else text end"
+    tokens = f"list_distinct({word('query')})"
+    ambiguous = f"(len({tokens}) <= 1 or {has(tokens, p.ambiguous_triggers)})" if p.ambiguous_triggers else "false"
     signal = f"{BULLETS} * 4 + ({VERBS}) * 2 + least({SEPARATORS}, 8)"
     about = [*V.KIND_MAINTENANCE_TOKENS, "fix", "repair", "replace"]
-    return f"""rows as (select query_id::bigint as query_id, query, request_index::int as request_index, original_index::bigint as original_index, text, similarity::double as similarity from {values(rows, 'query_id, query, request_index, original_index, text, similarity')}),
+    return f"""rows as (select query_id::bigint as query_id, query, request_index::int as request_index, original_index::bigint as original_index, text, similarity::double as similarity from {source}),
 f0 as (select *, {n_cols}, {items['query']} as q_items, {items['text']} as d_items from rows),
-f1 as (select *, case when len(q_items) = 1 then q_items[1] end as query_item, {best({f'q_{d}': d for d in names})} as query_domain, {best({f'd_{d}': d for d in names})} as doc_domain,
+f1 as (select *, {trimmed} as trimmed, case when len(q_items) = 1 then q_items[1] end as query_item, {best({f'q_{d}': d for d in names})} as query_domain, {best({f'd_{d}': d for d in names})} as doc_domain,
   {' + '.join(f'd_{d}' for d in names)} as doc_hits, {' + '.join(f'q_{d}' for d in names)} as query_hits from f0),
 facts as (select *, case when len(d_items) > 0 then coalesce(list_contains(d_items, query_item), false) end as same_item, coalesce(query_domain = doc_domain, false) as same_domain from f1),
-k as (select *, {keywords('query', p)} as qk, {keywords('text', p)} as dk, ({signal})::int as signal, ({VERBS})::int as verbs, {word("lower(text)")} as dt from facts),
+k as (select *, {keywords('query', p)} as qk, {keywords('text', p)} as dk, ({signal})::int as signal, ({signal.replace('coalesce(text,', 'coalesce(trimmed,')})::int as cap_signal, ({VERBS})::int as verbs, {word("lower(text)")} as dt from facts),
 t as (select *, case when len(qk) = 0 then 2 when len(list_intersect(qk, dk)) = 0 then 0 when {has('list_intersect(qk, dk)', p.tier_a)} then 2 else 1 end as overlap_tier,
   not {has('qk', p.domain_keywords)} or {has('dk', p.domain_keywords)} as allowed, {has('qk', p.intent_keywords)} as intends from k),
 g as (select *, case when request_index >= 5 and overlap_tier = 0 then 'tier_0' when request_index >= 5 and not allowed then 'domain' else '-' end as gate, overlap_tier * 100 + signal as tie_breaker from t),
 b0 as (select *, case when gate != '-' then 0 when query_item is null then case when same_domain and {has('dt', about)} then 2 when same_domain then 1 else 0 end
   when coalesce(same_item, false) then case when verbs >= 2 then 3 else 2 end when same_domain then 1 else 0 end as b from g),
-score as (select *, case when intends and b = 3 and signal < 2 then 2 when intends and b = 2 and signal < 1 then 1 else b end as bucket from b0),
-clamped as (select *, case when case when not same_domain or (query_item is not null and not coalesce(same_item, false)) then 0 else bucket end = 0 and same_domain and coalesce(same_item, false) then 1
-  when not same_domain or (query_item is not null and not coalesce(same_item, false)) then 0 else bucket end as clamped from score),
+score as (select *, case when intends and b = 3 and cap_signal < 2 then 2 when intends and b = 2 and cap_signal < 1 then 1 else b end as bucket from b0),
+moded as (select *, case when {ambiguous} then 'AMBIGUOUS' else 'SPECIFIC' end as gmode from score),
+clamps as (select *, case when case when not same_domain or (query_item is not null and not coalesce(same_item, false)) then 0 else bucket end = 0 and same_domain and coalesce(same_item, false) then 1
+  when not same_domain or (query_item is not null and not coalesce(same_item, false)) then 0 else bucket end as kept from moded),
+clamped as (select *, kept as clamped, case when gmode = 'AMBIGUOUS' then bucket else kept end as tier from clamps),
 {signals('select distinct original_index, text from rows', 'original_index')},
 gate as (select c.*, a.action_score, a.gated_kind as doc_kind, a.generic_kind, a.action_verbs, a.quality_score, {intent(word('query'))} as query_intent, len({word('query')}) <= 1 as short_query,
   len(list_intersect(list_distinct([x for x in {word('query')} if length(x) >= 3 and not list_contains({arr(V.OVERLAP_STOPWORDS)}, x)]), [x for x in {word('c.text')} if length(x) >= 3 and not list_contains({arr(V.OVERLAP_STOPWORDS)}, x)])) as overlap
   from clamped c join act a using (original_index)),
 r0 as (select *, {fit_gated('query_intent', 'doc_kind')} as intent_fit from gate),
-r1 as (select *, case when clamped > 0 then action_score * intent_fit else 0.0 end as final_rank,
-  case when clamped = 0 then case when not same_domain then 'domain_mismatch' when query_item is not null and same_item = false then 'item_mismatch' when len(d_items) = 0 then 'no_item_found' else 'low_signal' end end as zero_reason from r0),
+r1 as (select *, count(distinct tier) over q <= 2 as flat, 1.0 - request_index / greatest(1, count(*) over q - 1)::double as place from r0 window q as (partition by query_id)),
+r1b as (select *, case when (gmode = 'AMBIGUOUS' or short_query) and flat then coalesce(similarity, place) * 0.85::double + overlap * 0.15::double else tier end as final_score from r1),
+r1c as (select *, case when tier > 0 and final_score > 0 then action_score * intent_fit else 0.0 end as final_rank,
+  case when final_score = 0 then case when gmode = 'AMBIGUOUS' then 'low_signal' when not same_domain then 'domain_mismatch' when query_item is not null and same_item = false then 'item_mismatch' when len(d_items) = 0 then 'no_item_found' else 'low_signal' end end as zero_reason from r1b),
 r2 as (select *, case when zero_reason = 'item_mismatch' then 0 when zero_reason = 'no_item_found' and (same_domain or coalesce(same_item, false)) then 1 else 2 end as ztier,
-  case when zero_reason = 'no_item_found' then 0.1 * intent_fit else clamped end as score_raw from r1),
-r3 as (select *, case when clamped > 0 then 'ACCEPT' else 'REJECT_TIER_' || ztier end as decision, case when clamped > 0 then final_rank else 0.0 end as rank_score from r2),
-gated as (select *, row_number() over (partition by query_id order by case when rank_score > 0 then 0 else 1 end, case when rank_score > 0 then clamped end desc nulls last, case when rank_score > 0 then rank_score end desc nulls last,
-  case when rank_score > 0 then intent_fit end desc nulls last, case when rank_score > 0 then doc_kind end desc nulls last, case when rank_score > 0 then 0 else ztier end, similarity desc, case when rank_score > 0 then original_index end desc nulls last, original_index)::int as policy_rank,
-  row_number() over (partition by query_id order by clamped desc, final_rank desc, tie_breaker desc, overlap desc, quality_score desc, similarity desc, request_index) - 1 as idx from r3)"""
-
-
-FINAL = """said(original_index, fine, err) as (values (0, 77, null), (2, null, 'json_parse_failed'), (4, 41, null), (1, 66, null), (6, null, 'empty_output')),
-asked as (select query_id, original_index from (select *, row_number() over (partition by query_id order by policy_rank) as n from gated where decision = 'ACCEPT') where n <= 10),
-fine as (select g.*, a.original_index is not null and s.original_index is not null as used,
-  case when a.original_index is not null and s.original_index is not null then coalesce(s.fine, greatest(0, least(100, round_even((0.7 * g.intent_fit + 0.3 * g.similarity) * 100, 0)::int))) end as fine_score,
-  case when a.original_index is not null then s.err || '|fallback' end as error
-  from gated g left join asked a using (query_id, original_index) left join said s on s.original_index = g.original_index),
-final as (select *, row_number() over (partition by query_id order by decision = 'ACCEPT' desc, clamped desc, coalesce(fine_score, -1) desc, rank_score desc, similarity desc, original_index, idx)::int as rank from fine),
+  case when zero_reason = 'no_item_found' then 0.1 * intent_fit else final_score end as score_raw, greatest(0.0, coalesce(similarity, 0.0)) as sim0 from r1c),
+r3 as (select *, case when tier > 0 then 'ACCEPT' else 'REJECT_TIER_' || ztier end as decision, case when tier > 0 then final_rank else 0.0 end as rank_score,
+  gmode = 'AMBIGUOUS' and score_raw <= 0 and 0.12 * sim0 > score_raw as soft from r2),
+gated as (select *, case when soft then 0.12 * sim0 else score_raw end as shown_score, greatest(least(1.0, greatest(0.0, score_raw / 3.0)), case when soft then 0.04 * sim0 else 0.0 end) as score_norm,
+  row_number() over (partition by query_id order by case when rank_score > 0 then 0 else 1 end, case when rank_score > 0 then tier end desc nulls last, case when rank_score > 0 then rank_score end desc nulls last,
+  case when rank_score > 0 then intent_fit end desc nulls last, case when rank_score > 0 then doc_kind end desc nulls last, case when rank_score > 0 then 0 else ztier end, sim0 desc, case when rank_score > 0 then original_index end desc nulls last, original_index)::int as policy_rank,
+  row_number() over (partition by query_id order by tier desc, tie_breaker desc, request_index) - 1 as idx from r3)"""
+
+
+def final_pipeline(said: str, err: str) -> str:
+    """CTEs after ``gated_pipeline``: the fine pass over the first ten accepted rows of a query, whose outputs are
+    expressions of original_index, and both final orders."""
+    return f"""asked as (select query_id, original_index, {said} as said, {err} as err from (select *, row_number() over (partition by query_id order by policy_rank) as n from gated where decision = 'ACCEPT') where n <= 10 and length(coalesce(text, '')) > 0),
+fine as (select g.*, a.original_index is not null and (a.said is not null or a.err is not null) as used,
+  case when a.said is not null or a.err is not null then coalesce(a.said, greatest(0, least(100, round_even((0.7::double * g.intent_fit + 0.3::double * coalesce(g.similarity, 0)) * 100, 0)::int))) end as fine_score, a.err || '|fallback' as error
+  from gated g left join asked a using (query_id, original_index)),
+final as (select *, row_number() over (partition by query_id order by decision = 'ACCEPT' desc, tier desc, coalesce(fine_score, -1) desc, rank_score desc, coalesce(similarity, 0) desc, original_index, idx)::int as rank from fine),
 shown as (select *, row_number() over (partition by query_id order by case when decision = 'ACCEPT' then 0 else 2 end, case when decision = 'ACCEPT' then rank end,
-  case when decision != 'ACCEPT' then case zero_reason when 'item_mismatch' then 0 when 'no_item_found' then 1 when 'domain_mismatch' then 2 else 9 end end, similarity desc, original_index)::int as client_rank from final)"""
+  case when decision != 'ACCEPT' then case zero_reason when 'item_mismatch' then 0 when 'no_item_found' then 1 when 'domain_mismatch' then 2 else 9 end end, coalesce(similarity, 0) desc, original_index)::int as client_rank from final)"""
+
+
+FINAL = final_pipeline("(case original_index when 0 then 77 when 4 then 41 when 1 then 66 end)", "(case original_index when 2 then 'json_parse_failed' when 6 then 'empty_output' end)")
+CORPUS_FINAL = final_pipeline("(case abs(original_index) % 5 when 0 then 77 when 2 then 41 when 3 then 66 end)", "(case abs(original_index) % 5 when 1 then 'json_parse_failed' when 4 then 'empty_output' end)")
 GENERIC = f"""g1 as (select *, {set_domain(word('query'), V.GENERIC_DOMAINS)} as qd, {set_domain(word('text'), V.GENERIC_DOMAINS)} as dd, len(list_distinct({word('query')})) as qn, {fit(V.INTENT_FIT, 'query_intent', 'generic_kind')} as gfit from gate),
 g2 as (select *, qd not in ('unknown', 'ambiguous') and dd not in ('unknown', 'ambiguous') and qd != dd as other, case when qn <= 1 or qd in ('unknown', 'ambiguous') then 'AMBIGUOUS' else 'SPECIFIC' end as mode, greatest(0.0, least(1.0, action_verbs / 4.0 * gfit)) as base from g1),
 GBUCKET
-g4 as (select *, case when other then greatest(0.0, base - 0.25) else base end as pre, case when mode = 'SPECIFIC' and other then 'REJECT_TIER_9' when mode = 'SPECIFIC' and tier <= 0 then 'REJECT_TIER_2' when mode = 'AMBIGUOUS' and tier <= 0 then 'KEEP_LOW_SIGNAL' else 'ACCEPT' end as gdecision from g3),
+g4 as (select *, case when other then greatest(0.0, base - 0.25) else base end as pre, case when mode = 'SPECIFIC' and other then 'REJECT_TIER_9' when mode = 'SPECIFIC' and gtier <= 0 then 'REJECT_TIER_2' when mode = 'AMBIGUOUS' and gtier <= 0 then 'KEEP_LOW_SIGNAL' else 'ACCEPT' end as gdecision from g3),
 g5 as (select *, case when gdecision = 'ACCEPT' then pre else 0.0 end as grank, case gdecision when 'ACCEPT' then 0 when 'KEEP_LOW_SIGNAL' then 1 else 2 end as grp from g4)"""
 # the generic policy has no gates and an empty context: tier 0 without any shared keyword, no caps but for intent
 GENERIC = GENERIC.replace("GBUCKET", f"""gk as (select *, {keywords('query', Policy())} as gqk, {keywords('text', Policy())} as gdk from g2),
 g3a as (select *, case when request_index >= 5 and len(gqk) > 0 and len(list_intersect(gqk, gdk)) = 0 then 0 when query_item is null then case when same_domain and {has('dt', [*V.KIND_MAINTENANCE_TOKENS, 'fix', 'repair', 'replace'])} then 2 when same_domain then 1 else 0 end
   when coalesce(same_item, false) then case when verbs >= 2 then 3 else 2 end when same_domain then 1 else 0 end as gb, {has('gqk', V.CONTEXT_INTENT)} as gintends from gk),
-g3 as (select *, case when gintends and gb = 3 and signal < 2 then 2 when gintends and gb = 2 and signal < 1 then 1 else gb end as tier from g3a),""")
+g3 as (select *, case when gintends and gb = 3 and cap_signal < 2 then 2 when gintends and gb = 2 and cap_signal < 1 then 1 else gb end as gtier from g3a),""")
+
+
+GENERIC_OUT = """select query_id, original_index, gtier as tier, mode, gdecision as decision, case when gdecision = 'REJECT_TIER_9' then 'domain_mismatch' when gdecision != 'ACCEPT' then 'low_signal' else '-' end as zero_reason, generic_kind as doc_kind, dd as doc_domain, round(gfit, 6) as intent_fit,
+  round(grank, 6) as rank_score, row_number() over (partition by query_id order by grp, gtier desc, grank desc, gfit desc, case generic_kind when 'PROCEDURAL' then 4 when 'DIAGNOSTIC' then 3 when 'OVERVIEW' then 2 when 'INFORMATIONAL' then 1 else 0 end desc, coalesce(similarity, 0) desc, request_index)::int as policy_rank from g5"""
 
 
 def fallback_sql() -> str:
@@ -251,11 +273,17 @@ def domain_sql() -> str:
   coalesce({choose}, '-') as inferred, {listed} as items from c"""
 
 
+def flag(c: str) -> str:
+    return f"case when {c} is null then '?' when {c} then '+' else 'x' end"
+
+
 FLAGS = "case when doc_id % 3 = 0 then '?' when doc_id % 3 = 1 then '+' else 'x' end"
 PERCENT = lambda x: f"greatest(0, least(100, round_even({x}, 0)::int))"
 G = gated_pipeline()
+C = gated_pipeline(CORPUS_ROWS, corpus_mixed())
 PROMPTS = f"""said as (select d.doc_id, d.doc_id % (select max(item_id) + 1 from benchmark) as item_id, substr(coalesce(d.text, ''), 1, 1600) as doc from documents d),
 asked as (select s.*, coalesce(b.text, '') as query, {s(prompts.FINE)} || chr(10) || 'QUERY: ' || coalesce(b.text, '') || chr(10) || 'DOCUMENT: ' || s.doc as prompt from said s join benchmark b using (item_id))"""
+BREAKDOWN = f"""select query_id, count(*) filter (decision = 'ACCEPT') as accepted, count(*) filter (decision = 'KEEP_LOW_SIGNAL') as kept, {', '.join(f"count(*) filter (decision = 'REJECT_TIER_{t}') as reject_{t}" for t in (0, 1, 2, 9))}, 0::bigint as other from gated group by 1"""
 ORACLES: dict[str, str] = {
     "prompt_hash": f"with {PROMPTS} select doc_id, sha1(prompt) as prompt_sha1, 'm:' || sha1(prompt) || ':' || sha1(doc) || ':' || sha1(query) as cache_key from asked",
     "fine_outputs": f"""with {PROMPTS}, h as (select *, ('0x' || substr(md5(prompt), 1, 6))::int as h from asked)
@@ -291,12 +319,19 @@ select *, bullets * 4 + verbs * 2 + least(separators, 8) as signal from c""",
     "gated_bucket": f"with {G} select query_id, original_index, overlap_tier, tie_breaker, gate, bucket, clamped from clamped",
     "gate_stats": f"with {G} select query_id, count(*) filter (gate = '-' and overlap_tier = 2) as tier_a, count(*) filter (gate = '-' and overlap_tier = 1) as tier_b, count(*) filter (gate != '-') as skipped from score group by 1",
     "gated_rank": f"with {G} select query_id, original_index, clamped as tier, decision, coalesce(zero_reason, '-') as zero_reason, doc_kind, round(intent_fit, 6) as intent_fit, round(rank_score, 6) as rank_score, round(score_raw, 6) as score, round(greatest(0.0, least(1.0, score_raw / 3.0)), 6) as score_norm, policy_rank from gated",
-    "generic_rank": f"""with {G}, {GENERIC} select query_id, original_index, tier, mode, gdecision as decision, case when gdecision = 'REJECT_TIER_9' then 'domain_mismatch' when gdecision != 'ACCEPT' then 'low_signal' else '-' end as zero_reason, generic_kind as doc_kind, dd as doc_domain, round(gfit, 6) as intent_fit,
-  round(grank, 6) as rank_score, row_number() over (partition by query_id order by grp, tier desc, grank desc, gfit desc, case generic_kind when 'PROCEDURAL' then 4 when 'DIAGNOSTIC' then 3 when 'OVERVIEW' then 2 when 'INFORMATIONAL' then 1 else 0 end desc, similarity desc, request_index)::int as policy_rank from g5""",
+    "generic_rank": f"with {G}, {GENERIC} {GENERIC_OUT}",
     "final_order": f"with {G}, {FINAL} select query_id, original_index, rank, client_rank, coalesce(fine_score, -1) as fine_score, used as tie_breaker_used, case when used then coalesce(error, '-') else '-' end as error from shown",
-    "decision_breakdown": f"""with {G} select query_id, count(*) filter (decision = 'ACCEPT') as accepted, count(*) filter (decision = 'KEEP_LOW_SIGNAL') as kept, {', '.join(f"count(*) filter (decision = 'REJECT_TIER_{t}') as reject_{t}" for t in (0, 1, 2, 9))}, 0::bigint as other from gated group by 1""",
+    "decision_breakdown": f"with {G} {BREAKDOWN}",
     "reject_groups": f"with {G} select query_id, zero_reason as reason, count(*) as n, array_to_string(list_sort(list(original_index)), ',') as docs from gated where decision != 'ACCEPT' group by 1, 2",
     "plain_response": f"with {G}, {FINAL} select query_id, rank - 1 as index, round(score_raw, 6) as relevance_score, original_index as original_corpus_index from final",
+    "reports": f"""with {G}, {FINAL}, o as (select *, {strip("replace(text, chr(10), ' ')")} as o from final) select query_id, rank, case when decision = 'ACCEPT' then 'accepted' else 'filtered' end as "group", original_index,
+  '#' || rank || ' score=' || printf('%.2f', shown_score) || ' item=' || coalesce(d_items[1], '-') || {flag('same_item')} || ' domain=' || coalesce(doc_domain, '-') || {flag('same_domain')} || coalesce(' ' || zero_reason, '') || ' ' || case when length(o) > 80 then left(o, 77) || '...' else o end as line from o""",
+    "corpus_gated": f"with {C} select query_id, original_index, gmode as mode, tier, decision, coalesce(zero_reason, '-') as zero_reason, doc_kind, round(intent_fit, 6) as intent_fit, round(rank_score, 6) as rank_score, round(shown_score, 6) as score, round(score_norm, 6) as score_norm, policy_rank from gated",
+    "corpus_generic": f"with {C}, {GENERIC} {GENERIC_OUT}",
+    "corpus_final": f"with {C}, {CORPUS_FINAL} select query_id, original_index, rank, client_rank, coalesce(fine_score, -1) as fine_score, used as tie_breaker_used, case when used then coalesce(error, '-') else '-' end as error from shown",
+    "corpus_breakdown": f"with {C} {BREAKDOWN}",
+    "corpus_rejects": f"with {C} select query_id, coalesce(zero_reason, 'unknown') as reason, count(*) as n from gated where decision != 'ACCEPT' group by 1, 2",
+    "corpus_relevance": f"with {C}, {CORPUS_FINAL} select query_id, rank - 1 as index, round(shown_score, 6) as relevance_score, original_index as original_corpus_index from final",
     "ambiguous_fallback": fallback_sql(),
     "parse_buckets": f"select id, b::int as bucket from {values(list(enumerate(X.BUCKETS)), 'id, b')}",
     "parse_fines": f"select id, f::int as score, e::varchar as error from {values([(i, f, e) for i, (f, e) in enumerate(zip(X.FINES, X.FINE_ERRORS, strict=True))], 'id, f, e')}",

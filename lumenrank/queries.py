@@ -26,6 +26,8 @@ CORPUS_POLICY = Policy(
     ambiguous_triggers=["than"], item_rules={"mill": ["tion", "nt"], "gate": ["than", "from"]},
 )
 CORPUS_DOMAINS = [("alpha", ["tion", "from", "ing"]), ("beta", ["ther", "ble", "erin"]), ("gamma", ["than", "then", "thing"])]
+#: Ambiguous queries of the how-to corpus: one word, a trigger among others, no word at all.
+ASKED = [(5, "faucet"), (6, "seasonal plumbing jobs"), (7, "?"), (8, "engine")]
 BREAKER = ("1 hour", 5)
 TTL = {"event_type": 900, "user_id": 26_000}
 
@@ -49,6 +51,15 @@ def plumbing() -> Policy:
     return PolicyStore().select("howto_plumbing_v1")
 
 
+def corpus_mixed() -> Policy:
+    """The plumbing policy with the corpus policy's words and items, and with triggers."""
+    a, b = plumbing(), CORPUS_POLICY
+    return Policy(
+        name="corpus_mixed", synonyms=a.synonyms | b.synonyms, item_rules=a.item_rules | b.item_rules, tier_a_keywords=a.tier_a_keywords + b.tier_a_keywords, tier_b_keywords=a.tier_b_keywords + b.tier_b_keywords,
+        domain_keywords=a.domain_keywords + b.domain_keywords, ambiguous_triggers=[*b.ambiguous_triggers, "seasonal"],
+    )
+
+
 def _retrieved(spark: SparkSession, d: str, asked: str = "vec_id % 20 = 0") -> DataFrame:
     e = table(spark, d, "embeddings")
     q = e.where(asked).select(F.col("vec_id").alias("query_id"), "embedding")
@@ -207,6 +218,59 @@ def _facts(spark: SparkSession) -> DataFrame:
     return score.prepare(howto(spark), plumbing())
 
 
+def corpus_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a candidate of one benchmark item (each fourth asks with its first word alone), and the how-to
+    corpus as candidates of its own and of ambiguous queries; some without similarity."""
+    from pyspark.sql import Window
+
+    b = table(spark, d, "benchmark")
+    n = b.agg(F.max("item_id")).first()[0] + 1
+    text, id_ = F.col("b.text"), F.col("b.item_id")
+    pairs = table(spark, d, "documents").alias("d").join(b.alias("b"), F.col("d.doc_id") % n == id_)
+    place = (F.row_number().over(Window.partitionBy(id_).orderBy("d.doc_id")) - 1).alias("request_index")
+    sim = F.when(F.col("d.doc_id") % 3 != 0, (F.col("d.doc_id") % 97) / 97.0).alias("similarity")
+    pairs = pairs.select(id_.cast("long").alias("query_id"), F.when(id_ % 4 == 0, F.regexp_extract(text, "[a-zA-Z]+", 0)).otherwise(text).alias("query"), place, F.col("d.doc_id").alias("original_index"), F.col("d.text").alias("text"), sim)
+    extra = [(-q, asked, i, -1 - o, doc, sim if i % 3 else None) for q, asked in [*X.QUERIES, *ASKED] for i, (o, sim, doc) in enumerate(X.CORPUS)]
+    return pairs.unionByName(spark.createDataFrame(extra, "query_id long, query string, request_index int, original_index long, text string, similarity double"))
+
+
+def _corpus_gated(spark: SparkSession, d: str) -> DataFrame:
+    p = corpus_mixed()
+    return rank.gated(score.score(score.prepare(corpus_rows(spark, d), p), p), p)
+
+
+def _corpus_final(spark: SparkSession, d: str) -> DataFrame:
+    got = _corpus_gated(spark, d)
+    said = F.element_at(F.array(*[F.lit(x) for x in ("77", "{bad}", "FINE_SCORE: 41%", "0.66", "")]), (F.abs("original_index") % 5 + 1).cast("int"))
+    outputs = score.fine_candidates(got).select("query_id", "original_index", said.alias("raw"), F.lit(None).cast("string").alias("error"))
+    return rank.final_order(score.merge_fine(got, outputs))
+
+
+def corpus_gated(spark: SparkSession, d: str) -> DataFrame:
+    return _gated_columns(_corpus_gated(spark, d), "mode")
+
+
+def corpus_generic(spark: SparkSession, d: str) -> DataFrame:
+    return _generic_columns(_generic(corpus_rows(spark, d), corpus_mixed()))
+
+
+def corpus_final(spark: SparkSession, d: str) -> DataFrame:
+    return _final_columns(_corpus_final(spark, d))
+
+
+def corpus_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.breakdown(_corpus_gated(spark, d))
+
+
+def corpus_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Counts alone: a query may reject more documents than one row can list."""
+    return evaluate.reject_counts(_corpus_gated(spark, d))
+
+
+def corpus_relevance(spark: SparkSession, d: str) -> DataFrame:
+    return relevance_rows(_corpus_final(spark, d)).withColumn("relevance_score", r6("relevance_score"))
+
+
 def identity_facts(spark: SparkSession, d: str) -> DataFrame:
     f = _facts(spark).select("query_id", "original_index", "facts.*")
     names = ("query_item", "same_item", "same_domain", "query_domain", "doc_domain", "domain_match_doc", "domain_match_query")
@@ -227,19 +291,25 @@ def _gated(spark: SparkSession) -> DataFrame:
     return rank.gated(score.score(_facts(spark), plumbing()), plumbing())
 
 
+def _gated_columns(got: DataFrame, *more: str) -> DataFrame:
+    return got.select("query_id", "original_index", *more, "tier", "decision", F.coalesce("zero_reason", F.lit("-")).alias("zero_reason"), "doc_kind", r6("intent_fit").alias("intent_fit"), r6("rank_score").alias("rank_score"), r6("score").alias("score"), r6("score_norm").alias("score_norm"), "policy_rank")
+
+
 def gated_rank(spark: SparkSession, d: str) -> DataFrame:
-    got = _gated(spark)
-    return got.select("query_id", "original_index", "tier", "decision", F.coalesce("zero_reason", F.lit("-")).alias("zero_reason"), "doc_kind", r6("intent_fit").alias("intent_fit"), r6("rank_score").alias("rank_score"), r6("score").alias("score"), r6("score_norm").alias("score_norm"), "policy_rank")
+    return _gated_columns(_gated(spark))
 
 
-def _generic(spark: SparkSession) -> DataFrame:
+def _generic(rows: DataFrame, known: Policy) -> DataFrame:
     none = Policy(name="generic")
-    facts = A.identity(F.col("query"), F.col("text"), plumbing())
-    return rank.generic(score.score(T.computed(score.prepare(howto(spark), none, with_facts=False), facts=facts), none))
+    facts = A.identity(F.col("query"), F.col("text"), known)
+    return rank.generic(score.score(T.computed(score.prepare(rows, none, with_facts=False), facts=facts), none))
 
 
 def generic_rank(spark: SparkSession, d: str) -> DataFrame:
-    got = _generic(spark)
+    return _generic_columns(_generic(howto(spark), plumbing()))
+
+
+def _generic_columns(got: DataFrame) -> DataFrame:
     return got.select("query_id", "original_index", "tier", "mode", "decision", F.coalesce("zero_reason", F.lit("-")).alias("zero_reason"), "doc_kind", "doc_domain", r6("intent_fit").alias("intent_fit"), r6("rank_score").alias("rank_score"), "policy_rank")
 
 
@@ -256,7 +326,11 @@ def _final(spark: SparkSession) -> DataFrame:
 
 
 def final_order(spark: SparkSession, d: str) -> DataFrame:
-    got = rank.client_order(_final(spark))
+    return _final_columns(_final(spark))
+
+
+def _final_columns(got: DataFrame) -> DataFrame:
+    got = rank.client_order(got)
     return got.select("query_id", "original_index", "rank", "client_rank", F.coalesce("fine_score", F.lit(-1)).alias("fine_score"), "tie_breaker_used", F.coalesce("tie_breaker_error", F.lit("-")).alias("error"))
 
 
@@ -406,6 +480,6 @@ QUERIES: dict[str, Query] = {
         topk_cosine, retrieval_metrics, retrieval_average, diversified_topk, topk_cosine_all, retrieval_metrics_all, retrieval_average_all, diversified_topk_all, missing_sim_default, truncate_usage, request_status, last_wins, text_forms, loose_numbers, keyword_sets, quality_signals, gated_quality, doc_kinds,
         query_intents, procedure_signals, keyword_tiers, domain_detect, identity_facts, gated_bucket, gate_stats, gated_rank, generic_rank, final_order, decision_breakdown, reject_groups, plain_response, response_json, reports,
         routed_rerank, ambiguous_fallback, parse_buckets, parse_fines, parse_event_scores, fallback_fines, response_texts, flatlines, score_gap, latency_stats, tie_summaries, missing_docs, circuit_breaker, user_breaker,
-        ttl_cache, latency_budget, prompt_hash, fine_outputs,
+        ttl_cache, latency_budget, prompt_hash, fine_outputs, corpus_gated, corpus_generic, corpus_final, corpus_breakdown, corpus_rejects, corpus_relevance,
     )
 }
