@@ -4,12 +4,14 @@ Both vocabularies split a text into pre-tokens and run BPE inside each of them,
 the ids of its pre-tokens in order.  A corpus repeats its pre-tokens, hence :class:`Encoder` lets the
 ``tokenizers`` library encode every *distinct* pre-token once per worker and joins the remembered ids.
 Texts outside the alphabet for which the split is known to agree (see ``_PLAIN``), or which hold an added
-token's string, are encoded whole by the library; so the ids equal ``Tokenizer.encode(text,
+token's string, are encoded whole by the library, and so is every text where the file normalises or splits in
+another way than ``FORMS`` says; so the ids equal ``Tokenizer.encode(text,
 add_special_tokens=False).ids`` for every text.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -29,6 +31,17 @@ SPLITS = {
     "byte": f" ?[{_LETTER}]+| ?[{_NUMBER}]+|{_SHORT}| ?[^\\s{_LETTER}{_NUMBER}]+|\\s+(?!\\S)|\\s+",
     "word": f"[{_LETTER}]+|[{_NUMBER}]|{_SHORT}|[^\\s{_LETTER}{_NUMBER}]+",
 }
+#: The normalizer and pre-tokenizer of the files that ``SPLITS`` stands for.
+FORMS = {
+    "byte": (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}),
+    "word": (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ]},
+    ),
+}
 #: Distinct pre-tokens that a worker remembers before it starts afresh; bounds its memory, not its results.
 MEMO = 250_000
 
@@ -55,6 +68,8 @@ class Encoder:
         if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("ids beyond 16 bits")
         self.kind, self.find, self.bpe = kind, re.compile(SPLITS[kind]).findall, self.tok.model.tokenize
+        form = json.loads(self.tok.to_str())
+        self.known = (form["normalizer"], form["pre_tokenizer"]) == FORMS[kind]
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.most, self.letters = most, _byte_letters()
         self.memo: dict[str, bytes] = {}
@@ -68,7 +83,7 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not _PLAIN.fullmatch(text) or ("<|" in text and any(a in text for a in self.added)):
+        if not self.known or not _PLAIN.fullmatch(text) or ("<|" in text and any(a in text for a in self.added)):
             return self.whole(text)
         parts = self.find(text.lower() if self.kind == "word" else text)
         memo = self.memo

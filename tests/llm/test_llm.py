@@ -304,6 +304,17 @@ def test_encoder_equals_the_library(rows, file, kind):
     assert all(enc.encode(t) == enc.whole(t) for t in made + [x["text"] for x in rows[:60]])
 
 
+def test_encoder_leaves_other_files_to_the_library(tmp_path):
+    from tokenizers import normalizers
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tok.normalizer = normalizers.Lowercase()
+    tok.save(str(tmp_path / "t.json"))
+    assert Encoder(public_tokenizers.path("byte_bpe_50k.json"), "byte").known and Encoder(public_tokenizers.path("word_bpe_49k.json"), "word").known
+    enc = Encoder(str(tmp_path / "t.json"), "byte")
+    assert not enc.known and enc.encode("A Plain TEXT") == enc.whole("a plain text")
+
+
 def ids_of(path, text, end):
     return np.array([*Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
