@@ -68,14 +68,14 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 2, l
     return _numbered(got, with_ids)
 
 
-def runs(docs: DataFrame, rows: int = 4096, most: int = 4096) -> np.ndarray:
+def runs(docs: DataFrame, rows: int = 4096, most: int = 1 << 16) -> np.ndarray:
     """Sorted doc_ids that cut the documents into at most ``most`` runs of about ``rows`` documents or more
     (from the doc_id column alone). A doc_id's run is the number of cuts at or below it."""
     n = docs.count()
     steps = min(most, -(-n // rows))
     if steps < 2:
         return np.empty(0, np.int64)
-    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / steps for i in range(1, steps)], 20 * steps)).first()[0]
+    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / steps for i in range(1, steps)], min(20 * steps, 1_000_000))).first()[0]
     return np.unique(np.array(cuts or [], np.int64))
 
 

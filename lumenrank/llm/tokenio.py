@@ -6,8 +6,8 @@ are frequent enough (most frequent first where they overlap); pairs never reach
 The block stores the rules, each rule's expansion length, and where each document's symbols begin, so any
 document, or any range of its ids, is expanded without touching the rest.
 
-Layout of a block (little-endian): magic ``RPB1``; unsigned 32-bit first nonterminal, rules r, documents d,
-symbols s; unsigned 64-bit ids n; then r x (left, right) as unsigned 32-bit; r expansion lengths as
+Layout of a block (little-endian): magic ``RPB2``; unsigned 32-bit first nonterminal, rules r, documents d, how
+many of them (the last) have no doc_id, symbols s; unsigned 64-bit ids n; then r x (left, right) as unsigned 32-bit; r expansion lengths as
 unsigned 32-bit; d doc_ids as signed 64-bit; d + 1 symbol offsets and d + 1 id offsets as unsigned 32-bit; the symbols, three bytes each.
 """
 
@@ -18,6 +18,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,11 +26,13 @@ from .common import pieces, ragged, small, stored
 from .encode import encoder
 from .packing import run_of, runs
 
-MAGIC, HEAD = b"RPB1", struct.Struct("<4sIIIIQ")
-#: Ids of a block; rounds of replacement at most; times that a pair must occur to be replaced.
+MAGIC, HEAD = b"RPB2", struct.Struct("<4sIIIIIQ")
+#: Ids of a block; rounds of replacement at most (None: until no pair is left); times that a pair must occur to be
+#: replaced. ``rounds=None, least=2`` goes on until no pair occurs twice.
 BLOCK, ROUNDS, LEAST = 2_000_000, 6, 16
 #: Pre-tokens that an encoding worker remembers.
 MEMO = 1_000_000
+LAST = np.iinfo(np.int64).max
 
 
 _TABLE = 22
@@ -39,12 +42,12 @@ def _place(pairs: np.ndarray) -> np.ndarray:
     return (pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE)
 
 
-def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int | None = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules, which symbols end a document). ``last`` marks the ids that end one."""
     sym, rules = ids.astype(np.uint32), np.empty((0, 2), np.uint32)
-    for _ in range(rounds):
-        if len(sym) < 2:
-            break
+    done = 0
+    while done != rounds and len(sym) > 1:
+        done += 1
         top = base + len(rules)
         key = sym[:-1].astype(np.uint64) << np.uint64(24) | sym[1:]
         order = np.sort(key[~last[:-1]])
@@ -106,19 +109,19 @@ def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np
     return np.concatenate(flat), start, length
 
 
-def write_block(docs: np.ndarray, ids: list[bytes], base: int) -> bytes:
-    """A block of documents from their ids as little-endian 16-bit bytes."""
+def write_block(docs: list, ids: list[bytes], base: int, rounds: int | None = ROUNDS, least: int = LEAST) -> bytes:
+    """A block of documents (doc_ids, None only at the end) from their ids as little-endian 16-bit bytes."""
     size = np.array([len(x) // 2 for x in ids], np.int64)
     flat = np.frombuffer(b"".join(ids), "<u2")
     begin = np.concatenate(([0], np.cumsum(size)))
     last = np.zeros(len(flat), bool)
     last[begin[1:] - 1] = True
-    sym, rules, ends = repair(flat, last, base)
+    sym, rules, ends = repair(flat, last, base, rounds, least)
     length = expansion_lengths(rules, base)
     offsets = np.concatenate(([0], np.flatnonzero(ends) + 1))
-    head = HEAD.pack(MAGIC, base, len(rules), len(docs), len(sym), len(flat))
+    head = HEAD.pack(MAGIC, base, len(rules), len(docs), docs.count(None), len(sym), len(flat))
     three = np.ascontiguousarray(sym.astype("<u4")).view(np.uint8).reshape(-1, 4)[:, :3]
-    return b"".join((head, rules.astype("<u4").tobytes(), length.astype("<u4").tobytes(), docs.astype("<i8").tobytes(), offsets.astype("<u4").tobytes(), begin.astype("<u4").tobytes(), three.tobytes()))
+    return b"".join((head, rules.astype("<u4").tobytes(), length.astype("<u4").tobytes(), np.array([d or 0 for d in docs], "<i8").tobytes(), offsets.astype("<u4").tobytes(), begin.astype("<u4").tobytes(), three.tobytes()))
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -136,7 +139,7 @@ class Block:
     """A block read back: ``ids(k)`` and ``ids(k, a, b)`` decode one document or a range of its ids."""
 
     def __init__(self, blob: bytes):
-        magic, self.base, r, d, s, self.n = HEAD.unpack_from(blob)
+        magic, self.base, r, d, self.unnamed, s, self.n = HEAD.unpack_from(blob)
         if magic != MAGIC:
             raise ValueError("not a token-id block")
         at = HEAD.size
@@ -174,14 +177,15 @@ class Block:
         return np.array(out[skip : skip + b - a], np.uint32)
 
 
-def write(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 0, base: int = 1 << 16) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 0, base: int = 1 << 16, rounds: int | None = ROUNDS, least: int = LEAST) -> DataFrame:
     """The documents (doc_id, text) as token-id files: a stored table with one row per block: run, part
     (blocks of a run in order), tokens, payload.
 
-    Documents come in ascending doc_id (rows that share one: by their ids). Null and empty texts are the
-    end id alone. Rows without a doc_id can't be addressed and are left out. Other columns are ignored.
+    Documents come in ascending doc_id (rows that share one, and those without one, which come last: by their
+    ids). Null and empty texts are the end id alone. Other columns are ignored. ``rounds`` and ``least`` bound the
+    grammar, see ``ROUNDS``.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
     end = np.array([end_id], "<u2").tobytes()
     cuts = runs(docs)
 
@@ -189,13 +193,13 @@ def write(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 0,
         enc = encoder(tokenizer, kind, MEMO)
         for b in pieces(batches):
             ids = [enc.encode(t) + end for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([run_of(b.column("doc_id"), cuts), b.column("doc_id"), pa.array(ids, pa.binary())], names=["run", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([run_of(pc.fill_null(b.column("doc_id"), LAST), cuts), b.column("doc_id"), pa.array(ids, pa.binary())], names=["run", "doc_id", "ids"])
 
     def blocks(batches):
         run, part, ids, held, names = None, 0, [], 0, []
 
         def flush():
-            blob = write_block(np.array(names, np.int64), ids, base)
+            blob = write_block(names, ids, base, rounds, least)
             return pa.RecordBatch.from_pydict({"run": pa.array([run], pa.int32()), "part": pa.array([part], pa.int32()), "tokens": pa.array([held], pa.int64()), "payload": pa.array([blob], pa.binary())})
 
         for b in batches:
@@ -211,8 +215,7 @@ def write(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 0,
             yield flush()
 
     coded = docs.mapInArrow(encode, "run int, doc_id long, ids binary")
-    parts = max(1, min(len(cuts) + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    placed = coded.repartition(parts, "run").sortWithinPartitions("run", "doc_id", "ids")
+    placed = coded.repartition(len(cuts) + 1, "run").sortWithinPartitions("run", F.col("doc_id").asc_nulls_last(), "ids")
     return stored(placed.mapInArrow(blocks, "run int, part int, tokens long, payload binary"), "token-ids", compression="uncompressed")
 
 
@@ -228,7 +231,8 @@ def read(files: DataFrame) -> DataFrame:
                 block = Block(blob.as_buffer())
                 flat = block.all_ids().astype("<u4").view(np.uint8)
                 crc = [zlib.crc32(flat[4 * i : 4 * j]) for i, j in zip(block.begin[:-1].tolist(), block.begin[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(block.docs), pa.array(block.begin[:-1] + first), pa.array(np.diff(block.begin)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                none = np.arange(len(block.docs)) >= len(block.docs) - block.unnamed
+                yield pa.RecordBatch.from_arrays([pa.array(block.docs, mask=none), pa.array(block.begin[:-1] + first), pa.array(np.diff(block.begin)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     placed = files.join(small(starts), ["run", "part"]).select("payload", "first")
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

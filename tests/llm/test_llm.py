@@ -330,7 +330,7 @@ def test_token_files_round_trip(spark, sf_dir, rows):
 def test_repair_random_access():
     r = np.random.default_rng(5)
     docs_ = [np.concatenate((r.integers(0, 4, r.integers(0, 900)), [0])).astype("<u2") for _ in range(40)] + [np.zeros(3000, "<u2"), np.zeros(1, "<u2")]
-    blob = tokenio.write_block(np.arange(len(docs_)), [d.tobytes() for d in docs_], 1 << 16)
+    blob = tokenio.write_block(list(range(len(docs_))), [d.tobytes() for d in docs_], 1 << 16)
     block = tokenio.Block(blob)
     assert len(blob) < sum(2 * len(d) for d in docs_) and len(block.rules)
     assert (block.all_ids() == np.concatenate(docs_)).all()
@@ -341,9 +341,26 @@ def test_repair_random_access():
         tokenio.Block(b"XXXX" + blob[4:])
 
 
+def test_repair_until_no_pair_occurs_twice():
+    r = np.random.default_rng(6)
+    part = r.integers(1, 60, 300)
+    docs_ = [np.concatenate((part[: r.integers(0, 300)], r.integers(1, 9, r.integers(0, 50)), [0])).astype("<u2") for _ in range(60)] + [np.array([7] * 1001 + [0], "<u2")]
+    blob = tokenio.write_block(list(range(60)) + [None], [d.tobytes() for d in docs_], 1 << 16, None, 2)
+    block = tokenio.Block(blob)
+    assert (block.all_ids() == np.concatenate(docs_)).all() and block.unnamed == 1
+    pairs = Counter()
+    for a, b in itertools.pairwise(block.offsets.tolist()):
+        held = None
+        for p in itertools.pairwise(block.symbols[a:b].tolist()):
+            held = None if p == held else p  # of a run of one symbol, every other pair
+            pairs.update([held] if held else [])
+    assert max(pairs.values()) == 1
+    assert len(blob) < len(tokenio.write_block(list(range(61)), [d.tobytes() for d in docs_], 1 << 16))
+
+
 def test_token_files_edges(spark):
     got = tokenio.read(tokenio.write(odd(spark), public_tokenizers.path("byte_bpe_50k.json"))).orderBy("start").collect()
-    assert [r["doc_id"] for r in got] == [1, 2, 3, 4, 4, 5] and [r["n_tokens"] for r in got][:2] == [1, 1]
+    assert [r["doc_id"] for r in got] == [1, 2, 3, 4, 4, 5, None] and [r["n_tokens"] for r in got][:2] == [1, 1]
     assert tokenio.read(tokenio.write(odd(spark).limit(0), public_tokenizers.path("byte_bpe_50k.json"))).count() == 0
 
 
