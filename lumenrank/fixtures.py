@@ -16,6 +16,8 @@ CORPUS = [
     (7, 0.20, "Patch a bike tire: remove the wheel, lift the tube, apply the patch."),
     (8, 0.10, "Winter travel tips for mountain towns."),
 ]
+#: The documents that answer each query.
+RELEVANT = [(1, 0), (1, 2), (2, 4), (3, 1), (4, 4), (4, 0), (4, 2)]
 STEPS = [
     (1, "1. Turn off water\n2) Remove handle\n- test, then close; done. ok"),
     (2, "Step 1: check\r- clean\r\n* drain; start. STOP"),

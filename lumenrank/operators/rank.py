@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from ..functions import facts as A
 from ..functions import signals as S
 from ..functions import text as T
 from ..functions import vocab as V
-from ..sources.policies import Policy
+from ..sources.policies import RANKING_IDS, Policy
 
 
 def clamp(bucket: Column, facts: Column) -> Column:
@@ -114,6 +117,27 @@ def generic(scored: DataFrame, id_col: str = "query_id", diversify: bool = False
     return rows.withColumns({"index": F.col("policy_rank") - 1, "final_rank": F.col("pre_rank_score"), "softened_zero_reason": F.lit(None).cast("string"), "policy_id": F.lit("generic")}).drop("_s", "_kind", "_group", "_head")
 
 
+@dataclass(frozen=True)
+class Ranking:
+    """How scored rows become ranked ones: tier, decision, scores, index and policy_rank (see ``gated``). With
+    ``own_words`` gates and facts use the selected policy's words, else none."""
+
+    rank: Callable[[DataFrame, Policy], DataFrame]
+    own_words: bool = True
+
+
+RANKINGS = {"gated": Ranking(gated), "generic": Ranking(lambda rows, _: generic(rows), own_words=False)}
+
+
+def register(name: str, ranking: Ranking, aliases: tuple[str, ...] = ()) -> None:
+    """Makes a ranking available to requests under its name and aliases; a name can't be taken twice."""
+    taken = [i for i in (name, *aliases) if i in RANKING_IDS]
+    if taken or name in RANKINGS:
+        raise ValueError(f"registered already: {taken or name}")
+    RANKINGS[name] = ranking
+    RANKING_IDS.update(dict.fromkeys((name, *aliases), name))
+
+
 def decision_bucket(decision: Column) -> Column:
     return F.when(F.upper(decision) == "ACCEPT", 2).when(F.upper(decision) == "KEEP_LOW_SIGNAL", 1).otherwise(0)
 

@@ -326,6 +326,9 @@ select *, bullets * 4 + verbs * 2 + least(separators, 8) as signal from c""",
     "plain_response": f"with {G}, {FINAL} select query_id, rank - 1 as index, round(score_raw, 6) as relevance_score, original_index as original_corpus_index from final",
     "reports": f"""with {G}, {FINAL}, o as (select *, {strip("replace(text, chr(10), ' ')")} as o from final) select query_id, rank, case when decision = 'ACCEPT' then 'accepted' else 'filtered' end as "group", original_index,
   '#' || rank || ' score=' || printf('%.2f', shown_score) || ' item=' || coalesce(d_items[1], '-') || {flag('same_item')} || ' domain=' || coalesce(doc_domain, '-') || {flag('same_domain')} || coalesce(' ' || zero_reason, '') || ' ' || case when length(o) > 80 then left(o, 77) || '...' else o end as line from o""",
+    "howto_metrics": f"""with {G}, {FINAL}, rel as (select * from {values(X.RELEVANT, 'query_id, original_index')}), places as (select 'retrieved' as stage, query_id, original_index, request_index + 1 as rank from final union all select 'reranked', query_id, original_index, rank from final),
+hits as (select p.stage, r.query_id, p.rank from rel r join places p using (query_id, original_index)) select stage, query_id::bigint as query_id, case when min(rank) = 1 then 1.0 else 0.0 end as acc1, round(1.0 / min(rank), 6) as mrr,
+  case when min(rank) <= 3 then 1.0 else 0.0 end as recall_any, round(count(*) filter (rank <= 3) / count(*)::double, 6) as recall_all from hits group by 1, 2""",
     "corpus_gated": f"with {C} select query_id, original_index, gmode as mode, tier, decision, coalesce(zero_reason, '-') as zero_reason, doc_kind, round(intent_fit, 6) as intent_fit, round(rank_score, 6) as rank_score, round(shown_score, 6) as score, round(score_norm, 6) as score_norm, policy_rank from gated",
     "corpus_generic": f"with {C}, {GENERIC} {GENERIC_OUT}",
     "corpus_final": f"with {C}, {CORPUS_FINAL} select query_id, original_index, rank, client_rank, coalesce(fine_score, -1) as fine_score, used as tie_breaker_used, case when used then coalesce(error, '-') else '-' end as error from shown",

@@ -52,12 +52,13 @@ def scored(rows: DataFrame, policy: Policy, kind: str, options: Options, make: C
     """Request rows with facts (of the whole texts) and bucket (of the truncated ones)."""
     q, d = T.truncate(F.col("query"), options.query_chars), T.truncate(F.col("text"), options.document_chars)
     rows = rows.withColumns({"_query": F.col("query"), "_text": F.col("text")})
-    cut = score.prepare(rows.withColumns({"query": q, "text": d}), policy if kind == "gated" else Policy(name="generic"), with_facts=False)
-    cut = T.computed(cut, facts=A.identity(F.col("_query"), F.col("_text"), policy)) if kind == "gated" else cut
+    words = policy if R.RANKINGS[kind].own_words else Policy(name="generic")
+    cut = score.prepare(rows.withColumns({"query": q, "text": d}), words, with_facts=False)
+    cut = T.computed(cut, facts=A.identity(F.col("_query"), F.col("_text"), policy)) if R.RANKINGS[kind].own_words else cut
     asked: dict[str, Column] = {}
     if make is not None:
         asked = {"prompt": prompts.bucket_prompt(F.col("query"), T.trim_middle(F.col("text")), F.col("facts"), policy), "retry_prompt": prompts.retry_prompt(F.col("facts"))}
-    out = score.score(cut, policy if kind == "gated" else Policy(name="generic"), make, **asked)
+    out = score.score(cut, words, make, **asked)
     return out.withColumns({"query": F.col("_query"), "text": F.col("_text")}).drop("_query", "_text")
 
 
@@ -71,9 +72,7 @@ def rerank(rows: DataFrame, options: Options = Options(), store: PolicyStore | N
     store = store or PolicyStore()
     store.refresh()
     kind = plugin(options.policy_id)
-    if kind == "generic":
-        routed = [(store.select(options.policy_id), rows)]
-    elif options.policy_id in store.policies:
+    if kind != "gated" or options.policy_id in store.policies:
         routed = [(store.select(options.policy_id), rows)]
     else:
         domains = [n[len("howto_") : -len("_v1")] for n in store.policies if n.startswith("howto_")]
@@ -83,7 +82,7 @@ def rerank(rows: DataFrame, options: Options = Options(), store: PolicyStore | N
     parts = []
     for policy, mine in routed:
         got = scored(mine, policy, kind, options, make)
-        parts.append(R.gated(got, policy) if kind == "gated" else R.generic(got))
+        parts.append(R.RANKINGS[kind].rank(got, policy))
     ranked = parts[0]
     for p in parts[1:]:
         ranked = ranked.unionByName(p)

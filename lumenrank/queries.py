@@ -347,13 +347,25 @@ def plain_response(spark: SparkSession, d: str) -> DataFrame:
 
 
 def response_json(spark: SparkSession, d: str) -> DataFrame:
-    return responses(_final(spark), model="rules", return_documents=True).select("query_id", "pairs", "document_chars", F.size("results").alias("results"), F.length("json").alias("chars"))
+    return responses(_final(spark), model="rules", return_documents=True).select("query_id", "pairs", "document_chars", F.size("results").alias("results"), "query_tokens", "document_tokens", "total_tokens", F.length("json").alias("chars"))
 
 
 def reports(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.report(_final(spark))
 
 
+def eval_howto(ranked: DataFrame, spark: SparkSession) -> DataFrame:
+    """Metrics of the how-to queries in the order of retrieval and in the final order."""
+    relevant = spark.createDataFrame(X.RELEVANT, "query_id long, original_index long")
+    stages = {"retrieved": F.col("request_index") + 1, "reranked": F.col("rank")}
+    parts = [evaluate.metrics(ranked.select("query_id", "original_index", c.alias("rank")), relevant, doc_col="original_index").withColumn("stage", F.lit(n)) for n, c in stages.items()]
+    return parts[0].unionByName(parts[1])
+
+
+def howto_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return eval_howto(_final(spark), spark).select("stage", "query_id", *[r6(c).alias(c) for c in METRICS])
+
+
 def routed_rerank(spark: SparkSession, d: str) -> DataFrame:
     got = rerank(howto(spark), Options())
     return got.select("query_id", "original_index", "policy_id", "tier", "decision", "rank")
@@ -480,6 +492,6 @@ QUERIES: dict[str, Query] = {
         topk_cosine, retrieval_metrics, retrieval_average, diversified_topk, topk_cosine_all, retrieval_metrics_all, retrieval_average_all, diversified_topk_all, missing_sim_default, truncate_usage, request_status, last_wins, text_forms, loose_numbers, keyword_sets, quality_signals, gated_quality, doc_kinds,
         query_intents, procedure_signals, keyword_tiers, domain_detect, identity_facts, gated_bucket, gate_stats, gated_rank, generic_rank, final_order, decision_breakdown, reject_groups, plain_response, response_json, reports,
         routed_rerank, ambiguous_fallback, parse_buckets, parse_fines, parse_event_scores, fallback_fines, response_texts, flatlines, score_gap, latency_stats, tie_summaries, missing_docs, circuit_breaker, user_breaker,
-        ttl_cache, latency_budget, prompt_hash, fine_outputs, corpus_gated, corpus_generic, corpus_final, corpus_breakdown, corpus_rejects, corpus_relevance,
+        ttl_cache, latency_budget, prompt_hash, fine_outputs, corpus_gated, corpus_generic, corpus_final, corpus_breakdown, corpus_rejects, corpus_relevance, howto_metrics,
     )
 }

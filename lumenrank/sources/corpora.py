@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import truncate
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, text) of a JSON array of strings; the id is the position. Files are single documents, so one
@@ -77,13 +78,16 @@ def embed(docs: DataFrame, make: Callable[[], Embed], dim: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, embedding array<float>, ok boolean")
 
 
-def responses(ranked: DataFrame, id_col: str = "query_id", model: str | None = None, return_documents: bool = False) -> DataFrame:
-    """One row per query: results (structs in rank order), warnings, usage and their JSON."""
-    names = [c for c in ("original_index", "score", "pre_rank_score", "rank_score", "rank_score_reason", "fine_score", "fine_score_norm", "tie_breaker_used", "tie_breaker_error", "score_raw", "score_norm", "tier", "decision", "policy_id", "facts", "zero_reason") if c in ranked.columns]
+def responses(ranked: DataFrame, id_col: str = "query_id", model: str | None = None, return_documents: bool = False, facts: bool = True) -> DataFrame:
+    """One row per query: query, results (structs in rank order), warnings, usage (characters as ``retrieve.usage``
+    counts them) and their JSON. Documents and facts only where they are asked for."""
+    names = [c for c in ("original_index", "score", "pre_rank_score", "rank_score", "rank_score_reason", "fine_score", "fine_score_norm", "tie_breaker_used", "tie_breaker_error", "score_raw", "score_norm", "tier", "decision", "policy_id", "facts", "zero_reason", "mode") if c in ranked.columns and (facts or c != "facts")]
     one = F.struct("rank", *names, *([F.col("text").alias("document")] if return_documents else []))
     warning = F.when(F.col("warning").isNotNull(), F.struct(F.col("original_index").alias("idx"), F.col("warning").alias("error"))) if "warning" in ranked.columns else F.lit(None)
-    out = ranked.groupBy(id_col).agg(F.array_sort(F.collect_list(one), lambda a, b: a["rank"] - b["rank"]).alias("results"), F.collect_list(warning.cast("struct<idx:bigint,error:string>")).alias("warnings"), F.sum(F.length("text")).alias("document_chars"), F.count("*").alias("pairs"))
-    return out.withColumn("model", F.lit(model)).withColumn("json", F.to_json(F.struct("model", "results", "warnings", F.struct("document_chars", "pairs").alias("usage")), {"ignoreNullFields": "false"}))
+    out = ranked.groupBy(id_col).agg(F.max("query").alias("query"), F.max(F.length(truncate(F.col("query"), 256))).cast("long").alias("query_tokens"), F.sum(F.length(truncate(F.col("text"), 512))).alias("document_tokens"), F.array_sort(F.collect_list(one), lambda a, b: a["rank"] - b["rank"]).alias("results"), F.collect_list(warning.cast("struct<idx:bigint,error:string>")).alias("warnings"), F.sum(F.length("text")).alias("document_chars"), F.count("*").alias("pairs"))
+    out = out.withColumns({"model": F.lit(model), "total_tokens": F.col("query_tokens") + F.col("document_tokens")})
+    spent = F.struct("query_tokens", "document_tokens", "total_tokens", "document_chars", "pairs").alias("usage")
+    return out.withColumn("json", F.to_json(F.struct("model", "query", "results", "warnings", spent), {"ignoreNullFields": "false"}))
 
 
 def relevance_rows(ranked: DataFrame, id_col: str = "query_id") -> DataFrame:

@@ -200,12 +200,16 @@ class PolicyStore:
         return self.policies[self.default]
 
 
+#: Policy ids and the ranking that each asks for; ``operators.rank.register`` adds more.
+RANKING_IDS = {"legacy_demo": "gated", "generic": "generic", "generic_v1": "generic"}
+
+
 def plugin(policy_id: str | None) -> str:
-    """Which ranking a policy id asks for: ``gated`` or ``generic``."""
+    """Which ranking a policy id asks for: ``gated``, ``generic`` or a registered one."""
     pid = (policy_id or "legacy_demo").strip()
     if pid.startswith("howto_"):
         pid = "legacy_demo"
-    known = {"legacy_demo": "gated", "generic": "generic", "generic_v1": "generic"}
+    known = RANKING_IDS
     if pid not in known and pid.endswith("_v1"):
         pid = pid[:-3]
     if pid not in known:

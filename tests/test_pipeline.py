@@ -299,3 +299,20 @@ def test_command_line(spark, capsys):
 
     main(["demo", "--policy", "howto_plumbing_v1", "--top-n", "1", "--report"])
     assert "item=shower+" in capsys.readouterr().out
+    main(["demo", "--query", "how to fix a leaky shower", "--policy", "howto_plumbing_v1", "--top-n", "2", "--explain", "--show-facts"])
+    out = capsys.readouterr().out
+    assert '"query":"how to fix a leaky shower"' in out and '"same_item":true' in out and "reason" in out
+    main(["demo", "--eval", "--policy", "howto_plumbing_v1"])
+    assert "recall_all" in capsys.readouterr().out
+
+
+def test_row_helpers(spark):
+    rows = spark.createDataFrame([(1, None, 80, 0.8, True, 12.7), (2, "empty_output", None, None, True, None), (3, None, None, 0.415, False, 3.0), (4, None, None, None, False, None)], "i int, tie_breaker_error string, fine_score int, fine_score_norm double, tie_breaker_used boolean, tie_breaker_latency_ms double")
+    assert [r["tie_info"] for r in evaluate.tie_info(rows).orderBy("i").collect()] == ["80% (12ms)", "ERR(empty_output)", "42% (3ms)", None]
+    rows = spark.createDataFrame([(None, True, 0.0, None), (None, False, 1.0, None), (None, False, 0.0, "item_mismatch"), (None, False, 0.0, "other"), ("KEEP_LOW_SIGNAL", False, 0.0, None)], "d string, f boolean, s double, z string")
+    got = rows.select(rank.decision_of(*[F.col(c) for c in "dfsz"]).alias("x")).collect()
+    assert [r["x"] for r in got] == ["ACCEPT", "ACCEPT", "REJECT_TIER_0", "REJECT_TIER_9", "KEEP_LOW_SIGNAL"]
+    rows = spark.createDataFrame([(1, 2.0, None), (1, 1.0, None), (1, 1.0, 0.9), (2, 0.0, None)], "query_id int, score double, score_norm double")
+    assert sorted(str(r["norm"]) for r in rank.client_score_norm(rows).collect()) == ["0.5", "0.9", "1.0", "None"]
+    fine = spark.createDataFrame([("empty_output", 1, False), ("percent_retry_parse:x", 2, False), ("fine_score_timeout", 1, False), (None, 0, True), ("skipped_total_budget", 0, False)], "error string, attempts int, cached boolean")
+    assert score.fine_metrics(fine).first().asDict() == {"requested": 5, "cache_hits": 1, "parse_errors": 1, "retries": 1, "retry_errors": 1, "timeouts": 1, "skipped_budget": 1, "circuit_open": 0, "empty": 1}

@@ -129,6 +129,20 @@ def test_plugins():
         plugin("other")
 
 
+def test_registered_rankings(spark):
+    from lumenrank.operators import rank
+    from lumenrank.plans.api import Options, rerank
+
+    backwards = rank.Ranking(lambda rows, policy: rank.generic(rows).withColumns({"tier": F.lit(0), "decision": F.lit("ACCEPT"), "rank_score": F.col("request_index").cast("double"), "policy_id": F.lit("backwards")}), own_words=False)
+    rank.register("backwards", backwards, ("backwards_v2",))
+    with pytest.raises(ValueError):
+        rank.register("generic", backwards)
+    rows = spark.createDataFrame([(1, "q", i, i, "text", 0.5) for i in range(3)], "query_id long, query string, request_index int, original_index long, text string, similarity double")
+    for name in ("backwards", "backwards_v2", "backwards_v1"):
+        got = rerank(rows, Options(policy_id=name)).orderBy("rank").collect()
+        assert [r["original_index"] for r in got] == [2, 1, 0] and got[0]["policy_id"] == "backwards"
+
+
 def test_prompts_keep_nulls(spark):
     p = Policy(few_shot=[{"query": "q", "doc": "d", "score": 10}])
     facts = A.identity(F.lit("q"), F.lit("d"), p)
