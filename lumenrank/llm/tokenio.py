@@ -215,7 +215,7 @@ def write(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 0,
             yield flush()
 
     coded = docs.mapInArrow(encode, "run int, doc_id long, ids binary")
-    placed = coded.repartition(len(cuts) + 1, "run").sortWithinPartitions("run", F.col("doc_id").asc_nulls_last(), "ids")
+    placed = coded.repartitionById(len(cuts) + 1, "run").sortWithinPartitions("run", F.col("doc_id").asc_nulls_last(), "ids")
     return stored(placed.mapInArrow(blocks, "run int, part int, tokens long, payload binary"), "token-ids", compression="uncompressed")
 
 
