@@ -42,4 +42,44 @@ select * from r where rank <= 5
 """
 
 
-ORACLES = {"op2_ngram_jaccard": OP2, "op5_chat": OP5, "op9_exact_topk": OP9}
+OP11 = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, [floor(256 * x::double)::bigint for x in embedding] as e
+  from embeddings where label is not null and embedding is not null),
+s as (
+  select a.vec_id as anchor_id, v.vec_id, a.label = v.label as same, list_sum([t[1] * t[2] for t in list_zip(a.e, v.e)])::bigint as score
+  from v a join v on a.vec_id % 100 = 0 and a.vec_id != v.vec_id),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id)::int as rank, vec_id as negative_id, positive_score, score as negative_score
+from p join s on s.anchor_id = p.anchor_id and not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+qualify row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id) <= 5
+"""
+
+OP13 = r"""
+with recursive crc as (
+  select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, i)) as t),
+runs as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) as run from documents),
+counted as (select doc_id, run, count(*) as k, hex(encode(coalesce(doc_id::varchar, '') || ':' || run)) as x from runs group by doc_id, run),
+hashed as (
+  select run, k, xor(4294967295, list_reduce(range(length(x) // 2), lambda c, j: xor(c // 256, t[xor(c % 256, ('0x' || substr(x, 2 * j + 1, 2))::bigint) + 1]), 4294967295)) as h
+  from counted, crc),
+said as (select k, case when h % 97 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word from hashed),
+words as (select word, sum(k)::bigint as n from said where length(word) >= 5 group by word having sum(k) >= 3),
+cut as (select word, n, unnest(range(length(word))) as i from words),
+left_ as (select word, n, i, substr(word, 1, i::int) || substr(word, i::int + 2) as d from cut),
+near as (
+  select a.word, b.word as other, b.n as m from left_ a join left_ b on a.i = b.i and a.d = b.d and a.word != b.word
+  union select a.word, b.word, b.n from left_ a join words b on a.d = b.word
+  union select b.word, a.word, a.n from left_ a join words b on a.d = b.word),
+best as (select word, count(*) as n_near, max(m) as m, first(other order by m desc, other collate "binary") as other from near group by word),
+formed as (
+  select w.word, n, coalesce(n_near, 0)::bigint as n_near, case when m >= 2 * n then other end as form, case when m >= 2 * n then m end as form_n
+  from words w left join best using (word)),
+led as (
+  select word, word as root, 0 as step from formed
+  union all select l.word, f.form, step + 1 from led l join formed f on f.word = l.root where f.form is not null)
+select word, form, root, n, n_near, form_n from formed join (select word, last(root order by step) as root from led group by word) using (word)
+"""
+
+ORACLES = {"op2_ngram_jaccard": OP2, "op5_chat": OP5, "op9_exact_topk": OP9, "op11_hard_negatives": OP11, "op13_spelling": OP13}
