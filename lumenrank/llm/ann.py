@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..operators import tiles
 from .common import ragged, stored
 
-#: Vectors that the codebooks are fitted on at most (chosen by a hash of the id), of each length; candidates
+#: Distinct vectors that the codebooks are fitted on at most (chosen by their hashes), of each length; candidates
 #: that each block of rows hands to the exact reranking at least, per query.
 FIT_ROWS, RERANK = 16_384, 200
 #: Share of the norm from which scores matter; it sets the weight of the parallel residual.
@@ -136,10 +136,14 @@ def search(q: np.ndarray, qids: np.ndarray, block: dict, books: np.ndarray, k: i
     return tuple(np.concatenate(o) if o else np.empty(0) for o in out)
 
 
-def sample(rows: DataFrame, id_col: str, vec_col: str, most: int) -> DataFrame:
-    """About ``most`` of the rows, at most, by a hash of the id (all, if they are fewer)."""
-    n = rows.count()
-    return rows if n <= most else rows.where(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 62)) < max(1, (1 << 62) * most // n))
+def sample(rows: DataFrame, vec_col: str, most: int) -> DataFrame:
+    """``most`` of the distinct vectors, those of the least hashes (all, if they are fewer), as column vec. A share
+    of about twice as many is cut by hash first, so that few are sorted; ids, and how often a vector occurs, don't
+    matter."""
+    h = F.xxhash64(vec_col)
+    n = rows.agg(F.approx_count_distinct(h, 0.02)).first()[0]
+    few = rows if n <= most else rows.where(F.pmod(h, F.lit(1 << 32)) < (1 << 33) * most // n)
+    return few.select(F.col(vec_col).alias("vec"), F.pmod(h, F.lit(1 << 32)).alias("h")).distinct().orderBy("h", "vec").limit(most).select(F.lit(0).alias("id"), "vec")
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int = RERANK, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -157,10 +161,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     rows, queries = (d.where(fine & F.col(id_col).isNotNull()) for d in (rows, queries))
     models = {}
     for r in rows.groupBy(F.size(vec_col).alias("dim")).count().collect():  # the lengths that occur
-        mine = sample(rows.where(F.size(vec_col) == r["dim"]), id_col, vec_col, fit_rows)
-        got = [np.frombuffer(b["vecs"]).reshape(-1, r["dim"]) for b in tiles.packed(mine, id_col, vec_col).select("vecs").collect()]
-        if not got:
-            raise ValueError("the sample of a table with vectors is empty")
+        mine = sample(rows.where(F.size(vec_col) == r["dim"]), vec_col, fit_rows)
+        got = [np.frombuffer(b["vecs"]).reshape(-1, r["dim"]) for b in tiles.packed(mine, "id", "vec").select("vecs").collect()]
         x = np.unique(padded(np.concatenate(got).astype(np.float32).astype(np.float64)), axis=0)  # a vector that many rows share mustn't take the centroids
         books = fit(x, weight(r["dim"]))
         models[r["dim"]] = books, weight(r["dim"]), slack(x, books, weight(r["dim"]))

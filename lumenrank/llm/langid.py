@@ -13,14 +13,15 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pieces, trim, unused
 
 #: Buckets of the hashed n-grams, their orders, the most labelled documents that a fit reads, the tasks that
-#: count them, the languages whose matrix is broadcast at once, and those that a counting task holds.
-BITS, ORDERS, FIT_DOCS, FIT_TASKS, BLOCK, HELD = 16, (1, 2, 3), 20_000, 16, 256, 64
+#: count them, the languages whose matrix is broadcast at once, those that a counting task holds, and the most
+#: languages that are learned (the most frequent ones).
+BITS, ORDERS, FIT_DOCS, FIT_TASKS, BLOCK, HELD, LANGS = 16, (1, 2, 3), 20_000, 16, 256, 64, 512
 _CHUNK = 4096
 _MULT = {1: (0x9E3779B97F4A7C15,), 2: (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), 3: (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)}
 
@@ -102,23 +103,35 @@ def share(sizes: list[int], total: int) -> float:
     return max(sizes)
 
 
-def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
+def sampled(rows: DataFrame, rates: dict[str, float], most: dict[str, int]) -> DataFrame:
+    """(lang, text) of distinct rows (doc_id, text, lang) of the languages in ``rates``: a share by a hash of id and text
+    together, and of these the ``most`` of least hash. Rows that share an id or have none are rows like others."""
+    of = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])[F.col("lang")]
+    h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    few = rows.where(F.col("lang").isin(list(rates))).withColumn("h", h).where(F.col("h") < of({k: math.ceil((1 << 40) * min(1.0, v)) for k, v in rates.items()}))
+    few = few.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    return few.withColumn("place", place).where(F.col("place") <= of(most)).select("lang", "text")
+
+
+def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, smoothing: float = 0.5, most_langs: int = LANGS) -> tuple[list[str], np.ndarray]:
     """(languages, float32 matrix languages x buckets of log probabilities; its last column is 0).
 
-    ``labelled`` has doc_id, text and lang; rows with a null in any of them teach nothing. At most about
-    ``fit_docs`` rows teach (documented bound; all rows if there are fewer): all of the rarer languages, and
-    of the others equally many each, chosen by a hash of doc_id. Languages whose texts hold no letter are left
-    out. Priors are equal.
+    ``labelled`` has doc_id, text and lang; rows with a null text or lang teach nothing. At most about ``fit_docs``
+    rows teach and ``most_langs`` languages, the most frequent (documented bounds; all if there are fewer): all rows of
+    the rarer languages, and of the others equally many each, chosen by a hash of id and text, rows that are the
+    same in both once. Languages whose texts hold no letter are left out. Priors are equal.
     """
-    rows = labelled.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # the languages
+    rows = labelled.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
     langs, n = sorted(sizes), sum(sizes.values())
     if not langs:
         return [], np.zeros((0, (1 << BITS) + 1), np.float32)
     if n > fit_docs:
         most = share(list(sizes.values()), fit_docs)
-        rates = F.create_map(*[F.lit(x) for lang in langs for x in (lang, math.ceil(1_000_000 * min(1.0, most / sizes[lang])))])
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rates[F.col("lang")])
+        rows = sampled(rows, {lang: 1.5 * most / size for lang, size in sizes.items()}, {lang: math.ceil(most) for lang in langs})
+    else:
+        rows = rows.where(F.col("lang").isin(langs))
     schema = "lang int, chunk int, docs long, counts binary"
     parts = rows.select("text", "lang").repartition(FIT_TASKS).mapInArrow(_count(langs), schema).groupBy("lang", "chunk").applyInArrow(_total, schema)
     counts = np.zeros((len(langs), (1 << BITS) + 1))

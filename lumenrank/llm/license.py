@@ -91,7 +91,7 @@ class Scanner:
             extra += more[GAP:] if place in self.gaps[name] else more
         return first, last, missing, extra
 
-    def confirm(self, name: str, text: str, spans: list[tuple[int, int]], have: list[str], lo: int, hi: int, differ: float):
+    def confirm(self, name: str, text: str, spans: list[tuple[int, int]], marks: tuple[list[int], list[int], list[int]], have: list[str], lo: int, hi: int, differ: float):
         """(first, last, missing, added, after) if the words lo to hi hold the template, else None."""
         most = differ * len(self.words[name])
         if sum((self.bag[name] - Counter(have[lo:hi])).values()) > most:
@@ -101,8 +101,11 @@ class Scanner:
             return None
         first, last = lo + first, lo + last
         after = [] if _END.match(text, spans[last - 1][1]) else words(text[spans[last - 1][1] : _END.search(text, spans[last - 1][1]).start()])
-        begin = max([m.end() for m in _END.finditer(text, max(0, spans[first][0] - 400), spans[first][0]) if m.start() < m.end() <= spans[first][0]], default=max(0, spans[first][0] - 400))
-        if len(missing) + len(added) + len(after) > most or any(c.isdigit() for w in missing + added for c in w) or _NOT & set(words(text[begin : spans[first][0]])):
+        begins, ends, nots = marks  # of words; of sentences; words that say not
+        at = bisect_right(ends, spans[first][0])
+        begin = bisect_left(begins, ends[at - 1] if at else 0)
+        denied = bisect_left(nots, begin) < bisect_left(nots, first)
+        if len(missing) + len(added) + len(after) > most or any(c.isdigit() for w in missing + added for c in w) or denied:
             return None
         return first, last, missing, added, after
 
@@ -115,6 +118,7 @@ class Scanner:
         spans = [m.span() for m in _WORD.finditer(text)]
         begins = [a for a, _ in spans]
         have = [_SPELL.get(text[a:b].lower(), text[a:b].lower()) for a, b in spans]
+        marks = begins, [m.end() for m in _END.finditer(text) if m.start() < m.end()], [i for i, w in enumerate(have) if w in _NOT]
         todo: list[tuple[int, int]] = []
         for a in cues:
             at = bisect_right(begins, a)
@@ -132,7 +136,7 @@ class Scanner:
             ranked = sorted(self.names, key=lambda n: (sizes[n], n))
             found = None
             for k in range(0, len(ranked), BEST):
-                good = [(len(g[2]) + len(g[3]) + len(g[4]), sizes[n], n, g) for n in ranked[k : k + BEST] if (g := self.confirm(n, text, spans, have, lo, hi, differ))]
+                good = [(len(g[2]) + len(g[3]) + len(g[4]), sizes[n], n, g) for n in ranked[k : k + BEST] if (g := self.confirm(n, text, spans, marks, have, lo, hi, differ))]
                 if good:
                     found = min(good)
                     break
@@ -157,13 +161,24 @@ def stretch(template: list[str], have: list[str]) -> tuple[int, int, list[str],
     stretch lacks, and the stretch's other words with their places in the template."""
     code = {w: k for k, w in enumerate(template)}
     text, place = np.array([code.get(w, -1) for w in have], int), np.arange(len(have) + 1)
-    cost = [np.zeros(len(have) + 1, int)]
-    for w in template:
-        row = cost[-1] + 1
-        row[1:] = np.where(text == code[w], np.minimum(row[1:], cost[-1][:-1]), row[1:])
-        cost.append(np.minimum.accumulate(row - place) + place)
-    i, j = len(template), int(cost[-1].argmin())
-    last, missing, added = j, [], []
+
+    def rows(a: int, b: int):
+        row = np.zeros(b - a + 1, int)
+        yield row
+        for w in template:
+            new = row + 1
+            new[1:] = np.where(text[a:b] == code[w], np.minimum(new[1:], row[:-1]), new[1:])
+            row = np.minimum.accumulate(new - place[: b - a + 1]) + place[: b - a + 1]
+            yield row
+
+    for row in rows(0, len(have)):  # where the stretch ends takes one row; it has at most twice the template's words
+        pass
+    last = int(row.argmin())
+    first = max(0, last - 2 * len(template))
+    cost = list(rows(first, last))
+    have = have[first:last]
+    i, j = len(template), last - first
+    missing, added = [], []
     while i:
         if j and template[i - 1] == have[j - 1] and cost[i][j] == cost[i - 1][j - 1]:
             i, j = i - 1, j - 1
@@ -173,7 +188,7 @@ def stretch(template: list[str], have: list[str]) -> tuple[int, int, list[str],
         else:
             added.append((i, have[j - 1]))
             j -= 1
-    return j, last, missing[::-1], added[::-1]
+    return first + j, last, missing[::-1], added[::-1]
 
 
 def scan(docs: DataFrame, given: dict[str, str] | None = None, differ: float = DIFFER) -> DataFrame:

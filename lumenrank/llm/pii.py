@@ -29,12 +29,17 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _DATE = r"\d{1,4}[./-]\d{1,2}[./-]\d{1,4}(?!\d)"
 _BORN = r"(?i:born|dob|date of birth|birth date|birthday|geboren|née{0,1})(?:[: ]| on | am |: )"
 _ACCOUNT = r"(?i:account|acct|konto)(?: (?i:no|number|nr)){0,1}[.]{0,1}[:#]{0,1} {0,1}"
-#: Each begins with what is cheap to refuse: most places of a text hold none of them.
+_LABEL = r"[A-Za-z0-9-]++"
+_HEX = r"[0-9A-Fa-f]{1,4}"
+#: Each begins with what is cheap to refuse: most places of a text hold none of them. Whatever may repeat without end
+#: is a class of characters or possessive, since a group that may be given back costs a stack frame for each
+#: repetition; the part of an address before its @ has 256 characters at most, so that no start reads on for ever.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": rf"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{{0,255}}+@{_LABEL}(?:(?:\.{_LABEL})*+(?<=\.[A-Za-z]{{2,63}})|(?:\.{_LABEL}){{0,126}}\.[A-Za-z]{{2,}})",
     "birth": rf"(?=\d)(?<=[ :])(?<=(?<!\p{{L}}){_BORN}){_DATE}",
     "account": rf"(?=\d)(?<=[ .:#])(?<=(?<!\p{{L}}){_ACCOUNT})\d{{6,17}}(?!\d)",
     "ip": rf"(?=\d)(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
+    "ip6": rf"(?=[0-9A-Fa-f])(?<![\p{{L}}\d:.])(?=[0-9A-Fa-f:]{{0,39}}\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![\p{{L}}\d:])",
     "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)" rf"|(?=[(\d])(?<![\p{{L}}\d])(?<!\d[.-]){_NATIONAL}(?![\p{{L}}\d_]|-[\p{{L}}\d]|\.\d)",
     "key": r"(?=A)\bAKIA[A-Z0-9]{16}\b",
     "iban": r"(?=[A-Z]{2}\d)\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
@@ -46,7 +51,7 @@ PATTERNS = {
 }
 #: What a mention by itself is told by, where its pattern looks at what stands before.
 _ALONE = PATTERNS | {"birth": _DATE, "account": r"\d{6,17}"}
-_ORDER = ["email", "ip", "ssn", "phone", "key", "iban", "card", "birth", "account", "address", "name"]
+_ORDER = ["email", "ip", "ip6", "ssn", "phone", "key", "iban", "card", "birth", "account", "address", "name"]
 #: What may end a name word without being part of it.
 _TAIL = r"(?:['’]s|['’-]+)$"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -93,8 +98,8 @@ def _untitled(known: Column) -> Column:
     """Pattern of runs of these words, as written or in the usual cases; the longer words first."""
     forms = F.array_distinct(F.flatten(F.transform(known, lambda k: F.array(k["word"], k["value"], F.upper(k["value"])))))
     longest = F.transform(F.array_sort(F.transform(forms, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
-    word = F.concat(F.lit("(?:"), F.array_join(longest, "|"), F.lit(")"))
-    return F.concat(F.lit(r"(?<![\p{L}\d_])"), word, F.lit("(?: "), word, F.lit(r")*(?![\p{L}\d_])"))
+    word = F.concat(F.lit("(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\d_])"))
+    return F.concat(F.lit(r"(?<![\p{L}\d_])"), word, F.lit("(?: "), word, F.lit(")*+"))
 
 
 def _settled(mention: Column, known: Column) -> Column:
@@ -118,6 +123,7 @@ def _parts(mention: Column, kind: Column, gender: Column) -> Column:
         .when(kind == "name", named)
         .when(kind.isin("phone", "card", "ssn", "account"), part(kind, F.regexp_replace(mention, r"\D", "")))
         .when(kind == "iban", part(kind, F.regexp_replace(mention, " ", "")))
+        .when(kind == "ip6", part(kind, low))
         .otherwise(part(kind, mention))
     )
 
@@ -128,10 +134,23 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(n, F.lit(0), lambda a, x: a + F.when(x > 9, x - 9).otherwise(x))
 
 
-def _surrogate(key: str) -> Column:
-    """Surrogate of (kind, value) at draw number ``draw``. From the fifth draw on more characters are drawn and from
+def _family() -> Column:
+    """The kind, a name's without gender."""
+    return F.regexp_replace("kind", "^(name:[a-z]+):[mfn]$", "$1")
+
+
+def _drawn(rows: DataFrame, key: str, where: Column | None = None) -> DataFrame:
+    """(kind, value, draw, ...) with their surrogates (where ``where`` says so, else those that they have). The digest
+    is computed once for a value, not once for each of its characters."""
+    digest = F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), _family(), "value", "draw", F.lit(str(k))), 256) for k in range(3)])
+    new = _surrogate() if where is None else F.when(where, _surrogate()).otherwise(F.col("surrogate"))
+    return computed(rows, digest=digest).withColumn("surrogate", new).drop("digest")
+
+
+def _surrogate() -> Column:
+    """Surrogate of (kind, value, digest) at draw number ``draw``; genders of one name share all but its ending. From the fifth draw on more characters are drawn and from
     more classes, at the same length; only from the tenth on does it grow, since short values can run out."""
-    digest = F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), "kind", "value", "draw", F.lit(str(k))), 256) for k in range(3)])
+    digest = F.col("digest")
     byte = lambda i: F.conv(F.substr(digest, (i % 96) * 2 + 1, F.lit(2)), 16, 10).cast("int")
     pick = lambda letters, i: F.substr(F.lit(letters), byte(i) % len(letters) + 1, F.lit(1))
     lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -174,25 +193,26 @@ def _surrogate(key: str) -> Column:
         .when(F.col("kind") == "key", F.concat(F.lit("AKIA"), like(F.expr("substring(value, 5)")), more))
         .when(F.col("kind") == "iban", F.concat(F.substring(v, 1, 2), like(F.expr("substring(value, 3)")), more))
         .when(F.col("kind").startswith("name"), name)
-        .when((F.col("kind") == "secret") & v.rlike("^[0-9a-f]+$"), F.concat(like(v, True), more))
+        .when((F.col("kind") == "ip6") | ((F.col("kind") == "secret") & v.rlike("^[0-9a-f]+$")), F.concat(like(v, True), more))
         .otherwise(F.concat(like(v), more))
     )
 
 
 def surrogates(parts: DataFrame, key: str) -> DataFrame:
-    """(kind, value, surrogate, draw) of distinct parts (kind, value): no two of a kind share a surrogate, and no
-    surrogate is a value that occurs. Drawn again where that fails, each round a written table."""
-    now = stored(parts.withColumn("draw", F.lit(0)).withColumn("surrogate", _surrogate(key)), "surrogates")
+    """(kind, value, surrogate, draw) of distinct parts (kind, value): no two values of a kind share a surrogate, names
+    of whatever gender, and no surrogate is a value that occurs. Drawn again where that fails, each round a written table."""
+    now = stored(_drawn(parts.withColumn("draw", F.lit(0)), key), "surrogates")
     while True:
-        first = now.groupBy("kind", "surrogate").agg(F.min("value").alias("holder"), F.count("*").alias("n"))
-        real = parts.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("real"))
-        met = now.join(first.where("n > 1").drop("n"), ["kind", "surrogate"], "left").join(real, ["kind", "surrogate"], "left")
+        drawn = now.withColumn("family", _family())
+        first = drawn.groupBy("family", "surrogate").agg(F.min("value").alias("holder"), F.count("*").alias("n"))
+        real = parts.select(_family().alias("family"), F.col("value").alias("surrogate"), F.lit(True).alias("real")).distinct()
+        met = drawn.join(first.where("n > 1").drop("n"), ["family", "surrogate"], "left").join(real, ["family", "surrogate"], "left")
         met = met.select("kind", "value", "draw", "surrogate", (F.coalesce(F.col("holder") != F.col("value"), F.lit(False)) | F.coalesce("real", F.lit(False))).alias("again"))
         before, met = now, stored(met, "met")
         discard(before)
         if met.where("again").isEmpty():
             return met
-        now = stored(met.withColumn("draw", F.col("draw") + F.col("again").cast("int")).select("kind", "value", "draw", F.when(F.col("again"), _surrogate(key)).otherwise(F.col("surrogate")).alias("surrogate")), "surrogates")
+        now = stored(_drawn(met.withColumn("draw", F.col("draw") + F.col("again").cast("int")), key, F.col("again")).drop("again"), "surrogates")
 
 
 def _written(mention: Column, kind: Column, s: Column) -> Column:
@@ -236,14 +256,15 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     marked = marked.withColumns({hit: some, mark: F.when(some, F.concat(F.md5("text"), F.length("text").cast("string")))})
     marked = stored(marked, "marked", by=hit)
     miss, hits = marked.where(~col(hit)), marked.where(col(hit))
-    exploded = F.explode(F.transform(F.array_distinct(said), lambda m: F.struct(m.alias("mention"), _settled(m, col(known)).alias("gender")))).alias("m")
-    found = stored(hits.select(mark, exploded).select(col(mark).alias("mark"), "m.*").distinct(), "mentions")
-    kinds = found.select("mention", "gender").distinct().withColumn("kind", F.when(F.col("gender") != "", "name").otherwise(_kind(F.col("mention"))))
-    parts = stored(kinds.select("mention", "gender", F.col("kind").alias("form"), F.posexplode(_parts(F.col("mention"), F.col("kind"), F.col("gender"))).alias("k", "part")).select("mention", "gender", "form", "k", "part.*"), "parts")
+    exploded = F.explode(F.transform(F.array_distinct(said), lambda m: F.struct(F.md5(m).alias("m"), m.alias("mention"), _settled(m, col(known)).alias("gender")))).alias("x")
+    found = stored(hits.select(mark, exploded).select(col(mark).alias("mark"), "x.*").distinct(), "mentions")
+    kinds = found.select("m", "mention", "gender").distinct().withColumn("kind", F.when(F.col("gender") != "", "name").otherwise(_kind(F.col("mention"))))
+    # a mention may have as many parts as a text has words: its parts go by its digest
+    parts = stored(kinds.select("m", "gender", F.col("kind").alias("form"), F.posexplode(_parts(F.col("mention"), F.col("kind"), F.col("gender"))).alias("k", "part")).select("m", "gender", "form", "k", "part.*"), "parts")
     chosen = surrogates(parts.select("kind", "value").distinct(), key)
-    written = salted_join(parts, chosen, ["kind", "value"]).groupBy("mention", "gender", "form").agg(F.array_sort(F.collect_list(F.struct("k", "surrogate"))).alias("s"))
-    written = written.select("mention", "gender", _written(F.col("mention"), F.col("form"), F.transform("s", lambda x: x["surrogate"])).alias("to"))
-    maps = salted_join(found, written, ["mention", "gender"]).groupBy("mark").agg(F.map_from_entries(F.collect_list(F.struct("mention", "to"))).alias("map"))
+    written = salted_join(parts, chosen, ["kind", "value"]).groupBy("m", "gender", "form").agg(F.array_sort(F.collect_list(F.struct("k", "surrogate"))).alias("s"))
+    maps = salted_join(found, written, ["m", "gender"]).select("mark", "mention", _written(F.col("mention"), F.col("form"), F.transform("s", lambda x: x["surrogate"])).alias("to"))
+    maps = maps.groupBy("mark").agg(F.map_from_entries(F.collect_list(F.struct("mention", "to"))).alias("map"))
     table, = unused(marked, "map")
     maps = stored(maps.select(F.col("mark").alias(mark), F.col("map").alias(table)), "maps")
     discard(found, parts, chosen)
