@@ -6,34 +6,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..sources.policies import Policy
+from ..sources.policy_table import PolicyColumns
 from . import vocab as V
-from .text import any_of, contains_any, let, matches_any, text, tokens_word, word_pattern, words
+from .dictionary import found
+from .text import any_of, contains_any, let, matches_any, text, tokens_word, words
 
 
-def whole_words(col: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text(col)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+def terms_of(rules: list[tuple[str, list[str]]]) -> list[str]:
+    return sorted({t.lower() for _, terms in rules for t in terms})
 
 
 def rule_hits(col: Column, rules: list[tuple[str, list[str]]] = V.DOMAIN_RULES, have: Column | None = None) -> list[tuple[str, Column]]:
     """Per rule, how many of its words occur (as whole words; a term of several words as a whole phrase). ``have``:
-    ``whole_words`` of the text, where they are a column already."""
-    have = whole_words(col) if have is None else have
-    out = []
-    for name, terms in rules:
-        n = F.size(F.array_intersect(have, words([t for t in terms if t.isalnum()])))
-        for t in terms:
-            n = n if t.isalnum() else n + text(col).rlike(word_pattern([t])).cast("int")
-        out.append((name, n))
-    return out
+    ``dictionary.found`` of the text and all the rules' terms, where that is a column already."""
+    have = found(col, terms_of(rules)) if have is None else have
+    return [(name, F.size(F.array_intersect(have, words(sorted({t.lower() for t in terms}))))) for name, terms in rules]
 
 
 def domain_hits(col: Column, rules: list[tuple[str, list[str]]] = V.DOMAIN_RULES, have: Column | None = None) -> Column:
     """map<domain, hits> of the domains with hits, rules of one name added up."""
-    total: dict[str, Column] = {}
-    for name, n in rule_hits(col, rules, have):
-        total[name] = total[name] + n if name in total else n
-    table = F.create_map(*[x for name, n in total.items() for x in (F.lit(name), n)])
-    return F.map_filter(table, lambda _, n: n > 0)
+
+    def table(hits: Column) -> Column:
+        total: dict[str, Column] = {}
+        for name, n in rule_hits(col, rules, hits):
+            total[name] = total[name] + n if name in total else n
+        return F.map_filter(F.create_map(*[x for name, n in total.items() for x in (F.lit(name), n)]), lambda _, n: n > 0)
+
+    return let(found(col, terms_of(rules)) if have is None else have, table)
 
 
 def domain_soft_match(col: Column, policy: Policy) -> Column:
@@ -59,9 +58,13 @@ def choose_domain(hits: Column, rules: list[tuple[str, list[str]]] = V.DOMAIN_RU
 def infer_domain(col: Column, rules: list[tuple[str, list[str]]] = V.DOMAIN_RULES, negative: dict[str, list[str]] | None = None, have: Column | None = None) -> Column:
     """The domain of the single rule with most hits (rules of one name aren't added up); rules whose
     ``negative`` words occur are out."""
-    hits = [(name, F.when(matches_any(col, (negative or {}).get(name, [])), 0).otherwise(n)) for name, n in rule_hits(col, rules, have)]
+    names = [name for name, _ in rules]
+
+    def counts(hits: Column) -> Column:
+        return F.array(*[F.when(matches_any(col, (negative or {}).get(name, [])), 0).otherwise(n) for name, n in rule_hits(col, rules, hits)])
+
     # the hits as one array: every mention of them below is a look-up
-    return let(F.array(*[n for _, n in hits]), lambda a: _first_best([(name, a[i]) for i, (name, _) in enumerate(hits)]))
+    return let(let(found(col, terms_of(rules)) if have is None else have, counts), lambda a: _first_best([(name, a[i]) for i, name in enumerate(names)]))
 
 
 def generic_domain(col: Column, domains: list[tuple[str, list[str]]] = V.GENERIC_DOMAINS) -> Column:
@@ -84,10 +87,14 @@ def client_domain(col: Column, domains: list[tuple[str, list[str]]] = V.CLIENT_D
     return out
 
 
-def items(col: Column, policy: Policy) -> Column:
+def items(col: Column, policy: Policy | PolicyColumns) -> Column:
     """The policy's items that the text names, in the policy's order."""
-    found = [F.when(matches_any(col, names), item) for item, names in policy.item_aliases.items()]
-    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+    if isinstance(policy, PolicyColumns):
+        return let(found(col, policy.terms), lambda have: F.transform(F.filter(policy.items, lambda x: F.arrays_overlap(have, x["names"])), lambda x: x["item"]))
+    aliases = {item: sorted({n.lower() for n in names}) for item, names in policy.item_aliases.items()}
+    if not aliases:
+        return F.array().cast("array<string>")
+    return let(found(col, [n for names in aliases.values() for n in names]), lambda have: F.array_compact(F.array(*[F.when(any_of(have, names), item) for item, names in aliases.items()])))
 
 
 def single_item(hits: Column) -> Column:
@@ -95,7 +102,7 @@ def single_item(hits: Column) -> Column:
     return F.when(F.size(hits) == 1, F.element_at(hits, 1))
 
 
-def identity(query: Column, doc: Column, policy: Policy) -> Column:
+def identity(query: Column, doc: Column, policy: Policy | PolicyColumns) -> Column:
     """struct of query_item, doc_items, same_item (null: the document names no item), domain_match (the same
     as same_domain), domain_match_doc, domain_match_query, query_domain, doc_domain, their hits, same_domain."""
     raw = F.struct(items(query, policy).alias("qi"), items(doc, policy).alias("di"), domain_hits(query).alias("qh"), domain_hits(doc).alias("dh"))
@@ -120,12 +127,13 @@ def ambiguous_client(query: Column) -> tuple[Column, Column]:
     return yes, F.when(F.size(t) == 0, "empty").when(yes & any_of(t, V.CLIENT_TRIGGERS), "trigger").when(yes, "too_short")
 
 
-def ambiguous_gated(query: Column, policy: Policy) -> Column:
+def ambiguous_gated(query: Column, policy: Policy | PolicyColumns) -> Column:
     """Only with triggers: at most one distinct token, or a trigger among them."""
-    if not policy.ambiguous_triggers:
+    given = policy.ambiguous_triggers
+    if not isinstance(given, Column) and not given:
         return F.lit(False)
     t = F.array_distinct(tokens_word(query))
-    return (F.size(t) <= 1) | any_of(t, policy.ambiguous_triggers)
+    return (F.size(words(given)) > 0) & ((F.size(t) <= 1) | any_of(t, given))
 
 
 def ambiguous_generic(query: Column) -> Column:

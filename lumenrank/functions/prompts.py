@@ -4,11 +4,13 @@ that keeps nulls, examples come from the policy, and the cache key is of model,
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.policies import Policy
+from .facts import identity
 from .parsers import compact_json
 from .text import text
 
@@ -28,9 +30,20 @@ def _bucket(score: float) -> int:
     return int(score) if score in (0, 1, 2, 3) else 0 if score < 3 else 1 if score < 7 else 2 if score < 10 else 3
 
 
-def bucket_prompt(query: Column, doc: Column, facts: Column, policy: Policy) -> Column:
-    shots = "".join(f"EXAMPLE\nQUERY: {s['query']}\nDOCUMENT: {s['doc']}\nOUTPUT: {json.dumps({'score': _bucket(s['score'])})}\n---\n" for s in policy.few_shot)
-    return F.concat(F.lit(f"{RULES}\n{shots}QUERY: "), text(query), F.lit("\nDOCUMENT: "), text(doc), F.lit("\nFACTS: "), compact_json(facts), F.lit("\nOUTPUT:"))
+def examples(spark: SparkSession, policies: Iterable[Policy]) -> dict[str, str]:
+    """The examples of each policy's prompt, by its name: query, document, their facts under that policy, and bucket. The
+    facts of all of a policy's examples are one small job; policies without examples need none."""
+    out = {}
+    for p in policies:
+        shots = [(i, str(x["query"]), str(x["doc"]), json.dumps({"score": _bucket(x["score"])})) for i, x in enumerate(p.few_shot)]
+        rows = spark.createDataFrame(shots, "i int, query string, doc string, output string").select("*", compact_json(identity(F.col("query"), F.col("doc"), p)).alias("facts")).orderBy("i").collect() if shots else []
+        out[p.name] = "".join(f"EXAMPLE\nQUERY: {r['query']}\nDOCUMENT: {r['doc']}\nFACTS: {r['facts']}\nOUTPUT: {r['output']}\n---\n" for r in rows)
+    return out
+
+
+def bucket_prompt(query: Column, doc: Column, facts: Column, shots: str | Column) -> Column:
+    shots = F.lit(shots) if isinstance(shots, str) else shots
+    return F.concat(F.lit(f"{RULES}\n"), shots, F.lit("QUERY: "), text(query), F.lit("\nDOCUMENT: "), text(doc), F.lit("\nFACTS: "), compact_json(facts), F.lit("\nOUTPUT:"))
 
 
 def retry_prompt(facts: Column) -> Column:

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from . import vocab as V
 
 
-def words(values: Iterable[str]) -> Column:
+def words(values: Iterable[str] | Column) -> Column:
+    """The words as an array; an array column (of a policy table) stays as it is."""
+    if isinstance(values, Column):
+        return values
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
@@ -60,16 +63,18 @@ def stem(token: Column) -> Column:
     return out
 
 
-def canonical(token: Column, synonyms: Mapping[str, str]) -> Column:
-    """The stem, or the word that the synonym map has for it."""
+def canonical(token: Column, synonyms: Mapping[str, str] | Column) -> Column:
+    """The stem, or the word that the synonym map (of literals, or a map column) has for it."""
     base = stem(token)
+    if isinstance(synonyms, Column):
+        return F.coalesce(F.try_element_at(synonyms, base), base)
     if not synonyms:
         return base
     table = F.create_map(*[F.lit(x) for pair in sorted(synonyms.items()) for x in pair])
     return F.coalesce(F.try_element_at(table, base), base)
 
 
-def keyword_set(col: Column, synonyms: Mapping[str, str], expansion: Mapping[str, Iterable[str]] | None = None) -> Column:
+def keyword_set(col: Column, synonyms: Mapping[str, str] | Column, expansion: Mapping[str, Iterable[str]] | None = None) -> Column:
     """Distinct canonical tokens; ``expansion`` (off by default) adds each token's related words."""
     base = F.array_distinct(F.transform(tokens_alnum(col), lambda t: canonical(t, synonyms)))
     if not expansion:
@@ -79,7 +84,9 @@ def keyword_set(col: Column, synonyms: Mapping[str, str], expansion: Mapping[str
     return F.array_distinct(F.concat(base, more))
 
 
-def any_of(tokens: Column, values: Iterable[str]) -> Column:
+def any_of(tokens: Column, values: Iterable[str] | Column) -> Column:
+    if isinstance(values, Column):
+        return F.arrays_overlap(tokens, values)
     values = list(values)
     return F.arrays_overlap(tokens, words(values)) if values else F.lit(False)
 

@@ -13,6 +13,7 @@ from ..functions import signals as S
 from ..functions import text as T
 from ..functions import vocab as V
 from ..sources.policies import RANKING_IDS, Policy
+from ..sources.policy_table import PolicyColumns
 
 
 def clamp(bucket: Column, facts: Column) -> Column:
@@ -45,7 +46,7 @@ def decision_of(decision: Column, fallback: Column, score: Column, reason: Colum
     return F.coalesce(decision, F.when(fallback | (score > 0), "ACCEPT").otherwise(F.concat(F.lit("REJECT_TIER_"), client_zero_tier(reason).cast("string"))))
 
 
-def gated(scored: DataFrame, policy: Policy, id_col: str = "query_id") -> DataFrame:
+def gated(scored: DataFrame, policy: Policy | PolicyColumns, id_col: str = "query_id") -> DataFrame:
     """Scored rows under the gated policy: tier, decision, zero_reason, scores, intent and kind, and
     policy_rank from 1, the order that the fine pass cuts."""
     q, d, f = F.col("query"), F.col("text"), F.col("facts")
@@ -84,7 +85,7 @@ def gated(scored: DataFrame, policy: Policy, id_col: str = "query_id") -> DataFr
         F.when(positive, 0).otherwise(1), on(F.col("tier")).desc_nulls_last(), on(F.col("rank_score")).desc_nulls_last(), on(F.col("intent_fit")).desc_nulls_last(), on(F.col("doc_kind")).desc_nulls_last(),
         F.when(positive, 0).otherwise(zero_tier(F.col("zero_reason"), f["same_domain"], f["same_item"])), sim.desc(), on(F.col("original_index")).desc_nulls_last(), "original_index", "request_index",
     )
-    return rows.withColumn("policy_rank", F.row_number().over(order)).withColumn("policy_id", F.lit(policy.name)).drop("_q", "_overlap", "_sim", "_final", "_blend", "_last", "_short", "_action")
+    return rows.withColumn("policy_rank", F.row_number().over(order)).withColumn("policy_id", F.lit(policy.name) if isinstance(policy.name, str) else policy.name).drop("_q", "_overlap", "_sim", "_final", "_blend", "_last", "_short", "_action")
 
 
 def generic(scored: DataFrame, id_col: str = "query_id", diversify: bool = False) -> DataFrame:
@@ -122,7 +123,7 @@ class Ranking:
     """How scored rows become ranked ones: tier, decision, scores, index and policy_rank (see ``gated``). With
     ``own_words`` gates and facts use the selected policy's words, else none."""
 
-    rank: Callable[[DataFrame, Policy], DataFrame]
+    rank: Callable[[DataFrame, Policy | PolicyColumns], DataFrame]
     own_words: bool = True
 
 

@@ -15,33 +15,37 @@ from ..functions import signals as S
 from ..functions import text as T
 from ..functions.parsers import fallback_fine, parse_bucket, parse_fine
 from ..sources.policies import Policy
+from ..sources.policy_table import PolicyColumns
+
+Words = Policy | PolicyColumns
 
 #: Request rows that are always scored, whatever the gates say.
 ALWAYS = 5
 
 
-def keyword_sets(rows: DataFrame, policy: Policy, query: str = "query", doc: str = "text") -> DataFrame:
+def keyword_sets(rows: DataFrame, policy: Words, query: str = "query", doc: str = "text") -> DataFrame:
     """``rows`` with the keyword sets of query and document, each made once: query_keys, doc_keys."""
     return T.computed(rows, query_keys=T.keyword_set(F.col(query), policy.synonym_map), doc_keys=T.keyword_set(F.col(doc), policy.synonym_map))
 
 
-def overlap_tier(query_keys: Column, doc_keys: Column, policy: Policy) -> Column:
+def overlap_tier(query_keys: Column, doc_keys: Column, policy: Words) -> Column:
     """2 without query keywords or with a shared tier-A one, 1 with another shared one, else 0."""
     return T.let(F.array_intersect(query_keys, doc_keys), lambda s: F.when(F.size(query_keys) == 0, 2).when(F.size(s) == 0, 0).when(T.any_of(s, policy.tier_a), 2).otherwise(1))
 
 
-def domain_gate(query_keys: Column, doc_keys: Column, policy: Policy) -> Column:
+def domain_gate(query_keys: Column, doc_keys: Column, policy: Words) -> Column:
     """A query with a domain keyword wants documents with one."""
-    if not policy.domain_keywords:
+    given = policy.domain_keywords
+    if not isinstance(given, Column) and not given:
         return F.lit(True)
-    return ~T.any_of(query_keys, policy.domain_keywords) | T.any_of(doc_keys, policy.domain_keywords)
+    return (F.size(T.words(given)) == 0) | ~T.any_of(query_keys, given) | T.any_of(doc_keys, given)
 
 
-def has_intent(query: Column, policy: Policy) -> Column:
+def has_intent(query: Column, policy: Words) -> Column:
     return T.any_of(T.keyword_set(query, policy.synonym_map), policy.intent_keywords)
 
 
-def procedure_cap(query: Column, doc: Column, bucket: Column, policy: Policy) -> Column:
+def procedure_cap(query: Column, doc: Column, bucket: Column, policy: Words) -> Column:
     """For a query with intent, 3 needs two procedure signals and 2 needs one."""
     known = F.struct(bucket.alias("b"), has_intent(query, policy).alias("i"), S.procedure_signal(doc).alias("n"))
     return T.let(known, lambda k: F.when(k["i"] & (k["b"] == 3) & (k["n"] < 2), 2).when(k["i"] & (k["b"] == 2) & (k["n"] < 1), 1).otherwise(k["b"]))
@@ -56,7 +60,7 @@ def rule_bucket(doc: Column, facts: Column) -> Column:
     return F.when(facts["query_item"].isNull(), generic).when(same, F.when(S.distinct_verbs(doc) >= 2, 3).otherwise(2)).otherwise(F.when(match, 1).otherwise(0))
 
 
-def prepare(rows: DataFrame, policy: Policy, with_facts: bool = True) -> DataFrame:
+def prepare(rows: DataFrame, policy: Words, with_facts: bool = True) -> DataFrame:
     """Request rows with facts, tier, tie_breaker and gate (null: goes to the scorer; else why not)."""
     q, d = F.col("query"), F.col("text")
     facts = A.identity(q, d, policy if with_facts else Policy())
@@ -129,7 +133,7 @@ def generate(rows: DataFrame, prompt: str, make: Callable[[], Generate], to: str
     return rows.mapInPandas(run, schema)
 
 
-def score(prepared: DataFrame, policy: Policy, make: Callable[[], Generate] | None = None, prompt: Column | None = None, retry_prompt: Column | None = None, timeout: float = 45.0, concurrency: int = 4) -> DataFrame:
+def score(prepared: DataFrame, policy: Words, make: Callable[[], Generate] | None = None, prompt: Column | None = None, retry_prompt: Column | None = None, timeout: float = 45.0, concurrency: int = 4) -> DataFrame:
     """Prepared rows with bucket and warning (struct: error, raw). Gated rows get 0 without meeting the scorer: they
     have no prompt. Without ``make`` the rule scorer scores. A model is asked once more where the parser finds no
     bucket in its answer or the call timed out or didn't connect; other errors warn at once.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from . import fixtures as X
 from .functions import prompts
 from .functions import vocab as V
-from .queries import ASKED, BREAKER, CORPUS_DOMAINS, CORPUS_POLICY, TTL, corpus_mixed, plumbing
+from .queries import ASKED, BREAKER, CORPUS_DOMAINS, CORPUS_POLICY, TTL, corpus_mixed, corpus_policies, plumbing
 from .sources.policies import Policy
 
 
@@ -281,6 +281,9 @@ FLAGS = "case when doc_id % 3 = 0 then '?' when doc_id % 3 = 1 then '+' else 'x'
 PERCENT = lambda x: f"greatest(0, least(100, round_even({x}, 0)::int))"
 G = gated_pipeline()
 C = gated_pipeline(CORPUS_ROWS, corpus_mixed())
+GATED_OUT = "select query_id, original_index, gmode as mode, tier, decision, coalesce(zero_reason, '-') as zero_reason, doc_kind, round(intent_fit, 6) as intent_fit, round(rank_score, 6) as rank_score, round(shown_score, 6) as score, round(score_norm, 6) as score_norm, policy_rank from gated"
+IDENTITY = "select query_id, original_index, array_to_string(d_items, ',') as doc_items, query_item, same_item, same_domain, query_domain, doc_domain, doc_hits > 0 as domain_match_doc, query_hits > 0 as domain_match_query, doc_hits from facts"
+GATE_STATS = "select query_id, count(*) filter (gate = '-' and overlap_tier = 2) as tier_a, count(*) filter (gate = '-' and overlap_tier = 1) as tier_b, count(*) filter (gate != '-') as skipped from score group by 1"
 PROMPTS = f"""said as (select d.doc_id, d.doc_id % (select max(item_id) + 1 from benchmark) as item_id, substr(coalesce(d.text, ''), 1, 1600) as doc from documents d),
 asked as (select s.*, coalesce(b.text, '') as query, {s(prompts.FINE)} || chr(10) || 'QUERY: ' || coalesce(b.text, '') || chr(10) || 'DOCUMENT: ' || s.doc as prompt from said s join benchmark b using (item_id))"""
 BREAKDOWN = f"""select query_id, count(*) filter (decision = 'ACCEPT') as accepted, count(*) filter (decision = 'KEEP_LOW_SIGNAL') as kept, {', '.join(f"count(*) filter (decision = 'REJECT_TIER_{t}') as reject_{t}" for t in (0, 1, 2, 9))}, 0::bigint as other from gated group by 1"""
@@ -315,9 +318,9 @@ select *, bullets * 4 + verbs * 2 + least(separators, 8) as signal from c""",
   case when len(qk) = 0 then 2 when len(list_intersect(qk, dk)) = 0 then 0 when {has('list_intersect(qk, dk)', CORPUS_POLICY.tier_a)} then 2 else 1 end as tier, not {has('qk', CORPUS_POLICY.domain_keywords)} or {has('dk', CORPUS_POLICY.domain_keywords)} as allowed,
   len(list_intersect(list_distinct([x for x in {word('query')} if length(x) >= 3 and not list_contains({arr(V.OVERLAP_STOPWORDS)}, x)]), [x for x in {word('text')} if length(x) >= 3 and not list_contains({arr(V.OVERLAP_STOPWORDS)}, x)])) as overlap from k""",
     "domain_detect": domain_sql(),
-    "identity_facts": f"with {G} select query_id, original_index, array_to_string(d_items, ',') as doc_items, query_item, same_item, same_domain, query_domain, doc_domain, doc_hits > 0 as domain_match_doc, query_hits > 0 as domain_match_query, doc_hits from facts",
+    "identity_facts": f"with {G} {IDENTITY}",
     "gated_bucket": f"with {G} select query_id, original_index, overlap_tier, tie_breaker, gate, bucket, clamped from clamped",
-    "gate_stats": f"with {G} select query_id, count(*) filter (gate = '-' and overlap_tier = 2) as tier_a, count(*) filter (gate = '-' and overlap_tier = 1) as tier_b, count(*) filter (gate != '-') as skipped from score group by 1",
+    "gate_stats": f"with {G} {GATE_STATS}",
     "gated_rank": f"with {G} select query_id, original_index, clamped as tier, decision, coalesce(zero_reason, '-') as zero_reason, doc_kind, round(intent_fit, 6) as intent_fit, round(rank_score, 6) as rank_score, round(score_raw, 6) as score, round(greatest(0.0, least(1.0, score_raw / 3.0)), 6) as score_norm, policy_rank from gated",
     "generic_rank": f"with {G}, {GENERIC} {GENERIC_OUT}",
     "final_order": f"with {G}, {FINAL} select query_id, original_index, rank, client_rank, coalesce(fine_score, -1) as fine_score, used as tie_breaker_used, case when used then coalesce(error, '-') else '-' end as error from shown",
@@ -329,7 +332,12 @@ select *, bullets * 4 + verbs * 2 + least(separators, 8) as signal from c""",
     "howto_metrics": f"""with {G}, {FINAL}, rel as (select * from {values(X.RELEVANT, 'query_id, original_index')}), places as (select 'retrieved' as stage, query_id, original_index, request_index + 1 as rank from final union all select 'reranked', query_id, original_index, rank from final),
 hits as (select p.stage, r.query_id, p.rank from rel r join places p using (query_id, original_index)) select stage, query_id::bigint as query_id, case when min(rank) = 1 then 1.0 else 0.0 end as acc1, round(1.0 / min(rank), 6) as mrr,
   case when min(rank) <= 3 then 1.0 else 0.0 end as recall_any, round(count(*) filter (rank <= 3) / count(*)::double, 6) as recall_all from hits group by 1, 2""",
-    "corpus_gated": f"with {C} select query_id, original_index, gmode as mode, tier, decision, coalesce(zero_reason, '-') as zero_reason, doc_kind, round(intent_fit, 6) as intent_fit, round(rank_score, 6) as rank_score, round(shown_score, 6) as score, round(score_norm, 6) as score_norm, policy_rank from gated",
+    "corpus_gated": f"with {C} {GATED_OUT}",
+    "corpus_routed": " union all ".join(
+        f"(with {gated_pipeline(f'(select * from {CORPUS_ROWS} where ((query_id % {len(corpus_policies())}) + {len(corpus_policies())}) % {len(corpus_policies())} = {i}) w', p)} {GATED_OUT.replace('gmode as mode', f'gmode as mode, {s(p.name)} as policy_id')})" for i, p in enumerate(corpus_policies())
+    ),
+    "corpus_gate_stats": f"with {C} {GATE_STATS}",
+    "corpus_identity": f"with {C} {IDENTITY}",
     "corpus_generic": f"with {C}, {GENERIC} {GENERIC_OUT}",
     "corpus_final": f"with {C}, {CORPUS_FINAL} select query_id, original_index, rank, client_rank, coalesce(fine_score, -1) as fine_score, used as tie_breaker_used, case when used then coalesce(error, '-') else '-' end as error from shown",
     "corpus_breakdown": f"with {C} {BREAKDOWN}",

@@ -17,6 +17,7 @@ from ..operators import rank as R
 from ..operators import retrieve, score
 from ..sources.corpora import Embed, embed, write_corpus, write_index
 from ..sources.policies import Policy, PolicyStore, plugin
+from ..sources.policy_table import COLUMNS, PolicyColumns, policy_table, with_policy
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,7 @@ def truthy(said: str) -> bool:
     return said.strip().lower() in ("1", "true", "yes")
 
 
-def scored(rows: DataFrame, policy: Policy, kind: str, options: Options, make: Callable[[], score.Generate] | None = None) -> DataFrame:
+def scored(rows: DataFrame, policy: Policy | PolicyColumns, kind: str, options: Options, make: Callable[[], score.Generate] | None = None) -> DataFrame:
     """Request rows with facts (of the whole texts) and bucket (of the truncated ones)."""
     q, d = T.truncate(F.col("query"), options.query_chars), T.truncate(F.col("text"), options.document_chars)
     rows = rows.withColumns({"_query": F.col("query"), "_text": F.col("text")})
@@ -57,35 +58,40 @@ def scored(rows: DataFrame, policy: Policy, kind: str, options: Options, make: C
     cut = T.computed(cut, facts=A.identity(F.col("_query"), F.col("_text"), policy)) if R.RANKINGS[kind].own_words else cut
     asked: dict[str, Column] = {}
     if make is not None:
-        asked = {"prompt": prompts.bucket_prompt(F.col("query"), T.trim_middle(F.col("text")), F.col("facts"), policy), "retry_prompt": prompts.retry_prompt(F.col("facts"))}
+        shots = policy.shots if isinstance(policy, PolicyColumns) else prompts.examples(rows.sparkSession, [policy])[policy.name]
+        asked = {"prompt": prompts.bucket_prompt(F.col("query"), T.trim_middle(F.col("text")), F.col("facts"), shots), "retry_prompt": prompts.retry_prompt(F.col("facts"))}
     out = score.score(cut, words, make, **asked)
     return out.withColumns({"query": F.col("_query"), "text": F.col("_text")}).drop("_query", "_text")
 
 
+def route(rows: DataFrame, store: PolicyStore) -> Column:
+    """The policy of each row: its own policy_id, else the how-to policy of the query's domain, else the default."""
+    names = sorted(store.policies)
+    domains = [n[len("howto_") : -len("_v1")] for n in names if n.startswith("howto_") and n.endswith("_v1")]
+    asked = F.col("policy_id") if "policy_id" in rows.columns else F.lit(None).cast("string")
+    by_domain = T.let(A.infer_domain(F.col("query")), lambda d: F.when(d.isin(domains), F.concat(F.lit("howto_"), d, F.lit("_v1"))))
+    return F.coalesce(F.when(asked.isin(names), asked), by_domain, F.lit(store.default))
+
+
 def rerank(rows: DataFrame, options: Options = Options(), store: PolicyStore | None = None, make: Callable[[], score.Generate] | None = None, fine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Request rows (query_id, query, request_index, original_index, text, similarity) in final order.
 
-    Queries are routed to their policies: the one asked for, else by the query's domain, else the default;
-    each policy's queries are one plan, and the plans are united. ``make`` builds a scoring client per task
-    (without it the rule scorer scores); ``fine`` turns fine-pass candidates into (query_id, original_index, raw, error).
+    A query goes to the policy asked for, else to that of its domain, else to the default. Rows may ask for themselves
+    in a column policy_id. Where policies differ by row they are joined as data (``policy_table``), so the plan is
+    the same for any number of them. ``make`` builds a scoring client per task (without it the rule scorer scores);
+    ``fine`` turns fine-pass candidates into (query_id, original_index, raw, error).
     """
     store = store or PolicyStore()
     store.refresh()
     kind = plugin(options.policy_id)
     if kind != "gated" or options.policy_id in store.policies:
-        routed = [(store.select(options.policy_id), rows)]
+        policy = store.select(options.policy_id)
+        ranked = R.RANKINGS[kind].rank(scored(rows.drop("policy_id"), policy, kind, options, make), policy)
     else:
-        domains = [n[len("howto_") : -len("_v1")] for n in store.policies if n.startswith("howto_")]
-        marked = T.computed(rows, _domain=F.coalesce(A.infer_domain(F.col("query")), F.lit("")))
-        known = F.col("_domain").isin(domains)
-        routed = [(store.select(None, d), marked.where(F.col("_domain") == d).drop("_domain")) for d in sorted(domains)] + [(store.select(), marked.where(~known).drop("_domain"))]
-    parts = []
-    for policy, mine in routed:
-        got = scored(mine, policy, kind, options, make)
-        parts.append(R.RANKINGS[kind].rank(got, policy))
-    ranked = parts[0]
-    for p in parts[1:]:
-        ranked = ranked.unionByName(p)
+        shots = prompts.examples(rows.sparkSession, store.policies.values()) if make is not None else {}
+        table, words = policy_table(rows.sparkSession, store.policies.values(), shots)
+        mine = with_policy(rows.drop("policy_id"), route(rows, store), table) if "policy_id" not in rows.columns else with_policy(rows, route(rows, store), table).drop("policy_id")
+        ranked = R.RANKINGS[kind].rank(scored(mine, words, kind, options, make), words).drop(*COLUMNS)
     if fine is not None:
         ranked = score.merge_fine(ranked, fine(score.fine_candidates(ranked, options.fine_top_k)))
     else:
@@ -101,7 +107,7 @@ class FineLimits:
 
     timeout: float = 30.0
     total: float = 60.0
-    ttl: float = 900.0
+    ttl: float = 300.0
     window: float = 60.0
     threshold: int = 5
     concurrency: int = 4

@@ -13,10 +13,12 @@ from .functions import parsers as P
 from .functions import prompts
 from .functions import signals as S
 from .functions import text as T
+from .functions.dictionary import found
 from .operators import evaluate, fallback, rank, retrieve, score, stateful
 from .plans.api import Options, fine_pass, rerank
 from .sources.corpora import relevance_rows, responses
 from .sources.policies import Policy, PolicyStore
+from .sources.policy_table import COLUMNS, policy_table, with_policy
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -206,7 +208,7 @@ def keyword_tiers(spark: SparkSession, d: str) -> DataFrame:
 
 def domain_detect(spark: SparkSession, d: str) -> DataFrame:
     t, have = F.col("text"), F.col("have")
-    rows = T.computed(table(spark, d, "documents"), have=A.whole_words(t))
+    rows = T.computed(table(spark, d, "documents"), have=found(t, A.terms_of(CORPUS_DOMAINS)))
     rows = T.computed(rows, hits=A.domain_hits(t, CORPUS_DOMAINS, have), inferred=A.infer_domain(t, CORPUS_DOMAINS, have=have), generic=A.generic_domain(t, CORPUS_DOMAINS))
     return rows.select(
         "doc_id", "generic", A.client_domain(t, CORPUS_DOMAINS).alias("client"), F.coalesce(A.choose_domain(F.col("hits"), CORPUS_DOMAINS), F.lit("-")).alias("chosen"),
@@ -250,6 +252,28 @@ def corpus_gated(spark: SparkSession, d: str) -> DataFrame:
     return _gated_columns(_corpus_gated(spark, d), "mode")
 
 
+def corpus_policies() -> list[Policy]:
+    return [corpus_mixed(), CORPUS_POLICY, plumbing()]
+
+
+def corpus_routed(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a candidate, each query under one of several policies that are joined as data."""
+    policies = corpus_policies()
+    words, columns = policy_table(spark, policies)
+    name = F.element_at(F.array(*[F.lit(p.name) for p in policies]), (F.pmod("query_id", F.lit(len(policies))) + 1).cast("int"))
+    rows = with_policy(corpus_rows(spark, d), name, words)
+    got = rank.gated(score.score(score.prepare(rows, columns), columns), columns)
+    return _gated_columns(got, "mode", "policy_id").drop(*COLUMNS)
+
+
+def corpus_gate_stats(spark: SparkSession, d: str) -> DataFrame:
+    return score.gate_stats(score.prepare(corpus_rows(spark, d), corpus_mixed()))
+
+
+def corpus_identity(spark: SparkSession, d: str) -> DataFrame:
+    return _identity_columns(score.prepare(corpus_rows(spark, d), corpus_mixed()))
+
+
 def corpus_generic(spark: SparkSession, d: str) -> DataFrame:
     return _generic_columns(_generic(corpus_rows(spark, d), corpus_mixed()))
 
@@ -272,7 +296,11 @@ def corpus_relevance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def identity_facts(spark: SparkSession, d: str) -> DataFrame:
-    f = _facts(spark).select("query_id", "original_index", "facts.*")
+    return _identity_columns(_facts(spark))
+
+
+def _identity_columns(prepared: DataFrame) -> DataFrame:
+    f = prepared.select("query_id", "original_index", "facts.*")
     names = ("query_item", "same_item", "same_domain", "query_domain", "doc_domain", "domain_match_doc", "domain_match_query")
     hits = F.aggregate(F.map_values("doc_domain_hits"), F.lit(0), lambda a, x: a + x)
     return f.select("query_id", "original_index", F.array_join("doc_items", ",").alias("doc_items"), *names, hits.alias("doc_hits"))
@@ -492,6 +520,6 @@ QUERIES: dict[str, Query] = {
         topk_cosine, retrieval_metrics, retrieval_average, diversified_topk, topk_cosine_all, retrieval_metrics_all, retrieval_average_all, diversified_topk_all, missing_sim_default, truncate_usage, request_status, last_wins, text_forms, loose_numbers, keyword_sets, quality_signals, gated_quality, doc_kinds,
         query_intents, procedure_signals, keyword_tiers, domain_detect, identity_facts, gated_bucket, gate_stats, gated_rank, generic_rank, final_order, decision_breakdown, reject_groups, plain_response, response_json, reports,
         routed_rerank, ambiguous_fallback, parse_buckets, parse_fines, parse_event_scores, fallback_fines, response_texts, flatlines, score_gap, latency_stats, tie_summaries, missing_docs, circuit_breaker, user_breaker,
-        ttl_cache, latency_budget, prompt_hash, fine_outputs, corpus_gated, corpus_generic, corpus_final, corpus_breakdown, corpus_rejects, corpus_relevance, howto_metrics,
+        ttl_cache, latency_budget, prompt_hash, fine_outputs, corpus_gated, corpus_generic, corpus_final, corpus_breakdown, corpus_rejects, corpus_relevance, corpus_routed, corpus_gate_stats, corpus_identity, howto_metrics,
     )
 }
