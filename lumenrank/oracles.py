@@ -273,6 +273,13 @@ def domain_sql() -> str:
   coalesce({choose}, '-') as inferred, {listed} as items from c"""
 
 
+def cache_sql(key: str) -> str:
+    """Hits of a cache by key, request after request."""
+    return f"""with recursive e as (select event_id, {key} as k, epoch_us(ts) as t, row_number() over (partition by {key} order by ts, event_id) as n from events),
+f as (select event_id, k, n, t as w, false as hit from e where n = 1 union all select e.event_id, e.k, e.n, case when e.t - f.w < {TTL[key]} * 1000000::bigint then f.w else e.t end, e.t - f.w < {TTL[key]} * 1000000::bigint from f join e on e.k = f.k and e.n = f.n + 1)
+select event_id, hit from f"""
+
+
 def flag(c: str) -> str:
     return f"case when {c} is null then '?' when {c} then '+' else 'x' end"
 
@@ -357,8 +364,9 @@ select event_id, {PERCENT('v')} as fine, (select x.b from (select case event_id
     "missing_docs": "select doc_id from documents except select doc_id from labels",
     "circuit_breaker": f"with c as (select event_id, count(*) filter (event_type = 'error') over (order by ts range between interval {BREAKER[0]} preceding and current row) as failures from events) select *, failures >= {BREAKER[1]} as open from c",
     "user_breaker": "with c as (select event_id, count(*) filter (event_type = 'error') over (partition by user_id order by ts range between interval 1 day preceding and current row) as failures from events) select *, failures >= 2 as open from c",
-    "ttl_cache": f"""with recursive e as (select event_id, user_id, epoch_us(ts) as t, row_number() over (partition by user_id order by ts, event_id) as n from events),
-f as (select event_id, user_id, n, t as w, false as hit from e where n = 1 union all select e.event_id, e.user_id, e.n, case when e.t - f.w < {TTL['user_id']} * 1000000::bigint then f.w else e.t end, e.t - f.w < {TTL['user_id']} * 1000000::bigint from f join e on e.user_id = f.user_id and e.n = f.n + 1)
-select event_id, hit from f""",
+    "ttl_cache": cache_sql("user_id"),
+    "type_cache": cache_sql("event_type"),
+    "series_budget": "with c as (select event_id, coalesce(sum(value) over (order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as spent from events) select event_id, round(spent, 3) as spent, spent > 5000 as skipped from c",
+    "one_query_rank": "select 0 as query_id, doc_id as original_index, row_number() over (order by length(coalesce(text, '')) desc, (doc_id % 97) / 97.0::double desc, doc_id) as rank from documents",
     "latency_budget": "with c as (select event_id, coalesce(sum(value) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as spent from events) select event_id, round(spent, 4) as spent, spent > 500 as skipped from c",
 }

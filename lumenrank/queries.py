@@ -14,7 +14,7 @@ from .functions import prompts
 from .functions import signals as S
 from .functions import text as T
 from .functions.dictionary import found
-from .operators import evaluate, fallback, rank, retrieve, score, stateful
+from .operators import evaluate, fallback, ordered, rank, retrieve, score, stateful
 from .plans.api import Options, fine_pass, rerank
 from .sources.corpora import relevance_rows, responses
 from .sources.policies import Policy, PolicyStore
@@ -481,6 +481,25 @@ def latency_budget(spark: SparkSession, d: str) -> DataFrame:
     return got.select("event_id", F.round("spent", 4).alias("spent"), "skipped")
 
 
+def series_budget(spark: SparkSession, d: str) -> DataFrame:
+    """All events as one series under one budget."""
+    e = table(spark, d, "events").select("event_id", "ts", "value")
+    got = stateful.budget(e, "value", 5000.0, ["ts", "event_id"], [])
+    return got.select("event_id", F.round("spent", 3).alias("spent"), "skipped")
+
+
+def type_cache(spark: SparkSession, d: str) -> DataFrame:
+    """A cache keyed by the few event types: each key has a share of all events, and none is brought together."""
+    e = table(spark, d, "events").select("event_id", "ts", "event_type")
+    return stateful.ttl_cache(e, ["event_type"], TTL["event_type"], order="event_id", fold_times=100).select("event_id", "hit")
+
+
+def one_query_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a candidate of one query, ranked by text length, similarity and id."""
+    rows = table(spark, d, "documents").select(F.lit(0).alias("query_id"), F.col("doc_id").alias("original_index"), F.length(T.text(F.col("text"))).alias("size"), ((F.col("doc_id") % 97) / 97.0).alias("similarity"))
+    return ordered.exact_rank(rows, [F.desc("size"), F.desc("similarity"), "original_index"], ["query_id"]).select("query_id", "original_index", "rank")
+
+
 def prompt_hash(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "benchmark")
     n = b.agg(F.max("item_id")).first()[0] + 1
@@ -520,6 +539,6 @@ QUERIES: dict[str, Query] = {
         topk_cosine, retrieval_metrics, retrieval_average, diversified_topk, topk_cosine_all, retrieval_metrics_all, retrieval_average_all, diversified_topk_all, missing_sim_default, truncate_usage, request_status, last_wins, text_forms, loose_numbers, keyword_sets, quality_signals, gated_quality, doc_kinds,
         query_intents, procedure_signals, keyword_tiers, domain_detect, identity_facts, gated_bucket, gate_stats, gated_rank, generic_rank, final_order, decision_breakdown, reject_groups, plain_response, response_json, reports,
         routed_rerank, ambiguous_fallback, parse_buckets, parse_fines, parse_event_scores, fallback_fines, response_texts, flatlines, score_gap, latency_stats, tie_summaries, missing_docs, circuit_breaker, user_breaker,
-        ttl_cache, latency_budget, prompt_hash, fine_outputs, corpus_gated, corpus_generic, corpus_final, corpus_breakdown, corpus_rejects, corpus_relevance, corpus_routed, corpus_gate_stats, corpus_identity, howto_metrics,
+        ttl_cache, latency_budget, series_budget, type_cache, one_query_rank, prompt_hash, fine_outputs, corpus_gated, corpus_generic, corpus_final, corpus_breakdown, corpus_rejects, corpus_relevance, corpus_routed, corpus_gate_stats, corpus_identity, howto_metrics,
     )
 }

@@ -257,16 +257,6 @@ def test_breaker_and_cache_match_loops(spark):
     assert {r["id"]: r["hit"] for r in stateful.ttl_cache(_events(spark), ["k"], 100).collect()} == hits
 
 
-def test_streams_match_batch(spark, tmp_path):
-    events = _events(spark).withColumn("ts", F.col("ts").cast("timestamp"))
-    events.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
-    for name, df, batch, col in (("cache", live.ttl_cache(stream, "k", 100), stateful.ttl_cache(events, ["k"], 100), "hit"), ("breaker", live.breaker(stream, "failed", "60 seconds", 2, "k"), stateful.breaker(events, "failed", "60 seconds", 2, keys=["k"]), "failures")):
-        q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-        q.awaitTermination(120)
-        assert {r["id"]: r[col] for r in spark.table(name).collect()} == {r["id"]: r[col] for r in batch.collect()}
-
-
 def test_rerank_stream(spark, tmp_path):
     Q.howto(spark).where("query_id = 1").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(Q.howto(spark).schema).parquet(str(tmp_path / "in"))
