@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import facts as A
@@ -72,12 +72,22 @@ def prepare(rows: DataFrame, policy: Words, with_facts: bool = True) -> DataFram
     return out.withColumns({"tie_breaker": F.col("overlap_tier") * 100 + F.col("_signal"), "gate": gate}).drop("_allowed", "_signal")
 
 
-def gate_stats(prepared: DataFrame, id_col: str = "query_id") -> DataFrame:
-    """tier_a, tier_b (scored rows by overlap tier) and skipped, per query."""
+def gate_counters() -> dict[str, Column]:
+    """tier_a, tier_b (scored rows by overlap tier) and skipped, as aggregates over prepared rows."""
     open_ = F.col("gate").isNull()
-    return prepared.groupBy(id_col).agg(
-        F.count_if(open_ & (F.col("overlap_tier") == 2)).alias("tier_a"), F.count_if(open_ & (F.col("overlap_tier") == 1)).alias("tier_b"), F.count_if(~open_).alias("skipped")
-    )
+    return {"tier_a": F.count_if(open_ & (F.col("overlap_tier") == 2)), "tier_b": F.count_if(open_ & (F.col("overlap_tier") == 1)), "skipped": F.count_if(~open_)}
+
+
+def gate_stats(prepared: DataFrame, id_col: str = "query_id") -> DataFrame:
+    """The gate counters per query."""
+    return prepared.groupBy(id_col).agg(*[c.alias(n) for n, c in gate_counters().items()])
+
+
+def watched(rows: DataFrame, counters: dict[str, Column], name: str = "counters") -> tuple[DataFrame, Observation]:
+    """(``rows``; what ``get`` tells the counters by, once an action has run over them): counted while the rows pass, without
+    a job of their own. On a stream they are in each batch's progress, under ``name``."""
+    seen = Observation(name)
+    return rows.observe(seen if not rows.isStreaming else name, *[c.alias(n) for n, c in counters.items()]), seen
 
 
 Generate = Callable[[list[str]], list[str]]
@@ -178,12 +188,16 @@ def merge_fine(ranked: DataFrame, outputs: DataFrame, id_col: str = "query_id",
     return out.drop("_asked", "_score", "_error")
 
 
-def fine_metrics(outputs: DataFrame) -> DataFrame:
-    """Counters of a fine pass from its rows (error, attempts, cached)."""
+def fine_counters() -> dict[str, Column]:
+    """Aggregates over a fine pass's rows (error, attempts, cached)."""
     e, fresh = F.coalesce("error", F.lit("")), ~F.col("cached")
-    return outputs.agg(
-        F.count("*").alias("requested"), F.count_if("cached").alias("cache_hits"), F.count_if(fresh & ((F.col("attempts") > 1) | e.startswith("percent_parse"))).alias("parse_errors"),
-        F.count_if(fresh & (F.col("attempts") > 1)).alias("retries"), F.count_if(fresh & e.startswith("percent_retry_parse")).alias("retry_errors"),
-        F.count_if(fresh & e.isin("fine_score_timeout", "percent_retry_timeout")).alias("timeouts"), F.count_if(e == "skipped_total_budget").alias("skipped_budget"),
-        F.count_if(e == "circuit_open").alias("circuit_open"), F.count_if(e == "empty_output").alias("empty"),
-    )
+    return {
+        "requested": F.count("*"), "cache_hits": F.count_if("cached"), "parse_errors": F.count_if(fresh & ((F.col("attempts") > 1) | e.startswith("percent_parse"))), "retries": F.count_if(fresh & (F.col("attempts") > 1)),
+        "retry_errors": F.count_if(fresh & e.startswith("percent_retry_parse")), "timeouts": F.count_if(fresh & e.isin("fine_score_timeout", "percent_retry_timeout")), "skipped_budget": F.count_if(e == "skipped_total_budget"),
+        "circuit_open": F.count_if(e == "circuit_open"), "empty": F.count_if(e == "empty_output"),
+    }
+
+
+def fine_metrics(outputs: DataFrame) -> DataFrame:
+    """Counters of a fine pass from its rows."""
+    return outputs.agg(*[c.alias(n) for n, c in fine_counters().items()])

@@ -15,6 +15,7 @@ from ..functions.parsers import parse_fine
 from ..operators import fallback as B
 from ..operators import rank as R
 from ..operators import retrieve, score
+from ..operators.tables import stored
 from ..sources.corpora import Embed, embed, write_corpus, write_index
 from ..sources.policies import Policy, PolicyStore, plugin
 from ..sources.policy_table import COLUMNS, PolicyColumns, policy_table, with_policy
@@ -174,3 +175,39 @@ def build_index(corpus: DataFrame, make: Callable[[], Embed], dim: int, path: st
     """Embeds a corpus and writes index and documents below ``path``."""
     write_index(embed(corpus, make, dim), f"{path}/index")
     write_corpus(corpus, f"{path}/docs")
+
+
+#: Folders of an index that is kept up to date.
+INDEX_BUCKETS = 64
+
+
+def update_index(corpus: DataFrame, make: Callable[[], Embed], dim: int, path: str, order: Column | None = None) -> dict[str, int]:
+    """Brings the index at ``path`` (doc_id, digest, embedding, ok, bucket) to the state of ``corpus`` (doc_id, text), and
+    returns how many texts were embedded, kept and removed.
+
+    Only texts whose digest isn't in the index, or whose embedding failed, are embedded. Of rows that share a doc_id the
+    last by ``order`` counts (without it, the one of the largest text); rows without doc_id are left out. Only the
+    folders (by a hash of doc_id) in which something changed are written again, and each is replaced as a whole.
+    """
+    spark = corpus.sparkSession
+    last = F.struct((order if order is not None else F.lit(0)).alias("o"), T.text(F.col("text")).alias("text"))
+    now = corpus.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(last).alias("l")).select("doc_id", F.col("l.text").alias("text"))
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(INDEX_BUCKETS)).cast("int")
+    now = now.withColumns({"digest": F.sha2("text", 256), "bucket": bucket})
+    form = "doc_id long, digest string, embedding array<float>, ok boolean, bucket int"
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    old = spark.read.schema(form).parquet(path) if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there) else spark.createDataFrame([], form)
+    fresh = stored(now.join(old.where("ok").select("doc_id", "digest"), ["doc_id", "digest"], "left_anti"), "fresh")
+    gone = stored(old.select("doc_id", "bucket").join(now.select("doc_id"), "doc_id", "left_anti"), "gone")
+    vectors = embed(fresh.select("doc_id", "text"), make, dim).join(fresh.select("doc_id", "digest", "bucket"), "doc_id").select("doc_id", "digest", "embedding", "ok", "bucket")
+    touched = F.broadcast(fresh.select("bucket").unionByName(gone.select("bucket")).distinct())  # as many rows as folders, at most
+    kept = old.join(touched, "bucket", "left_semi").join(fresh.select("doc_id"), "doc_id", "left_anti").join(gone.select("doc_id"), "doc_id", "left_anti")
+    new = stored(kept.select("doc_id", "digest", "embedding", "ok", "bucket").unionByName(vectors), "index")
+    n = {"embedded": fresh.count(), "removed": gone.count(), "kept": 0}
+    n["kept"] = now.count() - n["embedded"]
+    empty = touched.join(new.select("bucket").distinct(), "bucket", "left_anti").collect()  # folders that lost all they had
+    new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    for r in empty:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={r['bucket']}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return n

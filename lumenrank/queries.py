@@ -196,10 +196,15 @@ def procedure_signals(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", S.step_bullets(t).alias("bullets"), S.distinct_verbs(t).alias("verbs"), S.separators(t).alias("separators"), S.procedure_signal(t).alias("signal"))
 
 
+def items_of(benchmark: DataFrame):
+    """One more than the largest item id, as a scalar subquery (null for an empty table)."""
+    return benchmark.agg(F.max("item_id") + 1).scalar()
+
+
 def keyword_tiers(spark: SparkSession, d: str) -> DataFrame:
     """Every document with one benchmark item as its query."""
     b = table(spark, d, "benchmark")
-    n = b.agg(F.max("item_id")).first()[0] + 1
+    n = items_of(b)
     rows = table(spark, d, "documents").withColumn("item_id", F.col("doc_id") % n).join(b.select("item_id", F.col("text").alias("query")), "item_id")
     q, t = F.col("query_keys"), F.col("doc_keys")
     rows = score.keyword_sets(rows, CORPUS_POLICY)
@@ -226,7 +231,7 @@ def corpus_rows(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     b = table(spark, d, "benchmark")
-    n = b.agg(F.max("item_id")).first()[0] + 1
+    n = items_of(b)
     text, id_ = F.col("b.text"), F.col("b.item_id")
     pairs = table(spark, d, "documents").alias("d").join(b.alias("b"), F.col("d.doc_id") % n == id_)
     place = (F.row_number().over(Window.partitionBy(id_).orderBy("d.doc_id")) - 1).alias("request_index")
@@ -502,7 +507,7 @@ def one_query_rank(spark: SparkSession, d: str) -> DataFrame:
 
 def prompt_hash(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "benchmark")
-    n = b.agg(F.max("item_id")).first()[0] + 1
+    n = items_of(b)
     rows = table(spark, d, "documents").withColumn("item_id", F.col("doc_id") % n).join(b.select("item_id", F.col("text").alias("query")), "item_id")
     return rows.select("doc_id", F.sha1(prompts.fine_prompt(F.col("query"), F.col("text"))).alias("prompt_sha1"), prompts.cache_key("m", F.col("text"), F.col("query")).alias("cache_key"))
 
@@ -525,7 +530,7 @@ def recorded_model() -> Callable[[list[str]], list[str]]:
 def fine_outputs(spark: SparkSession, d: str) -> DataFrame:
     """A fine pass over every document as a candidate of one benchmark item."""
     b = table(spark, d, "benchmark")
-    n = b.agg(F.max("item_id")).first()[0] + 1
+    n = items_of(b)
     rows = table(spark, d, "documents").select((F.col("doc_id") % n).alias("query_id"), F.col("doc_id").alias("original_index"), F.col("doc_id").alias("policy_rank"), "text")
     rows = rows.join(b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
     got = fine_pass(recorded_model, "m")(rows)
