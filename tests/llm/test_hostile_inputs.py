@@ -112,9 +112,17 @@ def test_neighbours_among_rows_that_share_an_id(spark, one_id):
     rows = spark.createDataFrame([(one_id, x) for x in v.tolist()] + [(100, v[0].tolist())] * 3000 + [(200, v[1].tolist())], "vec_id long, embedding array<double>")
     few = ann.sample(rows, "embedding", 4096).select("vec").collect()
     assert len(few) == 4096 and len({tuple(r["vec"]) for r in few}) == 4096
-    got = ann.nearest(rows, rows.where("vec_id = 200"), 20, fit_rows=4096).orderBy("rank").collect()
-    near = np.sort(np.concatenate((v @ v[1], np.full(3000, v[0] @ v[1]))))[::-1][:20]
-    assert len(got) == 20 and sum((Counter(np.round(near, 6)) & Counter(np.round([r["score"] for r in got], 6))).values()) >= 18
+    others = spark.range(300, 350).select(F.col("id").alias("vec_id"), F.array(*[F.sin(F.col("id") * 7 + i) for i in range(8)]).alias("embedding"))
+    asked = rows.where("vec_id = 200").unionByName(others).cache()
+    found = {}
+    for r in ann.nearest(rows, asked, 20, fit_rows=4096).collect():
+        found.setdefault(r["query_id"], []).append(r["score"])
+    hits = 0
+    for r in asked.collect():
+        q = np.array(r["embedding"])
+        near = np.sort(np.concatenate((v @ q, np.full(3000, v[0] @ q))))[::-1][:20]
+        hits += sum((Counter(np.round(near, 6)) & Counter(np.round(found[r["vec_id"]], 6))).values())
+    assert all(len(f) == 20 for f in found.values()) and hits >= 0.9 * 20 * asked.count()
 
 
 # ---- licences
