@@ -110,15 +110,17 @@ def usage(rows: DataFrame, query_chars: int = 256, document_chars: int = 512, id
 
 
 def default_similarity(rows: DataFrame, id_col: str = "query_id") -> DataFrame:
-    """Null similarities as 1 - position / (documents - 1)."""
-    n = F.count("*").over(Window.partitionBy(id_col))
-    return rows.withColumn("similarity", F.coalesce("similarity", 1.0 - F.col("request_index") / F.greatest(F.lit(1), n - 1)))
+    """Null similarities as 1 - position / (documents - 1). A query's rows are counted, not brought together."""
+    sizes = rows.groupBy(F.col(id_col).alias("_q")).agg(F.count("*").alias("_n"))
+    placed = F.coalesce("similarity", 1.0 - F.col("request_index") / F.greatest(F.lit(1), F.col("_n") - 1))
+    return rows.join(sizes, F.col(id_col).eqNullSafe(F.col("_q"))).withColumn("similarity", placed).drop("_q", "_n")
 
 
 def last_of(rows: DataFrame, id_col: str = "query_id") -> DataFrame:
     """Of documents that share an original_index within a query the last in request order."""
-    last = F.max("request_index").over(Window.partitionBy(id_col, "original_index"))
-    return rows.withColumn("_last", last).where(F.col("request_index") == F.col("_last")).drop("_last")
+    last = rows.groupBy(F.col(id_col).alias("_q"), F.col("original_index").alias("_d")).agg(F.max("request_index").alias("_last"))
+    same = F.col(id_col).eqNullSafe(F.col("_q")) & F.col("original_index").eqNullSafe(F.col("_d")) & (F.col("request_index") == F.col("_last"))
+    return rows.join(last, same, "left_semi")
 
 
 def missing(expected: DataFrame, returned: DataFrame, on: list[str]) -> DataFrame:

@@ -120,13 +120,11 @@ def diversified_topk_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _requests(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as requests, one per source."""
-    from pyspark.sql import Window
-
+    """Documents as requests, one per source; a source may hold a third of all documents."""
     docs = table(spark, d, "documents")
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
     sim = F.when(F.col("doc_id") % 3 != 0, (F.col("doc_id") % 97) / 97.0)
-    return docs.select(F.col("source").alias("query_id"), F.col("source").alias("query"), place.alias("request_index"), F.col("doc_id").alias("original_index"), "text", sim.alias("similarity"))
+    rows = docs.select(F.col("source").alias("query_id"), F.col("source").alias("query"), F.col("doc_id").alias("original_index"), "text", sim.alias("similarity"))
+    return ordered.exact_rank(rows, ["original_index"], ["query_id"], "request_index").withColumn("request_index", (F.col("request_index") - 1).cast("int"))
 
 
 def missing_sim_default(spark: SparkSession, d: str) -> DataFrame:
