@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -95,20 +97,28 @@ Generate = Callable[[list[str]], list[str]]
 RETRIABLE = ("TimeoutError", "ReadTimeout", "ConnectError", "ConnectionError", "ConnectionRefusedError", "ConnectionResetError", "ValueError")
 
 
-def generate(rows: DataFrame, prompt: str, make: Callable[[], Generate], to: str = "raw", timeout: float = 45.0, concurrency: int = 4, budget: tuple[str, float] | None = None) -> DataFrame:
+def generate(rows: DataFrame, prompt: str, make: Callable[[], Generate], to: str = "raw", timeout: float = 45.0, concurrency: int = 4, budget: tuple[str, float] | None = None, breaker: tuple[float, int] | None = None) -> DataFrame:
     """``rows`` with the model's answer to the column ``prompt`` in ``to``, and its latency_ms, attempts and error.
 
     ``make`` builds a client once per task. Each prompt is one call of at most ``timeout`` seconds, and a task makes
     ``concurrency`` calls at once, so a job makes no more than that times its tasks. A null prompt isn't asked and
     counts no attempt; a failed call gives null and the error's name. With a ``budget`` (id column, seconds) the rows
     of an id, in one task in their order, are asked one after the other until their calls took that long
-    (``skipped_total_budget`` from there on).
+    (``skipped_total_budget`` from there on). With a ``breaker`` (window in seconds, threshold) a task whose calls
+    failed that often within the window asks no more until failures have aged (``circuit_open``, no attempt).
     """
     more = {to: "string", "latency_ms": "long", "attempts": "int", "error": "string"}
     schema = rows.withColumns({c: F.lit(None).cast(t) for c, t in more.items()}).schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client, spent = make(), {}
+        client, spent, failed, lock = make(), {}, deque(), Lock()
+
+        def tripped() -> bool:
+            with lock:
+                while failed and failed[0] <= time.monotonic() - breaker[0]:
+                    failed.popleft()
+                return len(failed) >= breaker[1]
+
         for frame in frames:
             got: list[tuple] = [(None, 0, 0, None)] * len(frame)
             prompts = frame[prompt].tolist()
@@ -120,11 +130,15 @@ def generate(rows: DataFrame, prompt: str, make: Callable[[], Generate], to: str
             calls, turns = ThreadPoolExecutor(2 * concurrency), ThreadPoolExecutor(concurrency)
 
             def ask(i: int, prompts=prompts, calls=calls) -> tuple:
+                if breaker and tripped():
+                    return None, 0, 0, "circuit_open"
                 began = time.monotonic()
                 try:
                     answer, error = calls.submit(client, [prompts[i]]).result(timeout)[0], None
                 except Exception as e:
                     answer, error = None, type(e).__name__
+                    with lock:
+                        failed.append(time.monotonic())
                 return answer, int((time.monotonic() - began) * 1000), 1, error
 
             def group(key, got=got, ask=ask, groups=groups) -> None:

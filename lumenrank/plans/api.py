@@ -104,7 +104,8 @@ def rerank(rows: DataFrame, options: Options = Options(), store: PolicyStore | N
 @dataclass(frozen=True)
 class FineLimits:
     """What a fine pass may take: seconds of a call and of a query's calls, an answer's life in the cache, and the
-    failures within a window that open the circuit."""
+    failures within a window that open the circuit. With ``trip`` the failures of a task's own calls open it, too, for the
+    rows that the task comes to later."""
 
     timeout: float = 30.0
     total: float = 60.0
@@ -113,6 +114,7 @@ class FineLimits:
     threshold: int = 5
     concurrency: int = 4
     document_chars: int = 1600
+    trip: bool = False
 
 
 def fine_pass(make: Callable[[], score.Generate], model: str = "", limits: FineLimits = FineLimits(), cache: DataFrame | None = None, failures: DataFrame | None = None, now: Column | None = None) -> Callable[[DataFrame], DataFrame]:
@@ -129,26 +131,28 @@ def fine_pass(make: Callable[[], score.Generate], model: str = "", limits: FineL
     def run(candidates: DataFrame) -> DataFrame:
         rows = T.computed(candidates, key=prompts.cache_key(model, F.col("text"), F.col("query"), limits.document_chars))
         plain = rows.select("query_id", "original_index", "key")
-        if failures is not None and failures.where((F.col("at") > now - F.make_dt_interval(secs=F.lit(limits.window))) & (F.col("at") <= now)).limit(limits.threshold).count() >= limits.threshold:
-            none = {"raw": F.lit(None).cast("string"), "error": F.lit("circuit_open"), "attempts": F.lit(0), "cached": F.lit(False), "latency_ms": F.lit(0).cast("long")}
-            return plain.withColumns(none)
+        recent = (F.col("at") > now - F.make_dt_interval(secs=F.lit(limits.window))) & (F.col("at") <= now)
+        open_ = F.lit(False) if failures is None else failures.where(recent).agg(F.count("*") >= limits.threshold).scalar()
+        own = (limits.window, limits.threshold) if limits.trip else None
         first = Window.partitionBy("key").orderBy("query_id", "policy_rank")
         once = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("query_id", "policy_rank", "key", prompts.fine_prompt(F.col("query"), F.col("text"), limits.document_chars).alias("prompt"))
         known = (cache if cache is not None else once.select("key").withColumns({"expires_at": F.lit(None).cast("timestamp"), "raw": F.lit(None).cast("string"), "error": F.lit(None).cast("string")}).where(F.lit(False))).where(F.col("expires_at") > now)
         known = known.select("key", F.col("raw").alias("raw"), F.col("error").alias("error")).dropDuplicates(["key"])
-        todo = once.join(known, "key", "left_anti").repartition("query_id").sortWithinPartitions("query_id", "policy_rank")
-        asked = score.generate(todo, "prompt", make, "raw1", limits.timeout, limits.concurrency, ("query_id", limits.total))
+        todo = once.where(~open_).join(known, "key", "left_anti").repartition("query_id").sortWithinPartitions("query_id", "policy_rank")
+        asked = score.generate(todo, "prompt", make, "raw1", limits.timeout, limits.concurrency, ("query_id", limits.total), own)
         asked = T.computed(asked, _p1=parse_fine(F.col("raw1")), _e1=F.col("error"), _ms=F.col("latency_ms")).drop("error", "latency_ms", "attempts", "prompt")
         empty = T.strip(F.col("raw1")) == ""
         again = F.col("_e1").isNull() & ~empty & F.col("_p1.score").isNull()
-        asked = score.generate(asked.withColumn("prompt", F.when(again, prompts.FINE_RETRY)), "prompt", make, "raw2", limits.timeout / 2, limits.concurrency)
-        asked = T.computed(asked, _p2=parse_fine(F.col("raw2")), _again=F.col("attempts") > 0)
-        late = lambda e, what: F.when(e == "skipped_total_budget", e).when(e.isin("TimeoutError", "ReadTimeout"), F.lit(f"{what}_timeout")).when(e.isNotNull(), F.concat(F.lit(f"{what}_exc:"), e))
+        asked = score.generate(asked.withColumn("prompt", F.when(again, prompts.FINE_RETRY)), "prompt", make, "raw2", limits.timeout / 2, limits.concurrency, breaker=own)
+        asked = T.computed(asked, _p2=parse_fine(F.col("raw2")), _again=(F.col("attempts") > 0) | F.coalesce(F.col("error") == "circuit_open", F.lit(False)))
+        late = lambda e, what: F.when(e.isin("skipped_total_budget", "circuit_open"), e).when(e.isin("TimeoutError", "ReadTimeout"), F.lit(f"{what}_timeout")).when(e.isNotNull(), F.concat(F.lit(f"{what}_exc:"), e))
         error = F.when(F.col("_again"), F.coalesce(late(F.col("error"), "percent_retry"), F.when(F.col("_p2.score").isNull(), F.concat(F.lit("percent_retry_parse:"), "_p2.error")))).otherwise(F.coalesce(late(F.col("_e1"), "fine_score"), F.when(empty, "empty_output")))
-        attempts = F.when(F.col("_e1") == "skipped_total_budget", 0).otherwise(1) + F.col("_again").cast("int")
+        attempts = F.when(F.col("_e1").isin("skipped_total_budget", "circuit_open"), 0).otherwise(1) + (F.col("attempts") > 0).cast("int")
         answers = asked.select("key", F.coalesce(F.nullif("raw2", F.lit("")), F.col("raw1")).alias("raw"), error.alias("error"), attempts.alias("attempts"), F.lit(False).alias("cached"), (F.col("_ms") + F.col("latency_ms")).alias("latency_ms"))
         held = known.select("key", "raw", "error", F.lit(0).alias("attempts"), F.lit(True).alias("cached"), F.lit(0).cast("long").alias("latency_ms"))
-        return plain.join(answers.unionByName(held), "key").select("query_id", "original_index", "key", "raw", "error", "attempts", "cached", "latency_ms")
+        got = plain.join(answers.unionByName(held), "key", "left")
+        shut = {"raw": F.lit(None).cast("string"), "error": F.lit("circuit_open"), "attempts": F.lit(0), "cached": F.lit(False), "latency_ms": F.lit(0).cast("long")}
+        return got.select("query_id", "original_index", "key", *[F.when(open_, v).otherwise(F.col(c)).alias(c) for c, v in shut.items()])
 
     return run
 

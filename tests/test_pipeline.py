@@ -8,7 +8,7 @@ from lumenrank import fixtures as X
 from lumenrank import queries as Q
 from lumenrank.functions import text as T
 from lumenrank.operators import evaluate, fallback, rank, retrieve, score, stateful, tiles
-from lumenrank.plans.api import Options, build_index, cache_rows, fine_pass, rerank, search
+from lumenrank.plans.api import FineLimits, Options, build_index, cache_rows, fine_pass, rerank, search
 from lumenrank.sources import corpora
 from lumenrank.sources.policies import Policy
 from lumenrank.streaming import stateful as live
@@ -118,6 +118,25 @@ def test_fine_pass_statuses(spark):
     assert "circuit_open" not in {r["error"] for r in fine_pass(text_of(said), "m", failures=fails, now=late)(rows).collect()}
 
 
+def test_a_scorer_that_dies_midway_opens_the_circuit(spark):
+    def make():
+        asked = []
+
+        def answer(prompts):
+            asked.extend(prompts)
+            if len(asked) > 6:
+                raise ConnectionError
+            return ["60%"] * len(prompts)
+
+        return answer
+
+    rows = spark.createDataFrame([(1, i, "q", f"text {i}", i) for i in range(30)], "query_id int, original_index int, query string, text string, policy_rank int")
+    limits = FineLimits(concurrency=1, threshold=3, trip=True)
+    got = {r["original_index"]: (r["error"], r["attempts"]) for r in fine_pass(make, "m", limits)(rows).collect()}
+    assert [got[i] for i in range(30)] == [(None, 1)] * 6 + [("fine_score_exc:ConnectionError", 1)] * 3 + [("circuit_open", 0)] * 21
+    assert {e for e, _ in {r["original_index"]: (r["error"], 0) for r in fine_pass(make, "m", FineLimits(concurrency=1, threshold=3))(rows).collect()}.values()} == {None, "fine_score_exc:ConnectionError"}
+
+
 def test_fine_scores_merge(spark):
     got = {r["original_index"]: r for r in Q._final(spark).where("query_id = 1").collect()}
     assert got[0]["fine_score"] == 77 and got[0]["tie_breaker_error"] is None
