@@ -97,7 +97,14 @@ Generate = Callable[[list[str]], list[str]]
 RETRIABLE = ("TimeoutError", "ReadTimeout", "ConnectError", "ConnectionError", "ConnectionRefusedError", "ConnectionResetError", "ValueError")
 
 
-def generate(rows: DataFrame, prompt: str, make: Callable[[], Generate], to: str = "raw", timeout: float = 45.0, concurrency: int = 4, budget: tuple[str, float] | None = None, breaker: tuple[float, int] | None = None) -> DataFrame:
+def tasks_for(most_calls: int, concurrency: int) -> int:
+    """Tasks of a stage that together make no more than ``most_calls`` calls at once."""
+    if most_calls < concurrency:
+        raise ValueError("one task makes more calls at once than the job may")
+    return most_calls // concurrency
+
+
+def generate(rows: DataFrame, prompt: str, make: Callable[[], Generate], to: str = "raw", timeout: float = 45.0, concurrency: int = 4, budget: tuple[str, float] | None = None, breaker: tuple[float, int] | None = None, most_calls: int | None = None) -> DataFrame:
     """``rows`` with the model's answer to the column ``prompt`` in ``to``, and its latency_ms, attempts and error.
 
     ``make`` builds a client once per task. Each prompt is one call of at most ``timeout`` seconds, and a task makes
@@ -106,7 +113,15 @@ def generate(rows: DataFrame, prompt: str, make: Callable[[], Generate], to: str
     of an id, in one task in their order, are asked one after the other until their calls took that long
     (``skipped_total_budget`` from there on). With a ``breaker`` (window in seconds, threshold) a task whose calls
     failed that often within the window asks no more until failures have aged (``circuit_open``, no attempt).
+    ``most_calls`` bounds the calls that all tasks make at once, whatever the cluster: the rows are dealt over so few tasks
+    (with a ``budget`` by its id, in their order).
     """
+    if most_calls is not None:
+        n = tasks_for(most_calls, concurrency)
+        if budget:
+            rows = rows.withColumn("_order", F.monotonically_increasing_id()).repartition(n, budget[0]).sortWithinPartitions("_order").drop("_order")
+        else:
+            rows = rows.repartition(n)
     more = {to: "string", "latency_ms": "long", "attempts": "int", "error": "string"}
     schema = rows.withColumns({c: F.lit(None).cast(t) for c, t in more.items()}).schema
 
@@ -157,7 +172,7 @@ def generate(rows: DataFrame, prompt: str, make: Callable[[], Generate], to: str
     return rows.mapInPandas(run, schema)
 
 
-def score(prepared: DataFrame, policy: Words, make: Callable[[], Generate] | None = None, prompt: Column | None = None, retry_prompt: Column | None = None, timeout: float = 45.0, concurrency: int = 4) -> DataFrame:
+def score(prepared: DataFrame, policy: Words, make: Callable[[], Generate] | None = None, prompt: Column | None = None, retry_prompt: Column | None = None, timeout: float = 45.0, concurrency: int = 4, most_calls: int | None = None) -> DataFrame:
     """Prepared rows with bucket and warning (struct: error, raw). Gated rows get 0 without meeting the scorer: they
     have no prompt. Without ``make`` the rule scorer scores. A model is asked once more where the parser finds no
     bucket in its answer or the call timed out or didn't connect; other errors warn at once.
@@ -167,10 +182,10 @@ def score(prepared: DataFrame, policy: Words, make: Callable[[], Generate] | Non
         rows = T.computed(prepared, _raw_bucket=F.when(live, rule_bucket(F.col("text"), F.col("facts"))).otherwise(0)).withColumn("warning", F.lit(None).cast(none))
     else:
         spare = ["latency_ms", "attempts", "error"]
-        first = generate(prepared.withColumn("_prompt", F.when(live, prompt)), "_prompt", make, "_raw1", timeout, concurrency)
+        first = generate(prepared.withColumn("_prompt", F.when(live, prompt)), "_prompt", make, "_raw1", timeout, concurrency, most_calls=most_calls)
         first = T.computed(first, _b1=parse_bucket(F.col("_raw1"))).withColumn("_error1", F.col("error")).drop(*spare)
         again = live & F.col("_b1").isNull() & F.coalesce(F.col("_error1").isin(*RETRIABLE), F.lit(True))
-        second = generate(first.withColumn("_prompt", F.when(again, retry_prompt if retry_prompt is not None else prompt)), "_prompt", make, "_raw2", timeout, concurrency)
+        second = generate(first.withColumn("_prompt", F.when(again, retry_prompt if retry_prompt is not None else prompt)), "_prompt", make, "_raw2", timeout, concurrency, most_calls=most_calls)
         rows = T.computed(second.withColumn("_asked", F.col("attempts") > 0), _b2=parse_bucket(F.col("_raw2"))).withColumn("_raw_bucket", F.coalesce("_b1", "_b2", F.lit(0)))
         error = F.when(F.col("_asked"), F.coalesce(F.col("error"), F.lit("score parse failed"))).otherwise(F.col("_error1"))
         failed = live & F.col("_b1").isNull() & F.col("_b2").isNull()

@@ -105,7 +105,7 @@ def rerank(rows: DataFrame, options: Options = Options(), store: PolicyStore | N
 class FineLimits:
     """What a fine pass may take: seconds of a call and of a query's calls, an answer's life in the cache, and the
     failures within a window that open the circuit. With ``trip`` the failures of a task's own calls open it, too, for the
-    rows that the task comes to later."""
+    rows that the task comes to later. ``most_calls`` bounds the calls of the whole job at once."""
 
     timeout: float = 30.0
     total: float = 60.0
@@ -115,6 +115,7 @@ class FineLimits:
     concurrency: int = 4
     document_chars: int = 1600
     trip: bool = False
+    most_calls: int | None = None
 
 
 def fine_pass(make: Callable[[], score.Generate], model: str = "", limits: FineLimits = FineLimits(), cache: DataFrame | None = None, failures: DataFrame | None = None, now: Column | None = None) -> Callable[[DataFrame], DataFrame]:
@@ -138,7 +139,9 @@ def fine_pass(make: Callable[[], score.Generate], model: str = "", limits: FineL
         once = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("query_id", "policy_rank", "key", prompts.fine_prompt(F.col("query"), F.col("text"), limits.document_chars).alias("prompt"))
         known = (cache if cache is not None else once.select("key").withColumns({"expires_at": F.lit(None).cast("timestamp"), "raw": F.lit(None).cast("string"), "error": F.lit(None).cast("string")}).where(F.lit(False))).where(F.col("expires_at") > now)
         known = known.select("key", F.col("raw").alias("raw"), F.col("error").alias("error")).dropDuplicates(["key"])
-        todo = once.where(~open_).join(known, "key", "left_anti").repartition("query_id").sortWithinPartitions("query_id", "policy_rank")
+        todo = once.where(~open_).join(known, "key", "left_anti")
+        dealt = [score.tasks_for(limits.most_calls, limits.concurrency)] if limits.most_calls else []
+        todo = todo.repartition(*dealt, "query_id").sortWithinPartitions("query_id", "policy_rank")
         asked = score.generate(todo, "prompt", make, "raw1", limits.timeout, limits.concurrency, ("query_id", limits.total), own)
         asked = T.computed(asked, _p1=parse_fine(F.col("raw1")), _e1=F.col("error"), _ms=F.col("latency_ms")).drop("error", "latency_ms", "attempts", "prompt")
         empty = T.strip(F.col("raw1")) == ""

@@ -137,6 +137,34 @@ def test_a_scorer_that_dies_midway_opens_the_circuit(spark):
     assert {e for e, _ in {r["original_index"]: (r["error"], 0) for r in fine_pass(make, "m", FineLimits(concurrency=1, threshold=3))(rows).collect()}.values()} == {None, "fine_score_exc:ConnectionError"}
 
 
+def test_a_job_makes_no_more_calls_at_once_than_it_may(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def make():
+        import time
+
+        def answer(prompts):
+            began = time.time()
+            time.sleep(0.05)
+            with open(log, "a") as f:
+                f.write(f"{began} {time.time()}\n")
+            return ["60%"] * len(prompts)
+
+        return answer
+
+    def most():
+        times = [tuple(map(float, line.split())) for line in open(log)]
+        open(log, "w").close()
+        return max(sum(a <= at < b for a, b in times) for at, _ in times)
+
+    rows = spark.range(0, 60, 1, 12).select((F.col("id") % 20).alias("query_id"), F.col("id").alias("original_index"), F.lit("q").alias("query"), F.concat(F.lit("t"), "id").alias("text"), F.col("id").alias("policy_rank"), F.concat(F.lit("p"), "id").alias("prompt"))
+    assert score.generate(rows, "prompt", make, concurrency=2).count() == 60 and most() > 4
+    assert score.generate(rows, "prompt", make, concurrency=2, most_calls=4).where("raw = '60%'").count() == 60 and most() <= 4
+    assert fine_pass(make, "m", FineLimits(concurrency=2, most_calls=4))(rows).where("error is null").count() == 60 and most() <= 4
+    with pytest.raises(ValueError):
+        score.generate(rows, "prompt", make, concurrency=4, most_calls=3)
+
+
 def test_fine_scores_merge(spark):
     got = {r["original_index"]: r for r in Q._final(spark).where("query_id = 1").collect()}
     assert got[0]["fine_score"] == 77 and got[0]["tie_breaker_error"] is None
