@@ -41,7 +41,9 @@ def examples(spark: SparkSession, policies: Iterable[Policy]) -> dict[str, str]:
     return out
 
 
-def bucket_prompt(query: Column, doc: Column, facts: Column, shots: str | Column) -> Column:
+def bucket_prompt(query: Column, doc: Column, facts: Column, shots: str | Column | Policy) -> Column:
+    """``shots``: the examples, or the policy that has them."""
+    shots = examples(SparkSession.active(), [shots])[shots.name] if isinstance(shots, Policy) else shots
     shots = F.lit(shots) if isinstance(shots, str) else shots
     return F.concat(F.lit(f"{RULES}\n"), shots, F.lit("QUERY: "), text(query), F.lit("\nDOCUMENT: "), text(doc), F.lit("\nFACTS: "), compact_json(facts), F.lit("\nOUTPUT:"))
 
