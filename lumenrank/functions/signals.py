@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab as V
-from .text import any_of, clamp01, computed, contained, contains_any, strip, text, tokens_letters, tokens_word
+from .text import any_of, clamp01, computed, contained, contains_any, let, strip, text, tokens_letters, tokens_word
 
 
 def count_in(tokens: Column, values: list[str]) -> Column:
@@ -46,10 +46,14 @@ def step_summary(col: Column) -> Column:
     )
 
 
-def quality_signals(col: Column, tokens: Column | None = None) -> Column:
-    """struct: action_verbs, has_step_markers, length_chars, length_tokens, punct_signals, explanatory_hints."""
-    raw, low = text(col), F.lower(strip(col))
-    tokens = tokens_word(low) if tokens is None else tokens
+def quality_signals(col: Column, tokens: Column | None = None, low: Column | None = None) -> Column:
+    """struct: action_verbs, has_step_markers, length_chars, length_tokens, punct_signals, explanatory_hints. The
+    stripped lower-case text and its tokens are made once unless they are given."""
+    if low is None:
+        return let(F.lower(strip(col)), lambda x: quality_signals(col, tokens, x))
+    if tokens is None:
+        return let(tokens_word(low), lambda x: quality_signals(col, x, low))
+    raw = text(col)
     return F.struct(
         count_in(tokens, V.ACTION_VERBS).alias("action_verbs"), step_marker(low).alias("has_step_markers"), F.length(raw).alias("length_chars"),
         F.size(tokens).alias("length_tokens"), F.regexp_count(raw, F.lit("[,;]")).alias("punct_signals"), contained(low, V.EXPLANATORY_HINTS).alias("explanatory_hints"),
@@ -59,13 +63,16 @@ def quality_signals(col: Column, tokens: Column | None = None) -> Column:
 def part_terms(col: Column, tokens: Column | None = None) -> Column:
     """Tokens that are part words, or are after one s is taken off."""
     tokens = tokens_word(F.lower(strip(col))) if tokens is None else tokens
-    single = lambda t: F.when(t.endswith("s"), F.substring(t, 1, F.length(t) - 1))
-    return F.size(F.filter(tokens, lambda t: t.isin(V.PART_WORDS) | F.coalesce(single(t).isin(V.PART_WORDS), F.lit(False))))
+    return count_in(tokens, sorted({*V.PART_WORDS, *(p + "s" for p in V.PART_WORDS)}))
 
 
 def gated_quality(col: Column, signals: Column | None = None, parts: Column | None = None) -> Column:
     """``quality_signals`` with part_terms, procedural and quality_score. Signals and parts that are columns already
     are not computed again; see ``with_quality``."""
+    if signals is None and parts is None:
+        low = F.lower(strip(col))
+        both = lambda x: let(tokens_word(x), lambda w: F.struct(quality_signals(col, w, x).alias("s"), part_terms(col, w).alias("p")))
+        return let(let(low, both), lambda f: gated_quality(col, f["s"], f["p"]))
     s = quality_signals(col) if signals is None else signals
     parts = part_terms(col) if parts is None else parts
     part = lambda x, most: F.least(x, F.lit(most)) / float(most)
@@ -82,9 +89,10 @@ def with_quality(rows: DataFrame, doc: str = "text", name: str = "q") -> DataFra
     """``rows`` with ``gated_quality`` of the column ``doc`` and its lower-case tokens (_words), each pass over the text
     made once per row."""
     d = F.col(doc)
-    rows = computed(rows, _words=tokens_word(F.lower(strip(d))))
-    rows = computed(rows, _s=quality_signals(d, F.col("_words")), _parts=part_terms(d, F.col("_words")))
-    return computed(rows, **{name: gated_quality(d, F.col("_s"), F.col("_parts"))}).drop("_s", "_parts")
+    rows = computed(rows, _low=F.lower(strip(d)))
+    rows = computed(rows, _words=tokens_word(F.col("_low")))
+    rows = computed(rows, _s=quality_signals(d, F.col("_words"), F.col("_low")), _parts=part_terms(d, F.col("_words")))
+    return computed(rows, **{name: gated_quality(d, F.col("_s"), F.col("_parts"))}).drop("_s", "_parts", "_low")
 
 
 def action_score(col: Column, quality: Column) -> Column:
@@ -109,9 +117,13 @@ def is_howto(col: Column) -> Column:
     return any_of(tokens_word(F.lower(text(col))), V.INTENT_HOWTO)
 
 
-def kind_gated(col: Column, quality: Column, tokens: Column | None = None) -> Column:
-    low = F.lower(text(col))
-    t = tokens_word(low) if tokens is None else tokens
+def kind_gated(col: Column, quality: Column, tokens: Column | None = None, low: Column | None = None) -> Column:
+    """The kind of a document under a policy's gates; its lower-case text is made once unless it is given."""
+    if low is None:
+        return let(F.lower(text(col)), lambda x: kind_gated(col, quality, tokens, x))
+    if tokens is None:
+        return let(tokens_word(low), lambda x: kind_gated(col, quality, x, low))
+    t = tokens
     maintained = any_of(t, V.KIND_MAINTENANCE_TOKENS) | contains_any(low, V.KIND_OIL_PHRASES)
     return (
         F.when(contains_any(low, V.KIND_HOWTO_PHRASES) | (any_of(t, V.KIND_REPAIR_TOKENS) & (quality["action_verbs"] >= 1)), "PROCEDURAL")
@@ -121,8 +133,9 @@ def kind_gated(col: Column, quality: Column, tokens: Column | None = None) -> Co
     )
 
 
-def kind_generic(col: Column, signals: Column, tokens: Column | None = None) -> Column:
-    low = F.lower(text(col))
+def kind_generic(col: Column, signals: Column, tokens: Column | None = None, low: Column | None = None) -> Column:
+    if low is None:
+        return let(F.lower(text(col)), lambda x: kind_generic(col, signals, tokens, x))
     tokens = tokens_word(low) if tokens is None else tokens
     return (
         F.when(contains_any(low, V.KIND_INFO_PHRASES), "INFORMATIONAL").when(contains_any(low, ["symptoms", "signs of"]), "DIAGNOSTIC")
@@ -130,8 +143,12 @@ def kind_generic(col: Column, signals: Column, tokens: Column | None = None) ->
     )
 
 
-def kind_client(col: Column, letters: Column | None = None) -> Column:
-    low, t = F.lower(text(col)), tokens_letters(col) if letters is None else letters
+def kind_client(col: Column, letters: Column | None = None, low: Column | None = None) -> Column:
+    if low is None:
+        return let(F.lower(text(col)), lambda x: kind_client(col, letters, x))
+    if letters is None:
+        return let(tokens_letters(col), lambda x: kind_client(col, x, low))
+    t = letters
     return (
         F.when(low.startswith("how to") | F.contains(low, F.lit("steps to")) | (count_in(t, V.CLIENT_VERBS) >= 2), "PROCEDURAL")
         .when(any_of(t, V.CLIENT_MAINTENANCE), "OVERVIEW").when(contains_any(low, V.KIND_INFO_PHRASES), "INFORMATIONAL")

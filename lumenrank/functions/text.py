@@ -35,8 +35,8 @@ def text(col: Column) -> Column:
 
 
 def strip(col: Column) -> Column:
-    """White space off both ends."""
-    return F.regexp_replace(text(col), r"^\s+|\s+$", "")
+    """White space off both ends, which is all of the text that it looks at."""
+    return F.btrim(text(col), F.lit(" \t\n\x0b\f\r"))
 
 
 def tokens_alnum(col: Column) -> Column:

@@ -169,14 +169,14 @@ def _with_howto(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gated_quality(spark: SparkSession, d: str) -> DataFrame:
-    rows = _with_howto(spark, d).withColumn("q", S.gated_quality(F.col("text")))
+    rows = S.with_quality(_with_howto(spark, d))
     return rows.select("doc_id", "q.part_terms", "q.procedural", r6("q.quality_score").alias("quality_score"), r6(S.action_score(F.col("text"), F.col("q"))).alias("action_score"))
 
 
 def doc_kinds(spark: SparkSession, d: str) -> DataFrame:
-    t, q, w, n = F.col("text"), F.col("q"), F.col("_words"), F.col("letters")
-    rows = T.computed(S.with_quality(_with_howto(spark, d)), letters=T.tokens_letters(t))
-    return rows.select("doc_id", S.kind_gated(t, q, w).alias("gated"), S.kind_generic(t, q, w).alias("generic"), S.kind_client(t, n).alias("client"), r6(S.lexical_bonus(t, n)).alias("bonus"))
+    t, q, w, n, low = F.col("text"), F.col("q"), F.col("_words"), F.col("letters"), F.col("low")
+    rows = T.computed(S.with_quality(_with_howto(spark, d)), letters=T.tokens_letters(t), low=F.lower(T.text(t)))
+    return rows.select("doc_id", S.kind_gated(t, q, w, low).alias("gated"), S.kind_generic(t, q, w, low).alias("generic"), S.kind_client(t, n, low).alias("client"), r6(S.lexical_bonus(t, n)).alias("bonus"))
 
 
 def query_intents(spark: SparkSession, d: str) -> DataFrame:

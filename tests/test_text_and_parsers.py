@@ -148,3 +148,16 @@ def test_prompts_keep_nulls(spark):
     facts = A.identity(F.lit("q"), F.lit("d"), p)
     got = one(spark, b=prompts.bucket_prompt(F.lit("q?"), F.lit("doc"), facts, p), r=prompts.retry_prompt(facts), k=prompts.cache_key("m", F.lit("d"), F.lit("q")))
     assert '"query_item":null' in got["b"] and '"score": 3' in got["b"] and "doc" not in got["r"].split("FACTS")[0] and got["k"].startswith("m:") and len(got["k"]) == 2 + 40 * 3 + 2
+
+
+def test_signals_are_the_same_from_given_tokens_and_long_blanks_cost_no_more(spark):
+    blank = " \t" * 500_000
+    texts = [None, "", blank, blank + "Steps: remove the filters, turn the valve." + blank, "1. Open the valves; 2. tighten the gaskets", "İstanbul valve O-Ring"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    alone = rows.select("i", T.strip(F.col("text")).alias("s"), S.gated_quality(F.col("text")).alias("q"))
+    alone = alone.select("*", S.kind_gated(F.col("s"), F.col("q")).alias("k")).orderBy("i").collect()
+    shared = S.with_quality(rows).orderBy("i").collect()
+    assert [r["s"] for r in alone] == [(t or "").strip(" \t") for t in texts]
+    assert [r["q"] for r in alone] == [r["q"] for r in shared]
+    assert [r["q"]["part_terms"] > 0 for r in alone] == [False, False, False, True, True, True]
+    assert [r["k"] for r in alone[:3]] == ["UNKNOWN"] * 3
