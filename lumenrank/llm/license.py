@@ -36,6 +36,8 @@ NOTICES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "rights-reserved": "All rights reserved.",
 }
+#: Identifiers of licences that a tag line may name.
+TAGS = "AGPL-3.0-only Apache-2.0 BSD-2-Clause BSD-3-Clause GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-3.0-only MIT MPL-2.0 Unlicense".split()
 #: Licensing words; the same pattern chooses texts in the JVM and places in Python.
 CUE = r"(?i)licen[cs]|copyright|©|all\W+rights\W+reserved|redistribut|permission\W+(?:is|to)\W|public\W+domain|free\W+software|provided\W+.?as.is|spdx"
 _CUE = re.compile(CUE, re.ASCII)
@@ -43,6 +45,8 @@ _WORD = re.compile(r"[\w.+-]*\w|\{\}", re.UNICODE)
 _SPELL = {"licence": "license", "licences": "licenses", "licenced": "licensed"}
 #: A sentence goes on over a line's end if a comma stands there or a small letter follows.
 _END = re.compile(r"[.!?;:](?=[\s\"')]|$)|(?<!,)\n(?!\s*[a-z])|\n\s*\n|$")
+#: A tag's sentence is its line.
+_LINE, _TAG = re.compile(r"\n|$"), "spdx-license-identifier"
 _NOT = {"not", "never", "no", "neither", "nor", "without", "formerly"}
 #: Share of a template's words that may differ in a confirmed match (none with a digit); words that a {} may
 #: stand for; best templates that wording decides between, since offsets alone make a few bytes of
@@ -52,7 +56,7 @@ DIFFER, GAP, BEST, LEVEL = 0.1, 12, 3, 3
 
 def templates() -> dict[str, str]:
     files = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
-    return NOTICES | files
+    return NOTICES | {f"{t}-tag": f"SPDX-License-Identifier: {t}" for t in TAGS} | files
 
 
 def words(text: str) -> list[str]:
@@ -100,7 +104,8 @@ class Scanner:
         if first == last:
             return None
         first, last = lo + first, lo + last
-        after = [] if _END.match(text, spans[last - 1][1]) else words(text[spans[last - 1][1] : _END.search(text, spans[last - 1][1]).start()])
+        stop = _LINE if self.words[name][:1] == [_TAG] else _END
+        after = [] if stop.match(text, spans[last - 1][1]) else words(text[spans[last - 1][1] : stop.search(text, spans[last - 1][1]).start()])
         begins, ends, nots = marks  # of words; of sentences; words that say not
         at = bisect_right(ends, spans[first][0])
         begin = bisect_left(begins, ends[at - 1] if at else 0)
@@ -109,6 +114,33 @@ class Scanner:
             return None
         return first, last, missing, added, after
 
+    def block(self, text: str, cues: list[int], spans: list[tuple[int, int]], marks: tuple[list[int], list[int], list[int]], have: list[str], lo: int, hi: int, until: int, differ: float):
+        """(first, last, row) of every confirmed stretch among the words lo to hi that begins before ``until``. The best
+        is cut out, and what is left is ranked again."""
+        out, todo = [], [(lo, hi)]
+        while todo:
+            lo, hi = todo.pop()
+            if lo >= min(hi, until) or bisect_left(cues, spans[lo][0]) >= bisect_right(cues, spans[hi - 1][1] - 1):
+                continue
+            alone, sizes = self.sizes(text[spans[lo][0] : spans[hi - 1][1]])
+            ranked = sorted(self.names, key=lambda n: (sizes[n], n))
+            found = None
+            for k in range(0, len(ranked), BEST):
+                good = [(len(g[2]) + len(g[3]) + len(g[4]), sizes[n], n, g) for n in ranked[k : k + BEST] if (g := self.confirm(n, text, spans, marks, have, lo, hi, differ))]
+                if good:
+                    found = min(good)
+                    break
+            if not found:
+                continue
+            _, _, name, (first, last, missing, added, after) = found
+            todo.append((lo, first))
+            if first < until:
+                start, end = spans[first][0], spans[last - 1][1]
+                alone, sizes = self.sizes(text[start:end])
+                out.append((first, last, (start, end, name, alone, sizes[name], missing, added, after, True)))
+                todo.append((last, hi))
+        return out
+
     def rows(self, text: str, differ: float) -> list[tuple[int, int, str, int, int, list[str], list[str], list[str], bool]]:
         """(start, end, template, size alone, size given it, missing, added, after, confirmed): every confirmed
         stretch, and the lines of the other cues by their best template."""
@@ -119,36 +151,32 @@ class Scanner:
         begins = [a for a, _ in spans]
         have = [_SPELL.get(text[a:b].lower(), text[a:b].lower()) for a, b in spans]
         marks = begins, [m.end() for m in _END.finditer(text) if m.start() < m.end()], [i for i, w in enumerate(have) if w in _NOT]
-        todo: list[tuple[int, int]] = []
+        near: list[tuple[int, int]] = []
         for a in cues:
             at = bisect_right(begins, a)
             lo, hi = max(0, at - self.reach), min(len(spans), at + self.reach)
-            if todo and lo <= todo[-1][1]:
-                todo[-1] = todo[-1][0], hi
+            if near and lo <= near[-1][1]:
+                near[-1] = near[-1][0], hi
             else:
-                todo.append((lo, hi))
+                near.append((lo, hi))
         out, covered = [], []
-        while todo:
-            lo, hi = todo.pop()
-            if lo >= hi or bisect_left(cues, spans[lo][0]) >= bisect_right(cues, spans[hi - 1][1] - 1):
-                continue
-            alone, sizes = self.sizes(text[spans[lo][0] : spans[hi - 1][1]])
-            ranked = sorted(self.names, key=lambda n: (sizes[n], n))
-            found = None
-            for k in range(0, len(ranked), BEST):
-                good = [(len(g[2]) + len(g[3]) + len(g[4]), sizes[n], n, g) for n in ranked[k : k + BEST] if (g := self.confirm(n, text, spans, marks, have, lo, hi, differ))]
-                if good:
-                    found = min(good)
-                    break
-            if found:
-                _, _, name, (first, last, missing, added, after) = found
-                start, end = spans[first][0], spans[last - 1][1]
-                alone, sizes = self.sizes(text[start:end])
-                out.append((start, end, name, alone, sizes[name], missing, added, after, True))
-                covered.append((start, end))
-                todo += [(lo, first), (last, hi)]
-        lines = sorted({(text.rfind("\n", 0, a) + 1, (text.find("\n", a) + 1 or len(text) + 1) - 1) for a in cues if not any(s <= a < e for s, e in covered)})
-        for start, end in [x for x in lines if not any(s < x[1] and x[0] < e for s, e in covered)]:
+        for lo, hi in near:
+            # No stretch is longer than reach, so each lies whole in the block of 2 * reach words in whose first
+            # half it begins; the last block of a run of cues is its own whole.
+            done = lo
+            while lo < hi:
+                end = min(hi, lo + 2 * self.reach)
+                found = self.block(text, cues, spans, marks, have, max(lo, done), end, end if end == hi else end - self.reach, differ)
+                for first, last, row in found:
+                    out.append(row)
+                    covered.append(row[:2])
+                    done = max(done, last)
+                lo = hi if end == hi else end - self.reach
+        covered.sort()
+        starts, ends = [s for s, _ in covered], [e for _, e in covered]
+        free = lambda a, b: bisect_right(ends, a) == bisect_left(starts, b)
+        lines = sorted({(text.rfind("\n", 0, a) + 1, (text.find("\n", a) + 1 or len(text) + 1) - 1) for a in cues if free(a, a + 1)})
+        for start, end in [x for x in lines if free(*x)]:
             alone, sizes = self.sizes(text[start:end])
             name = min(self.names, key=lambda n: (sizes[n], n))
             _, _, missing, added = self.compare(name, words(text[start:end]))

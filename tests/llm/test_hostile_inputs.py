@@ -149,3 +149,27 @@ def test_a_line_of_a_million_words_takes_little_memory():
 
 def test_registered_queries_name_their_production_parameters():
     assert set(queries.URL_RULES.values()) == {"allow", "block"} and {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
+
+
+def test_work_on_a_file_of_many_licences_grows_with_its_length():
+    scanner, given = license.Scanner(license.templates()), license.templates()
+    seen, plain = [], scanner.sizes
+    scanner.sizes = lambda block: seen.append(len(block)) or plain(block)
+    work = {}
+    for n in (20, 80):
+        seen.clear()
+        text = "\n\n".join([given["MIT"], given["ISC"], "Released under the BSD License."] * n)
+        rows = [r for r in scanner.rows(text, license.DIFFER) if r[-1]]
+        assert [r[2] for r in rows] == ["MIT", "ISC", "BSD"] * n
+        assert all(not r[5] and not r[6] for r in rows) and all(a[1] <= b[0] for a, b in zip(rows, rows[1:]))
+        work[n] = sum(seen) / len(text)
+    assert work[80] < 1.2 * work[20]
+
+
+def test_licence_tags():
+    scanner = license.Scanner(license.templates())
+    told = lambda t: [(r[2], r[-1]) for r in scanner.rows(t, license.DIFFER)]
+    assert told("// SPDX-License-Identifier: MIT\nint main() {}") == [("MIT-tag", True)]
+    assert told("/* SPDX-License-Identifier: GPL-2.0-or-later */") == [("GPL-2.0-or-later-tag", True)]
+    assert [ok for _, ok in told("# SPDX-License-Identifier: Apache-2.0 OR LicenseRef-own")] == [False]
+    assert [ok for _, ok in told("# SPDX-License-Identifier: GPL-4.0-only")] == [False]
