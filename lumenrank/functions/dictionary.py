@@ -33,17 +33,20 @@ def found(col: Column, terms: Iterable[str]) -> Column:
     several = [t for t in known if t not in set(odd) and len(inside[t]) > 1]
     low = F.lower(text(col))
 
-    def look(s: Column) -> Column:
-        said, between = s["said"], s["between"]
+    def look(said: Column) -> Column:
         hits = [F.filter(said, lambda t: t.isin(single))] if single else []
         if several:
             first, sizes = sorted({inside[t][0] for t in several}), sorted({len(inside[t]) for t in several})
-            part = lambda i, k: F.concat(F.get(between, i + k), F.get(said, i + k))
-            stretch = lambda i, n: F.concat(F.get(said, i), *[part(i, k) for k in range(1, n)])
-            begin = F.filter(F.sequence(F.lit(0), F.size(said) - 1), lambda i: F.get(said, i).isin(first))
-            hits.append(F.flatten(F.transform(begin, lambda i: F.filter(F.array(*[stretch(i, n) for n in sizes]), lambda t: t.isin(several)))))
+
+            def longer(between: Column) -> Column:
+                part = lambda i, k: F.concat(F.get(between, i + k), F.get(said, i + k))
+                stretch = lambda i, n: F.concat(F.get(said, i), *[part(i, k) for k in range(1, n)])
+                begin = F.filter(F.sequence(F.lit(0), F.size(said) - 1), lambda i: F.get(said, i).isin(first))
+                return F.flatten(F.transform(begin, lambda i: F.filter(F.array(*[stretch(i, n) for n in sizes]), lambda t: t.isin(several))))
+
+            # what stands between the words is cut out only of texts that say the first word of a longer term
+            hits.append(F.when(F.arrays_overlap(said, words(first)), let(F.split(low, WORD, -1), longer)).otherwise(words([])))
         hits += [F.when(low.rlike(word_pattern([t])), words([t])).otherwise(words([])) for t in odd]
         return F.array_distinct(F.concat(*hits)) if hits else words([])
 
-    both = F.struct(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)).alias("said"), (F.split(low, WORD, -1) if several else words([])).alias("between"))
-    return let(both, look)
+    return let(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), look)

@@ -87,14 +87,21 @@ def client_domain(col: Column, domains: list[tuple[str, list[str]]] = V.CLIENT_D
     return out
 
 
-def items(col: Column, policy: Policy | PolicyColumns) -> Column:
-    """The policy's items that the text names, in the policy's order."""
+def item_terms(policy: Policy | PolicyColumns) -> list[str]:
+    return list(policy.terms) if isinstance(policy, PolicyColumns) else [n for names in policy.item_aliases.values() for n in names]
+
+
+def items(col: Column, policy: Policy | PolicyColumns, have: Column | None = None) -> Column:
+    """The policy's items that the text names, in the policy's order. ``have``: ``dictionary.found`` of the text and at
+    least the ``item_terms``, where that is a column already."""
+    if have is None:
+        return let(found(col, item_terms(policy)), lambda x: items(col, policy, x))
     if isinstance(policy, PolicyColumns):
-        return let(found(col, policy.terms), lambda have: F.transform(F.filter(policy.items, lambda x: F.arrays_overlap(have, x["names"])), lambda x: x["item"]))
+        return F.transform(F.filter(policy.items, lambda x: F.arrays_overlap(have, x["names"])), lambda x: x["item"])
     aliases = {item: sorted({n.lower() for n in names}) for item, names in policy.item_aliases.items()}
     if not aliases:
         return F.array().cast("array<string>")
-    return let(found(col, [n for names in aliases.values() for n in names]), lambda have: F.array_compact(F.array(*[F.when(any_of(have, names), item) for item, names in aliases.items()])))
+    return F.array_compact(F.array(*[F.when(any_of(have, names), item) for item, names in aliases.items()]))
 
 
 def single_item(hits: Column) -> Column:
@@ -105,7 +112,10 @@ def single_item(hits: Column) -> Column:
 def identity(query: Column, doc: Column, policy: Policy | PolicyColumns) -> Column:
     """struct of query_item, doc_items, same_item (null: the document names no item), domain_match (the same
     as same_domain), domain_match_doc, domain_match_query, query_domain, doc_domain, their hits, same_domain."""
-    raw = F.struct(items(query, policy).alias("qi"), items(doc, policy).alias("di"), domain_hits(query).alias("qh"), domain_hits(doc).alias("dh"))
+    terms = [*item_terms(policy), *terms_of(V.DOMAIN_RULES)]
+    of = lambda c, i, h: let(found(c, terms), lambda have: F.struct(items(c, policy, have).alias(i), domain_hits(c, have=have).alias(h)))
+    both = F.struct(of(query, "qi", "qh").alias("q"), of(doc, "di", "dh").alias("d"))
+    raw = let(both, lambda r: F.struct(r["q"]["qi"].alias("qi"), r["d"]["di"].alias("di"), r["q"]["qh"].alias("qh"), r["d"]["dh"].alias("dh")))
     named = lambda r: F.struct(r["qi"].alias("qi"), r["di"].alias("di"), r["qh"].alias("qh"), r["dh"].alias("dh"), single_item(r["qi"]).alias("q"), choose_domain(r["qh"]).alias("qd"), choose_domain(r["dh"]).alias("dd"))
 
     def facts(r: Column) -> Column:
