@@ -45,7 +45,7 @@ def found(col: Column, terms: Iterable[str]) -> Column:
                 return F.flatten(F.transform(begin, lambda i: F.filter(F.array(*[stretch(i, n) for n in sizes]), lambda t: t.isin(several))))
 
             # what stands between the words is cut out only of texts that say the first word of a longer term
-            hits.append(F.when(F.arrays_overlap(said, words(first)), let(F.split(low, WORD, -1), longer)).otherwise(words([])))
+            hits.append(F.when(F.exists(said, lambda t: t.isin(first)), let(F.split(low, WORD, -1), longer)).otherwise(words([])))
         hits += [F.when(low.rlike(word_pattern([t])), words([t])).otherwise(words([])) for t in odd]
         return F.array_distinct(F.concat(*hits)) if hits else words([])
 
