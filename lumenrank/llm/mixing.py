@@ -8,8 +8,9 @@ the expected tokens of the sample meet the targets. Sampling compares a digest o
 probability, so it is repeatable.
 
 Topics, where the documents bring none, are multinomial mixtures over hashed words, fitted inside each
-language on a bounded sample and numbered by falling size: topics of all languages taken together would be
-little else than the languages.
+language on all its documents and numbered by falling size: topics of all languages taken together would be
+little else than the languages. The documents' word counts are stored once; each round of the fit is one pass
+over them, whose sums are of whole numbers, so they are the same however the rows are dealt.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from .langid import sampled
 from .langid import share as fair_share
 
 DIMS = ("source", "lang", "topic")
-#: Topics of a language; hashed-word buckets; documents that the topics are fitted on at most (of all
-#: languages; each gives equally many, rarer ones all); rounds of the fit; the languages, by falling number of
-#: documents, that have topics of their own, and the name of the topics that the documents of all others share.
-TOPICS, BUCKETS, FIT_DOCS, FIT_ROUNDS, LANGS, OTHERS = 4, 1024, 4096, 15, 256, "(others)"
+#: Topics of a language; hashed-word buckets; rounds of the fit; the languages, by falling number of documents,
+#: that have topics of their own, and the name of the topics that the documents of all others share; the steps of
+#: a document's share in a topic.
+TOPICS, BUCKETS, FIT_ROUNDS, LANGS, OTHERS, STEPS = 4, 1024, 15, 256, "(others)", 1 << 20
 #: Relative error of a marginal at which raking is done; rounds after which targets count as contradictory;
 #: cells (a few numbers each) up to which the driver rakes; beyond, Spark does.
 TOLERANCE, ROUNDS, DRIVER_CELLS = 1e-9, 4000, 1_000_000
@@ -75,15 +76,163 @@ def mixture(bags: np.ndarray, topics: int = TOPICS, rounds: int = FIT_ROUNDS) ->
     return np.hstack((np.log(p / p.sum(axis=1, keepdims=True)), np.log(prior)[:, None]))[order].astype(np.float32)
 
 
-def fit_topics(docs: DataFrame, fit_docs: int = FIT_DOCS, most_langs: int = LANGS) -> dict[str, np.ndarray]:
-    """A mixture for each language (null: ``(none)``) of the documents (doc_id, text, lang), fitted on at most
-    ``fit_docs`` of them, chosen by a hash of id and text together; rows that are the same in both teach once, and
-    whole texts count. Beyond ``most_langs`` languages the rarer ones share a mixture, ``(others)``."""
+def _counted(languages: list[str]):
+    """A row for each piece of the documents with words: the documents' languages (their places in the list), where each
+    one's entries begin, and the entries (bucket, count)."""
+
+    def run(batches):
+        place = {x: i for i, x in enumerate(languages)}
+        for b in pieces(batches):
+            doc, words = hashed_words(*texts(b))
+            bags = np.bincount(doc * BUCKETS + (words >> np.uint64(54)).astype(np.int64), minlength=b.num_rows * BUCKETS)
+            at = np.flatnonzero(bags)
+            size = np.bincount(at // BUCKETS, minlength=b.num_rows)
+            full = size > 0
+            if full.any():
+                lang = np.array([place[x] for x in b.column("lang").to_pylist()], np.int32)[full]
+                made = {"langs": lang, "first": np.concatenate(([0], np.cumsum(size[full]))).astype(np.int32), "buckets": (at % BUCKETS).astype(np.uint16), "counts": bags[at].astype(np.uint32)}
+                yield pa.RecordBatch.from_pydict({k: pa.array([v.tobytes()], pa.binary()) for k, v in made.items()})
+        _powers.cache_clear()
+        trim()
+
+    return run
+
+
+def _entries(batches):
+    """(language of each document, document, bucket and count of each entry) of each row of ``_counted``."""
+    for b in batches:
+        for i in range(b.num_rows):
+            langs, first, buckets, counts = (np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in (("langs", np.int32), ("first", np.int32), ("buckets", np.uint16), ("counts", np.uint32)))
+            yield langs, np.repeat(np.arange(len(langs)), np.diff(first)), buckets.astype(np.int64), counts.astype(np.float64)
+
+
+_SUMS, _FAR = "lang int, sums binary", "lang int, far double, bag binary"
+
+
+def _added(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, np.int64) for x in table.column("sums").to_pylist())
+    return pa.table({"lang": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def _farthest(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    far, bag = min(zip(table.column("far").to_pylist(), table.column("bag").to_pylist()), key=lambda x: (-x[0], x[1]))
+    return pa.table({"lang": pa.array([key[0].as_py()], pa.int32()), "far": pa.array([far]), "bag": pa.array([bag], pa.binary())})
+
+
+def _sums(n_langs: int, rows: int, of):
+    """Per language of a task's documents the sums of whole numbers that ``of`` gives a piece: (rows x languages x columns)."""
+
+    def run(batches):
+        total = 0
+        for piece in _entries(batches):
+            total = total + of(*piece).reshape(rows, n_langs, -1).astype(np.int64)
+        if not isinstance(total, int):
+            seen = np.flatnonzero(total.any(axis=(0, 2)))
+            yield pa.RecordBatch.from_pydict({"lang": pa.array(seen, pa.int32()), "sums": pa.array([total[:, i].tobytes() for i in seen], pa.binary())})
+        trim()
+
+    return run
+
+
+def _far(shared, n_langs: int):
+    """Per language the document that is farthest from all chosen ones (none chosen: the longest), of equal ones that of
+    the least bag. Chosen are shares (documents x languages x buckets)."""
+
+    def run(batches):
+        chosen, best = shared.value, {}
+        for langs, doc, bucket, count in _entries(batches):
+            n = len(langs)
+            size = np.bincount(doc, count, n)
+            score = size
+            if len(chosen):
+                share, cell, far = count / size[doc], langs[doc] * BUCKETS + bucket, np.full(n, np.inf)
+                for c in chosen:
+                    there = c.ravel()[cell]
+                    far = np.minimum(far, np.bincount(doc, (share - there) ** 2 - there**2, n) + (c**2).sum(axis=1)[langs])
+                score = np.maximum(far, 0) * np.minimum(size, 100)
+            for i in np.unique(langs).tolist():
+                top = score[langs == i].max()
+                if i in best and top < best[i][0]:
+                    continue
+                for d in np.flatnonzero((langs == i) & (score == top)):
+                    mine = slice(*np.searchsorted(doc, [d, d + 1]))
+                    bag = np.bincount(bucket[mine], count[mine], BUCKETS).astype(np.float32).tobytes()
+                    best[i] = min(best.get(i, (top, bag)), (top, bag), key=lambda x: (-x[0], x[1]))
+        yield pa.RecordBatch.from_pydict({"lang": pa.array(list(best), pa.int32()), "far": pa.array([float(x[0]) for x in best.values()], pa.float64()), "bag": pa.array([x[1] for x in best.values()], pa.binary())})
+        trim()
+
+    return run
+
+
+def _mixtures(counted: DataFrame, n_langs: int, topics: int = TOPICS, rounds: int = FIT_ROUNDS) -> dict[int, np.ndarray]:
+    """``mixture`` of each language (its place) over all rows of ``_counted``."""
+    spark = counted.sparkSession
+    cast = spark.sparkContext.broadcast
+
+    def added(of, rows: int) -> np.ndarray:
+        """(rows x languages x columns), in Spark summed up per language."""
+        got = {r["lang"]: np.frombuffer(r["sums"], np.int64).reshape(rows, -1) for r in counted.mapInArrow(_sums(n_langs, rows, of), _SUMS).groupBy("lang").applyInArrow(_added, _SUMS).collect()}
+        none = np.zeros_like(next(iter(got.values()))) if got else np.zeros((rows, 1), np.int64)
+        return np.stack([got.get(i, none) for i in range(n_langs)], axis=1)
+
+    def shares(langs, doc, bucket, count):
+        share = np.rint(count / np.bincount(doc, count, len(langs))[doc] * STEPS)
+        return np.hstack((np.bincount(langs[doc] * BUCKETS + bucket, share, n_langs * BUCKETS).reshape(n_langs, -1), np.bincount(langs, minlength=n_langs)[:, None]))
+
+    first = added(shares, 1)[0]
+    docs = first[:, -1].astype(np.float64)
+    known = np.flatnonzero(docs)
+    if not len(known):
+        return {}
+    chosen = np.zeros((0, n_langs, BUCKETS))
+    for _ in range(topics):
+        sent, next_ = cast(chosen), np.zeros((1, n_langs, BUCKETS))
+        for r in counted.mapInArrow(_far(sent, n_langs), _FAR).groupBy("lang").applyInArrow(_farthest, _FAR).collect():
+            bag = np.frombuffer(r["bag"], np.float32).astype(np.float64)
+            next_[0, r["lang"]] = bag / bag.sum()
+        sent.unpersist()
+        chosen = np.concatenate((chosen, next_))
+    p = chosen + first[:, :-1] / STEPS / np.maximum(docs, 1)[:, None] + 1e-6
+    prior = np.full((topics, n_langs), 1 / topics)
+    for _ in range(rounds):
+        sent = cast((np.log(p / p.sum(axis=2, keepdims=True)).reshape(topics, -1), np.log(prior)))
+
+        def halves(langs, doc, bucket, count, sent=sent):
+            (logs, priors), cell, n = sent.value, langs[doc] * BUCKETS + bucket, len(langs)
+            like = np.stack([np.bincount(doc, count * row[cell], n) + before[langs] for row, before in zip(logs, priors, strict=True)])
+            z = np.exp(like - like.max(axis=0))
+            z = np.rint(z / z.sum(axis=0) * STEPS)
+            words = [np.bincount(cell, count * k[doc], n_langs * BUCKETS).reshape(n_langs, -1) for k in z]
+            return np.stack([np.hstack((w, np.bincount(langs, k, n_langs)[:, None])) for w, k in zip(words, z, strict=True)])
+
+        got = added(halves, topics) / STEPS
+        sent.unpersist()
+        prior = (got[:, :, -1] + 1) / (docs + topics)
+        words = got[:, :, :-1]
+        p = words + 0.1
+    logs, out = np.log(p / p.sum(axis=2, keepdims=True)), {}
+    for i in known.tolist():
+        order = np.argsort(-words[:, i].sum(axis=1), kind="stable")
+        out[i] = np.hstack((logs[:, i], np.log(prior[:, i])[:, None]))[order].astype(np.float32)
+    return out
+
+
+def fit_topics(docs: DataFrame, fit_docs: int | None = None, most_langs: int = LANGS) -> dict[str, np.ndarray]:
+    """A mixture for each language (null: ``(none)``) of the documents (doc_id, text, lang), fitted on all that have
+    words; repeated rows teach as often as they come, and whole texts count. Beyond ``most_langs`` languages the rarer
+    ones share a mixture, ``(others)``. A caller who asks for ``fit_docs`` has it fitted on at most so many documents,
+    equally many a language (rarer ones all), chosen by a hash of id and text together."""
     rows = docs.select("doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit("(none)")).alias("lang")).where(F.length("text") > 0)
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
     if not sizes:
         return {}
     rows = rows.withColumn("lang", F.when(F.col("lang").isin(list(sizes)), F.col("lang")).otherwise(OTHERS))
+    if fit_docs is None:
+        langs = sorted({*sizes, OTHERS})
+        counted = stored(rows.select("text", "lang").mapInArrow(_counted(langs), "langs binary, first binary, buckets binary, counts binary"), "bags")
+        models = _mixtures(counted, len(langs))
+        discard(counted)
+        return {langs[i]: m for i, m in models.items()}
     if len(sizes) == most_langs:
         rest = rows.where(F.col("lang") == OTHERS).count()
         sizes |= {OTHERS: rest} if rest else {}
@@ -95,7 +244,7 @@ def fit_topics(docs: DataFrame, fit_docs: int = FIT_DOCS, most_langs: int = LANG
     return {lang: mixture(np.stack(sorted(bags, key=lambda x: x.tobytes())).astype(np.float64)) for lang, bags in got.items()}
 
 
-def features(docs: DataFrame, topic: Column | None = None, fit_docs: int = FIT_DOCS, keep_text: bool = False) -> DataFrame:
+def features(docs: DataFrame, topic: Column | None = None, fit_docs: int | None = None, keep_text: bool = False) -> DataFrame:
     """``docs`` (doc_id, text, lang, ...), without text unless it is kept, with topic and tokens (its words). ``topic`` is a
     topic that the documents have; without it topics are fitted. A text without words has no topic. Columns named topic or tokens are replaced."""
     models = {} if topic is not None else fit_topics(docs, fit_docs)

@@ -173,3 +173,22 @@ def test_licence_tags():
     assert told("/* SPDX-License-Identifier: GPL-2.0-or-later */") == [("GPL-2.0-or-later-tag", True)]
     assert [ok for _, ok in told("# SPDX-License-Identifier: Apache-2.0 OR LicenseRef-own")] == [False]
     assert [ok for _, ok in told("# SPDX-License-Identifier: GPL-4.0-only")] == [False]
+
+
+def test_every_document_teaches_the_topics(spark):
+    """The fit over all rows against ``mixture`` of all their bags, and the same however the rows are dealt; a
+    sample of 4,096 of them gives another one."""
+    rng = np.random.default_rng(5)
+    words = [[f"{t}w{i}" for i in range(40)] for t in "abcd"]
+    rows = [(i, " ".join(rng.choice(words[min(3, int(rng.integers(7)) // 2)], int(rng.integers(20, 60)))), "xy"[i % 2], "s") for i in range(6000)]
+    docs = spark.createDataFrame(rows, FORM)
+    got, again = mixing.fit_topics(docs.repartition(3)), mixing.fit_topics(docs.repartition(7, "text"))
+    assert got.keys() == {"x", "y"} and all((got[k] == again[k]).all() for k in got)
+    bags = {"x": [], "y": []}
+    for _, text, lang, _ in rows:
+        data = np.frombuffer(text.encode(), np.uint8)
+        bags[lang].append(np.bincount((mixing.hashed_words(data, np.array([0, len(data)]))[1] >> np.uint64(54)).astype(np.int64), minlength=mixing.BUCKETS).astype(np.float32))
+    for lang, mine in bags.items():
+        want = mixing.mixture(np.stack(sorted(mine, key=lambda x: x.tobytes())).astype(np.float64))
+        assert got[lang] == pytest.approx(want, abs=1e-3)
+    assert got["x"][:, -1] != pytest.approx(mixing.fit_topics(docs, 4096)["x"][:, -1], abs=1e-6)
