@@ -23,9 +23,10 @@ def whole_words(col: Column) -> Column:
     return F.regexp_extract_all(F.lower(text(col)), F.lit(WORD), F.lit(0))
 
 
-def found(col: Column, terms: Iterable[str]) -> Column:
+def found(col: Column, terms: Iterable[str], said: Column | None = None) -> Column:
     """array<string>: the distinct lower-case terms that occur in the text as whole words, case aside. Terms that begin
-    or end with something else than a word's character (c++) are looked for one by one."""
+    or end with something else than a word's character (c++) are looked for one by one. ``said``: ``whole_words`` of the
+    text, where that is a column already."""
     known = sorted({t.lower() for t in terms if t})
     inside = {t: re.findall(r"\w+", t) for t in known}
     odd = [t for t in known if not inside[t] or not t.startswith(inside[t][0]) or not t.endswith(inside[t][-1])]
@@ -49,4 +50,4 @@ def found(col: Column, terms: Iterable[str]) -> Column:
         hits += [F.when(low.rlike(word_pattern([t])), words([t])).otherwise(words([])) for t in odd]
         return F.array_distinct(F.concat(*hits)) if hits else words([])
 
-    return let(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), look)
+    return let(whole_words(col), look) if said is None else look(said)

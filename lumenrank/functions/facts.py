@@ -9,7 +9,7 @@ from ..sources.policies import Policy
 from ..sources.policy_table import PolicyColumns
 from . import vocab as V
 from .dictionary import found
-from .text import any_of, contains_any, let, matches_any, text, tokens_word, words
+from .text import any_of, contains_any, let, matches_any, text, tokens_lower, tokens_word, words
 
 
 def terms_of(rules: list[tuple[str, list[str]]]) -> list[str]:
@@ -67,9 +67,11 @@ def infer_domain(col: Column, rules: list[tuple[str, list[str]]] = V.DOMAIN_RULE
     return let(let(found(col, terms_of(rules)) if have is None else have, counts), lambda a: _first_best([(name, a[i]) for i, name in enumerate(names)]))
 
 
-def generic_domain(col: Column, domains: list[tuple[str, list[str]]] = V.GENERIC_DOMAINS) -> Column:
-    """By token sets: the domain with most distinct tokens, ``ambiguous`` on a tie, ``unknown`` without any."""
-    tokens = F.array_distinct(tokens_word(F.lower(text(col))))
+def generic_domain(col: Column, domains: list[tuple[str, list[str]]] = V.GENERIC_DOMAINS, tokens: Column | None = None) -> Column:
+    """By token sets: the domain with most distinct tokens, ``ambiguous`` on a tie, ``unknown`` without any. ``tokens``: the
+    lower-case word tokens, or those of them that any domain has, where that is a column already."""
+    known = sorted({t for _, terms in domains for t in terms})
+    tokens = F.filter(tokens_lower(F.lower(text(col))) if tokens is None else tokens, lambda t: t.isin(known))
 
     def named(a: Column) -> Column:
         top = F.array_max(a)
@@ -109,12 +111,13 @@ def single_item(hits: Column) -> Column:
     return F.when(F.size(hits) == 1, F.element_at(hits, 1))
 
 
-def identity(query: Column, doc: Column, policy: Policy | PolicyColumns) -> Column:
+def identity(query: Column, doc: Column, policy: Policy | PolicyColumns, said: Column | None = None) -> Column:
     """struct of query_item, doc_items, same_item (null: the document names no item), domain_match (the same
-    as same_domain), domain_match_doc, domain_match_query, query_domain, doc_domain, their hits, same_domain."""
+    as same_domain), domain_match_doc, domain_match_query, query_domain, doc_domain, their hits, same_domain. ``said``: ``dictionary.whole_words`` of the document, where that is
+    a column already."""
     terms = [*item_terms(policy), *terms_of(V.DOMAIN_RULES)]
-    of = lambda c, i, h: let(found(c, terms), lambda have: F.struct(items(c, policy, have).alias(i), domain_hits(c, have=have).alias(h)))
-    both = F.struct(of(query, "qi", "qh").alias("q"), of(doc, "di", "dh").alias("d"))
+    of = lambda c, i, h, words_=None: let(found(c, terms, words_), lambda have: F.struct(items(c, policy, have).alias(i), domain_hits(c, have=have).alias(h)))
+    both = F.struct(of(query, "qi", "qh").alias("q"), of(doc, "di", "dh", said).alias("d"))
     raw = let(both, lambda r: F.struct(r["q"]["qi"].alias("qi"), r["d"]["di"].alias("di"), r["q"]["qh"].alias("qh"), r["d"]["dh"].alias("dh")))
     named = lambda r: F.struct(r["qi"].alias("qi"), r["di"].alias("di"), r["qh"].alias("qh"), r["dh"].alias("dh"), single_item(r["qi"]).alias("q"), choose_domain(r["qh"]).alias("qd"), choose_domain(r["dh"]).alias("dd"))
 

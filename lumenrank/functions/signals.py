@@ -6,35 +6,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab as V
-from .text import any_of, clamp01, computed, contained, contains_any, let, strip, text, tokens_letters, tokens_word
+from .text import any_of, ascii_only, clamp01, computed, contained, contains_any, let, same_in_lower, strip, text, tokens_letters, tokens_lower, tokens_word
 
 
 def count_in(tokens: Column, values: list[str]) -> Column:
     return F.size(F.filter(tokens, lambda t: t.isin(values)))
 
 
+#: All words that a document's quality, kind and action score look for.
+DOC_WORDS = sorted({
+    *V.ACTION_VERBS, *V.PART_WORDS, *(p + "s" for p in V.PART_WORDS), *V.SCHEDULE_TOKENS, *V.KIND_REPAIR_TOKENS, *V.KIND_MAINTENANCE_TOKENS, *V.INTENT_DIAGNOSE, *V.INTENT_OVERVIEW,
+})
+
+
 def step_marker(low: Column) -> Column:
     """A numbered item, or any marker as a substring (of lower-case text)."""
-    return low.rlike(r"(^|\s)\d+[.)]\s") | contains_any(low, V.STEP_MARKERS)
+    return contains_any(low, V.STEP_MARKERS) | low.rlike(r"(^|\s)\d+[.)]\s")
 
 
 def step_bullets(col: Column) -> Column:
     return F.regexp_count(text(col), F.lit(V.STEP_BULLET))
 
 
-def distinct_verbs(col: Column) -> Column:
-    """How many different procedure verbs occur as whole words."""
+def distinct_verbs(col: Column, said: Column | None = None) -> Column:
+    """How many different procedure verbs occur as whole words. ``said``: ``dictionary.whole_words`` of the text, where that
+    is a column already; ASCII texts are not searched again."""
     found = F.regexp_extract_all(text(col), F.lit(r"(?i)\b(" + "|".join(V.PROCEDURE_VERBS) + r")\b"), F.lit(1))
-    return F.size(F.array_distinct(F.transform(found, F.lower)))
+    searched = F.size(F.array_distinct(F.transform(found, F.lower)))
+    if said is None:
+        return searched
+    return F.when(ascii_only(col), F.size(F.array_distinct(F.filter(said, lambda t: t.isin(list(V.PROCEDURE_VERBS)))))).otherwise(searched)
 
 
 def separators(col: Column) -> Column:
     return F.regexp_count(text(col), F.lit(V.STEP_SEPARATOR))
 
 
-def procedure_signal(col: Column) -> Column:
+def procedure_signal(col: Column, said: Column | None = None) -> Column:
     """4 x bullets + 2 x different verbs + separators, at most 8 of these."""
-    return step_bullets(col) * 4 + distinct_verbs(col) * 2 + F.least(separators(col), F.lit(8))
+    return step_bullets(col) * 4 + distinct_verbs(col, said) * 2 + F.least(separators(col), F.lit(8))
 
 
 def step_summary(col: Column) -> Column:
@@ -46,16 +56,16 @@ def step_summary(col: Column) -> Column:
     )
 
 
-def quality_signals(col: Column, tokens: Column | None = None, low: Column | None = None) -> Column:
+def quality_signals(col: Column, tokens: Column | None = None, low: Column | None = None, hits: Column | None = None) -> Column:
     """struct: action_verbs, has_step_markers, length_chars, length_tokens, punct_signals, explanatory_hints. The
-    stripped lower-case text and its tokens are made once unless they are given."""
+    stripped lower-case text and its tokens are made once unless they are given; ``hits``: the tokens that are DOC_WORDS."""
     if low is None:
         return let(F.lower(strip(col)), lambda x: quality_signals(col, tokens, x))
     if tokens is None:
-        return let(tokens_word(low), lambda x: quality_signals(col, x, low))
+        return let(tokens_lower(low), lambda x: quality_signals(col, x, low))
     raw = text(col)
     return F.struct(
-        count_in(tokens, V.ACTION_VERBS).alias("action_verbs"), step_marker(low).alias("has_step_markers"), F.length(raw).alias("length_chars"),
+        count_in(tokens if hits is None else hits, V.ACTION_VERBS).alias("action_verbs"), step_marker(low).alias("has_step_markers"), F.length(raw).alias("length_chars"),
         F.size(tokens).alias("length_tokens"), F.regexp_count(raw, F.lit("[,;]")).alias("punct_signals"), contained(low, V.EXPLANATORY_HINTS).alias("explanatory_hints"),
     )
 
@@ -85,22 +95,31 @@ def gated_quality(col: Column, signals: Column | None = None, parts: Column | No
     return F.struct(*kept, parts.alias("part_terms"), procedural.alias("procedural"), clamp01(score).alias("quality_score"))
 
 
+def with_words(rows: DataFrame, doc: str = "text") -> DataFrame:
+    """``rows`` with the stripped lower-case text of the column ``doc`` (_low), its tokens (_words) and those of them that are
+    DOC_WORDS (_hits), each made once per row."""
+    rows = computed(rows, _low=F.lower(strip(F.col(doc))))
+    rows = computed(rows, _words=tokens_lower(F.col("_low")))
+    return computed(rows, _hits=F.filter("_words", lambda t: t.isin(DOC_WORDS)))
+
+
 def with_quality(rows: DataFrame, doc: str = "text", name: str = "q") -> DataFrame:
-    """``rows`` with ``gated_quality`` of the column ``doc`` and its lower-case tokens (_words), each pass over the text
-    made once per row."""
+    """``rows`` with ``gated_quality`` of the column ``doc`` and the columns of ``with_words``."""
     d = F.col(doc)
-    rows = computed(rows, _low=F.lower(strip(d)))
-    rows = computed(rows, _words=tokens_word(F.col("_low")))
-    rows = computed(rows, _s=quality_signals(d, F.col("_words"), F.col("_low")), _parts=part_terms(d, F.col("_words")))
-    return computed(rows, **{name: gated_quality(d, F.col("_s"), F.col("_parts"))}).drop("_s", "_parts", "_low")
+    rows = with_words(rows, doc)
+    rows = computed(rows, _s=quality_signals(d, F.col("_words"), F.col("_low"), F.col("_hits")), _parts=part_terms(d, F.col("_hits")))
+    return computed(rows, **{name: gated_quality(d, F.col("_s"), F.col("_parts"))}).drop("_s", "_parts")
 
 
-def action_score(col: Column, quality: Column) -> Column:
-    """0.5, more for procedural hits, schedule words and parts, less for a year."""
+def action_score(col: Column, quality: Column, said: Column | None = None) -> Column:
+    """0.5, more for procedural hits, schedule words and parts, less for a year. ``said``: the text's lower-case tokens, or
+    those of them that are DOC_WORDS, where that is a column already."""
+    tokens = tokens_word(col) if said is None else F.when(same_in_lower(col), said).otherwise(tokens_word(col))
+    year = (F.contains(text(col), F.lit("19")) | F.contains(text(col), F.lit("20"))) & text(col).rlike(V.YEAR)
     hits = quality["action_verbs"] + F.when(quality["has_step_markers"], 2).otherwise(0) + F.least(quality["punct_signals"], F.lit(3))
     score = (
-        F.lit(0.5) + F.when(hits >= 5, 0.2).when(hits >= 3, 0.1).otherwise(0.0) + F.when(any_of(tokens_word(col), V.SCHEDULE_TOKENS), 0.1).otherwise(0.0)
-        + F.when(quality["part_terms"] > 0, 0.1).otherwise(0.0) - F.when(text(col).rlike(V.YEAR), 0.1).otherwise(0.0)
+        F.lit(0.5) + F.when(hits >= 5, 0.2).when(hits >= 3, 0.1).otherwise(0.0) + F.when(any_of(tokens, V.SCHEDULE_TOKENS), 0.1).otherwise(0.0)
+        + F.when(quality["part_terms"] > 0, 0.1).otherwise(0.0) - F.when(year, 0.1).otherwise(0.0)
     )
     return clamp01(score)
 

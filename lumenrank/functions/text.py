@@ -39,9 +39,24 @@ def strip(col: Column) -> Column:
     return F.btrim(text(col), F.lit(" \t\n\x0b\f\r"))
 
 
+def ascii_only(col: Column) -> Column:
+    return F.octet_length(text(col)) == F.length(text(col))
+
+
+def alnum_runs(col: Column, said: Column | None = None) -> Column:
+    """Lower-case ASCII letter-digit runs. ``said``: ``dictionary.whole_words`` of the text, where that is a column
+    already; they are the same in ASCII texts without underscores."""
+    runs = F.regexp_extract_all(F.lower(text(col)), F.lit("[a-z0-9]+"), F.lit(0))
+    return runs if said is None else F.when(ascii_only(col) & ~F.contains(text(col), F.lit("_")), said).otherwise(runs)
+
+
+def _kept(t: Column) -> Column:
+    return (F.length(t) >= 3) & ~t.isin(V.STOPWORDS)
+
+
 def tokens_alnum(col: Column) -> Column:
     """Lower-case ASCII letter-digit runs of three or more that aren't stopwords (repeats kept)."""
-    return F.filter(F.regexp_extract_all(F.lower(text(col)), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: (F.length(t) >= 3) & ~t.isin(V.STOPWORDS))
+    return F.filter(alnum_runs(col), _kept)
 
 
 def tokens_word(col: Column) -> Column:
@@ -49,6 +64,16 @@ def tokens_word(col: Column) -> Column:
     return F.transform(F.regexp_extract_all(text(col), F.lit("[a-zA-Z]+(?:[-'][a-zA-Z]+)?"), F.lit(0)), F.lower)
 
 
+def tokens_lower(low: Column) -> Column:
+    """``tokens_word`` of a text that is in lower case."""
+    return F.regexp_extract_all(low, F.lit("[a-z]+(?:[-'][a-z]+)?"), F.lit(0))
+
+
+def same_in_lower(col: Column) -> Column:
+    """Whether the text has no letter outside ASCII whose lower case is, or begins with, one inside (K, \u0130)."""
+    return ~F.contains(text(col), F.lit("\u212a")) & ~F.contains(text(col), F.lit("\u0130"))
+
+
 def tokens_letters(col: Column) -> Column:
     """Distinct lower-case letter runs."""
     return F.array_distinct(F.regexp_extract_all(F.lower(text(col)), F.lit("[a-zA-Z]+"), F.lit(0)))
@@ -74,9 +99,10 @@ def canonical(token: Column, synonyms: Mapping[str, str] | Column) -> Column:
     return F.coalesce(F.try_element_at(table, base), base)
 
 
-def keyword_set(col: Column, synonyms: Mapping[str, str] | Column, expansion: Mapping[str, Iterable[str]] | None = None) -> Column:
-    """Distinct canonical tokens; ``expansion`` (off by default) adds each token's related words."""
-    base = F.array_distinct(F.transform(tokens_alnum(col), lambda t: canonical(t, synonyms)))
+def keyword_set(col: Column, synonyms: Mapping[str, str] | Column, expansion: Mapping[str, Iterable[str]] | None = None, said: Column | None = None) -> Column:
+    """Distinct canonical tokens, each token looked at once; ``expansion`` (off by default) adds each token's related
+    words. ``said``: see ``alnum_runs``."""
+    base = F.array_distinct(F.transform(F.filter(F.array_distinct(alnum_runs(col, said)), _kept), lambda t: canonical(t, synonyms)))
     if not expansion:
         return base
     table = F.create_map(*[x for k, vs in sorted(expansion.items()) for x in (F.lit(k), words(sorted(vs)))])
@@ -120,10 +146,11 @@ def matches_any(col: Column, terms: Iterable[str]) -> Column:
     return text(col).rlike(word_pattern(terms)) if terms else F.lit(False)
 
 
-def overlap_count(a: Column, b: Column) -> Column:
-    """Distinct shared word tokens of three letters or more that aren't stopwords."""
+def overlap_count(a: Column, b: Column, tokens: Column | None = None) -> Column:
+    """Distinct shared word tokens of three letters or more that aren't stopwords. ``tokens``: ``tokens_word`` of b, where
+    that is a column already."""
     keep = lambda c: F.filter(tokens_word(c), lambda t: (F.length(t) >= 3) & ~t.isin(V.OVERLAP_STOPWORDS))
-    return F.size(F.array_intersect(keep(a), keep(b)))
+    return F.size(F.array_intersect(keep(a), tokens_word(b) if tokens is None else tokens))
 
 
 def clamp01(col: Column) -> Column:

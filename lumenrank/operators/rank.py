@@ -53,10 +53,14 @@ def gated(scored: DataFrame, policy: Policy | PolicyColumns, id_col: str = "quer
     one = Window.partitionBy(id_col)
     ambiguous = A.ambiguous_gated(q, policy)
     rows = T.computed(scored, mode=F.when(ambiguous, "AMBIGUOUS").otherwise("SPECIFIC")).withColumn("tier", F.when(F.col("mode") == "AMBIGUOUS", F.col("bucket")).otherwise(clamp(F.col("bucket"), f)).cast("int"))
-    rows = rows.withColumn("_last", F.greatest(F.lit(1), F.count("*").over(one) - 1))
-    rows = T.computed(rows, _q=S.gated_quality(d), query_intent=S.query_intent(q), _overlap=T.overlap_count(q, d), _sim=F.coalesce("similarity", 1.0 - F.col("request_index") / F.col("_last")), _short=F.size(T.tokens_word(q)) <= 1)
-    rows = T.computed(rows, doc_kind=S.kind_gated(d, F.col("_q")), _action=S.action_score(d, F.col("_q")))
+    # all that the texts say comes before the rows are dealt by query, so texts that nobody asks for stay behind
+    rows = S.with_quality(rows, name="_q")
+    low, words, hits = F.col("_low"), F.col("_words"), F.col("_hits")
+    said = F.when(T.same_in_lower(d), words).otherwise(T.tokens_word(d))
+    rows = T.computed(rows, query_intent=S.query_intent(q), _overlap=T.overlap_count(q, d, said), _short=F.size(T.tokens_word(q)) <= 1, doc_kind=S.kind_gated(d, F.col("_q"), hits, low), _action=S.action_score(d, F.col("_q"), hits)).drop("_low", "_words", "_hits")
     rows = T.computed(rows, intent_fit=S.fit_gated(F.col("query_intent"), F.col("doc_kind")))
+    rows = rows.withColumn("_last", F.greatest(F.lit(1), F.count("*").over(one) - 1))
+    rows = rows.withColumn("_sim", F.coalesce("similarity", 1.0 - F.col("request_index") / F.col("_last")))
     rows = rows.withColumn("final_rank", F.when(F.col("tier") > 0, F.col("_action") * F.col("intent_fit")).otherwise(0.0))
     flat = (F.max("tier").over(one) == F.min("tier").over(one)) | (F.size(F.collect_set("tier").over(one)) <= 2)
     blend = ((F.col("mode") == "AMBIGUOUS") | F.col("_short")) & flat
@@ -93,8 +97,10 @@ def generic(scored: DataFrame, id_col: str = "query_id", diversify: bool = False
     low-signal rows of ambiguous queries kept. ``diversify`` really puts each domain's best accepted row of
     an ambiguous query first."""
     q, d = F.col("query"), F.col("text")
-    rows = T.computed(scored, query_intent=S.query_intent(q), query_domain=A.generic_domain(q), doc_domain=A.generic_domain(d), _s=S.quality_signals(d), mode=F.when(A.ambiguous_generic(q), "AMBIGUOUS").otherwise("SPECIFIC"))
-    rows = T.computed(rows, doc_kind=S.kind_generic(d, F.col("_s")))
+    rows = S.with_words(scored)
+    low, words, hits = F.col("_low"), F.col("_words"), F.col("_hits")
+    rows = T.computed(rows, query_intent=S.query_intent(q), query_domain=A.generic_domain(q), doc_domain=A.generic_domain(d, tokens=words), _s=S.quality_signals(d, words, low, hits), mode=F.when(A.ambiguous_generic(q), "AMBIGUOUS").otherwise("SPECIFIC"))
+    rows = T.computed(rows, doc_kind=S.kind_generic(d, F.col("_s"), hits, low)).drop("_low", "_words", "_hits")
     rows = T.computed(rows, intent_fit=S.fit_generic(F.col("query_intent"), F.col("doc_kind")))
     other = ~F.col("query_domain").isin("unknown", "ambiguous") & ~F.col("doc_domain").isin("unknown", "ambiguous") & (F.col("query_domain") != F.col("doc_domain"))
     base = T.clamp01(F.col("_s.action_verbs") / 4.0 * F.col("intent_fit"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import facts as A
 from ..functions import signals as S
 from ..functions import text as T
+from ..functions.dictionary import whole_words
 from ..functions.parsers import fallback_fine, parse_bucket, parse_fine
 from ..sources.policies import Policy
 from ..sources.policy_table import PolicyColumns
@@ -25,9 +26,9 @@ Words = Policy | PolicyColumns
 ALWAYS = 5
 
 
-def keyword_sets(rows: DataFrame, policy: Words, query: str = "query", doc: str = "text") -> DataFrame:
+def keyword_sets(rows: DataFrame, policy: Words, query: str = "query", doc: str = "text", said: Column | None = None) -> DataFrame:
     """``rows`` with the keyword sets of query and document, each made once: query_keys, doc_keys."""
-    return T.computed(rows, query_keys=T.keyword_set(F.col(query), policy.synonym_map), doc_keys=T.keyword_set(F.col(doc), policy.synonym_map))
+    return T.computed(rows, query_keys=T.keyword_set(F.col(query), policy.synonym_map), doc_keys=T.keyword_set(F.col(doc), policy.synonym_map, said=said))
 
 
 def overlap_tier(query_keys: Column, doc_keys: Column, policy: Words) -> Column:
@@ -65,10 +66,11 @@ def rule_bucket(doc: Column, facts: Column) -> Column:
 def prepare(rows: DataFrame, policy: Words, with_facts: bool = True) -> DataFrame:
     """Request rows with facts, tier, tie_breaker and gate (null: goes to the scorer; else why not)."""
     q, d = F.col("query"), F.col("text")
-    facts = A.identity(q, d, policy if with_facts else Policy())
-    sets = keyword_sets(rows, policy)
+    said = F.col("_said")
+    facts = A.identity(q, d, policy if with_facts else Policy(), said)
+    sets = keyword_sets(T.computed(rows, _said=whole_words(d)), policy, said=said)
     qk, dk = F.col("query_keys"), F.col("doc_keys")
-    out = T.computed(sets, facts=facts, overlap_tier=overlap_tier(qk, dk, policy), _allowed=domain_gate(qk, dk, policy), _signal=S.procedure_signal(d)).drop("query_keys", "doc_keys")
+    out = T.computed(sets, facts=facts, overlap_tier=overlap_tier(qk, dk, policy), _allowed=domain_gate(qk, dk, policy), _signal=S.procedure_signal(d, said)).drop("query_keys", "doc_keys", "_said")
     late = F.col("request_index") >= ALWAYS
     gate = F.when(late & (F.col("overlap_tier") == 0), "tier_0").when(late & ~F.col("_allowed"), "domain")
     return out.withColumns({"tie_breaker": F.col("overlap_tier") * 100 + F.col("_signal"), "gate": gate}).drop("_allowed", "_signal")

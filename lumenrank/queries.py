@@ -15,6 +15,7 @@ from .functions import signals as S
 from .functions import text as T
 from .functions.dictionary import found
 from .operators import evaluate, fallback, ordered, rank, retrieve, score, stateful
+from .operators.tables import stored
 from .plans.api import Options, fine_pass, rerank
 from .sources.corpora import relevance_rows, responses
 from .sources.policies import Policy, PolicyStore
@@ -245,7 +246,7 @@ def _corpus_gated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _corpus_final(spark: SparkSession, d: str) -> DataFrame:
-    got = _corpus_gated(spark, d)
+    got = stored(_corpus_gated(spark, d), "gated")  # read twice: for the candidates and for their scores
     said = F.element_at(F.array(*[F.lit(x) for x in ("77", "{bad}", "FINE_SCORE: 41%", "0.66", "")]), (F.abs("original_index") % 5 + 1).cast("int"))
     outputs = score.fine_candidates(got).select("query_id", "original_index", said.alias("raw"), F.lit(None).cast("string").alias("error"))
     return rank.final_order(score.merge_fine(got, outputs))

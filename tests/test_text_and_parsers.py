@@ -161,3 +161,40 @@ def test_signals_are_the_same_from_given_tokens_and_long_blanks_cost_no_more(spa
     assert [r["q"] for r in alone] == [r["q"] for r in shared]
     assert [r["q"]["part_terms"] > 0 for r in alone] == [False, False, False, True, True, True]
     assert [r["k"] for r in alone[:3]] == ["UNKNOWN"] * 3
+
+
+def test_words_made_once_say_what_each_text_says(spark):
+    """Signals from the shared words of a text against those that read it themselves, on texts where the forms of words differ."""
+    from lumenrank.functions import dictionary as D
+    from lumenrank.functions import facts as A
+    from lumenrank.functions import signals as S
+    from lumenrank.functions import vocab as V
+
+    texts = [
+        None, "", "Check the o-ring, don't OPEN it. Fix1 fix 1fix", "check_valve open_ _close replace2 re-install", "Kheck Kiosk sKip the routine", "İnspect the İnterval schedule", "éopen opén cleané run",
+        "1. Turn off\n2. Drain water in 1999 1.", "schedule maintenance tires 2024 then clean, clean; repair", "ſrun café_car engine water heater tubs",
+    ]
+    t, said = F.col("text"), F.col("said")
+    rows = T.computed(spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id int, text string"), said=D.whole_words(t))
+    rows = S.with_quality(rows)
+    low, words, hits = F.col("_low"), F.col("_words"), F.col("_hits")
+    query = F.lit("fix the o-ring routine kiosk skip open clean car")
+    same = [
+        (S.distinct_verbs(t), S.distinct_verbs(t, said)), (S.procedure_signal(t), S.procedure_signal(t, said)), (T.keyword_set(t, {}), T.keyword_set(t, {}, said=said)), (S.gated_quality(t), F.col("q")),
+        (F.array_distinct(F.transform(T.tokens_alnum(t), lambda x: T.canonical(x, {}))), T.keyword_set(t, {}, said=said)), (T.tokens_word(F.lower(T.text(t))), words),
+        (D.found(t, A.terms_of(V.DOMAIN_RULES)), D.found(t, A.terms_of(V.DOMAIN_RULES), said)), (S.kind_gated(t, F.col("q")), S.kind_gated(t, F.col("q"), hits, low)), (S.kind_generic(t, F.col("q")), S.kind_generic(t, F.col("q"), hits, low)),
+        (S.action_score(t, F.col("q")), S.action_score(t, F.col("q"), hits)), (T.overlap_count(query, t), T.overlap_count(query, t, F.when(T.same_in_lower(t), words).otherwise(T.tokens_word(t)))),
+        (A.generic_domain(t), A.generic_domain(t, tokens=words)), (S.quality_signals(t), S.quality_signals(t, words, low, hits)),
+    ]
+    got = rows.select("id", *[c.alias(f"{side}{i}") for i, pair in enumerate(same) for side, c in zip("ab", pair, strict=True)]).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        for i in range(len(same)):
+            assert r[f"a{i}"] == r[f"b{i}"], (texts[r["id"]], i)
+    assert [r["b0"] for r in got][:4] == [0, 0, 2, 1]
+
+
+def test_texts_are_read_once_for_the_final_order(spark, sf_dir):
+    from lumenrank import queries
+
+    assert not any("documents" in f for f in queries.corpus_final(spark, sf_dir).inputFiles())
