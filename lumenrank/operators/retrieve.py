@@ -52,6 +52,19 @@ def _held(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table | Non
     return ids, m, np.linalg.norm(m, axis=1), None if row["extra"] is None or not row["extra"].size else pa.ipc.open_stream(row["extra"]).read_all()
 
 
+def _cosines(q: np.ndarray, m: np.ndarray, size: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """Cosines of queries and rows, ``NO_COSINE`` where there is none; one tile of memory, and a few rows of it beside."""
+    if m.shape[1] != q.shape[1]:
+        return np.full((len(q), len(m)), NO_COSINE)
+    near = q @ m.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for at in range(0, len(q), 32):
+            part = near[at : at + 32]
+            part /= size[at : at + 32] * norms[None]
+            part[~np.isfinite(part)] = NO_COSINE
+    return near
+
+
 def _answer(k: int, keep: list[str], exclude_same_id: bool) -> Callable[[list, dict], Iterator[pa.RecordBatch]]:
     def run(held: list, query: dict) -> Iterator[pa.RecordBatch]:
         all_ids, all_q = tiles.matrix(query)
@@ -60,11 +73,7 @@ def _answer(k: int, keep: list[str], exclude_same_id: bool) -> Callable[[list, d
             qids, q = all_ids[at : at + step], all_q[at : at + step]
             size, parts = np.linalg.norm(q, axis=1)[:, None], []
             for n, (ids, m, norms, _) in enumerate(held):
-                near = np.full((len(qids), len(ids)), NO_COSINE)
-                if m.shape[1] == q.shape[1]:
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        cos = (q @ m.T) / (size * norms[None])
-                    near = np.where(np.isfinite(cos), cos, NO_COSINE)
+                near = _cosines(q, m, size, norms)
                 if exclude_same_id:
                     tiles.mask_own(near, qids, ids)
                 i, j = tiles.best(near, k)

@@ -8,6 +8,7 @@ bounded by a slot and one block of queries.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,6 +21,14 @@ from pyspark.sql import functions as F
 ROWS, QUERIES, SLOT_BYTES, AREA = 8192, 1024, 64 << 20, 1 << 22
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: Python workers live on after their task."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def _ipc(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as writer:
@@ -62,6 +71,8 @@ def _packer(rows: int, scale: int, finite: bool):
             if len(ids):
                 n += 1
                 yield block(f"{part}-{n}", ids, m, extra)
+        del held
+        trim()
 
     return run
 
@@ -116,6 +127,8 @@ def search(blocks: DataFrame, queries: DataFrame, slots: int, prepare: Callable[
                     held.append(prepare(r))
                 elif held:
                     yield from answer(held, r)
+        held, r, b = [], None, None
+        trim()
 
     return both.mapInArrow(run, schema)
 

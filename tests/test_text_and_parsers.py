@@ -198,3 +198,24 @@ def test_texts_are_read_once_for_the_final_order(spark, sf_dir):
     from lumenrank import queries
 
     assert not any("documents" in f for f in queries.corpus_final(spark, sf_dir).inputFiles())
+
+
+def test_cosines_take_little_beside_their_tile():
+    import tracemalloc
+
+    import numpy as np
+
+    from lumenrank.operators import retrieve
+
+    rng = np.random.default_rng(1)
+    q, m = rng.normal(size=(512, 16)), rng.normal(size=(4096, 16))
+    q[3], m[5], m[6, 0] = 0, 0, np.nan
+    size, norms = np.linalg.norm(q, axis=1)[:, None], np.linalg.norm(m, axis=1)
+    tracemalloc.start()
+    got = retrieve._cosines(q, m, size, norms)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        want = (q @ m.T) / (size * norms[None])
+    assert (got == np.where(np.isfinite(want), want, retrieve.NO_COSINE)).all() and peak < 1.5 * got.nbytes
+    assert (retrieve._cosines(q[:, :3], m, size, norms) == retrieve.NO_COSINE).all()
