@@ -8,15 +8,14 @@ from pyspark.sql import functions as F
 from .text import let, strip, text
 
 
-def _unquoted(raw: Column) -> Column:
-    """Back-ticks off both ends, then one pair of matching quotes."""
-    bare = strip(F.regexp_replace(strip(raw), r"^`+|`+$", ""))
-    return strip(F.regexp_replace(bare, r"(?s)^([\"'])(.*)\1$", "$2"))
+def _braced(t: Column) -> Column:
+    """The text from the first brace to the last, or empty."""
+    return F.when(F.contains(t, F.lit("{")), F.regexp_extract(t, r"(?s)^[^{]*(\{.*\})", 1)).otherwise("")
 
 
-def _json(t: Column) -> Column:
-    """The text's JSON object (from the first brace to the last), or null."""
-    return F.try_parse_json(F.regexp_extract(t, r"(?s)\{.*\}", 0))
+def _parsed(braced: Column) -> Column:
+    """JSON of ``_braced``, or null. A failing parse throws inside, so texts without braces don't get there."""
+    return F.when(braced != "", F.try_parse_json(braced))
 
 
 def _number(doc: Column, keys: list[str]) -> Column:
@@ -48,20 +47,19 @@ def few_shot_bucket(score: Column) -> Column:
 
 def parse_bucket(raw: Column) -> Column:
     """0 to 3 or null. A JSON score counts as a bucket (7 and 10 as steps, others to the nearest step);
-    otherwise the rightmost integer that the old scale knows."""
+    otherwise the rightmost integer that the old scale knows. Quotes and back-ticks around change neither."""
 
     def of_json(n: Column) -> Column:
         return let(F.when(n < 0, F.ceil(n)).otherwise(F.floor(n)), lambda x: F.when(x.between(0, 3), x).when(x == 7, 2).when(x == 10, 3).otherwise(nearest_bucket(x)).cast("int"))
 
     def scan(t: Column) -> Column:
-        numbers = F.reverse(F.regexp_extract_all(t, F.lit(r"\d+"), F.lit(0)))
-        mapped = F.filter(F.transform(numbers, lambda d: let(d.try_cast("bigint"), legacy_bucket)), lambda b: b.isNotNull())
-        return F.try_element_at(mapped, F.lit(1)).cast("int")
+        return let(F.regexp_extract(t, r"(?s)^.*(?<!\d)0*(10|[01237])(?!\d)", 1), lambda x: F.when(x != "", legacy_bucket(x.cast("int"))))
 
-    def both(t: Column) -> Column:
-        return let(let(_json(t), lambda d: _number(d, ["score", "SCORE", "Score"])), lambda n: F.when(n.isNotNull(), of_json(n)).otherwise(scan(t)))
+    def both(t: Column, braced: Column) -> Column:
+        said = F.when(braced != "", let(_parsed(braced), lambda d: _number(d, ["score", "SCORE", "Score"])))
+        return let(said, lambda n: F.when(n.isNotNull(), of_json(n)).otherwise(scan(t)))
 
-    return F.when(text(raw) != "", let(_unquoted(raw), both))
+    return let(text(raw), lambda t: F.when(t != "", let(_braced(t), lambda b: both(t, b))))
 
 
 def percent(x: Column) -> Column:
@@ -71,31 +69,34 @@ def percent(x: Column) -> Column:
 
 def parse_fine(raw: Column) -> Column:
     """struct(score int, error string): JSON, a labelled number, a percentage, or the rightmost number, in
-    this order; numbers up to 1 without a percent sign are shares."""
-    share = lambda x: percent(F.when(x <= 1, x * 100).otherwise(x))
-    label = r"(?i)(?:fine[_ ]?score|score|tie)\s*\"?\s*[:=]\s*(-?\d+(?:\.\d+)?)(%?)"
+    this order; numbers up to 1 without a percent sign are shares. What a text doesn't need is not looked for."""
+    label = r"(?i)(?:fine[_ ]?score|score|tie)\s*(?:\"\s*)?[:=]\s*(-?\d+(?:\.\d+)?%?)"
+    within = lambda x: percent(F.greatest(F.lit(-1.0), F.least(F.lit(100.0), x)))
+    share = lambda x: within(F.when(x <= 1, x * 100).otherwise(x))
 
-    def found(t: Column) -> Column:
-        return F.struct(
-            t.alias("t"), (F.regexp_extract(t, r"(?s)\{.*\}", 0) != "").alias("braced"), _json(t).isNotNull().alias("valid"),
-            let(_json(t), lambda d: _number(d, ["fine_score", "score", "tie"])).alias("n"),
-            F.regexp_extract(t, label, 1).try_cast("double").alias("labelled"), F.regexp_extract(t, label, 2).alias("sign"),
-            F.regexp_extract(t, r"(-?\d+(?:\.\d+)?)\s*%", 1).try_cast("double").alias("pct"),
-            F.try_element_at(F.regexp_extract_all(t, F.lit(r"-?\d+(?:\.\d+)?"), F.lit(0)), F.lit(-1)).try_cast("double").alias("last"),
-        )
+    def last(t: Column) -> Column:
+        return let(F.try_element_at(F.regexp_extract_all(t, F.lit(r"-?\d+(?:\.\d+)?"), F.lit(0)), F.lit(-1)).try_cast("double"), lambda x: F.when(x.isNotNull(), share(x)))
 
-    def scored(v: Column) -> Column:
-        return (
-            F.when((v["t"] == "") | (v["braced"] & ~v["valid"]), F.lit(None).cast("int")).when(v["n"].isNotNull(), share(v["n"]))
-            .when(v["labelled"].isNotNull(), F.when(v["sign"] == "%", percent(v["labelled"])).otherwise(share(v["labelled"])))
-            .when(v["pct"].isNotNull(), percent(v["pct"])).when(v["last"].isNotNull(), share(v["last"]))
-        )
+    def signed(t: Column) -> Column:
+        part = F.when(F.contains(t, F.lit("%")), F.regexp_extract(t, r"(-?\d+(?:\.\d+)?)\s*%", 1)).otherwise("")
+        return let(part, lambda p: F.when(p != "", within(p.try_cast("double"))).otherwise(last(t)))
 
-    def ended(v: Column) -> Column:
-        error = lambda x: F.when(v["t"] == "", "empty_output").when(v["braced"] & ~v["valid"], "json_parse_failed").when(x.isNull(), "parse_failed")
-        return let(scored(v), lambda x: F.struct(x.alias("score"), error(x).alias("error")))
+    def plain(t: Column) -> Column:
+        said = lambda m: F.when(m.endswith("%"), within(F.rtrim(m, F.lit("%")).try_cast("double"))).otherwise(let(m.try_cast("double"), share))
+        return let(F.regexp_extract(t, label, 1), lambda m: F.when(m != "", said(m)).otherwise(signed(t)))
 
-    return let(let(strip(raw), found), ended)
+    def ended(score: Column) -> Column:
+        return let(score, lambda x: F.struct(x.alias("score"), F.when(x.isNull(), "parse_failed").alias("error")))
+
+    def failed(error: str) -> Column:
+        return F.struct(F.lit(None).cast("int").alias("score"), F.lit(error).alias("error"))
+
+    def found(t: Column, braced: Column, d: Column) -> Column:
+        said = F.when(d.isNotNull(), _number(d, ["fine_score", "score", "tie"]))
+        score = let(said, lambda n: F.when(n.isNotNull(), share(n)).otherwise(plain(t)))
+        return F.when(t == "", failed("empty_output")).when((braced != "") & d.isNull(), failed("json_parse_failed")).otherwise(ended(score))
+
+    return let(strip(raw), lambda t: let(_braced(t), lambda b: let(_parsed(b), lambda d: found(t, b, d))))
 
 
 def fallback_fine(fit: Column, similarity: Column) -> Column:
@@ -106,8 +107,8 @@ def fallback_fine(fit: Column, similarity: Column) -> Column:
 def parse_legacy_scale(raw: Column) -> Column:
     """struct(score, reason): a model output on the old scale 0, 3, 7, 10: JSON, a labelled score, or the
     first bare one."""
-    t = _unquoted(raw)
-    n = F.floor(_number(_json(t), ["score", "SCORE", "Score"]))
+    t = text(raw)
+    n = F.floor(let(let(_braced(t), _parsed), lambda d: F.when(d.isNotNull(), _number(d, ["score", "SCORE", "Score"]))))
     tag = F.regexp_extract(t, r"(?i)\bscore\s*[:=]\s*(10|7|3|0)\b", 1)
     bare = F.regexp_extract(t, r"\b(10|7|3|0)\b", 1)
     found = F.when(text(raw) == "", F.lit("empty_output")).when(n.isin(0, 3, 7, 10), "json").when(tag != "", "score_tag").when(bare != "", "bare_token").otherwise("no_match")

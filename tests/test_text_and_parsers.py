@@ -25,6 +25,15 @@ def test_parse_fine_goldens(spark):
     assert [r["p"]["error"] for r in rows] == X.FINE_ERRORS
 
 
+def test_parse_numbers_of_any_size_and_json_only_where_braces_are(spark):
+    raws = ["score: 9999999999", "12345678901 %", '{"score": 1e30}', "-99999999999", "7 99999999999999999999999", "0" * 30 + "7", "{" * 20_000, "{} score: 3", "'10'", None]
+    df = spark.createDataFrame(list(enumerate(raws)), "id int, raw string").orderBy("id")
+    got = df.select(P.parse_fine(F.col("raw")).alias("p"), P.parse_bucket(F.col("raw")).alias("b")).collect()
+    assert [(r["p"]["score"], r["b"]) for r in got] == [(100, None), (100, None), (100, 3), (0, None), (100, 2), (7, 2), (None, None), (3, 1), (10, 3), (None, None)]
+    for parse in (P.parse_fine, P.parse_bucket):
+        assert df.select(parse(F.col("raw"))).columns[0].count("try_parse_json") == 1
+
+
 def test_fallback_and_scale(spark):
     for fit, sim, want in X.FALLBACKS:
         assert one(spark, x=P.fallback_fine(F.lit(fit).cast("double"), F.lit(sim)))["x"] == want
