@@ -15,6 +15,7 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 
@@ -54,6 +55,20 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)}
 
 
+class Memo(dict):
+    """What ``make`` gives for each key, made when first asked for; starts afresh beyond ``most`` keys."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
+
 class Encoder:
     """``encode(text)`` gives the text's ids as little-endian unsigned 16-bit bytes (both vocabularies fit).
 
@@ -71,12 +86,17 @@ class Encoder:
         form = json.loads(self.tok.to_str())
         self.known = (form["normalizer"], form["pre_tokenizer"]) == FORMS[kind]
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.most, self.letters = most, _byte_letters()
-        self.memo: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+        self.memo = Memo(self.part, most)
 
     def shown(self, part: str) -> str:
+        if part.isascii() and part.isprintable():
+            return part.replace(" ", self.letters[0x20])
         return part.encode().decode("latin-1").translate(self.letters)
 
+    def part(self, part: str) -> bytes:
+        return array("H", [t.id for t in self.bpe(self.shown(part))]).tobytes()
+
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
@@ -86,17 +106,7 @@ class Encoder:
         if not self.known or not _PLAIN.fullmatch(text) or ("<|" in text and any(a in text for a in self.added)):
             return self.whole(text)
         parts = self.find(text.lower() if self.kind == "word" else text)
-        memo = self.memo
-        try:
-            return b"".join(map(memo.__getitem__, parts))
-        except KeyError:
-            new = [p for p in dict.fromkeys(parts) if p not in memo]
-            if len(memo) + len(new) > self.most:
-                memo.clear()
-                new = list(dict.fromkeys(parts))
-            for p in new:
-                memo[p] = array("H", [t.id for t in self.bpe(self.shown(p))]).tobytes()
-            return b"".join(map(memo.__getitem__, parts))
+        return b"".join(map(self.memo.__getitem__, parts))
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}

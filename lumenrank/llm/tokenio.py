@@ -44,46 +44,57 @@ def _place(pairs: np.ndarray) -> np.ndarray:
 
 def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int | None = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules, which symbols end a document). ``last`` marks the ids that end one."""
-    sym, rules = ids.astype(np.uint32), np.empty((0, 2), np.uint32)
-    done = 0
+    sym, rules, last = ids.astype(np.uint32), np.empty((0, 2), np.uint32), last.copy()
+    done, none = 0, np.iinfo(np.int32).max
+    # places whose pair may be frequent: one that was rare stays so, since only pairs with a new symbol come up
+    live = ~last
     while done != rounds and len(sym) > 1:
         done += 1
         top = base + len(rules)
-        key = sym[:-1].astype(np.uint64) << np.uint64(24) | sym[1:]
-        order = np.sort(key[~last[:-1]])
+        live[-1] = False
+        place = np.flatnonzero(live)
+        key = sym.take(place).astype(np.uint64)
+        key <<= np.uint64(24)
+        key |= sym.take(place + 1)
+        order = np.sort(key)
         cut = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1]))) if len(order) else np.empty(0, np.int64)
         count = np.diff(np.concatenate((cut, [len(order)])))
         often = count >= least
         pair, count = order[cut[often]], count[often]
         if not len(pair) or top + len(pair) >= 1 << 24:
             break
-        # rank of each place's pair: 0 is the most frequent (ties: the smaller pair); none: a large number
-        rank_of = np.empty(len(pair), np.int64)
-        rank_of[np.lexsort((pair, -count))] = np.arange(len(pair))
+        # rank of each pair: 0 is the most frequent (ties: the smaller pair); none: a large number
+        by_rank = np.lexsort((pair, -count))
+        rank_of = np.empty(len(pair), np.int32)
+        rank_of[by_rank] = np.arange(len(pair), dtype=np.int32)
         # pairs are looked up in a table by hash; of two pairs in one place the later stays, the other waits a round
         table = np.full(1 << _TABLE, -1, np.int32)
         table[_place(pair)] = np.arange(len(pair), dtype=np.int32)
-        at = table[_place(key)]
-        hit = np.flatnonzero((at >= 0) & ~last[:-1])
-        hit = hit[pair[at[hit]] == key[hit]]
-        none = np.int64(1) << 40
-        rank = np.full(len(sym) + 1, none)
-        rank[hit + 1] = rank_of[at[hit]]  # rank[i + 1] is the pair at i; sentinels at both ends
-        take = (rank[1:-1] < none) & (rank[1:-1] < rank[:-2]) & (rank[1:-1] <= rank[2:])
-        where = np.flatnonzero(take)
+        at = table.take(_place(key).view(np.int64))
+        some = np.flatnonzero(at >= 0)
+        hit, at, key = place.take(some), at.take(some), key.take(some)
+        live[:] = False
+        live[hit] = True
+        same = np.flatnonzero(pair.take(at) == key)
+        hit, mine = hit.take(same), rank_of.take(at.take(same))
+        rank = np.full(len(sym) + 1, none, np.int32)
+        rank[hit + 1] = mine  # rank[i + 1] is the pair at i; sentinels at both ends
+        take = np.flatnonzero((mine < rank.take(hit)) & (mine <= rank.take(hit + 2)))
+        where, mine = hit.take(take), mine.take(take)
         # of equal neighbours (a run of one symbol) the comparison takes the first; the next round sees the rest
-        used, new = np.unique(rank[where + 1], return_inverse=True)
-        by_rank = np.empty(len(pair), np.uint64)
-        by_rank[rank_of] = pair
-        chosen = by_rank[used]
+        used = np.zeros(len(pair), bool)
+        used[mine] = True
+        chosen = pair[by_rank[used]]
         rules = np.vstack((rules, np.stack((chosen >> np.uint64(24), chosen & np.uint64(0xFFFFFF)), axis=1).astype(np.uint32)))
-        sym = sym.copy()
-        last = last.copy()
-        sym[where] = top + new
+        sym[where] = (top - 1 + np.cumsum(used)).take(mine)
         last[where] = last[where + 1]
+        live[where] = True
+        live[where[where > 0] - 1] = True
         keep = np.ones(len(sym), bool)
         keep[where + 1] = False
-        sym, last = sym[keep], last[keep]
+        kept = np.flatnonzero(keep)
+        sym, last, live = sym.take(kept), last.take(kept), live.take(kept)
+        live &= ~last
     return sym, rules, last
 
 

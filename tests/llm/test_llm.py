@@ -315,6 +315,16 @@ def test_encoder_leaves_other_files_to_the_library(tmp_path):
     assert not enc.known and enc.encode("A Plain TEXT") == enc.whole("a plain text")
 
 
+def test_encoder_makes_a_part_once_and_holds_no_more_than_it_may():
+    enc, asked = Encoder(public_tokenizers.path("byte_bpe_50k.json"), "byte"), []
+    bpe, text = enc.bpe, "one two one\tthree é two four one"
+    enc.bpe = lambda shown: asked.append(shown) or bpe(shown)
+    assert enc.encode(text) + enc.encode(text[3:]) == enc.whole(text) + enc.whole(text[3:])
+    assert len(asked) == len(set(asked)) == len(enc.memo)
+    few = Encoder(public_tokenizers.path("byte_bpe_50k.json"), "byte", 3)
+    assert few.encode(text) == few.whole(text) and len(few.memo) <= 3
+
+
 def ids_of(path, text, end):
     return np.array([*Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
@@ -358,6 +368,19 @@ def test_repair_until_no_pair_occurs_twice():
     assert len(blob) < len(tokenio.write_block(list(range(61)), [d.tobytes() for d in docs_], 1 << 16))
 
 
+def test_repair_looks_at_rare_pairs_once(monkeypatch):
+    r, sizes, place = np.random.default_rng(8), [], tokenio._place
+    ids = r.integers(0, 60_000, 50_000)
+    ids[::100] = ids[1::100] = ids[2::100] = ids[3::100] = 7
+    last = np.zeros(len(ids), bool)
+    last[-1] = True
+    monkeypatch.setattr(tokenio, "_place", lambda pairs: sizes.append(len(pairs)) or place(pairs))
+    sym, rules, ends = tokenio.repair(ids, last, 1 << 16)
+    flat, start, length = tokenio.expansions(rules, 1 << 16)
+    assert np.concatenate([flat[start[s] : start[s] + length[s]] for s in sym.tolist()]).tolist() == ids.tolist() and np.flatnonzero(ends).tolist() == [len(sym) - 1]
+    assert len(rules) == 3 and max(sizes[:2]) > 45_000 and max(sizes[2:]) < 5_000
+
+
 def test_token_files_edges(spark):
     got = tokenio.read(tokenio.write(odd(spark), public_tokenizers.path("byte_bpe_50k.json"))).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == [1, 2, 3, 4, 4, 5, None] and [r["n_tokens"] for r in got][:2] == [1, 1]
